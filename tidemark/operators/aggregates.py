@@ -204,6 +204,24 @@ def qcut_counts(df: DataFrame, col: str, name: str, q: int = 5,
     return fixed_bins(df, col, uniq, labels, name, include_lowest=True)
 
 
+def adaptive_kpis(df: DataFrame) -> DataFrame:
+    """A5: the adaptive summary figures (one aggregate plus an exact median)."""
+    med = quantiles(df, {"Predicted_CLV": [0.5]})["Predicted_CLV"][0]
+    hr = F.col("Churn_Prob") > C.ADAPTIVE_HIGH_RISK
+    return df.agg(
+        F.count(F.lit(1)).alias("total_customers"),
+        F.avg("Predicted_CLV").alias("avg_clv"),
+        F.lit(med).cast("double").alias("median_clv"),
+        F.sum("Predicted_CLV").alias("total_portfolio"),
+        F.avg("Churn").alias("churn_rate"),
+        F.count_if(hr).alias("high_risk"),
+        F.avg("tenure").alias("avg_tenure"),
+        F.avg("MonthlyCharges").alias("avg_monthly"),
+        F.sum("TotalCharges").alias("total_revenue"),
+        F.coalesce(F.sum(F.when(hr, F.col("Predicted_CLV"))), F.lit(0.0)).alias("at_risk_revenue"),
+    )
+
+
 def top_risk(df: DataFrame, id_col: str | None, n: int = C.TOP_RISK_ROWS,
              threshold: float = C.HIGH_RISK) -> DataFrame:
     """The high-risk action list, highest probability first.

@@ -166,8 +166,125 @@ def core_final(labelled: bool = True) -> str:
     return "WITH" + churn_input_cte(with_churn=labelled) + core_ctes(labelled)
 
 
-R6 = "round({c}, 6) AS {a}"
+R6 = "(round_even(({c}) * 1000000.0, 0) / 1000000.0) AS {a}"
 
 
 def r6(c: str, a: str | None = None) -> str:
     return R6.format(c=c, a=a or c)
+
+
+def adaptive_input_cte() -> str:
+    k = "c_custkey"
+    return history_cte() + f""",
+adaptive_input AS (
+  SELECT 'U-' || CAST({k} AS VARCHAR) AS customer_id,
+         CAST(tenure_m AS VARCHAR) AS account_length,
+         '$' || {money_sql('cents // greatest(tenure_m, 1)')} AS mrr,
+         {money_sql('cents')} AS total_spend,
+         CASE WHEN churned AND {k} % 3 = 0 THEN 'Cancelled' WHEN churned AND {k} % 3 = 1 THEN 'inactive'
+              WHEN churned THEN 'Lapsed' WHEN {k} % 2 = 0 THEN 'Active' ELSE 'current customer' END AS customer_status,
+         c_mktsegment AS plan,
+         (CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END) || {money_sql('abs(CAST(round(c_acctbal * 100) AS BIGINT))')} AS balance
+  FROM hist)"""
+
+
+def status_sql(x: str) -> str:
+    tok = f"lower(trim(coalesce(CAST({x} AS VARCHAR), 'nan')))"
+    zero = [k for k, v in C.STATUS_MAPPINGS.items() if v == 0]
+    one = [k for k, v in C.STATUS_MAPPINGS.items() if v == 1]
+    pos = " OR ".join(f"contains({tok}, '{f}')" for f in C.STATUS_ACTIVE_FRAGMENTS)
+    neg = " OR ".join(f"contains({tok}, '{f}')" for f in C.STATUS_CHURN_FRAGMENTS)
+    return (f"(CASE WHEN {tok} IN ({_list(zero)}) THEN 0 WHEN {tok} IN ({_list(one)}) THEN 1 "
+            f"WHEN {pos} THEN 0 WHEN {neg} THEN 1 ELSE 0 END)")
+
+
+def _charge_ctes(src: str, col: str, tag: str) -> str:
+    return f"""
+{tag}a AS (SELECT * REPLACE (CASE WHEN {col} < 0 THEN -{col} ELSE {col} END AS {col}) FROM {src}),
+{tag}s AS (SELECT greatest(0, quantile_cont({col}, 0.25) - 3 * (quantile_cont({col}, 0.75) - quantile_cont({col}, 0.25))) AS lo_{tag},
+                 quantile_cont({col}, 0.75) + 3 * (quantile_cont({col}, 0.75) - quantile_cont({col}, 0.25)) AS hi_{tag},
+                 count(*) AS n_{tag} FROM {tag}a),
+{tag}e AS (SELECT count(*) FILTER (WHERE {col} > hi_{tag} OR {col} < lo_{tag}) AS e_{tag} FROM {tag}a, {tag}s),
+{tag} AS (SELECT * EXCLUDE (lo_{tag}, hi_{tag}, n_{tag}, e_{tag}) REPLACE (
+    CASE WHEN hi_{tag} > lo_{tag} * 100 AND e_{tag} > 0 AND e_{tag} < n_{tag} * 0.1
+         THEN (CASE WHEN {col} > hi_{tag} THEN hi_{tag} WHEN {col} < lo_{tag} THEN lo_{tag} ELSE {col} END)
+         ELSE {col} END AS {col}) FROM {tag}a, {tag}s, {tag}e)"""
+
+
+def adaptive_final() -> str:
+    """E3 on the adaptive fixture with the heuristic scorer and heuristic CLV."""
+    seg = C.SEGMENTS_ADAPTIVE
+    rec = C.RECOMMENDATIONS
+    groups = []
+    for limit, edges, labels in C.TENURE_GROUPS:
+        parts = [f"WHEN tenure >= {edges[0]} AND tenure <= {edges[1]} THEN '{labels[0]}'"]
+        for i in range(1, len(edges) - 1):
+            parts.append(f"WHEN tenure > {edges[i]} AND tenure <= {edges[i + 1]} THEN '{labels[i]}'")
+        parts.append(f"WHEN tenure > {edges[-1]} THEN '{labels[-1]}'")
+        groups.append((limit, "CASE " + " ".join(parts) + " END"))
+    tg = (f"CASE WHEN mxt <= {groups[0][0]} THEN {groups[0][1]} WHEN mxt <= {groups[1][0]} "
+          f"THEN {groups[1][1]} ELSE {groups[2][1]} END")
+    return "WITH" + adaptive_input_cte() + f""",
+typed AS (
+  SELECT customer_id, {adaptive_num_sql('account_length')} AS tenure, {adaptive_num_sql('mrr')} AS MonthlyCharges,
+         {adaptive_num_sql('total_spend')} AS TotalCharges, customer_status AS CustomerStatus, plan,
+         {adaptive_num_sql('balance')} AS balance
+  FROM adaptive_input),
+st AS (SELECT *, {status_sql('CustomerStatus')} AS Churn FROM typed),
+t1 AS (SELECT * REPLACE (CASE WHEN tenure < 0 THEN -tenure ELSE tenure END AS tenure) FROM st),
+t1s AS (SELECT quantile_cont(tenure, 0.5) FILTER (WHERE NOT tenure > 600) AS med_rest FROM t1),
+t2 AS (SELECT * EXCLUDE (med_rest) REPLACE (CASE WHEN tenure > 600 THEN coalesce(med_rest, 24) ELSE tenure END AS tenure) FROM t1, t1s),
+t2s AS (SELECT quantile_cont(tenure, 0.5) AS med2, max(tenure) AS mx2 FROM t2),
+t3 AS (SELECT * EXCLUDE (med2, mx2) REPLACE (CASE WHEN med2 > 365 THEN tenure / 30
+                WHEN med2 > 50 AND mx2 < 100 AND mx2 <= 80 THEN tenure * 12 ELSE tenure END AS tenure) FROM t2, t2s),
+{_charge_ctes('t3', 'MonthlyCharges', 'cm').lstrip()},
+{_charge_ctes('cm', 'TotalCharges', 'ct').lstrip()},
+meds AS (SELECT quantile_cont(tenure, 0.5) AS m1, quantile_cont(MonthlyCharges, 0.5) AS m2,
+                quantile_cont(TotalCharges, 0.5) AS m3 FROM ct),
+cl AS (
+  SELECT DISTINCT customer_id, CustomerStatus, plan, balance,
+         CAST(coalesce(Churn, 0) > 0 AS INTEGER) AS Churn,
+         greatest(abs(coalesce(tenure, CASE WHEN m1 IS NULL OR m1 <= 0 THEN 1.0 ELSE m1 END)), 1) AS tenure,
+         abs(coalesce(MonthlyCharges, CASE WHEN m2 IS NULL OR m2 <= 0 THEN 50.0 ELSE m2 END)) AS MonthlyCharges,
+         abs(coalesce(TotalCharges, CASE WHEN m3 IS NULL OR m3 <= 0 THEN 50.0 ELSE m3 END)) AS TotalCharges
+  FROM ct, meds),
+fs AS (SELECT max(tenure) AS mxt, avg(MonthlyCharges) AS mean_m FROM cl),
+f1 AS (
+  SELECT cl.*, greatest(TotalCharges / greatest(tenure, 1), 0) AS AvgMonthlySpend,
+         {tg} AS TenureGroup,
+         CASE WHEN mean_m > 0 THEN MonthlyCharges / mean_m ELSE 1.0 END AS ChargeRatio,
+         MonthlyCharges * tenure AS ExpectedTotal,
+         abs(TotalCharges - MonthlyCharges * tenure) AS SpendingVariance
+  FROM cl, fs),
+p99 AS (SELECT quantile_cont(SpendingVariance, 0.99) AS pv, quantile_cont(TotalCharges, 0.99) AS pt FROM f1),
+f2 AS (
+  SELECT f1.*, CASE WHEN pv > 0 THEN 1.0 - least(greatest(SpendingVariance / pv, 0), 1) ELSE 1.0 END AS SpendingConsistency,
+         CASE WHEN pt > 0 THEN least(greatest(TotalCharges / pt * 100, 0), 100) ELSE 50.0 END AS ValueScore
+  FROM f1, p99),
+hs AS (SELECT quantile_cont(greatest(tenure, 1), 0.95) AS mt, quantile_cont(abs(ChargeRatio - 1), 0.95) AS md,
+              count(DISTINCT Churn) AS k, avg(Churn) AS rate FROM f2),
+h1 AS (
+  SELECT f2.*, k, rate,
+         0.5 + (CASE WHEN mt > 0 THEN (1.0 - least(greatest(greatest(tenure, 1) / mt, 0), 1)) * 0.25 ELSE 0 END)
+             + (CASE WHEN md > 0 THEN least(greatest(abs(ChargeRatio - 1) / md, 0), 1) * 0.15 ELSE 0 END)
+             + (1.0 - SpendingConsistency) * 0.1 AS score
+  FROM f2, hs),
+h2 AS (
+  SELECT * EXCLUDE (k, rate, score),
+         least(greatest(CASE WHEN k > 1 THEN {pct_rank_sql('score')} * rate * 2 ELSE score END, 0.05), 0.95) AS Churn_Prob
+  FROM h1),
+v AS (SELECT *, MonthlyCharges * 24 * (1.0 - Churn_Prob * 0.5) AS Predicted_CLV FROM h2),
+th AS (SELECT quantile_cont(Churn_Prob, 0.7) AS pc, quantile_cont(Predicted_CLV, 0.5) AS vc FROM v),
+sg AS (
+  SELECT v.*, Predicted_CLV AS Future_CLV,
+         CASE WHEN Churn_Prob > pc AND Predicted_CLV > vc THEN '{seg[0]}' WHEN Churn_Prob > pc THEN '{seg[1]}'
+              WHEN Predicted_CLV > vc THEN '{seg[2]}' ELSE '{seg[3]}' END AS Segment,
+         ({pct_rank_sql('Churn_Prob')} * 0.6 + {pct_rank_sql('Predicted_CLV')} * 0.4) * 100 AS Priority
+  FROM v, th),
+final AS (
+  SELECT *, CASE WHEN Segment = '{seg[0]}' AND Churn_Prob > 0.8 THEN '{rec['hh_urgent']}'
+                 WHEN Segment = '{seg[0]}' THEN '{rec['hh']}'
+                 WHEN Segment = '{seg[1]}' AND Churn_Prob > 0.8 THEN '{rec['hl_urgent']}'
+                 WHEN Segment = '{seg[1]}' THEN '{rec['hl']}'
+                 WHEN Segment = '{seg[2]}' THEN '{rec['lh']}' ELSE '{rec['ll']}' END AS Recommendation
+  FROM sg)"""

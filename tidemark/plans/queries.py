@@ -17,15 +17,20 @@ from pyspark.sql.types import DoubleType, FloatType
 from tidemark import config as C
 from tidemark.functions.numeric import adaptive_num, clean_num
 from tidemark.operators import aggregates as A
+from tidemark.operators.features import np_round
 from tidemark.operators.rank import with_pct_ranks
 from tidemark.plans import oracle as O
+from tidemark.plans.adaptive import run_adaptive
 from tidemark.plans.core import run_core
 from tidemark.sources import fixtures as FXT
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 6, money: tuple = ()) -> DataFrame:
+    """Binary (numpy-style) rounding of every double column; ``money``
+    columns (large sums whose float summation order differs between engines)
+    go to cents."""
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+        np_round(F.col(f"`{f.name}`"), 2 if f.name in money else digits).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields])
 
@@ -43,6 +48,21 @@ def core_result(spark: SparkSession, sf_dir: str, labelled: bool = True):
     return _core_cache[key]
 
 
+_adaptive_cache: dict = {}
+
+
+def adaptive_result(spark: SparkSession, sf_dir: str):
+    key = (id(spark), sf_dir)
+    if key not in _adaptive_cache:
+        _adaptive_cache[key] = run_adaptive(FXT.adaptive_input(spark, sf_dir))
+    return _adaptive_cache[key]
+
+
+ADAPTIVE_COLUMNS = ["customer_id", "tenure", "MonthlyCharges", "TotalCharges", "Churn", "AvgMonthlySpend",
+                    "TenureGroup", "ChargeRatio", "SpendingConsistency", "ValueScore", "Churn_Prob",
+                    "Predicted_CLV", "Future_CLV", "Segment", "Priority", "Recommendation"]
+
+
 # ------------------------------------------------------------------ builders
 
 def q_churn_input(spark, sf):
@@ -54,7 +74,7 @@ def q_core_processed(spark, sf):
 
 
 def q_core_segment_summary(spark, sf):
-    return round_doubles(A.segment_summary(core_result(spark, sf).df))
+    return round_doubles(A.segment_summary(core_result(spark, sf).df), money=("Total_CLV",))
 
 
 def q_core_kpis(spark, sf):
@@ -100,6 +120,42 @@ def q_dirty_numbers(spark, sf):
                     adaptive_num(F.col("balance")).alias("adaptive_value"))
 
 
+def q_adaptive_processed(spark, sf):
+    return round_doubles(adaptive_result(spark, sf).df.select(*ADAPTIVE_COLUMNS))
+
+
+def q_adaptive_segments(spark, sf):
+    return A.value_counts(adaptive_result(spark, sf).df, "Segment", percentage=True)
+
+
+def q_adaptive_churn_dist(spark, sf):
+    return A.fixed_bins(adaptive_result(spark, sf).df, "Churn_Prob", C.PROB_BINS, C.PROB_BIN_LABELS,
+                        "Risk Level")
+
+
+def _qcut(col, name):
+    def build(spark, sf):
+        out = A.qcut_counts(adaptive_result(spark, sf).df, col, name)
+        if out is None:
+            return spark.createDataFrame([], f"`{name}` string, Count long")
+        return out
+    return build
+
+
+def q_adaptive_tenure_dist(spark, sf):
+    return A.value_counts(adaptive_result(spark, sf).df, "TenureGroup", "Tenure Group")
+
+
+def q_adaptive_kpis(spark, sf):
+    return round_doubles(A.adaptive_kpis(adaptive_result(spark, sf).df),
+                         money=("total_portfolio", "total_revenue", "at_risk_revenue"))
+
+
+def q_adaptive_quality(spark, sf):
+    from tidemark.operators.quality import quality_frame
+    return round_doubles(quality_frame(FXT.adaptive_input(spark, sf)))
+
+
 # ------------------------------------------------------------------- oracles
 
 def _core_select(cols: str, tail: str = "") -> str:
@@ -122,9 +178,9 @@ SQL_SEGMENT_SUMMARY = O.core_final() + f"""
          avg(Predicted_CLV) AS Avg_CLV, sum(Predicted_CLV) AS Total_CLV, avg(tenure) AS Avg_Tenure,
          avg(MonthlyCharges) AS Avg_Monthly, avg(Churn_Prob) AS Avg_Risk_Prob
   FROM final GROUP BY Segment)
-SELECT Segment, Customers, Churned, round(Churn_Rate, 6) AS Churn_Rate, round(Avg_CLV, 6) AS Avg_CLV,
-       round(Total_CLV, 6) AS Total_CLV, round(Avg_Tenure, 6) AS Avg_Tenure,
-       round(Avg_Monthly, 6) AS Avg_Monthly, round(Avg_Risk_Prob, 6) AS Avg_Risk_Prob,
+SELECT Segment, Customers, Churned, round_even((Churn_Rate) * 1000000.0, 0) / 1000000.0 AS Churn_Rate, round_even((Avg_CLV) * 1000000.0, 0) / 1000000.0 AS Avg_CLV,
+       {O.np_round_sql("Total_CLV", 2)} AS Total_CLV, round_even((Avg_Tenure) * 1000000.0, 0) / 1000000.0 AS Avg_Tenure,
+       round_even((Avg_Monthly) * 1000000.0, 0) / 1000000.0 AS Avg_Monthly, round_even((Avg_Risk_Prob) * 1000000.0, 0) / 1000000.0 AS Avg_Risk_Prob,
        CASE WHEN Churn_Rate > 0.6 THEN 'RED' WHEN Churn_Rate > 0.3 THEN 'AMBER' ELSE 'GREEN' END AS Churn_Rate_Flag
 FROM s ORDER BY Churn_Rate DESC, Segment"""
 
@@ -140,17 +196,17 @@ SQL_KPIS = O.core_final() + f"""
          sum(CASE WHEN Churn_Prob >= 0.6 THEN TotalCharges END) AS tc_risk
   FROM final)
 SELECT greatest(n, 1) AS total_customers,
-       round({O.np_round_sql("coalesce(churn_mean, 0) * 100", 2)}, 6) AS churn_rate,
-       round({O.np_round_sql("greatest(0.0, least(100.0, 100.0 - " + O.np_round_sql("coalesce(churn_mean, 0) * 100", 2) + "))", 2)}, 6) AS retention_rate,
-       round({O.np_round_sql("coalesce(clv_mean, 0)", 0)}, 6) AS avg_clv,
-       round({O.np_round_sql("coalesce(tenure_mean, 0)", 1)}, 6) AS avg_tenure,
-       round({O.np_round_sql("coalesce(monthly_mean, 0)", 0)}, 6) AS avg_monthly,
+       round_even(({O.np_round_sql("coalesce(churn_mean, 0) * 100", 2)}) * 1000000.0, 0) / 1000000.0 AS churn_rate,
+       {O.np_round_sql(O.np_round_sql("greatest(0.0, least(100.0, 100.0 - " + O.np_round_sql("coalesce(churn_mean, 0) * 100", 2) + "))", 2), 6)} AS retention_rate,
+       round_even(({O.np_round_sql("coalesce(clv_mean, 0)", 0)}) * 1000000.0, 0) / 1000000.0 AS avg_clv,
+       round_even(({O.np_round_sql("coalesce(tenure_mean, 0)", 1)}) * 1000000.0, 0) / 1000000.0 AS avg_tenure,
+       round_even(({O.np_round_sql("coalesce(monthly_mean, 0)", 0)}) * 1000000.0, 0) / 1000000.0 AS avg_monthly,
        high_risk_n,
-       round({O.np_round_sql("high_risk_n / greatest(n, 1) * 100", 1)}, 6) AS high_risk_pct,
+       round_even(({O.np_round_sql("high_risk_n / greatest(n, 1) * 100", 1)}) * 1000000.0, 0) / 1000000.0 AS high_risk_pct,
        med_risk_n, low_risk_n,
-       round({O.np_round_sql("coalesce(clv_sum, 0)", 0)}, 6) AS total_clv,
-       round({O.np_round_sql("coalesce(rev_risk, 0)", 0)}, 6) AS revenue_at_risk,
-       round({O.np_round_sql("coalesce(tc_risk, 0)", 0)}, 6) AS tc_at_risk_hist
+       round_even(({O.np_round_sql("coalesce(clv_sum, 0)", 0)}) * 1000000.0, 0) / 1000000.0 AS total_clv,
+       round_even(({O.np_round_sql("coalesce(rev_risk, 0)", 0)}) * 1000000.0, 0) / 1000000.0 AS revenue_at_risk,
+       round_even(({O.np_round_sql("coalesce(tc_risk, 0)", 0)}) * 1000000.0, 0) / 1000000.0 AS tc_at_risk_hist
 FROM k"""
 
 SQL_SEGMENT_COUNTS = _core_select("Segment, count(*) AS Count", "GROUP BY Segment ORDER BY Count DESC, Segment")
@@ -177,15 +233,15 @@ st AS (SELECT min(v) AS mn, max(v) AS mx, least(6, count(DISTINCT v)) AS k FROM
 b AS (SELECT 1 + {bin_expr} AS bin, mn, mx, k FROM vals, st),
 c AS (SELECT bin, any_value(mn) AS mn, any_value(mx) AS mx, any_value(k) AS k, count(*) AS Count FROM b GROUP BY bin)
 SELECT CAST(bin AS INTEGER) AS bin,
-       round(CASE WHEN bin = 1 THEN mn - (mx - mn) * 0.001 ELSE ((bin - 1) * ((mx - mn) / k)) + mn END, 6) AS bin_left,
-       round(CASE WHEN bin = k THEN mx ELSE (bin * ((mx - mn) / k)) + mn END, 6) AS bin_right,
+       {O.np_round_sql("CASE WHEN bin = 1 THEN mn - (mx - mn) * 0.001 ELSE ((bin - 1) * ((mx - mn) / k)) + mn END", 6)} AS bin_left,
+       {O.np_round_sql("CASE WHEN bin = k THEN mx ELSE (bin * ((mx - mn) / k)) + mn END", 6)} AS bin_right,
        Count
 FROM c WHERE Count > 0 ORDER BY bin"""
 
 
 SQL_LINEITEM_PCT = f"""
-SELECT l_orderkey, l_linenumber, round({O.pct_rank_sql('l_quantity')}, 9) AS qty_pct,
-       round({O.pct_rank_sql('l_extendedprice')}, 9) AS price_pct
+SELECT l_orderkey, l_linenumber, {O.np_round_sql(O.pct_rank_sql('l_quantity'), 9)} AS qty_pct,
+       {O.np_round_sql(O.pct_rank_sql('l_extendedprice'), 9)} AS price_pct
 FROM lineitem"""
 
 
@@ -207,6 +263,49 @@ def _dirty_sql() -> str:
             f"{O.adaptive_num_sql('balance')} AS adaptive_value FROM d")
 
 
+SQL_ADAPTIVE = O.adaptive_final() + "\nSELECT " + ", ".join(
+    O.r6(c) if c in ("tenure", "MonthlyCharges", "TotalCharges", "AvgMonthlySpend", "ChargeRatio",
+                     "SpendingConsistency", "ValueScore", "Churn_Prob", "Predicted_CLV", "Future_CLV",
+                     "Priority") else c
+    for c in ADAPTIVE_COLUMNS) + " FROM final"
+
+SQL_ADAPTIVE_SEGMENTS = O.adaptive_final() + f"""
+, c AS (SELECT Segment, count(*) AS Count FROM final GROUP BY Segment)
+SELECT Segment, Count, {O.np_round_sql("Count / (SELECT sum(Count) FROM c) * 100", 1)} AS Percentage FROM c"""
+
+SQL_ADAPTIVE_CHURN_DIST = O.adaptive_final() + f"""
+, labs AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{lab}')" for i, lab in enumerate(C.PROB_BIN_LABELS))}) t(bin, lab)),
+b AS (SELECT CASE {" ".join(f"WHEN Churn_Prob {'>=' if i == 0 else '>'} {C.PROB_BINS[i]} AND Churn_Prob <= {C.PROB_BINS[i + 1]} THEN {i + 1}" for i in range(5))} END AS bin FROM final)
+SELECT lab AS "Risk Level", count(b.bin) AS Count FROM labs LEFT JOIN b ON labs.bin = b.bin GROUP BY labs.bin, lab"""
+
+
+def sql_qcut(col: str, name: str) -> str:
+    labs = C.QUINTILE_LABELS
+    qs = ", ".join(f"quantile_cont({col}, {i / 5}) AS e{i}" for i in range(6))
+    case = " ".join(
+        f"WHEN {col} {'>=' if i == 0 else '>'} e{i} AND {col} <= e{i + 1} THEN {i + 1}" for i in range(5))
+    return O.adaptive_final() + f"""
+, e AS (SELECT {qs} FROM final),
+ok AS (SELECT * FROM e WHERE e0 < e1 AND e1 < e2 AND e2 < e3 AND e3 < e4 AND e4 < e5),
+labs AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{lab}')" for i, lab in enumerate(labs))}) t(bin, lab)),
+b AS (SELECT CASE {case} END AS bin FROM final, ok)
+SELECT lab AS "{name}", count(b.bin) AS Count FROM labs LEFT JOIN b ON labs.bin = b.bin, ok
+GROUP BY labs.bin, lab"""
+
+
+SQL_ADAPTIVE_TENURE = O.adaptive_final() + """
+SELECT TenureGroup AS "Tenure Group", count(*) AS Count FROM final GROUP BY TenureGroup"""
+
+SQL_ADAPTIVE_KPIS = O.adaptive_final() + f"""
+SELECT count(*) AS total_customers, round_even((avg(Predicted_CLV)) * 1000000.0, 0) / 1000000.0 AS avg_clv,
+       round_even((quantile_cont(Predicted_CLV, 0.5)) * 1000000.0, 0) / 1000000.0 AS median_clv, {O.np_round_sql("sum(Predicted_CLV)", 2)} AS total_portfolio,
+       round_even((avg(Churn)) * 1000000.0, 0) / 1000000.0 AS churn_rate, count(*) FILTER (WHERE Churn_Prob > 0.7) AS high_risk,
+       round_even((avg(tenure)) * 1000000.0, 0) / 1000000.0 AS avg_tenure, round_even((avg(MonthlyCharges)) * 1000000.0, 0) / 1000000.0 AS avg_monthly,
+       {O.np_round_sql("sum(TotalCharges)", 2)} AS total_revenue,
+       {O.np_round_sql("coalesce(sum(Predicted_CLV) FILTER (WHERE Churn_Prob > 0.7), 0)", 2)} AS at_risk_revenue
+FROM final"""
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "churn_input": (q_churn_input, "WITH" + O.churn_input_cte() + "\nSELECT * FROM churn_input"),
     "core_processed": (q_core_processed, SQL_CORE_PROCESSED),
@@ -222,4 +321,11 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "core_monthly_bins": (_bins("MonthlyCharges"), sql_bins("MonthlyCharges")),
     "lineitem_pct_rank": (q_lineitem_pct_rank, SQL_LINEITEM_PCT),
     "dirty_numbers": (q_dirty_numbers, _dirty_sql()),
+    "adaptive_processed": (q_adaptive_processed, SQL_ADAPTIVE),
+    "adaptive_segments": (q_adaptive_segments, SQL_ADAPTIVE_SEGMENTS),
+    "adaptive_churn_dist": (q_adaptive_churn_dist, SQL_ADAPTIVE_CHURN_DIST),
+    "adaptive_clv_dist": (_qcut("Predicted_CLV", "CLV Tier"), sql_qcut("Predicted_CLV", "CLV Tier")),
+    "adaptive_spend_dist": (_qcut("AvgMonthlySpend", "Spend Tier"), sql_qcut("AvgMonthlySpend", "Spend Tier")),
+    "adaptive_tenure_dist": (q_adaptive_tenure_dist, SQL_ADAPTIVE_TENURE),
+    "adaptive_kpis": (q_adaptive_kpis, SQL_ADAPTIVE_KPIS),
 }
