@@ -93,70 +93,111 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + diff * t
 
 
+def _virtual_index(n: int, q: float) -> float:
+    # numpy's "linear" method places quantile q at (n - 1) * q
+    return (n - 1) * q
+
+
 def _valid(c: str) -> F.Column:
     x = F.col(c).cast("double")
     return F.when(x.isNotNull() & ~F.isnan(x), x)
 
 
+def _brackets(df: DataFrame, cols, spec, eps_of) -> tuple[dict, list]:
+    """Job 1: counts, extremes and sketch values around every wanted q."""
+    aggs = []
+    for i, c in enumerate(cols):
+        probs = []
+        for q in spec[c]:
+            e = eps_of(c)
+            probs += [max(0.0, float(q) - e), min(1.0, float(q) + e)]
+        aggs += [F.count(_valid(c)).alias(f"n{i}"), F.min(_valid(c)).alias(f"mn{i}"),
+                 F.max(_valid(c)).alias(f"mx{i}"),
+                 F.percentile_approx(_valid(c), probs, 100000).alias(f"p{i}")]
+    r = df.agg(*aggs).first()
+    return {c: (r[f"n{i}"], r[f"mn{i}"], r[f"mx{i}"], r[f"p{i}"]) for i, c in enumerate(cols)}
+
+
 def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
               table: DataFrame | None = None, n_buckets: int | None = None,
               accuracy: int = 100000, max_bracket: int = 200000) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (numpy/pandas ``quantile``).
 
-    Three small jobs, none of which moves a whole column to one place:
+    Small jobs, none of which moves a whole column to one place:
 
-    1. row count and an approximate sketch value just below and just above
-       each wanted quantile (``percentile_approx``, mergeable partials);
+    1. row count, min/max and an approximate sketch value just below and
+       just above each wanted quantile (``percentile_approx``, mergeable);
     2. exact counts of values below the lower bracket end and up to the upper
        one -- this *verifies* that the wanted positions lie inside -- plus an
-       estimate of the distinct values inside;
-    3. ``groupBy(value).count()`` restricted to the bracket, collected (its
+       estimate of the distinct values inside; a failed bracket is widened
+       once (now that the row count is known) and checked again;
+    3. ``groupBy(value).count()`` restricted to the brackets, collected (its
        size is bounded by ``max_bracket``).
 
-    A bracket that fails the check or is too wide is answered by the fully
+    A bracket that still fails or is too wide is answered by the fully
     distributed rank table instead. Returns ``{column: [value per q]}``.
     """
     cols = list(spec)
-    eps = 2.0 / accuracy
-    aggs = []
-    for i, c in enumerate(cols):
-        probs = []
-        for q in spec[c]:
-            probs += [max(0.0, float(q) - eps), min(1.0, float(q) + eps)]
-        aggs += [F.count(_valid(c)).alias(f"n{i}"),
-                 F.percentile_approx(_valid(c), probs, accuracy).alias(f"p{i}")]
-    r1 = df.agg(*aggs).first()
-    pairs = []  # (col, q, n, lo_idx, hi_idx, lo, hi)
-    for i, c in enumerate(cols):
-        n = r1[f"n{i}"]
+    values: dict[tuple, float | None] = {}
+    base_eps = 2.0 / accuracy
+    stats = _brackets(df, cols, spec, lambda c: base_eps)
+    todo = []  # (col, q, n, lo_idx, hi_idx, lo, hi, gamma)
+    for c in cols:
+        n, mn, mx, pv = stats[c]
         for j, q in enumerate(spec[c]):
+            q = float(q)
             if n == 0:
+                values[(c, q)] = None
+                continue
+            if q <= 0.0 or n == 1:
+                values[(c, q)] = float(mn) if q <= 0.0 or n == 1 else None
+                if q <= 0.0 or n == 1:
+                    continue
+            if q >= 1.0:
+                values[(c, q)] = float(mx)
                 continue
-            virt = n * float(q) - float(q)
+            virt = _virtual_index(n, q)
             lo_idx = math.floor(virt)
             hi_idx = min(lo_idx + 1, n - 1)
-            pv = r1[f"p{i}"]
-            pairs.append((c, float(q), n, lo_idx, hi_idx, pv[2 * j], pv[2 * j + 1], virt - lo_idx))
-    if not pairs:
-        return {c: [None] * len(spec[c]) for c in cols}
-    checks = []
-    for k, (c, q, n, lo_idx, hi_idx, lo, hi, g) in enumerate(pairs):
-        x = _valid(c)
-        inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-        checks += [F.count_if(x < F.lit(lo)).alias(f"b{k}"), F.count_if(x <= F.lit(hi)).alias(f"u{k}"),
-                   F.approx_count_distinct(F.when(inside, x)).alias(f"d{k}")]
-    r2 = df.agg(*checks).first()
+            todo.append((c, q, n, lo_idx, hi_idx, pv[2 * j], pv[2 * j + 1], virt - lo_idx))
     good, fallback = [], []
-    for k, p in enumerate(pairs):
-        c, q, n, lo_idx, hi_idx, lo, hi, g = p
-        ok = r2[f"b{k}"] <= lo_idx and r2[f"u{k}"] >= hi_idx + 1 and r2[f"d{k}"] <= max_bracket // 2
-        (good if ok else fallback).append((k, p, r2[f"b{k}"]))
-    values: dict[tuple, float] = {}
+    for attempt in range(2):
+        if not todo:
+            break
+        checks = []
+        for k, (c, q, n, lo_idx, hi_idx, lo, hi, g) in enumerate(todo):
+            x = _valid(c)
+            inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
+            checks += [F.count_if(x < F.lit(lo)).alias(f"b{k}"), F.count_if(x <= F.lit(hi)).alias(f"u{k}"),
+                       F.approx_count_distinct(F.when(inside, x)).alias(f"d{k}")]
+        r2 = df.agg(*checks).first()
+        retry = []
+        for k, p in enumerate(todo):
+            c, q, n, lo_idx, hi_idx, lo, hi, g = p
+            ok = r2[f"b{k}"] <= lo_idx and r2[f"u{k}"] >= hi_idx + 1
+            if ok and r2[f"d{k}"] <= max_bracket // 2:
+                good.append((p, r2[f"b{k}"]))
+            elif ok or attempt == 1:
+                fallback.append(p)
+            else:
+                retry.append(p)
+        todo = []
+        if retry:
+            wide = {p[0]: max(base_eps, 4.0 / p[2]) for p in retry}
+            rspec: dict[str, list[float]] = {}
+            for p in retry:
+                rspec.setdefault(p[0], []).append(p[1])
+            st2 = _brackets(df, list(rspec), rspec, lambda c: wide[c])
+            for p in retry:
+                c, q = p[0], p[1]
+                j = rspec[c].index(q)
+                pv = st2[c][3]
+                todo.append((c, q, p[2], p[3], p[4], pv[2 * j], pv[2 * j + 1], p[7]))
     if good:
         # one shuffle for every bracket: rows are tagged with the brackets they
         # fall in, then grouped by (bracket, value)
         tags = []
-        for k, p, _ in good:
+        for k, (p, _) in enumerate(good):
             c, q, n, lo_idx, hi_idx, lo, hi, g = p
             x = _valid(c)
             tags.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
@@ -166,7 +207,7 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
         got: dict[int, list] = {}
         for row in parts.collect():
             got.setdefault(row["pair"], []).append((row["v"], row["cnt"]))
-        for k, p, below in good:
+        for k, (p, below) in enumerate(good):
             c, q, n, lo_idx, hi_idx, lo, hi, g = p
             a = b = None
             cum = below
@@ -180,7 +221,7 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
             values[(c, q)] = a if a == b else _lerp(a, b, g)
     if fallback:
         fb_spec: dict[str, list[float]] = {}
-        for _, p, _ in fallback:
+        for p in fallback:
             fb_spec.setdefault(p[0], []).append(p[1])
         res = _quantiles_from_table(df, fb_spec, table, n_buckets)
         for c, qs in fb_spec.items():
@@ -198,7 +239,7 @@ def _quantiles_from_table(df: DataFrame, spec: dict[str, Sequence[float]],
     table = table if table is not None else rank_table(df, cols, n_buckets)
     reqs = spark.createDataFrame(
         [(c, float(q)) for c in cols for q in spec[c]], "k string, q double")
-    pos = F.col("n") * F.col("q") - F.col("q")
+    pos = (F.col("n") - 1) * F.col("q")
     t = (table.join(F.broadcast(reqs), "k")
          .withColumn("lo", F.floor(pos))
          .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)))
@@ -217,7 +258,7 @@ def _quantiles_from_table(df: DataFrame, spec: dict[str, Sequence[float]],
             if r is None:
                 vals.append(None)
                 continue
-            virt = r["n"] * float(q) - float(q)
+            virt = _virtual_index(r["n"], float(q))
             gamma = virt - math.floor(virt)
             vals.append(_lerp(r["a"], r["b"], gamma) if r["a"] != r["b"] else r["a"])
         result[c] = vals
