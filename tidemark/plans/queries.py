@@ -156,6 +156,34 @@ def q_adaptive_quality(spark, sf):
     return round_doubles(quality_frame(FXT.adaptive_input(spark, sf)))
 
 
+def q_core_ml_scores(spark, sf):
+    """M1-M10 (core): random forest, then boosting; no SQL oracle (trees)."""
+    r = run_core(FXT.churn_input(spark, sf), model="auto")
+    return round_doubles(r.processed())
+
+
+def q_adaptive_ml_scores(spark, sf):
+    """M1-M10 (adaptive): best of RF/GBT/LR on robust-scaled features."""
+    r = run_adaptive(FXT.adaptive_input(spark, sf), model="auto")
+    return round_doubles(r.df.select("customer_id", "Churn", "Churn_Prob", "Segment", "Priority"))
+
+
+def q_adaptive_ridge_clv(spark, sf):
+    """exact ridge CLV (normal equations from one aggregate)."""
+    r = run_adaptive(FXT.adaptive_input(spark, sf), clv="ridge")
+    return round_doubles(r.df.select("customer_id", "Churn_Prob", "Predicted_CLV", "Future_CLV", "Segment"))
+
+
+def q_isolation_outliers(spark, sf):
+    """Isolation-forest flags on per-customer numeric features."""
+    from tidemark.operators.isolation import isolation_scores
+    h = FXT.customer_history(spark, sf).select(
+        "c_custkey", "c_acctbal", F.col("n_orders").cast("double").alias("n_orders"),
+        (F.col("cents") / 100).alias("spend"), F.col("tenure_m").cast("double").alias("tenure_m"))
+    s = isolation_scores(h, ["c_acctbal", "n_orders", "spend", "tenure_m"])
+    return round_doubles(s.select("c_custkey", "__iso_score").withColumnRenamed("__iso_score", "iso_score"))
+
+
 # ------------------------------------------------------------------- oracles
 
 def _core_select(cols: str, tail: str = "") -> str:
@@ -328,4 +356,8 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "adaptive_spend_dist": (_qcut("AvgMonthlySpend", "Spend Tier"), sql_qcut("AvgMonthlySpend", "Spend Tier")),
     "adaptive_tenure_dist": (q_adaptive_tenure_dist, SQL_ADAPTIVE_TENURE),
     "adaptive_kpis": (q_adaptive_kpis, SQL_ADAPTIVE_KPIS),
+    "core_ml_scores": (q_core_ml_scores, None),
+    "adaptive_ml_scores": (q_adaptive_ml_scores, None),
+    "adaptive_ridge_clv": (q_adaptive_ridge_clv, None),
+    "isolation_outliers": (q_isolation_outliers, None),
 }
