@@ -77,7 +77,10 @@ def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None
     otherwise.
     """
     out = list(out or [f"{c}_pct" for c in cols])
-    table = table if table is not None else rank_table(df, cols, n_buckets)
+    if table is None:
+        # every join below reads the table: compute its shuffles once
+        from tidemark.session import materialize
+        table = materialize(rank_table(df, cols, n_buckets))
     for c, o in zip(cols, out):
         key = f"__rk_{o}"
         sub = table.where(F.col("k") == c).select(F.col("v").alias(key), pct_rank_expr().alias(o))
@@ -118,6 +121,47 @@ def _brackets(df: DataFrame, cols, spec, eps_of) -> tuple[dict, list]:
     return {c: (r[f"n{i}"], r[f"mn{i}"], r[f"mx{i}"], r[f"p{i}"]) for i, c in enumerate(cols)}
 
 
+def _bracket_counts(df: DataFrame, pairs: list, with_below: bool) -> dict:
+    """One shuffle for all brackets: rows are tagged with the brackets they fall
+    in (and, optionally, a single ``below`` key per bracket, which map-side
+    partial aggregation collapses) and grouped by (bracket, value)."""
+    tags = []
+    for k, p in enumerate(pairs):
+        c, q, n, lo_idx, hi_idx, lo, hi, g = p
+        x = _valid(c)
+        tag = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
+                     F.struct(F.lit(k).alias("pair"), F.lit(False).alias("below"), x.alias("v")))
+        if with_below:
+            tag = tag.when(x < F.lit(lo), F.struct(F.lit(k).alias("pair"), F.lit(True).alias("below"),
+                                                    F.lit(None).cast("double").alias("v")))
+        tags.append(tag)
+    parts = (df.select(F.explode(F.filter(F.array(*tags), lambda e: e.isNotNull())).alias("e"))
+             .groupBy("e.pair", "e.below", "e.v").agg(F.count(F.lit(1)).alias("cnt")))
+    out: dict = {}
+    for row in parts.collect():
+        d = out.setdefault(row["pair"], {"below": 0, "values": []})
+        if row["below"]:
+            d["below"] += row["cnt"]
+        else:
+            d["values"].append((row["v"], row["cnt"]))
+    return out
+
+
+def _pick(inside: list, below: int, lo_idx: int, hi_idx: int, g: float) -> float | None:
+    a = b = None
+    cum = below
+    for v, cnt in sorted(inside):
+        if a is None and cum + cnt > lo_idx:
+            a = v
+        if cum + cnt > hi_idx:
+            b = v
+            break
+        cum += cnt
+    if a is None or b is None:
+        return None
+    return a if a == b else _lerp(a, b, g)
+
+
 def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
               table: DataFrame | None = None, n_buckets: int | None = None,
               accuracy: int = 100000, max_bracket: int = 200000) -> dict[str, list[float | None]]:
@@ -150,9 +194,8 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
                 values[(c, q)] = None
                 continue
             if q <= 0.0 or n == 1:
-                values[(c, q)] = float(mn) if q <= 0.0 or n == 1 else None
-                if q <= 0.0 or n == 1:
-                    continue
+                values[(c, q)] = float(mn)
+                continue
             if q >= 1.0:
                 values[(c, q)] = float(mx)
                 continue
@@ -161,6 +204,22 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
             hi_idx = min(lo_idx + 1, n - 1)
             todo.append((c, q, n, lo_idx, hi_idx, pv[2 * j], pv[2 * j + 1], virt - lo_idx))
     good, fallback = [], []
+    # percentile_approx (Greenwald-Khanna) has a deterministic rank error of
+    # at most eps * n: a bracket of +-2 eps holds at most ~6 eps n + 1 ranks.
+    small = [p for p in todo if 6 * base_eps * p[2] + 2 <= max_bracket]
+    if small:
+        got = _bracket_counts(df, small, with_below=True)
+        retry_small = []
+        for k, p in enumerate(small):
+            c, q, n, lo_idx, hi_idx, lo, hi, g = p
+            below = got.get(k, {}).get("below", 0)
+            inside = got.get(k, {}).get("values", [])
+            upto = below + sum(cnt for _, cnt in inside)
+            if below <= lo_idx and upto >= hi_idx + 1:
+                values[(c, q)] = _pick(inside, below, lo_idx, hi_idx, g)
+            else:
+                retry_small.append(p)
+        todo = [p for p in todo if p not in small] + retry_small
     for attempt in range(2):
         if not todo:
             break
@@ -194,31 +253,10 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
                 pv = st2[c][3]
                 todo.append((c, q, p[2], p[3], p[4], pv[2 * j], pv[2 * j + 1], p[7]))
     if good:
-        # one shuffle for every bracket: rows are tagged with the brackets they
-        # fall in, then grouped by (bracket, value)
-        tags = []
-        for k, (p, _) in enumerate(good):
-            c, q, n, lo_idx, hi_idx, lo, hi, g = p
-            x = _valid(c)
-            tags.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                               F.struct(F.lit(k).alias("pair"), x.alias("v"))))
-        parts = (df.select(F.explode(F.filter(F.array(*tags), lambda e: e.isNotNull())).alias("e"))
-                 .groupBy("e.pair", "e.v").agg(F.count(F.lit(1)).alias("cnt")))
-        got: dict[int, list] = {}
-        for row in parts.collect():
-            got.setdefault(row["pair"], []).append((row["v"], row["cnt"]))
+        got = _bracket_counts(df, [p for p, _ in good], with_below=False)
         for k, (p, below) in enumerate(good):
             c, q, n, lo_idx, hi_idx, lo, hi, g = p
-            a = b = None
-            cum = below
-            for v, cnt in sorted(got.get(k, [])):
-                if a is None and cum + cnt > lo_idx:
-                    a = v
-                if cum + cnt > hi_idx:
-                    b = v
-                    break
-                cum += cnt
-            values[(c, q)] = a if a == b else _lerp(a, b, g)
+            values[(c, q)] = _pick(got.get(k, {}).get("values", []), below, lo_idx, hi_idx, g)
     if fallback:
         fb_spec: dict[str, list[float]] = {}
         for p in fallback:

@@ -115,7 +115,9 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     ``rf`` or ``gbt``. ``strict=True`` turns off the re-parse trap of P10.
     """
     notes: list[str] = []
-    df = basic_clean(raw)
+    # read by the profile, the label-encoding plan and the pick stage
+    cleaned = materialize(basic_clean(raw), pin)
+    df = cleaned
     prof = profile(df)
     n = prof["n"]
     if n == 0:
@@ -179,6 +181,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
         base = FX.repair_total(base)
     base = materialize(base, pin)
     staged.unpersist()
+    cleaned.unpersist()
 
     # D6-D8 churn label
     synthetic = True
