@@ -202,7 +202,7 @@ SQL_CORE_PROCESSED = _core_select(_r(["customerID"] + C.PROCESSED_COLUMNS))
 
 SQL_SEGMENT_SUMMARY = O.core_final() + f"""
 , s AS (
-  SELECT Segment, count(Churn) AS Customers, sum(Churn) AS Churned, avg(Churn) AS Churn_Rate,
+  SELECT Segment, count(Churn) AS Customers, CAST(sum(Churn) AS BIGINT) AS Churned, avg(Churn) AS Churn_Rate,
          avg(Predicted_CLV) AS Avg_CLV, sum(Predicted_CLV) AS Total_CLV, avg(tenure) AS Avg_Tenure,
          avg(MonthlyCharges) AS Avg_Monthly, avg(Churn_Prob) AS Avg_Risk_Prob
   FROM final GROUP BY Segment)
@@ -334,6 +334,49 @@ SELECT count(*) AS total_customers, round_even((avg(Predicted_CLV)) * 1000000.0,
 FROM final"""
 
 
+def sql_quality() -> str:
+    """Q3-Q8 on the adaptive fixture. Names are fixed by the fixture, so the
+    name-driven parts (domain, relevance) are evaluated here; every
+    value-driven part is computed by the SQL."""
+    from tidemark.operators.quality import domain_of
+    cols = ["customer_id", "account_length", "mrr", "total_spend", "customer_status", "plan", "balance"]
+    domain, hits = domain_of(cols)
+    dom_pen = 0 if hits >= 3 else (15 if hits >= 1 else 20)
+    dom_issue = 0 if hits >= 3 else 1
+    domain = domain if hits >= 1 else "unknown"
+    text = " ".join(cols)
+    rel_pen = 0 if any(k in text for k in C.RELEVANCE_VALUE) else 10
+    rel_issues = sum(not any(k in text for k in kws) for kws in
+                     (C.RELEVANCE_ID, C.RELEVANCE_VALUE, C.RELEVANCE_TIME, C.RELEVANCE_CHURN))
+    nulls = " + ".join(f"count(*) - count({c})" for c in cols)
+    pot = " + ".join(
+        f"CASE WHEN count(TRY_CAST(regexp_replace({c}, '[$,€£%]', '', 'g') AS DOUBLE)) > count(*) * 0.3 THEN 1 ELSE 0 END"
+        for c in cols)
+    empty = " + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in cols)
+    return "WITH" + O.adaptive_input_cte() + f""",
+a AS (SELECT count(*) AS n, ({nulls}) AS nulls, ({pot}) AS pot, ({empty}) AS empty_cols FROM adaptive_input),
+d AS (SELECT count(*) AS nd FROM (SELECT DISTINCT * FROM adaptive_input)),
+m AS (SELECT n, pot, empty_cols, nulls / (n * {len(cols)}.0) * 100 AS missing_pct,
+             (n - nd) / n * 100.0 AS dup_pct FROM a, d),
+s AS (
+  SELECT *,
+    (CASE WHEN pot = 0 THEN 30 ELSE 0 END) + {dom_pen}
+    + (CASE WHEN missing_pct > 50 THEN 40 WHEN missing_pct > 20 THEN 20 WHEN missing_pct > 5 THEN 5 ELSE 0 END)
+    + (CASE WHEN dup_pct > 30 THEN 15 WHEN dup_pct > 10 THEN 5 ELSE 0 END)
+    + (CASE WHEN empty_cols > 0 THEN 10 ELSE 0 END) + {rel_pen} AS pen,
+    (CASE WHEN pot = 0 THEN 1 ELSE 0 END) + {dom_issue} + (CASE WHEN missing_pct > 5 THEN 1 ELSE 0 END)
+    + (CASE WHEN dup_pct > 10 THEN 1 ELSE 0 END) + (CASE WHEN empty_cols > 0 THEN 1 ELSE 0 END)
+    + {rel_issues} AS iss
+  FROM m)
+SELECT CAST(n AS BIGINT) AS n_rows, {len(cols)} AS n_cols,
+       {O.np_round_sql("missing_pct", 6)} AS missing_pct, {O.np_round_sql("dup_pct", 6)} AS dup_pct,
+       CAST(pot AS INTEGER) AS potentially_numeric,
+       CAST(greatest(0, least(100, 100 - pen)) AS INTEGER) AS quality_score, '{domain}' AS domain,
+       (greatest(0, least(100, 100 - pen)) >= 30 AND n >= {C.ADAPTIVE_MIN_ROWS}) AS is_valid,
+       CAST(iss + CASE WHEN greatest(0, least(100, 100 - pen)) < 30 THEN 1 ELSE 0 END AS INTEGER) AS n_issues
+FROM s"""
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "churn_input": (q_churn_input, "WITH" + O.churn_input_cte() + "\nSELECT * FROM churn_input"),
     "core_processed": (q_core_processed, SQL_CORE_PROCESSED),
@@ -356,6 +399,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "adaptive_spend_dist": (_qcut("AvgMonthlySpend", "Spend Tier"), sql_qcut("AvgMonthlySpend", "Spend Tier")),
     "adaptive_tenure_dist": (q_adaptive_tenure_dist, SQL_ADAPTIVE_TENURE),
     "adaptive_kpis": (q_adaptive_kpis, SQL_ADAPTIVE_KPIS),
+    "adaptive_quality": (q_adaptive_quality, sql_quality()),
     "core_ml_scores": (q_core_ml_scores, None),
     "adaptive_ml_scores": (q_adaptive_ml_scores, None),
     "adaptive_ridge_clv": (q_adaptive_ridge_clv, None),
