@@ -5,8 +5,8 @@ task. Here the work is split instead:
 
 1. ``groupBy(column, value).count()`` -- a hash shuffle with map-side
    partial aggregation, so a value held by a third of all rows is one row.
-2. Approximate quantiles of the *distinct* values give range buckets of even
-   size (the skew was removed in step 1).
+2. Approximate quantiles (one sketch pass) give range buckets; a value held
+   by many rows is still one row per bucket after step 1.
 3. Per-bucket totals (``columns x buckets`` rows, bounded by the bucket count)
    give each bucket's offset through a tiny window per column.
 4. A window partitioned by ``(column, bucket)`` gives the running count
@@ -40,15 +40,35 @@ def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def rank_table(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
-    """Distinct values of each column with their exact cumulative counts."""
+    """Distinct values of each column with their exact cumulative counts.
+
+    Bucket bounds come from one sketch pass over the input (mergeable
+    ``percentile_approx`` partials; ``columns x buckets`` doubles reach the
+    driver) and are applied with ``Bucketizer`` (a JVM binary search), so the
+    value-count shuffle below is computed once and reused by both branches.
+    """
+    from pyspark.ml.feature import Bucketizer
+
     buckets = n_buckets or default_buckets(df.sparkSession)
-    vc = _stack(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = vc.groupBy("k").agg(F.percentile_approx("v", probs, 10000).alias("b"))
-    # bounds: one row per column, `buckets` doubles each -> bounded broadcast
-    vb = vc.join(F.broadcast(bounds), "k").select(
-        "k", "v", "cnt", F.expr("size(filter(b, x -> x < v))").alias("bucket"))
+    sk = df.agg(*[F.percentile_approx(_valid(c), probs, 10000).alias(f"b{i}")
+                  for i, c in enumerate(cols)]).first()
+    from tidemark.session import materialize
+    # read by both branches below: one scan and one shuffle of the input
+    vc = materialize(_stack(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    parts = None
+    for i, c in enumerate(cols):
+        edges = sorted({float(x) for x in (sk[f"b{i}"] or [])})
+        sub = vc.where(F.col("k") == c)
+        if edges:
+            splits = [float("-inf")] + edges + [float("inf")]
+            sub = Bucketizer(splits=splits, inputCol="v", outputCol="bucket").transform(sub)
+        else:
+            sub = sub.withColumn("bucket", F.lit(0.0))
+        parts = sub if parts is None else parts.unionByName(sub)
+    vb = parts.withColumn("bucket", F.col("bucket").cast("int"))
     totals = vb.groupBy("k", "bucket").agg(F.sum("cnt").alias("bcnt"))
+    # columns x buckets rows: a tiny window per column
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "k", "bucket",
