@@ -202,3 +202,43 @@ ISOLATION_CONTAMINATION = 0.05
 ISOLATION_MIN_ROWS = 50
 ADAPTIVE_RF = {"numTrees": 100, "maxDepth": 6}
 ADAPTIVE_GBT = {"maxIter": 80, "maxDepth": 4}
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES -- adaptive lineage, release 2.0
+# ---------------------------------------------------------------------------
+
+V2_NULL_TOKENS = ["", " ", "NA", "N/A", "null", "NULL", "None", "nan", "NaN", "-"]
+V2_COLUMN_MAPPINGS = {
+    "tenure": "tenure", "tenure_months": "tenure", "customer_tenure": "tenure",
+    "months": "tenure", "duration": "tenure", "time_as_customer": "tenure",
+    "account_length": "tenure", "customer_age": "tenure", "loyalty_months": "tenure",
+    "monthlycharges": "MonthlyCharges", "monthly_charges": "MonthlyCharges",
+    "monthly_charge": "MonthlyCharges", "monthly_fee": "MonthlyCharges",
+    "monthly_payment": "MonthlyCharges", "monthly_amount": "MonthlyCharges",
+    "monthly_spend": "MonthlyCharges", "monthly_bill": "MonthlyCharges",
+    "monthly_cost": "MonthlyCharges", "recurring_charge": "MonthlyCharges",
+    "totalcharges": "TotalCharges", "total_charges": "TotalCharges",
+    "total_charge": "TotalCharges", "total_payment": "TotalCharges",
+    "lifetime_value": "TotalCharges", "total_spend": "TotalCharges",
+    "total_amount": "TotalCharges", "cumulative_charges": "TotalCharges",
+    "total_revenue": "TotalCharges", "customer_value": "TotalCharges",
+    "churn": "Churn", "churned": "Churn", "is_churn": "Churn",
+    "has_churned": "Churn", "customer_churn": "Churn", "attrition": "Churn",
+    "left": "Churn", "exited": "Churn", "cancelled": "Churn",
+    "terminated": "Churn", "inactive": "Churn", "lost": "Churn",
+    "status": "Churn", "customer_status": "Churn", "active": "Churn",
+}
+V2_CHURN_KEYWORDS = ["churn", "left", "exit", "attrition", "cancel", "status", "active"]
+V2_BINARY_POSITIVE = ["yes", "y", "true", "1", "churned", "left", "exited", "cancelled", "inactive",
+                      "lost"]
+V2_TENURE_KEYWORDS = ["month", "tenure", "time", "period", "duration", "age", "length", "days",
+                      "weeks", "years"]
+V2_MONTHLY_KEYWORDS = ["monthly", "charge", "fee", "payment", "price", "amount", "bill", "cost",
+                       "rate"]
+V2_MONTHLY_EXCLUDE = ["total", "cumulative", "lifetime", "sum"]
+V2_TOTAL_KEYWORDS = ["total", "lifetime", "cumulative", "sum", "overall", "aggregate"]
+V2_TENURE_GROUPS = ([0, 12, 24, 48, 72], ["0-1yr", "1-2yr", "2-4yr", "4-6yr", "6+yr"])
+V2_DEFAULT_TOTAL = 600.0
+V2_EXPORT_DROP_COLUMNS = ["ExpectedTotal", "ChargeRatio"]
+V2_RF = {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 1}
+V2_GBT = {"maxIter": 80, "maxDepth": 4}

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,22 +165,55 @@ def linear_fit(df: DataFrame, xs: list[str], y: str, alpha: float = 0.0) -> tupl
     return float(intercept), beta
 
 
-def ridge_clv(df: DataFrame) -> DataFrame:
+def ridge_clv(df: DataFrame, future: bool = True, fill: bool = True) -> DataFrame:
     """ridge (alpha 1) of total on tenure, monthly, average spend; clipped
-    at 0, times retention (1 - prob / 2); Future_CLV = monthly x 24 x retention."""
+    at 0, times retention (1 - prob / 2); Future_CLV = monthly x 24 x retention
+    (release 3.0; release 2.0 neither fills medians nor adds Future_CLV)."""
     from tidemark.operators.rank import quantiles
     xs = ["tenure", "MonthlyCharges", "AvgMonthlySpend"]
-    meds = quantiles(df, {c: [0.5] for c in xs})
-    filled = df.withColumns({f"__x{i}": F.coalesce(F.col(c), F.lit(meds[c][0])) for i, c in enumerate(xs)})
+    meds = quantiles(df, {c: [0.5] for c in xs}) if fill else {c: [None] for c in xs}
+    filled = df.withColumns({f"__x{i}": F.coalesce(F.col(c), F.lit(meds[c][0])) if fill else F.col(c)
+                             for i, c in enumerate(xs)})
     xcols = [f"__x{i}" for i in range(len(xs))]
     b0, beta = linear_fit(filled, xcols, "TotalCharges", alpha=1.0)
     pred = F.lit(b0)
     for c, b in zip(xcols, beta):
         pred = pred + F.col(c) * F.lit(float(b))
     retention = F.lit(1.0) - F.col("Churn_Prob") * 0.5
-    return (filled.withColumn("Predicted_CLV", FX.clip(pred, 0) * retention)
-            .withColumn("Future_CLV", F.col("MonthlyCharges") * C.FUTURE_MONTHS * retention)
-            .drop(*xcols))
+    out = filled.withColumn("Predicted_CLV", FX.clip(pred, 0) * retention)
+    if future:
+        out = out.withColumn("Future_CLV", F.col("MonthlyCharges") * C.FUTURE_MONTHS * retention)
+    return out.drop(*xcols)
+
+
+def v2_model(df: DataFrame, feats: list[str], stats):
+    """Release 2.0 M4/M5/M7/M8: standard scaling, RF(100, depth 8) and
+    GBT(80, depth 4) without class weights, best test accuracy wins."""
+    n, s = stats["n"], stats["s"] or 0
+    test_share = min(0.25, max(0.1, 10 / n))
+    data = df.withColumn(LABEL, F.col(LABEL).cast("double"))
+    strat = s >= 2 and (n - s) >= 2
+    train, test = hash_split(data, test_share,
+                             key_cols=None if strat else [c for c in df.columns if c != LABEL])
+    assembler = VectorAssembler(inputCols=feats, outputCol="raw", handleInvalid="keep")
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+    best = None
+    for name, clf in (("RF", RandomForestClassifier(labelCol=LABEL, seed=C.SEED, **C.V2_RF)),
+                      ("GB", GBTClassifier(labelCol=LABEL, seed=C.SEED, **C.V2_GBT))):
+        try:
+            fitted = Pipeline(stages=[assembler, scaler, clf]).fit(train)
+            acc, _ = _metrics(fitted.transform(test))
+            if best is None or acc > best[0]:
+                best = (acc, fitted)
+        except Exception:  # noqa: BLE001
+            continue
+    if best is None:
+        return None
+    acc, fitted = best
+    scored = (fitted.transform(data).withColumn("Churn_Prob", _prob())
+              .drop("raw", "features", "rawPrediction", "probability", "prediction")
+              .withColumn(LABEL, F.col(LABEL).cast("int")))
+    return scored, f"ML model trained (accuracy: {acc:.1%})", acc
 
 
 def v1_clv(df: DataFrame) -> DataFrame:

@@ -288,3 +288,64 @@ final AS (
                  WHEN Segment = '{seg[1]}' THEN '{rec['hl']}'
                  WHEN Segment = '{seg[2]}' THEN '{rec['lh']}' ELSE '{rec['ll']}' END AS Recommendation
   FROM sg)"""
+
+
+def v2_num_sql(x: str) -> str:
+    t = f"regexp_replace(CAST({x} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+    t = f"(CASE WHEN {t} IN ({_list(C.V2_NULL_TOKENS)}) THEN NULL ELSE {t} END)"
+    return f"TRY_CAST(regexp_replace({t}, '[$,%]', '', 'g') AS DOUBLE)"
+
+
+def v2_final() -> str:
+    """Release 2.0 of the adaptive lineage on the adaptive fixture (heuristic
+    scorer, heuristic value)."""
+    edges, labels = C.V2_TENURE_GROUPS
+    tg = [f"WHEN tenure >= {edges[0]} AND tenure <= {edges[1]} THEN '{labels[0]}'"]
+    for i in range(1, len(edges) - 1):
+        tg.append(f"WHEN tenure > {edges[i]} AND tenure <= {edges[i + 1]} THEN '{labels[i]}'")
+    tg.append(f"WHEN tenure > {edges[-1]} THEN '{labels[-1]}'")
+    seg = C.SEGMENTS_ADAPTIVE
+    return "WITH" + adaptive_input_cte() + f""",
+typed AS (
+  SELECT customer_id, {v2_num_sql('account_length')} AS tenure, {v2_num_sql('mrr')} AS mrr,
+         {v2_num_sql('total_spend')} AS TotalCharges, customer_status AS Churn, plan,
+         {v2_num_sql('balance')} AS balance
+  FROM adaptive_input),
+pickm AS (SELECT quantile_cont(mrr, 0.5) AS m_mrr, quantile_cont(TotalCharges, 0.5) AS m_tot,
+                 quantile_cont(balance, 0.5) AS m_bal FROM typed),
+inf AS (
+  SELECT typed.*, CASE WHEN m_mrr BETWEEN 10 AND 500 THEN mrr WHEN m_tot BETWEEN 10 AND 500 THEN TotalCharges
+                       WHEN m_bal BETWEEN 10 AND 500 THEN balance ELSE 50.0 END AS MonthlyCharges
+  FROM typed, pickm),
+meds AS (SELECT quantile_cont(tenure, 0.5) AS m1, quantile_cont(MonthlyCharges, 0.5) AS m2,
+                quantile_cont(TotalCharges, 0.5) AS m3 FROM inf),
+cl AS (
+  SELECT DISTINCT customer_id, mrr, plan, balance,
+         CAST(CAST(coalesce(TRY_CAST(Churn AS DOUBLE), 0) AS INTEGER) > 0 AS INTEGER) AS Churn,
+         CASE WHEN abs(coalesce(tenure, coalesce(m1, 1.0))) = 0 THEN 1.0
+              ELSE abs(coalesce(tenure, coalesce(m1, 1.0))) END AS tenure,
+         abs(coalesce(MonthlyCharges, coalesce(m2, 50.0))) AS MonthlyCharges,
+         abs(coalesce(TotalCharges, coalesce(m3, 50.0))) AS TotalCharges
+  FROM inf, meds),
+fs AS (SELECT avg(MonthlyCharges) AS mm, max(TotalCharges) AS mx, max(tenure) AS mt FROM cl),
+f AS (
+  SELECT cl.*, greatest(TotalCharges / (tenure + 1), 0) AS AvgMonthlySpend,
+         CASE {" ".join(tg)} END AS TenureGroup,
+         CASE WHEN mm > 0 THEN MonthlyCharges / mm ELSE 1.0 END AS ChargeRatio,
+         MonthlyCharges * tenure AS ExpectedTotal,
+         TotalCharges - MonthlyCharges * tenure AS SpendingVariance,
+         CASE WHEN mx > 0 THEN TotalCharges / mx * 100 ELSE 50.0 END AS ValueScore, mt
+  FROM cl, fs),
+h AS (
+  SELECT * EXCLUDE (mt),
+         least(greatest((1.0 - least(greatest(tenure / mt, 0), 1)) * 0.6
+                        + (least(greatest(ChargeRatio - 1, -1), 1) * 0.2 + 0.5) * 0.4, 0.05), 0.95) AS Churn_Prob
+  FROM f),
+v AS (SELECT *, MonthlyCharges * 24 AS Predicted_CLV FROM h),
+th AS (SELECT quantile_cont(Churn_Prob, 0.7) AS pc, quantile_cont(Predicted_CLV, 0.5) AS vc FROM v),
+final AS (
+  SELECT v.*,
+         CASE WHEN Churn_Prob > pc AND Predicted_CLV > vc THEN '{seg[0]}' WHEN Churn_Prob > pc THEN '{seg[1]}'
+              WHEN Predicted_CLV > vc THEN '{seg[2]}' ELSE '{seg[3]}' END AS Segment,
+         {pct_rank_sql('(Churn_Prob * Predicted_CLV)')} * 100 AS Priority
+  FROM v, th)"""

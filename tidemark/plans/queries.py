@@ -18,7 +18,7 @@ from tidemark import config as C
 from tidemark.functions.numeric import adaptive_num, clean_num
 from tidemark.operators import aggregates as A
 from tidemark.operators.features import np_round
-from tidemark.operators.rank import with_pct_ranks
+from tidemark.operators.rank import quantiles, with_pct_ranks
 from tidemark.plans import oracle as O
 from tidemark.plans.adaptive import run_adaptive
 from tidemark.plans.core import run_core
@@ -156,6 +156,53 @@ def q_adaptive_quality(spark, sf):
     return round_doubles(quality_frame(FXT.adaptive_input(spark, sf)))
 
 
+_v2_cache: dict = {}
+
+
+def v2_result(spark, sf):
+    from tidemark.plans.adaptive_v2 import run_adaptive_v2
+    key = (id(spark), sf)
+    if key not in _v2_cache:
+        _v2_cache[key] = run_adaptive_v2(FXT.adaptive_input(spark, sf))
+    return _v2_cache[key]
+
+
+V2_COLUMNS = ["customer_id", "tenure", "MonthlyCharges", "TotalCharges", "Churn", "AvgMonthlySpend",
+              "TenureGroup", "ChargeRatio", "SpendingVariance", "ValueScore", "Churn_Prob",
+              "Predicted_CLV", "Segment", "Priority"]
+
+
+def q_v2_processed(spark, sf):
+    return round_doubles(v2_result(spark, sf).df.select(*V2_COLUMNS))
+
+
+def q_v2_churn_dist(spark, sf):
+    """A8 (2.0): fixed bins without the lowest edge."""
+    return A.fixed_bins(v2_result(spark, sf).df, "Churn_Prob", C.PROB_BINS, C.PROB_BIN_LABELS,
+                        "Risk Level", include_lowest=False)
+
+
+def q_v2_clv_dist(spark, sf):
+    """A9 (2.0): duplicate quintile edges collapse the table to one ``All`` row."""
+    return A.qcut_counts(v2_result(spark, sf).df, "Predicted_CLV", "CLV Tier", on_duplicate="all")
+
+
+def q_v2_spend_dist(spark, sf):
+    return A.qcut_counts(v2_result(spark, sf).df, "AvgMonthlySpend", "Spend Tier", on_duplicate="all")
+
+
+def q_v2_kpis(spark, sf):
+    df = v2_result(spark, sf).df
+    med = quantiles(df, {"Predicted_CLV": [0.5]})["Predicted_CLV"][0]
+    out = df.agg(F.count(F.lit(1)).alias("total_customers"), F.avg("Predicted_CLV").alias("avg_clv"),
+                 F.lit(med).cast("double").alias("median_clv"), F.sum("Predicted_CLV").alias("total_clv"),
+                 F.avg("Churn").alias("churn_rate"), F.avg("tenure").alias("avg_tenure"),
+                 F.avg("MonthlyCharges").alias("avg_monthly"),
+                 F.count_if(F.col("Churn_Prob") > C.ADAPTIVE_HIGH_RISK).alias("high_risk"),
+                 F.count_if(F.col("Predicted_CLV") > F.lit(med)).alias("high_value"))
+    return round_doubles(out, money=("total_clv",))
+
+
 def q_core_ml_scores(spark, sf):
     """M1-M10 (core): random forest, then boosting; no SQL oracle (trees)."""
     r = run_core(FXT.churn_input(spark, sf), model="auto")
@@ -377,6 +424,44 @@ SELECT CAST(n AS BIGINT) AS n_rows, {len(cols)} AS n_cols,
 FROM s"""
 
 
+SQL_V2 = O.v2_final() + "\nSELECT " + ", ".join(
+    O.r6(c) if c in ("tenure", "MonthlyCharges", "TotalCharges", "AvgMonthlySpend", "ChargeRatio",
+                     "SpendingVariance", "ValueScore", "Churn_Prob", "Predicted_CLV", "Priority") else c
+    for c in V2_COLUMNS) + " FROM final"
+
+SQL_V2_CHURN_DIST = O.v2_final() + f"""
+, labs AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{lab}')" for i, lab in enumerate(C.PROB_BIN_LABELS))}) t(bin, lab)),
+b AS (SELECT CASE {" ".join(f"WHEN Churn_Prob > {C.PROB_BINS[i]} AND Churn_Prob <= {C.PROB_BINS[i + 1]} THEN {i + 1}" for i in range(5))} END AS bin FROM final)
+SELECT lab AS "Risk Level", count(b.bin) AS Count FROM labs LEFT JOIN b ON labs.bin = b.bin GROUP BY labs.bin, lab"""
+
+
+def sql_v2_qcut(col: str, name: str) -> str:
+    labs = C.QUINTILE_LABELS
+    qs = ", ".join(f"quantile_cont({col}, {i / 5}) AS e{i}" for i in range(6))
+    case = " ".join(
+        f"WHEN {col} {'>=' if i == 0 else '>'} e{i} AND {col} <= e{i + 1} THEN {i + 1}" for i in range(5))
+    ok = "e0 < e1 AND e1 < e2 AND e2 < e3 AND e3 < e4 AND e4 < e5"
+    return O.v2_final() + f"""
+, e AS (SELECT {qs} FROM final),
+labs AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{lab}')" for i, lab in enumerate(labs))}) t(bin, lab)),
+b AS (SELECT CASE {case} END AS bin FROM final, e WHERE {ok}),
+binned AS (SELECT lab AS "{name}", count(b.bin) AS Count FROM labs LEFT JOIN b ON labs.bin = b.bin, e
+           WHERE {ok} GROUP BY labs.bin, lab),
+collapsed AS (SELECT 'All' AS "{name}", count({col}) AS Count FROM final, e WHERE NOT ({ok}) GROUP BY ALL HAVING count(*) > 0)
+SELECT * FROM binned UNION ALL SELECT * FROM collapsed"""
+
+
+SQL_V2_KPIS = O.v2_final() + f"""
+, m AS (SELECT quantile_cont(Predicted_CLV, 0.5) AS med FROM final)
+SELECT count(*) AS total_customers, {O.np_round_sql("avg(Predicted_CLV)", 6)} AS avg_clv,
+       {O.np_round_sql("any_value(med)", 6)} AS median_clv, {O.np_round_sql("sum(Predicted_CLV)", 2)} AS total_clv,
+       {O.np_round_sql("avg(Churn)", 6)} AS churn_rate, {O.np_round_sql("avg(tenure)", 6)} AS avg_tenure,
+       {O.np_round_sql("avg(MonthlyCharges)", 6)} AS avg_monthly,
+       count(*) FILTER (WHERE Churn_Prob > 0.7) AS high_risk,
+       count(*) FILTER (WHERE Predicted_CLV > med) AS high_value
+FROM final, m"""
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "churn_input": (q_churn_input, "WITH" + O.churn_input_cte() + "\nSELECT * FROM churn_input"),
     "core_processed": (q_core_processed, SQL_CORE_PROCESSED),
@@ -400,6 +485,11 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "adaptive_tenure_dist": (q_adaptive_tenure_dist, SQL_ADAPTIVE_TENURE),
     "adaptive_kpis": (q_adaptive_kpis, SQL_ADAPTIVE_KPIS),
     "adaptive_quality": (q_adaptive_quality, sql_quality()),
+    "v2_processed": (q_v2_processed, SQL_V2),
+    "v2_churn_dist": (q_v2_churn_dist, SQL_V2_CHURN_DIST),
+    "v2_clv_dist": (q_v2_clv_dist, sql_v2_qcut("Predicted_CLV", "CLV Tier")),
+    "v2_spend_dist": (q_v2_spend_dist, sql_v2_qcut("AvgMonthlySpend", "Spend Tier")),
+    "v2_kpis": (q_v2_kpis, SQL_V2_KPIS),
     "core_ml_scores": (q_core_ml_scores, None),
     "adaptive_ml_scores": (q_adaptive_ml_scores, None),
     "adaptive_ridge_clv": (q_adaptive_ridge_clv, None),
