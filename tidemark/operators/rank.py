@@ -126,7 +126,7 @@ def _valid(c: str) -> F.Column:
     return F.when(x.isNotNull() & ~F.isnan(x), x)
 
 
-def _brackets(df: DataFrame, cols, spec, eps_of) -> tuple[dict, list]:
+def _brackets(df: DataFrame, cols, spec, eps_of, accuracy: int = 10000) -> tuple[dict, list]:
     """Job 1: counts, extremes and sketch values around every wanted q."""
     aggs = []
     for i, c in enumerate(cols):
@@ -136,7 +136,7 @@ def _brackets(df: DataFrame, cols, spec, eps_of) -> tuple[dict, list]:
             probs += [max(0.0, float(q) - e), min(1.0, float(q) + e)]
         aggs += [F.count(_valid(c)).alias(f"n{i}"), F.min(_valid(c)).alias(f"mn{i}"),
                  F.max(_valid(c)).alias(f"mx{i}"),
-                 F.percentile_approx(_valid(c), probs, 100000).alias(f"p{i}")]
+                 F.percentile_approx(_valid(c), probs, accuracy).alias(f"p{i}")]
     r = df.agg(*aggs).first()
     return {c: (r[f"n{i}"], r[f"mn{i}"], r[f"mx{i}"], r[f"p{i}"]) for i, c in enumerate(cols)}
 
@@ -167,6 +167,33 @@ def _bracket_counts(df: DataFrame, pairs: list, with_below: bool) -> dict:
     return out
 
 
+def _bracket_agg(df: DataFrame, pairs: list) -> dict:
+    """One global aggregate (no shuffle) for brackets whose size is bounded:
+    rows below, rows equal to each end (duplicates of the ends are counted,
+    never listed) and the list of values strictly inside, which the sketch's
+    rank error bounds by about 6 eps n."""
+    aggs = []
+    for k, p in enumerate(pairs):
+        c, q, n, lo_idx, hi_idx, lo, hi, g = p
+        x = _valid(c)
+        aggs += [F.count_if(x < F.lit(lo)).alias(f"b{k}"), F.count_if(x == F.lit(lo)).alias(f"l{k}"),
+                 F.count_if(x == F.lit(hi)).alias(f"h{k}"),
+                 F.collect_list(F.when((x > F.lit(lo)) & (x < F.lit(hi)), x)).alias(f"v{k}")]
+    r = df.agg(*aggs).first()
+    out = {}
+    for k, p in enumerate(pairs):
+        lo, hi = p[5], p[6]
+        counts: dict[float, int] = {}
+        for v in r[f"v{k}"]:
+            counts[v] = counts.get(v, 0) + 1
+        if r[f"l{k}"]:
+            counts[lo] = r[f"l{k}"]
+        if r[f"h{k}"] and hi != lo:
+            counts[hi] = r[f"h{k}"]
+        out[k] = {"below": r[f"b{k}"], "values": list(counts.items())}
+    return out
+
+
 def _pick(inside: list, below: int, lo_idx: int, hi_idx: int, g: float) -> float | None:
     a = b = None
     cum = below
@@ -184,7 +211,7 @@ def _pick(inside: list, below: int, lo_idx: int, hi_idx: int, g: float) -> float
 
 def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
               table: DataFrame | None = None, n_buckets: int | None = None,
-              accuracy: int = 100000, max_bracket: int = 200000) -> dict[str, list[float | None]]:
+              accuracy: int = 10000, max_bracket: int = 200000) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (numpy/pandas ``quantile``).
 
     Small jobs, none of which moves a whole column to one place:
@@ -204,7 +231,7 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
     cols = list(spec)
     values: dict[tuple, float | None] = {}
     base_eps = 2.0 / accuracy
-    stats = _brackets(df, cols, spec, lambda c: base_eps)
+    stats = _brackets(df, cols, spec, lambda c: base_eps, accuracy)
     todo = []  # (col, q, n, lo_idx, hi_idx, lo, hi, gamma)
     for c in cols:
         n, mn, mx, pv = stats[c]
@@ -228,7 +255,7 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
     # at most eps * n: a bracket of +-2 eps holds at most ~6 eps n + 1 ranks.
     small = [p for p in todo if 6 * base_eps * p[2] + 2 <= max_bracket]
     if small:
-        got = _bracket_counts(df, small, with_below=True)
+        got = _bracket_agg(df, small)
         retry_small = []
         for k, p in enumerate(small):
             c, q, n, lo_idx, hi_idx, lo, hi, g = p
@@ -266,7 +293,7 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
             rspec: dict[str, list[float]] = {}
             for p in retry:
                 rspec.setdefault(p[0], []).append(p[1])
-            st2 = _brackets(df, list(rspec), rspec, lambda c: wide[c])
+            st2 = _brackets(df, list(rspec), rspec, lambda c: wide[c], accuracy)
             for p in retry:
                 c, q = p[0], p[1]
                 j = rspec[c].index(q)
