@@ -43,6 +43,7 @@ def main() -> None:
         fn = Q.REGISTRY[name][0]
         Q._core_cache.clear()
         Q._adaptive_cache.clear()
+        Q._v2_cache.clear()
         spark.catalog.clearCache()
         t0 = time.time()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()

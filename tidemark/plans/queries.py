@@ -38,10 +38,15 @@ def round_doubles(df: DataFrame, digits: int = 6, money: tuple = ()) -> DataFram
 _core_cache: dict = {}
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    # a new SparkContext (even at a reused object address) never hits an old entry
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def core_result(spark: SparkSession, sf_dir: str, labelled: bool = True):
     """The core pipeline on the churn fixture (heuristic scorer), shared by the
     report queries of one session."""
-    key = (id(spark), sf_dir, labelled)
+    key = (_session_key(spark), sf_dir, labelled)
     if key not in _core_cache:
         raw = (FXT.churn_input if labelled else FXT.churn_unlabelled)(spark, sf_dir)
         _core_cache[key] = run_core(raw, model="heuristic")
@@ -52,7 +57,7 @@ _adaptive_cache: dict = {}
 
 
 def adaptive_result(spark: SparkSession, sf_dir: str):
-    key = (id(spark), sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _adaptive_cache:
         _adaptive_cache[key] = run_adaptive(FXT.adaptive_input(spark, sf_dir))
     return _adaptive_cache[key]
@@ -161,7 +166,7 @@ _v2_cache: dict = {}
 
 def v2_result(spark, sf):
     from tidemark.plans.adaptive_v2 import run_adaptive_v2
-    key = (id(spark), sf)
+    key = (_session_key(spark), sf)
     if key not in _v2_cache:
         _v2_cache[key] = run_adaptive_v2(FXT.adaptive_input(spark, sf))
     return _v2_cache[key]
