@@ -89,3 +89,16 @@ def test_synthetic_labels_share(spark):
     res = run_core(churn_input(spark, SF_SMALL).drop("Churn"))
     share = res.df.agg(F.avg("Churn")).first()[0]
     assert res.synthetic and 0.3 <= share <= 0.4
+
+
+def test_v1_lineage_formulas(spark):
+    pdf = churn_input(spark, SF_SMALL).toPandas()
+    res = run_core(spark.createDataFrame(pdf), lineage="v1")
+    got = res.processed().toPandas()
+    t, m = got["tenure"], got["MonthlyCharges"]
+    assert np.allclose(got["ValueScore"], (m * np.log1p(t)).clip(lower=0))
+    assert np.allclose(got["LoyaltyScore"], (t / (m + 1)).clip(lower=0))
+    # total is its own predictor in the OLS value model: the fit is exact
+    assert np.allclose(got["Predicted_CLV"], got["TotalCharges"].clip(lower=0), rtol=1e-6)
+    nolabel = run_core(spark.createDataFrame(pdf.drop(columns=["Churn"])), lineage="v1")
+    assert nolabel.churn_source == "Synthetic (tenure below median)"

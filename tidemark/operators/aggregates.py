@@ -35,8 +35,11 @@ def segment_summary(df: DataFrame) -> DataFrame:
               .orderBy(F.desc("Churn_Rate"), "Segment")
 
 
-def core_kpis(df: DataFrame) -> DataFrame:
-    """A3 + A4: the core key figures as one row (one aggregate pass)."""
+def core_kpis(df: DataFrame, lineage: str = "main") -> DataFrame:
+    """A3 + A4: the core key figures as one row (one aggregate pass).
+
+    Revenue at risk is monthly x 12 of high-risk customers; the first release
+    summed their CLV, the second and third their total charges."""
     p = F.col("Churn_Prob")
     hr = p >= C.HIGH_RISK
     raw = df.agg(
@@ -49,7 +52,9 @@ def core_kpis(df: DataFrame) -> DataFrame:
         F.count_if((p >= C.MEDIUM_RISK) & (p < C.HIGH_RISK)).alias("med_risk_n"),
         F.count_if(p < C.MEDIUM_RISK).alias("low_risk_n"),
         F.sum("Predicted_CLV").alias("clv_sum"),
-        F.sum(F.when(hr, F.col("MonthlyCharges") * 12)).alias("rev_risk"),
+        F.sum(F.when(hr, F.col("Predicted_CLV") if lineage == "v1" else
+                     F.col("TotalCharges") if lineage in ("v2", "v3") else
+                     F.col("MonthlyCharges") * 12)).alias("rev_risk"),
         F.sum(F.when(hr, F.col("TotalCharges"))).alias("tc_risk"),
     )
     total = F.greatest(F.col("n"), F.lit(1))

@@ -46,6 +46,7 @@ class CoreResult:
     notes: list = field(default_factory=list)
     raw: DataFrame | None = None
     clv_median: float | None = None
+    lineage: str = "main"
 
     def processed(self) -> DataFrame:
         """K1: id + the twelve processed columns."""
@@ -206,6 +207,11 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
             base = base.withColumn("Churn", F.coalesce(mapped, F.lit(float(mode_v))).cast("int"))
             source = f"Detected: '{churn_col}'"
             synthetic = False
+    elif lineage == "v1":
+        # the first release labels short-tenure customers instead
+        med_t = quantiles(base, {"tenure": [0.5]})["tenure"][0]
+        base = base.withColumn("Churn", (F.col("tenure") < F.lit(med_t)).cast("int"))
+        source = "Synthetic (tenure below median)"
     else:
         base = synthetic_labels(base, lineage)
         source = "Synthetic — percentile risk score (top 35% flagged)"
@@ -224,12 +230,16 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
         if fit is not None:
             scored, model_name, accuracy, auc = fit
     scored = scored.withColumn("Churn_Prob", FX.round_prob(F.col("Churn_Prob")))
-    scored = FX.core_clv(scored)
+    if lineage == "v1":
+        from tidemark.operators import ml
+        scored = ml.v1_clv(scored)        # F14: OLS on the seven features
+    else:
+        scored = FX.core_clv(scored)
     # ranks add joins over the whole upstream plan: cut the lineage here
     scored = materialize(scored, "checkpoint" if pin != "none" else pin)
     clv_med = quantiles(scored, {"Predicted_CLV": [0.5]})["Predicted_CLV"][0]
     final = scored.withColumns({"Segment": FX.core_segment(clv_med), "Risk_Tier": FX.risk_tier()})
-    return CoreResult(df=final, roles=roles, id_col=id_col, churn_source=source,
+    return CoreResult(df=final, roles=roles, id_col=id_col, churn_source=source, lineage=lineage,
                       synthetic=synthetic, model_name=model_name, accuracy=accuracy, auc=auc,
                       notes=notes, raw=raw, clv_median=clv_med)
 

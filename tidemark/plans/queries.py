@@ -208,6 +208,12 @@ def q_v2_kpis(spark, sf):
     return round_doubles(out, money=("total_clv",))
 
 
+def q_core_v1_processed(spark, sf):
+    """The first release's formulas (F1-F4 v1, no total repair, OLS value F14)."""
+    r = run_core(FXT.churn_input(spark, sf), model="heuristic", lineage="v1")
+    return round_doubles(r.processed())
+
+
 def q_core_ml_scores(spark, sf):
     """M1-M10 (core): random forest, then boosting; no SQL oracle (trees)."""
     r = run_core(FXT.churn_input(spark, sf), model="auto")
@@ -495,6 +501,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "v2_clv_dist": (q_v2_clv_dist, sql_v2_qcut("Predicted_CLV", "CLV Tier")),
     "v2_spend_dist": (q_v2_spend_dist, sql_v2_qcut("AvgMonthlySpend", "Spend Tier")),
     "v2_kpis": (q_v2_kpis, SQL_V2_KPIS),
+    "core_v1_processed": (q_core_v1_processed, None),
     "core_ml_scores": (q_core_ml_scores, None),
     "adaptive_ml_scores": (q_adaptive_ml_scores, None),
     "adaptive_ridge_clv": (q_adaptive_ridge_clv, None),

@@ -36,7 +36,7 @@ def audit_rows(spark, rows: list[tuple[str, str, str]]) -> DataFrame:
 def core_audit(res: CoreResult) -> DataFrame:
     df = res.df
     spark = df.sparkSession
-    k = A.core_kpis(df).first().asDict()
+    k = A.core_kpis(df, res.lineage).first().asDict()
     original_rows = res.raw.count() if res.raw is not None else None
     original_cols = len(res.raw.columns) if res.raw is not None else None
     total = k["total_customers"]
