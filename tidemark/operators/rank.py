@@ -55,7 +55,7 @@ def rank_table(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None)
                   for i, c in enumerate(cols)]).first()
     from tidemark.session import materialize
     # read by both branches below: one scan and one shuffle of the input
-    vc = materialize(_stack(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    vc = materialize(_stack(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")), "checkpoint")
     parts = None
     for i, c in enumerate(cols):
         edges = sorted({float(x) for x in (sk[f"b{i}"] or [])})
@@ -100,7 +100,7 @@ def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None
     if table is None:
         # every join below reads the table: compute its shuffles once
         from tidemark.session import materialize
-        table = materialize(rank_table(df, cols, n_buckets))
+        table = materialize(rank_table(df, cols, n_buckets), "checkpoint")
     for c, o in zip(cols, out):
         key = f"__rk_{o}"
         sub = table.where(F.col("k") == c).select(F.col("v").alias(key), pct_rank_expr().alias(o))

@@ -51,7 +51,7 @@ def to_binary(c: str) -> F.Column:
 
 
 def run_adaptive_v2(raw: DataFrame, model: str = "heuristic", clv: str = "heuristic",
-                    pin: str = "persist") -> V2Result:
+                    pin: str = "checkpoint") -> V2Result:
     notes: list[str] = []
     names = [str(c).strip().replace("\n", " ").replace("\r", "") for c in raw.columns]
     df = materialize(raw.toDF(*names), pin)

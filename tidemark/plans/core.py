@@ -108,7 +108,7 @@ def encode(c: str, codes: list[str] | None) -> F.Column:
 
 
 def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
-             strict: bool = False, pin: str = "persist") -> CoreResult:
+             strict: bool = False, pin: str = "checkpoint") -> CoreResult:
     """Run E1 on a raw (text) customer table.
 
     ``model``: ``heuristic`` (rank score, deterministic), ``auto`` (random
@@ -217,7 +217,9 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
         source = "Synthetic — percentile risk score (top 35% flagged)"
 
     feats = FX.core_features(base, lineage)
-    feats = materialize(feats, pin)
+    # the rank joins below build large plans: start them from a checkpointed
+    # leaf so planning stays cheap and the lineage is cut before scoring
+    feats = materialize(feats, "checkpoint" if pin != "none" else pin)
     base.unpersist()
 
     # F8 heuristic, optional ML
@@ -235,8 +237,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
         scored = ml.v1_clv(scored)        # F14: OLS on the seven features
     else:
         scored = FX.core_clv(scored)
-    # ranks add joins over the whole upstream plan: cut the lineage here
-    scored = materialize(scored, "checkpoint" if pin != "none" else pin)
+    scored = materialize(scored, pin)
     clv_med = quantiles(scored, {"Predicted_CLV": [0.5]})["Predicted_CLV"][0]
     final = scored.withColumns({"Segment": FX.core_segment(clv_med), "Risk_Tier": FX.risk_tier()})
     return CoreResult(df=final, roles=roles, id_col=id_col, churn_source=source, lineage=lineage,

@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of frames no longer referenced are removed by the cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # keep plan text (logs, listener events) bounded for long pipelines
     "spark.sql.maxPlanStringLength": "200000",
 }
@@ -65,9 +67,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     """Pin a frame that several later stages read.
 
-    ``persist`` keeps it in executor memory/disk (lost blocks are recomputed
-    from lineage); ``checkpoint`` writes it to the shared checkpoint folder and
-    cuts the lineage, which is what very long pipelines want on a cluster.
+    ``checkpoint`` (what the pipelines use) writes it to the shared
+    checkpoint folder and cuts the lineage: a lost executor costs a re-read,
+    not a recomputation, and later plans start from a short leaf, which also
+    keeps driver-side planning cheap. ``persist`` keeps it in executor
+    memory/disk (lost blocks are recomputed from lineage); ``none`` is a no-op.
     """
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
