@@ -123,11 +123,9 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = 100, max_sam
     frac = min(1.0, n_trees * psi * 1.3 / max(n, 1))
     sample = (filled.select(*fcols).sample(False, frac, seed)
               .withColumn("__tree", (F.rand(seed) * n_trees).cast("int")))
-    schema = "__tree int, " + ", ".join(f"{c} double" for c in fcols)
     forest = (sample.select("__tree", *fcols)
               .groupBy("__tree").applyInPandas(_tree_builder(fcols, psi, seed), TREE_SCHEMA)
               .toPandas())  # trees x nodes, bounded by n_trees and max_samples
-    del schema
     out_schema = T.StructType(filled.schema.fields + [T.StructField("__iso_score", T.DoubleType())])
     scored = filled.mapInPandas(_scorer(fcols, forest, psi), out_schema)
     return scored.drop(*fcols)
@@ -140,11 +138,14 @@ def flag_outliers(df: DataFrame, key_cols: list[str] | None = None,
     from pyspark.sql.types import NumericType
     keys = key_cols or ["tenure", "MonthlyCharges", "TotalCharges", "Churn", "Churn_Prob", "Predicted_CLV"]
     others = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in keys]
+    if len(others) < 2:
+        return df, 0
     n = df.count()
-    if len(others) < 2 or n < C.ISOLATION_MIN_ROWS:
+    if n < C.ISOLATION_MIN_ROWS:
         return df, 0
-    scored = isolation_scores(df, others, n=n)
-    scored = scored.persist()
+    from tidemark.session import materialize
+    # scored twice below (cut, count): write it once instead of re-running the trees
+    scored = materialize(isolation_scores(df, others, n=n), "checkpoint")
     cut = quantiles(scored, {"__iso_score": [1 - contamination]})["__iso_score"][0]
     flagged = scored.withColumn("_is_outlier", (F.col("__iso_score") > F.lit(cut)).cast("int"))
     count = flagged.agg(F.sum("_is_outlier")).first()[0] or 0

@@ -22,18 +22,17 @@ def tenure_outliers(df: DataFrame, report: dict) -> DataFrame:
         return df
     t = F.col("tenure")
     hi = C.VALID_RANGES["tenure"]["max"]
-    r = df.agg(F.count_if(t < 0).alias("neg")).first()
+    # one pass: negatives, and values above the limit once negatives are made positive
+    r = df.agg(F.count_if(t < 0).alias("neg"), F.count_if(F.abs(t) > hi).alias("high")).first()
     count = r["neg"]
     df = df.withColumn("tenure", F.when(t < 0, F.abs(t)).otherwise(t))
-    r = df.agg(F.count_if(t > hi).alias("high")).first()
     if r["high"] > 0:
         count += r["high"]
         rest = df.where(~(t > hi)).select(t.alias("x"))
         med = quantiles(rest, {"x": [0.5]})["x"][0]
         df = df.withColumn("tenure", F.when(t > hi, F.lit(float(med) if med is not None else 24.0))
                            .otherwise(t))
-    med_all = quantiles(df, {"tenure": [0.5]})["tenure"][0]
-    mx = df.agg(F.max("tenure").alias("m")).first()["m"]
+    med_all, mx = quantiles(df, {"tenure": [0.5, 1.0]})["tenure"]
     if med_all is not None and med_all > 365:
         df = df.withColumn("tenure", t / 30)
         report["tenure_conversion"] = "days_to_months"
