@@ -87,20 +87,14 @@ def value_counts(df: DataFrame, col: str, name: str | None = None,
         cats = df.sparkSession.createDataFrame([(c,) for c in order], f"`{name}` string")
         counts = cats.join(counts, name, "left").withColumn("Count", F.coalesce("Count", F.lit(0)))
     if percentage:
-        total = F.sum("Count").over(_whole())
-        counts = counts.withColumn("Percentage", np_round(F.col("Count") / total * 100, 1))
+        total = float(df.count())
+        counts = counts.withColumn("Percentage", np_round(F.col("Count") / F.lit(total) * 100, 1))
     if order:
         key = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(name))
         return counts.orderBy(key, F.desc("Count"))
     return counts.orderBy(F.desc("Count"), name)
 
 
-def _whole():
-    from pyspark.sql import Window
-    # the frame being counted here has one row per category (a handful)
-    return Window.partitionBy(F.lit(1))
-
-
 # ---------------------------------------------------------------- bins
 
 def _round_frac(x: float, precision: int) -> float:
@@ -141,8 +135,13 @@ def safe_cut_stats(df: DataFrame, col: str) -> dict:
     v = F.col(col).cast("double")
     v = F.when(F.isnan(v), None).otherwise(v)
     r = df.agg(F.min(v).alias("mn"), F.max(v).alias("mx"), F.count(v).alias("cnt"),
-               F.count_distinct(v).alias("nu")).first()
-    return r.asDict()
+               F.approx_count_distinct(v, 0.01).alias("nu_est")).first().asDict()
+    # the bin count is min(6, distinct): only small distinct counts need to be exact
+    if r["nu_est"] <= 64:
+        r["nu"] = df.agg(F.count_distinct(v)).first()[0]
+    else:
+        r["nu"] = int(r["nu_est"])
+    return r
 
 
 def safe_cut(df: DataFrame, col: str, bins: int = C.SAFE_CUT_BINS,

@@ -106,14 +106,13 @@ def run_adaptive_v2(raw: DataFrame, model: str = "heuristic", clv: str = "heuris
 def _infer(df: DataFrame, target: str, numeric: list[str]) -> tuple[DataFrame, str | None]:
     """D5 + P15 by name."""
     if target == "Churn":
+        from tidemark.operators.profile import small_distinct_counts
+        counts = small_distinct_counts(df, list(df.columns), 5)
         for c in df.columns:
-            if any(k in c.lower() for k in C.V2_CHURN_KEYWORDS):
-                nu = df.agg(F.count_distinct(_q(c))).first()[0]
-                if nu <= 5:
-                    return df.withColumn("Churn", to_binary(c)), c
-        r = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-        for i, c in enumerate(df.columns):
-            if r[f"d{i}"] == 2:
+            if any(k in c.lower() for k in C.V2_CHURN_KEYWORDS) and counts[c] <= 5:
+                return df.withColumn("Churn", to_binary(c)), c
+        for c in df.columns:
+            if counts[c] == 2:
                 return df.withColumn("Churn", to_binary(c)), c
         return df.withColumn("Churn", F.lit(0)), None
     if target == "tenure":

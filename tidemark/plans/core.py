@@ -86,10 +86,11 @@ def label_encode_plan(df: DataFrame, cols: list[str], limit: int) -> dict[str, l
     None when it has fewer than 2 or more than ``limit`` distinct values."""
     if not cols:
         return {}
-    r = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    from tidemark.operators.profile import small_distinct_counts
+    counts = small_distinct_counts(df, cols, limit)
     out: dict[str, list[str] | None] = {}
-    for i, c in enumerate(cols):
-        nu = r[f"d{i}"]
+    for c in cols:
+        nu = counts[c]
         if 2 <= nu <= limit:
             # at most `limit` + 1 values reach the driver
             vals = [row[0] for row in df.select(_q(c)).distinct().limit(limit + 1).collect()]
