@@ -86,3 +86,14 @@ def test_adaptive_fixture_pipeline(spark):
     assert set(r[0] for r in df.select("Segment").distinct().collect()) <= {
         "High Risk - High Value", "High Risk - Low Value", "Low Risk - High Value", "Low Risk - Low Value"}
     assert "ExpectedTotal" not in res.export().columns
+
+
+def test_events_file_value_inference_and_isolation(spark):
+    from tidemark.sources.fixtures import events_input
+    from conftest import SF_MID
+    res = run_adaptive(events_input(spark, SF_MID))
+    assert res.mapping["name_based"]["days_as_customer"] == "tenure_days"
+    assert res.mapping["tenure_inferred_from"] == "tenure_days"
+    assert res.mapping["churn_from"] == "Active (inverted)"
+    assert 0 < res.thresholds.get("multivariate_outliers", 0) < 0.1 * res.df.count()
+    assert "_is_outlier" not in res.export().columns

@@ -211,8 +211,20 @@ def _charge_ctes(src: str, col: str, tag: str) -> str:
          ELSE {col} END AS {col}) FROM {tag}a, {tag}s, {tag}e)"""
 
 
-def adaptive_final() -> str:
-    """E3 on the adaptive fixture with the heuristic scorer and heuristic CLV."""
+def adaptive_final(source: str | None = None, typed: str | None = None, churn: str | None = None,
+                   id_col: str = "customer_id",
+                   passthrough: tuple = ("CustomerStatus", "plan", "balance")) -> str:
+    """E3 with the heuristic scorer and heuristic CLV. Defaults describe the
+    adaptive fixture; ``source``/``typed``/``churn``/``passthrough`` describe
+    another input (``typed`` must yield tenure, MonthlyCharges, TotalCharges)."""
+    source = source if source is not None else adaptive_input_cte()
+    typed = typed if typed is not None else f"""
+  SELECT customer_id, {adaptive_num_sql('account_length')} AS tenure, {adaptive_num_sql('mrr')} AS MonthlyCharges,
+         {adaptive_num_sql('total_spend')} AS TotalCharges, customer_status AS CustomerStatus, plan,
+         {adaptive_num_sql('balance')} AS balance
+  FROM adaptive_input"""
+    churn = churn if churn is not None else status_sql("CustomerStatus")
+    keep = ", ".join((id_col,) + tuple(passthrough))
     seg = C.SEGMENTS_ADAPTIVE
     rec = C.RECOMMENDATIONS
     groups = []
@@ -224,13 +236,9 @@ def adaptive_final() -> str:
         groups.append((limit, "CASE " + " ".join(parts) + " END"))
     tg = (f"CASE WHEN mxt <= {groups[0][0]} THEN {groups[0][1]} WHEN mxt <= {groups[1][0]} "
           f"THEN {groups[1][1]} ELSE {groups[2][1]} END")
-    return "WITH" + adaptive_input_cte() + f""",
-typed AS (
-  SELECT customer_id, {adaptive_num_sql('account_length')} AS tenure, {adaptive_num_sql('mrr')} AS MonthlyCharges,
-         {adaptive_num_sql('total_spend')} AS TotalCharges, customer_status AS CustomerStatus, plan,
-         {adaptive_num_sql('balance')} AS balance
-  FROM adaptive_input),
-st AS (SELECT *, {status_sql('CustomerStatus')} AS Churn FROM typed),
+    return "WITH" + source + f""",
+typed AS ({typed}),
+st AS (SELECT *, {churn} AS Churn FROM typed),
 t1 AS (SELECT * REPLACE (CASE WHEN tenure < 0 THEN -tenure ELSE tenure END AS tenure) FROM st),
 t1s AS (SELECT quantile_cont(tenure, 0.5) FILTER (WHERE NOT tenure > 600) AS med_rest FROM t1),
 t2 AS (SELECT * EXCLUDE (med_rest) REPLACE (CASE WHEN tenure > 600 THEN coalesce(med_rest, 24) ELSE tenure END AS tenure) FROM t1, t1s),
@@ -242,7 +250,7 @@ t3 AS (SELECT * EXCLUDE (med2, mx2) REPLACE (CASE WHEN med2 > 365 THEN tenure /
 meds AS (SELECT quantile_cont(tenure, 0.5) AS m1, quantile_cont(MonthlyCharges, 0.5) AS m2,
                 quantile_cont(TotalCharges, 0.5) AS m3 FROM ct),
 cl AS (
-  SELECT DISTINCT customer_id, CustomerStatus, plan, balance,
+  SELECT DISTINCT {keep},
          CAST(coalesce(Churn, 0) > 0 AS INTEGER) AS Churn,
          greatest(abs(coalesce(tenure, CASE WHEN m1 IS NULL OR m1 <= 0 THEN 1.0 ELSE m1 END)), 1) AS tenure,
          abs(coalesce(MonthlyCharges, CASE WHEN m2 IS NULL OR m2 <= 0 THEN 50.0 ELSE m2 END)) AS MonthlyCharges,
@@ -349,3 +357,42 @@ final AS (
               WHEN Predicted_CLV > vc THEN '{seg[2]}' ELSE '{seg[3]}' END AS Segment,
          {pct_rank_sql('(Churn_Prob * Predicted_CLV)')} * 100 AS Priority
   FROM v, th)"""
+
+
+def events_input_cte() -> str:
+    from tidemark.sources.fixtures import ACTIVE_SINCE
+    cents = "CAST(round(value * 100) AS BIGINT)"
+    return f"""
+eper AS (
+  SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events,
+         count(*) FILTER (WHERE event_type = 'error') AS n_errors,
+         sum(CASE WHEN event_type = 'purchase' THEN {cents} ELSE 0 END) AS purchase_cents,
+         sum({cents}) AS value_cents
+  FROM events GROUP BY user_id),
+events_input AS (
+  SELECT 'E' || CAST(user_id AS VARCHAR) AS user_id,
+         CAST(date_diff('day', CAST(first_ts AS DATE), CAST(last_ts AS DATE)) AS VARCHAR) AS days_as_customer,
+         {money_sql('purchase_cents')} AS monthly_spend,
+         {money_sql('value_cents')} AS lifetime_value,
+         CASE WHEN CAST(last_ts AS DATE) >= DATE '{ACTIVE_SINCE}' THEN 'yes' ELSE 'no' END AS is_active,
+         CAST(n_events AS VARCHAR) AS event_count, CAST(n_errors AS VARCHAR) AS error_count,
+         CAST(floor((epoch(last_ts) - epoch(first_ts)) / 3600) AS BIGINT)::VARCHAR AS active_hours
+  FROM eper)"""
+
+
+def tenure_inference_sql(src: str, cands: list[str]) -> str:
+    """D4 for tenure in SQL: score every candidate from its statistics, keep
+    the first best one when it scores above 0.5."""
+    scores = []
+    for c in cands:
+        name = 0.4 if any(h in c.lower() for h in C.TENURE_HINTS) else 0.0
+        scores.append(
+            f"(((({name} + CASE WHEN min({c}) >= 0 AND max({c}) <= 600 AND quantile_cont({c}, 0.5) BETWEEN 1 AND 120 "
+            f"THEN 0.3 ELSE 0 END) + CASE WHEN avg(CASE WHEN {c} IS NULL THEN NULL WHEN {c} = floor({c}) THEN 1.0 ELSE 0.0 END) > 0.9 "
+            f"THEN 0.2 ELSE 0 END) + CASE WHEN stddev_samp({c}) > 1 THEN 0.1 ELSE 0 END)) AS s_{c}")
+    pick = " ".join(
+        f"WHEN s_{c} > 0.5 AND s_{c} = mx AND {' AND '.join(f's_{c} > s_{d}' for d in cands[:i]) or 'TRUE'} THEN '{c}'"
+        for i, c in enumerate(cands))
+    return f"""
+d4s AS (SELECT {', '.join(scores)} FROM {src}),
+d4 AS (SELECT *, CASE {pick} END AS best FROM (SELECT *, greatest({', '.join(f's_{c}' for c in cands)}) AS mx FROM d4s))"""

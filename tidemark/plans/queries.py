@@ -208,6 +208,22 @@ def q_v2_kpis(spark, sf):
     return round_doubles(out, money=("total_clv",))
 
 
+_events_cache: dict = {}
+
+EVENTS_COLUMNS = ["user_id", "tenure", "MonthlyCharges", "TotalCharges", "Churn", "AvgMonthlySpend",
+                  "TenureGroup", "ChargeRatio", "SpendingConsistency", "ValueScore", "Churn_Prob",
+                  "Predicted_CLV", "Future_CLV", "Segment", "Priority", "Recommendation"]
+
+
+def q_events_adaptive(spark, sf):
+    """E3 on a per-user file from ``events``: tenure inferred from values (D4),
+    inverted ``Active`` churn (D9), isolation flag in the pipeline (M11)."""
+    key = (_session_key(spark), sf)
+    if key not in _events_cache:
+        _events_cache[key] = run_adaptive(FXT.events_input(spark, sf))
+    return round_doubles(_events_cache[key].df.select(*EVENTS_COLUMNS))
+
+
 def q_core_v1_processed(spark, sf):
     """The first release's formulas (F1-F4 v1, no total repair, OLS value F14)."""
     r = run_core(FXT.churn_input(spark, sf), model="heuristic", lineage="v1")
@@ -473,6 +489,27 @@ SELECT count(*) AS total_customers, {O.np_round_sql("avg(Predicted_CLV)", 6)} AS
 FROM final, m"""
 
 
+def sql_events_adaptive() -> str:
+    cands = ["tenure_days", "event_count", "error_count", "active_hours"]
+    nums = ["tenure_days", "MonthlyCharges", "TotalCharges", "event_count", "error_count", "active_hours"]
+    typed_cols = {"tenure_days": "days_as_customer", "MonthlyCharges": "monthly_spend",
+                  "TotalCharges": "lifetime_value", "event_count": "event_count",
+                  "error_count": "error_count", "active_hours": "active_hours"}
+    source = O.events_input_cte() + ",\ntyped0 AS (SELECT user_id, is_active AS Active, " + ", ".join(
+        f"{O.adaptive_num_sql(v)} AS {k}" for k, v in typed_cols.items()) + " FROM events_input)," + \
+        O.tenure_inference_sql("typed0", cands).lstrip("\n")
+    pick = "CASE best " + " ".join(f"WHEN '{c}' THEN {c}" for c in cands) + " END"
+    typed = f"SELECT typed0.*, {pick} AS tenure FROM typed0, d4"
+    churn = (f"(CASE WHEN lower(trim(coalesce(CAST(Active AS VARCHAR), 'nan'))) IN "
+             f"({O._list(C.ACTIVE_TRUE_TOKENS)}) THEN 0 ELSE 1 END)")
+    return O.adaptive_final(source=source, typed=typed, churn=churn, id_col="user_id",
+                            passthrough=("Active",) + tuple(c for c in nums if c not in
+                                                           ("MonthlyCharges", "TotalCharges"))) + \
+        "\nSELECT " + ", ".join(
+            O.r6(c) if c not in ("user_id", "Churn", "TenureGroup", "Segment", "Recommendation") else c
+            for c in EVENTS_COLUMNS) + " FROM final"
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "churn_input": (q_churn_input, "WITH" + O.churn_input_cte() + "\nSELECT * FROM churn_input"),
     "core_processed": (q_core_processed, SQL_CORE_PROCESSED),
@@ -501,6 +538,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "v2_clv_dist": (q_v2_clv_dist, sql_v2_qcut("Predicted_CLV", "CLV Tier")),
     "v2_spend_dist": (q_v2_spend_dist, sql_v2_qcut("AvgMonthlySpend", "Spend Tier")),
     "v2_kpis": (q_v2_kpis, SQL_V2_KPIS),
+    "events_adaptive": (q_events_adaptive, sql_events_adaptive()),
     "core_v1_processed": (q_core_v1_processed, None),
     "core_ml_scores": (q_core_ml_scores, None),
     "adaptive_ml_scores": (q_adaptive_ml_scores, None),

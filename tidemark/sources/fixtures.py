@@ -125,3 +125,40 @@ def dirty_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(fmt == 3, F.concat(F.lit("₹ "), sign, _grouped(ip, ","), F.lit("."), frac))
             .otherwise(F.lit("N/A")))
     return cust.select("c_custkey", text.alias("balance"))
+
+
+# FIXED VALUES: events fixture parameter.
+ACTIVE_SINCE = "2024-01-28"   # a last event on or after this day counts as active
+
+
+def events_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A per-user customer file from ``events`` (every column text).
+
+    ``days_as_customer`` (a days synonym, so tenure has to be inferred from
+    values), ``monthly_spend`` (purchase value), ``lifetime_value`` (all
+    value), ``is_active`` (inverted churn), and three plain counts that feed
+    the isolation forest. ``events`` is aggregated per user with map-side
+    partial aggregation; nothing is joined.
+    """
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    cents = F.round(F.col("value") * 100).cast("long")
+    per = ev.groupBy("user_id").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_if(F.col("event_type") == "error").alias("n_errors"),
+        F.sum(F.when(F.col("event_type") == "purchase", cents).otherwise(F.lit(0))).alias("purchase_cents"),
+        F.sum(cents).alias("value_cents"),
+    )
+    secs = F.unix_timestamp("last_ts") - F.unix_timestamp("first_ts")
+    return per.select(
+        F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("user_id"),
+        F.datediff(F.col("last_ts").cast("date"), F.col("first_ts").cast("date")).cast("string")
+        .alias("days_as_customer"),
+        money_text(F.col("purchase_cents")).alias("monthly_spend"),
+        money_text(F.col("value_cents")).alias("lifetime_value"),
+        F.when(F.col("last_ts").cast("date") >= F.lit(ACTIVE_SINCE).cast("date"), "yes").otherwise("no")
+        .alias("is_active"),
+        F.col("n_events").cast("string").alias("event_count"),
+        F.col("n_errors").cast("string").alias("error_count"),
+        F.floor(secs / 3600).cast("long").cast("string").alias("active_hours"),
+    )
