@@ -166,7 +166,8 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
             picks[out] = (None, C.PICK_DEFAULTS[role])
     staged = df.withColumns({f"__pick_{k}": (v[0] if v[0] is not None else F.lit(None).cast("double"))
                              for k, v in picks.items()})
-    staged = materialize(staged, pin)
+    # staged and base are projections over the checkpointed `cleaned`:
+    # re-reading them is cheaper than writing them out again
     med_cols = [f"__pick_{k}" for k, v in picks.items() if v[0] is not None]
     meds = quantiles(staged, {c: [0.5] for c in med_cols}) if med_cols else {}
     fills = {}
@@ -181,9 +182,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     }).drop(*[f"__pick_{k}" for k in picks])
     if lineage != "v1":
         base = FX.repair_total(base)
-    base = materialize(base, pin)
-    staged.unpersist()
-    cleaned.unpersist()
+
 
     # D6-D8 churn label
     synthetic = True
@@ -221,7 +220,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     # the rank joins below build large plans: start them from a checkpointed
     # leaf so planning stays cheap and the lineage is cut before scoring
     feats = materialize(feats, "checkpoint" if pin != "none" else pin)
-    base.unpersist()
+    cleaned.unpersist()
 
     # F8 heuristic, optional ML
     scored = heuristic_score(feats)
