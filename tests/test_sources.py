@@ -90,3 +90,9 @@ def test_refuses_tiny_and_missing(spark, tmp):
         S.read_table(spark, _write(os.path.join(tmp, "z.csv"), ""))
     with pytest.raises(FileNotFoundError):
         S.read_table(spark, os.path.join(tmp, "missing.csv"))
+
+
+def test_quoted_newlines(spark, tmp):
+    p = _write(os.path.join(tmp, "q.csv"), 'id,note,charge\n1,"two\nlines",5\n2,plain,6\n')
+    df = S.read_table(spark, p, lineage="core")
+    assert sorted((r["id"], r["note"]) for r in df.collect()) == [("1", "two\nlines"), ("2", "plain")]

@@ -134,8 +134,22 @@ def header_names(text: str, sep: str, lineage: str = "core") -> list[str]:
     return out
 
 
+def has_quoted_newlines(text: str, sep: str) -> bool:
+    """True when a quoted field in the sample spans lines (needs ``multiLine``)."""
+    lines = text.splitlines()
+    if len(lines) > 1 and not text.endswith("\n"):
+        lines = lines[:-1]
+    body = "\n".join(lines) + "\n"
+    try:
+        records = list(csv.reader(io.StringIO(body), delimiter=sep))
+    except csv.Error:
+        return False
+    return len(records) < len(lines)
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str,
-                   names: list[str], skip_initial_space: bool = False) -> DataFrame:
+                   names: list[str], skip_initial_space: bool = False,
+                   multiline: bool = False) -> DataFrame:
     """Every cell as text; rows with too many fields are dropped, short
     rows are padded with nulls (pandas ``on_bad_lines='skip'``).
 
@@ -148,8 +162,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str,
               .option("encoding", SPARK_CHARSETS.get(encoding, encoding)).option("mode", "PERMISSIVE")
               .option("ignoreLeadingWhiteSpace", str(skip_initial_space).lower())
               .option("ignoreTrailingWhiteSpace", "false"))
-    if encoding == "utf-16":
-        reader = reader.option("multiLine", "true")
+    if encoding == "utf-16" or multiline:
+        # quoted newlines: records are parsed whole (a file is then one split)
+        reader = reader.option("multiLine", "true").option("escape", '"')
     df = reader.csv(path)
     df = df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
     return df.toDF(*names)
@@ -164,7 +179,7 @@ def load_csv_core(spark: SparkSession, path: str) -> DataFrame:
     if sep is None:
         raise RuntimeError("Could not parse this file after all known format attempts.")
     names = header_names(text, sep, "core")
-    return read_delimited(spark, path, sep, enc, names)
+    return read_delimited(spark, path, sep, enc, names, multiline=has_quoted_newlines(text, sep))
 
 
 def load_csv_adaptive(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
@@ -174,7 +189,8 @@ def load_csv_adaptive(spark: SparkSession, path: str, delimiter: str | None = No
     text = _decode(sample, enc)
     sep = delimiter or pick_delimiter_by_count(text)
     names = header_names(text, sep, "adaptive")
-    return read_delimited(spark, path, sep, enc, names, skip_initial_space=True)
+    return read_delimited(spark, path, sep, enc, names, skip_initial_space=True,
+                          multiline=has_quoted_newlines(text, sep))
 
 
 def _json_shape(text: str) -> str:
