@@ -46,27 +46,40 @@ def tenure_outliers(df: DataFrame, report: dict) -> DataFrame:
 def charge_outliers(df: DataFrame, report: dict) -> DataFrame:
     """Q2: abs of negatives; clip to [max(0, Q1 - 3 IQR), Q3 + 3 IQR] only when
     the upper bound is over 100x the lower and fewer than 10% of rows fall
-    outside."""
-    for col in ("MonthlyCharges", "TotalCharges", "AnnualCharges"):
-        if col not in df.columns:
-            continue
-        x = F.col(col)
-        neg = df.agg(F.count_if(x < 0).alias("neg"), F.count(F.lit(1)).alias("n")).first()
-        count = neg["neg"]
-        df = df.withColumn(col, F.when(x < 0, F.abs(x)).otherwise(x))
-        q1, q3 = quantiles(df, {col: [0.25, 0.75]})[col]
+    outside. The charge columns are independent, so their counts and
+    quartiles are taken together (one aggregate, one exact-quantile call,
+    one aggregate)."""
+    cols = [c for c in ("MonthlyCharges", "TotalCharges", "AnnualCharges") if c in df.columns]
+    if not cols:
+        return df
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               *[F.count_if(F.col(c) < 0).alias(f"neg{i}") for i, c in enumerate(cols)]).first()
+    n = r["n"]
+    counts = {c: r[f"neg{i}"] for i, c in enumerate(cols)}
+    df = df.withColumns({c: F.when(F.col(c) < 0, F.abs(F.col(c))).otherwise(F.col(c)) for c in cols})
+    qs = quantiles(df, {c: [0.25, 0.75] for c in cols})
+    bounds = {}
+    for c in cols:
+        q1, q3 = qs[c]
         if q1 is None:
-            report[f"{col}_outliers"] = count
             continue
         iqr = q3 - q1
-        lower = max(0, q1 - 3 * iqr)
-        upper = q3 + 3 * iqr
+        lower, upper = max(0, q1 - 3 * iqr), q3 + 3 * iqr
         if upper > lower * 100:
-            ext = (x > F.lit(upper)) | (x < F.lit(lower))
-            m = df.agg(F.count_if(ext).alias("e")).first()["e"]
-            if 0 < m < neg["n"] * 0.1:
-                count += m
-                df = df.withColumn(col, F.when(x > F.lit(upper), F.lit(float(upper)))
-                                   .when(x < F.lit(lower), F.lit(float(lower))).otherwise(x))
-        report[f"{col}_outliers"] = count
+            bounds[c] = (lower, upper)
+    if bounds:
+        ext = df.agg(*[F.count_if((F.col(c) > F.lit(hi)) | (F.col(c) < F.lit(lo))).alias(f"e{i}")
+                       for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
+        clip = {}
+        for i, (c, (lo, hi)) in enumerate(bounds.items()):
+            m = ext[f"e{i}"]
+            if 0 < m < n * 0.1:
+                counts[c] += m
+                x = F.col(c)
+                clip[c] = (F.when(x > F.lit(hi), F.lit(float(hi))).when(x < F.lit(lo), F.lit(float(lo)))
+                           .otherwise(x))
+        if clip:
+            df = df.withColumns(clip)
+    for c in cols:
+        report[f"{c}_outliers"] = counts[c]
     return df
