@@ -36,3 +36,12 @@ def test_v2_name_units_and_inference(spark):
 def test_binary_tokens_numbers_are_not_tokens(spark):
     df = spark.createDataFrame([("Yes",), ("1",), ("1.0",), (None,), ("lost",)], "x string")
     assert [r[0] for r in df.select(to_binary("x")).collect()] == [1, 1, 0, 0, 1]
+
+
+def test_v2_report_tables(spark):
+    from tidemark.plans.report import v2_tables
+    res = run_adaptive_v2(adaptive_input(spark, SF_SMALL))
+    t = v2_tables(res)
+    assert "ChargeRatio" not in t["data"].columns and "SpendingVariance" in t["data"].columns
+    assert t["tenure_dist"].count() == 5
+    assert t["churn_dist"].agg(F.sum("Count")).first()[0] == res.df.count()

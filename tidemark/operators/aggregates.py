@@ -226,6 +226,12 @@ def adaptive_kpis(df: DataFrame) -> DataFrame:
     )
 
 
+def tenure_group_counts(df: DataFrame, labels: list[str], name: str = "Tenure Group") -> DataFrame:
+    """A10: ``TenureGroup`` is categorical, so every label of its set is
+    counted, zero-count groups included."""
+    return value_counts(df, "TenureGroup", name, order=labels, keep_empty=True)
+
+
 def top_risk(df: DataFrame, id_col: str | None, n: int = C.TOP_RISK_ROWS,
              threshold: float = C.HIGH_RISK) -> DataFrame:
     """The high-risk action list, highest probability first.

@@ -110,11 +110,17 @@ def traffic_light(c: Column) -> Column:
 
 # ------------------------------------------------------------------ adaptive
 
-def tenure_group(max_tenure: float) -> Column:
-    """label set chosen by the largest tenure; right-closed, lowest included."""
+def tenure_labels(max_tenure: float) -> tuple[list, list]:
+    """the (edges, labels) set chosen by the largest tenure."""
     for limit, edges, labels in C.TENURE_GROUPS:
         if limit is None or max_tenure <= limit:
-            break
+            return edges, labels
+    return C.TENURE_GROUPS[-1][1], C.TENURE_GROUPS[-1][2]
+
+
+def tenure_group(max_tenure: float) -> Column:
+    """label set chosen by the largest tenure; right-closed, lowest included."""
+    edges, labels = tenure_labels(max_tenure)
     t = F.col("tenure")
     expr = F.when((t >= edges[0]) & (t <= edges[1]), labels[0])
     for i in range(1, len(edges) - 1):
@@ -123,11 +129,8 @@ def tenure_group(max_tenure: float) -> Column:
 
 
 def adaptive_features(df: DataFrame, stats: dict) -> DataFrame:
-    """F1 (v6), F5, F6, F2 (v6) given the scalar statistics.
-
-    ``stats`` holds ``max_tenure``, ``mean_monthly``, ``p99_variance`` and
-    ``p99_total``, all computed by distributed aggregates.
-    """
+    """F1 (v6), F7 and F5 given ``max_tenure`` and ``mean_monthly`` (one
+    distributed aggregate)."""
     t, m, tot = F.col("tenure"), F.col("MonthlyCharges"), F.col("TotalCharges")
     df = df.withColumn("AvgMonthlySpend", clip(tot / F.greatest(t, F.lit(1.0)), 0))
     df = df.withColumn("TenureGroup", tenure_group(stats["max_tenure"]))

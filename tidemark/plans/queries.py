@@ -148,7 +148,10 @@ def _qcut(col, name):
 
 
 def q_adaptive_tenure_dist(spark, sf):
-    return A.value_counts(adaptive_result(spark, sf).df, "TenureGroup", "Tenure Group")
+    from tidemark.operators.features import tenure_labels
+    df = adaptive_result(spark, sf).df
+    _, labels = tenure_labels(df.agg(F.max("tenure")).first()[0])
+    return A.tenure_group_counts(df, labels)
 
 
 def q_adaptive_kpis(spark, sf):
@@ -395,8 +398,23 @@ SELECT lab AS "{name}", count(b.bin) AS Count FROM labs LEFT JOIN b ON labs.bin
 GROUP BY labs.bin, lab"""
 
 
-SQL_ADAPTIVE_TENURE = O.adaptive_final() + """
-SELECT TenureGroup AS "Tenure Group", count(*) AS Count FROM final GROUP BY TenureGroup"""
+def _sql_adaptive_tenure() -> str:
+    sets = []
+    for limit, _, labels in C.TENURE_GROUPS:
+        vals = ", ".join(f"('{lab}')" for lab in labels)
+        cond = "TRUE" if limit is None else f"mxt <= {limit}"
+        sets.append((cond, vals))
+    union = " UNION ALL ".join(
+        f"SELECT lab FROM (VALUES {vals}) t(lab), (SELECT max(tenure) AS mxt FROM final) m "
+        f"WHERE {cond}" + ("" if i == 0 else " AND NOT (" + " OR ".join(c for c, _ in sets[:i]) + ")")
+        for i, (cond, vals) in enumerate(sets))
+    return O.adaptive_final() + f"""
+, labs AS ({union}),
+c AS (SELECT TenureGroup, count(*) AS n FROM final GROUP BY TenureGroup)
+SELECT lab AS "Tenure Group", coalesce(n, 0) AS Count FROM labs LEFT JOIN c ON labs.lab = c.TenureGroup"""
+
+
+SQL_ADAPTIVE_TENURE = _sql_adaptive_tenure()
 
 SQL_ADAPTIVE_KPIS = O.adaptive_final() + f"""
 SELECT count(*) AS total_customers, round_even((avg(Predicted_CLV)) * 1000000.0, 0) / 1000000.0 AS avg_clv,

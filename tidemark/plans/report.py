@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.operators import aggregates as A
+from tidemark.operators import features as FX
 from tidemark.plans.adaptive import AdaptiveResult
 from tidemark.plans.core import CoreResult
 
@@ -116,7 +117,8 @@ def adaptive_tables(res: AdaptiveResult) -> dict[str, DataFrame]:
         "summary": A.adaptive_kpis(df),
         "segments": A.value_counts(df, "Segment", percentage=True),
         "churn_dist": A.fixed_bins(df, "Churn_Prob", C.PROB_BINS, C.PROB_BIN_LABELS, "Risk Level"),
-        "tenure_dist": A.value_counts(df, "TenureGroup", "Tenure Group"),
+        "tenure_dist": A.tenure_group_counts(
+            df, FX.tenure_labels(df.agg(F.max("tenure")).first()[0])[1]),
     }
     clv = A.qcut_counts(df, "Predicted_CLV", "CLV Tier")
     spend = A.qcut_counts(df, "AvgMonthlySpend", "Spend Tier")
@@ -139,3 +141,19 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, mode: str = "overwr
         safe.write.mode(mode).parquet(path)
         written.append(path)
     return written
+
+
+def v2_tables(res) -> dict[str, DataFrame]:
+    """Release 2.0 report tables: data (2 helper columns dropped), segments,
+    churn distribution (lowest edge excluded), quintiles collapsing to one
+    ``All`` row on duplicate edges, tenure groups (zero counts kept)."""
+    df = res.df
+    return {
+        "data": res.export(),
+        "segments": A.value_counts(df, "Segment", percentage=True),
+        "churn_dist": A.fixed_bins(df, "Churn_Prob", C.PROB_BINS, C.PROB_BIN_LABELS, "Risk Level",
+                                   include_lowest=False),
+        "clv_dist": A.qcut_counts(df, "Predicted_CLV", "CLV Tier", on_duplicate="all"),
+        "spend_dist": A.qcut_counts(df, "AvgMonthlySpend", "Spend Tier", on_duplicate="all"),
+        "tenure_dist": A.tenure_group_counts(df, C.V2_TENURE_GROUPS[1]),
+    }
