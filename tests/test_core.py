@@ -102,3 +102,16 @@ def test_v1_lineage_formulas(spark):
     assert np.allclose(got["Predicted_CLV"], got["TotalCharges"].clip(lower=0), rtol=1e-6)
     nolabel = run_core(spark.createDataFrame(pdf.drop(columns=["Churn"])), lineage="v1")
     assert nolabel.churn_source == "Synthetic (tenure below median)"
+
+
+def test_v1_v3_total_defaults_to_tenure_times_monthly(spark):
+    pdf = pd.DataFrame({"customerID": [f"c{i}" for i in range(25)],
+                        "tenure": [str(i + 1) for i in range(25)],
+                        "MonthlyCharges": [str(10 + i) for i in range(25)],
+                        "Churn": ["Yes" if i % 2 else "No" for i in range(25)]})
+    for lineage in ("v1", "v3"):
+        got = run_core(spark.createDataFrame(pdf), lineage=lineage).processed().toPandas()
+        assert np.allclose(got["TotalCharges"], got["tenure"] * got["MonthlyCharges"])
+    main = run_core(spark.createDataFrame(pdf)).processed().toPandas()
+    # the current release falls back to the third numeric column (none here): the 6000 default
+    assert (main["TotalCharges"] == 6000.0).all()

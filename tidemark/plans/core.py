@@ -171,15 +171,26 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     med_cols = [f"__pick_{k}" for k, v in picks.items() if v[0] is not None]
     meds = quantiles(staged, {c: [0.5] for c in med_cols}) if med_cols else {}
     fills = {}
+    # releases v1 and v3 have no total default: it stays missing and becomes
+    # tenure x monthly below
+    total_missing_default = lineage in ("v1", "v3")
     for k, (expr, default) in picks.items():
         m = meds.get(f"__pick_{k}", [None])[0] if expr is not None else None
-        fills[k] = m if (m is not None and m == m and abs(m) != float("inf")) else float(default)
+        if m is not None and m == m and abs(m) != float("inf"):
+            fills[k] = m
+        elif k == "TotalCharges" and total_missing_default:
+            fills[k] = None
+        else:
+            fills[k] = float(default)
         notes.append(f"{k} fill {fills[k]}")
     base = staged.withColumns({
-        k: (F.coalesce(F.col(f"__pick_{k}"), F.lit(fills[k])) if picks[k][0] is not None
-            else F.lit(float(fills[k])))
+        k: (F.coalesce(F.col(f"__pick_{k}"), F.lit(fills[k]).cast("double")) if picks[k][0] is not None
+            else F.lit(fills[k]).cast("double"))
         for k in picks
     }).drop(*[f"__pick_{k}" for k in picks])
+    if total_missing_default:
+        base = base.withColumn("TotalCharges", F.coalesce(
+            F.col("TotalCharges"), F.col("tenure") * F.col("MonthlyCharges")))
     if lineage != "v1":
         base = FX.repair_total(base)
 
