@@ -239,7 +239,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     accuracy = auc = None
     if model != "heuristic":
         from tidemark.operators import ml
-        fit = ml.core_model(feats, model=model, synthetic=synthetic, n=n)
+        fit = ml.core_model(feats, model=model, synthetic=synthetic, n=n, lineage=lineage)
         if fit is not None:
             scored, model_name, accuracy, auc = fit
     scored = scored.withColumn("Churn_Prob", FX.round_prob(F.col("Churn_Prob")))
