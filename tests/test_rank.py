@@ -60,3 +60,11 @@ def test_skewed_value(spark):
     want = got["x"].rank(pct=True)
     assert np.allclose(got["r"], want, atol=1e-15)
     assert quantiles(df, {"x": [0.5]})["x"][0] == float(pd.Series([r[0] for r in rows]).median())
+
+
+def test_salted_join_back_with_several_hot_values(spark):
+    rows = [(1.0,)] * 400 + [(2.0,)] * 300 + [(float(i),) for i in range(10, 310)]
+    df = spark.createDataFrame(rows, "x double")
+    got = with_pct_ranks(df, ["x"], ["r"], salts=4).toPandas()
+    assert len(got) == len(rows)
+    assert np.allclose(got["r"], got["x"].rank(pct=True), atol=1e-15)
