@@ -93,12 +93,13 @@ def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None
     """Add ``pandas``-style ``rank(pct=True)`` columns (average ties, nulls stay null).
 
     Each rank is joined back on the value. A value held by more than
-    ``1/salts`` of the rows (so at most ``salts`` such values exist) is
-    salted: its single rank row is replicated ``salts`` times with
-    ``explode(sequence)`` and its data rows pick a random replica, so one hot
-    value is spread over ``salts`` join tasks instead of one. Which replica a
-    row picks cannot change the result, only the load. Cold values join on
-    salt 0; AQE still turns the join into a broadcast when the table is small.
+    ``1/salts`` of the rows (so at most ``salts`` such values per column; they
+    are collected in one small job) is salted: its single rank row is
+    replicated ``salts`` times with ``explode(sequence)`` and its data rows
+    pick a random replica, so one hot value is spread over ``salts`` join
+    tasks instead of one. Which replica a row picks cannot change the result,
+    only the load. Columns without hot values use the plain join; AQE still
+    turns a join into a broadcast when the table is small.
     """
     out = list(out or [f"{c}_pct" for c in cols])
     spark = df.sparkSession
@@ -107,22 +108,24 @@ def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None
         # every join below reads the table: compute its shuffles once
         from tidemark.session import materialize
         table = materialize(rank_table(df, cols, n_buckets), "checkpoint")
+    # hot values of every column in one small job: at most `salts` per column
+    hot_flag = F.col("cnt") * F.lit(salts) > F.col("n")
+    hot: dict[str, list[float]] = {}
+    for r in table.where(hot_flag).select("k", "v").collect():
+        hot.setdefault(r["k"], []).append(float(r["v"]))
     for c, o in zip(cols, out):
         key, salt = f"__rk_{o}", f"__salt_{o}"
-        sub = table.where(F.col("k") == c)
-        hot_flag = F.col("cnt") * F.lit(salts) > F.col("n")
-        ranks = sub.select(F.col("v").alias(key), pct_rank_expr().alias(o), hot_flag.alias("__hot"))
-        right = (ranks.where("__hot").withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-                 .unionByName(ranks.where(~F.col("__hot")).withColumn(salt, F.lit(0)))
-                 .drop("__hot"))
-        # at most `salts` hot values: a bounded broadcast
-        hot = F.broadcast(ranks.where("__hot").select(F.col(key).alias(f"{key}_hot")))
+        ranks = table.where(F.col("k") == c).select(F.col("v").alias(key), pct_rank_expr().alias(o))
         v = F.col(c).cast("double")
-        tagged = (df.join(hot, v == F.col(f"{key}_hot"), "left")
-                  .withColumn(salt, F.when(F.col(f"{key}_hot").isNotNull(),
-                                           (F.rand(C_SEED) * salts).cast("int")).otherwise(F.lit(0)))
-                  .drop(f"{key}_hot"))
-        right = right.withColumnRenamed(salt, f"{salt}_r")
+        if not hot.get(c):
+            df = df.join(ranks, v == F.col(key), "left").drop(key)
+            continue
+        is_hot = F.col(key).isin(hot[c])
+        right = (ranks.where(is_hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                 .unionByName(ranks.where(~is_hot).withColumn(salt, F.lit(0)))
+                 .withColumnRenamed(salt, f"{salt}_r"))
+        tagged = df.withColumn(salt, F.when(v.isin(hot[c]), (F.rand(C_SEED) * salts).cast("int"))
+                               .otherwise(F.lit(0)))
         df = (tagged.join(right, (v == F.col(key)) & (F.col(salt) == F.col(f"{salt}_r")), "left")
               .drop(key, salt, f"{salt}_r"))
     return df
