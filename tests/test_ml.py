@@ -58,3 +58,16 @@ def test_isolation_flags_planted_outliers(spark):
     assert top["planted"].sum() == 5
     flagged, n = flag_outliers(df.drop("planted"), key_cols=[])
     assert 0 < n < 0.1 * df.count() or n == 0
+
+
+def test_planted_signal_auc_and_same_seed_equality(spark):
+    pdf = churn_input(spark, SF_SMALL).toPandas()
+    t = pdf["tenure"].astype(float)
+    pdf["Churn"] = np.where(t < t.median(), "Yes", "No")      # planted: short tenure churns
+    raw = spark.createDataFrame(pdf)
+    a = run_core(raw, model="rf")
+    assert a.auc is not None and a.auc >= 0.9
+    b = run_core(raw, model="rf")
+    pa = {r[0]: r[1] for r in a.df.select("customerID", "Churn_Prob").collect()}
+    pb = {r[0]: r[1] for r in b.df.select("customerID", "Churn_Prob").collect()}
+    assert pa == pb
