@@ -152,9 +152,11 @@ def _valid(c: str) -> F.Column:
     return F.when(x.isNotNull() & ~F.isnan(x), x)
 
 
-def _brackets(df: DataFrame, cols, spec, eps_of, accuracy: int = 10000) -> tuple[dict, list]:
-    """Job 1: counts, extremes and sketch values around every wanted q."""
-    aggs = []
+def _brackets(df: DataFrame, cols, spec, eps_of, accuracy: int = 10000,
+              extra: dict | None = None, extra_out: dict | None = None) -> dict:
+    """Job 1: counts, extremes and sketch values around every wanted q (plus
+    any caller aggregates that want to ride on the same scan)."""
+    aggs = [e.alias(f"__x_{k}") for k, e in (extra or {}).items()]
     for i, c in enumerate(cols):
         probs = []
         for q in spec[c]:
@@ -164,6 +166,8 @@ def _brackets(df: DataFrame, cols, spec, eps_of, accuracy: int = 10000) -> tuple
                  F.max(_valid(c)).alias(f"mx{i}"),
                  F.percentile_approx(_valid(c), probs, accuracy).alias(f"p{i}")]
     r = df.agg(*aggs).first()
+    if extra_out is not None:
+        extra_out.update({k: r[f"__x_{k}"] for k in (extra or {})})
     return {c: (r[f"n{i}"], r[f"mn{i}"], r[f"mx{i}"], r[f"p{i}"]) for i, c in enumerate(cols)}
 
 
@@ -237,7 +241,8 @@ def _pick(inside: list, below: int, lo_idx: int, hi_idx: int, g: float) -> float
 
 def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
               table: DataFrame | None = None, n_buckets: int | None = None,
-              accuracy: int = 10000, max_bracket: int = 200000) -> dict[str, list[float | None]]:
+              accuracy: int = 10000, max_bracket: int = 200000,
+              extra: dict | None = None, extra_out: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (numpy/pandas ``quantile``).
 
     Small jobs, none of which moves a whole column to one place:
@@ -257,7 +262,7 @@ def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
     cols = list(spec)
     values: dict[tuple, float | None] = {}
     base_eps = 2.0 / accuracy
-    stats = _brackets(df, cols, spec, lambda c: base_eps, accuracy)
+    stats = _brackets(df, cols, spec, lambda c: base_eps, accuracy, extra, extra_out)
     todo = []  # (col, q, n, lo_idx, hi_idx, lo, hi, gamma)
     for c in cols:
         n, mn, mx, pv = stats[c]

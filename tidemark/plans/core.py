@@ -169,7 +169,14 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     # staged and base are projections over the checkpointed `cleaned`:
     # re-reading them is cheaper than writing them out again
     med_cols = [f"__pick_{k}" for k, v in picks.items() if v[0] is not None]
-    meds = quantiles(staged, {c: [0.5] for c in med_cols}) if med_cols else {}
+    # the churn token counts (D6) ride on the same scan as the medians
+    churn_extra, churn_counts = {}, {}
+    if churn_col:
+        tok = lower_token(_q(churn_col))
+        mapped = F.when(tok.isin(C.CHURN_YES), 1.0).when(tok.isin(C.CHURN_NO), 0.0)
+        churn_extra = {"c": F.count(mapped), "s": F.sum(mapped)}
+    meds = (quantiles(staged, {c: [0.5] for c in med_cols}, extra=churn_extra, extra_out=churn_counts)
+            if med_cols else {})
     fills = {}
     # releases v1 and v3 have no total default: it stays missing and becomes
     # tenure x monthly below
@@ -199,9 +206,8 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     synthetic = True
     source = "Synthetic (no churn column found)"
     if churn_col:
-        tok = lower_token(_q(churn_col))
-        mapped = F.when(tok.isin(C.CHURN_YES), 1.0).when(tok.isin(C.CHURN_NO), 0.0)
-        r = base.agg(F.count(mapped).alias("c"), F.sum(mapped).alias("s")).first()
+        r = churn_counts if churn_counts else base.agg(churn_extra["c"].alias("c"),
+                                                        churn_extra["s"].alias("s")).first()
         if r["c"] == 0:
             num = _q(churn_col).cast("string").try_cast("double")
             mapped = FX.clip(F.bround(num, 0), 0, 1)
