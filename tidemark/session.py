@@ -47,6 +47,7 @@ def get_spark(master: str | None = None, app: str = "tidemark",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -88,3 +89,31 @@ def default_buckets(spark: SparkSession) -> int:
     except Exception:  # pragma: no cover - conf always set in practice
         n = 200
     return max(4, min(n, 4096))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidemark`` importable on every executor's Python workers.
+
+    Pandas UDFs (the isolation forest) pickle functions of this package by
+    reference; the workers import it. ``addPyFile`` of a zip of the package is
+    the standard way to ship it (cluster or local, any working directory).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = "tidemark.shipped"
+    if sc.getLocalProperty(key) == "1" or getattr(sc, "_tidemark_shipped", False):
+        return
+    import tidemark
+    pkg = os.path.dirname(os.path.abspath(tidemark.__file__))
+    root = os.path.dirname(pkg)
+    out_dir = tempfile.mkdtemp(prefix="tidemark-pkg-", dir=os.environ.get("TMPDIR", "/tmp"))
+    zpath = os.path.join(out_dir, "tidemark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._tidemark_shipped = True
