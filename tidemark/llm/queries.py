@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import pii
+from .mixing import taken_words
 from .near_dedup import near_classes
 from .quality_rules import quality_rules
 
@@ -28,7 +29,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_mixing": (op1_mixing, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
     "op7_quality_rules": (op7_quality_rules, None),
