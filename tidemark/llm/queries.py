@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import pii
 from .mixing import taken_words
 from .near_dedup import near_classes
+from .pieces import encode_digest
 from .quality_rules import quality_rules
 
 
@@ -33,9 +34,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
+    "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_quality_rules": (op7_quality_rules, None),
 }
