@@ -46,7 +46,8 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     The n-grams are exploded and counted with map-side partial aggregation, so
     each task sends at most ``buckets`` rows however frequent an n-gram is.
     """
-    target = trusted.select(F.col("doc_id").alias("t_id")).distinct()
+    # the ids grow with the corpus, so they are never broadcast
+    target = trusted.select(F.col("doc_id").alias("t_id")).distinct().hint("merge")
     marked = docs.select("doc_id", text_of().alias("text")).join(
         target, F.col("doc_id") == F.col("t_id"), "left")
     h = marked.select(F.col("t_id").isNotNull().cast("long").alias("good"),
