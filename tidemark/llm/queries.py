@@ -12,6 +12,7 @@ from .mixing import taken_words
 from .near_dedup import near_classes
 from .pieces import encode_digest
 from .quality_rules import quality_rules
+from .substring_dedup import dedup_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_suffix_array_dedup": (op8_suffix_array_dedup, None),
 }
