@@ -13,6 +13,8 @@ from .near_dedup import near_classes
 from .pieces import encode_digest
 from .quality_rules import quality_rules
 from .substring_dedup import dedup_digest
+from .top_k import ORACLE as TOP_K_SQL
+from .top_k import top_k_of_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +45,13 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_of_table(_table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
+    "op2_top_k": (op2_top_k, TOP_K_SQL),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
