@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import pii
+from .knn_quality import score as knn_score
 from .mixing import taken_words
 from .near_dedup import near_classes
 from .pieces import encode_digest
@@ -49,9 +50,14 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_of_table(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op2_top_k": (op2_top_k, TOP_K_SQL),
+    "op3_quality_classifier": (op3_quality_classifier, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
