@@ -48,3 +48,14 @@ def bit_table(hashes: DataFrame):
     table = np.zeros(WORDS, np.uint64)
     table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def maybe_in(table, hash_column):
+    """Boolean column: False where the hash is certainly not in the table."""
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def check(h: pd.Series) -> pd.Series:
+        return pd.Series(contains(table.value, h.to_numpy(np.int64)))
+
+    return check(hash_column)
