@@ -10,6 +10,7 @@ only passes more rows on to the exact step.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,6 @@ def bit_table(hashes: DataFrame):
 
 def maybe_in(table, hash_column):
     """Boolean column: False where the hash is certainly not in the table."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def check(h: pd.Series) -> pd.Series:
         return pd.Series(contains(table.value, h.to_numpy(np.int64)))
