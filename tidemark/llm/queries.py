@@ -14,6 +14,7 @@ from .near_dedup import near_classes
 from .pieces import encode_digest
 from .quality_rules import quality_rules
 from .substring_dedup import dedup_digest
+from .suffix_tree_lm import score as lm_score
 from .top_k import ORACLE as TOP_K_SQL
 from .top_k import top_k_of_table
 
@@ -54,10 +55,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op2_top_k": (op2_top_k, TOP_K_SQL),
     "op3_quality_classifier": (op3_quality_classifier, None),
+    "op4_lm_scoring": (op4_lm_scoring, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
