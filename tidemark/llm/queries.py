@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import pii
 from .knn_quality import score as knn_score
+from .licenses import scan_documents
 from .mixing import taken_words
 from .near_dedup import near_classes
 from .pieces import encode_digest
@@ -59,11 +60,16 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op2_top_k": (op2_top_k, TOP_K_SQL),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_lm_scoring": (op4_lm_scoring, None),
+    "op9_license_scan": (op9_license_scan, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op5_pii": (op5_pii, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
