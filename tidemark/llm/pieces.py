@@ -144,23 +144,73 @@ def forward(v: Vocabulary, s: str) -> tuple[list[float], list[list[tuple[int, in
     return alpha, ends
 
 
+class _Path:
+    """A partial segmentation, from the end of the chunk to ``at``, as a linked list.
+
+    Orders by priority, then by the lengths from the end (longer first, a path before
+    its extensions). Jump pointers find where two paths part in logarithmic time,
+    so long chunks with many equal scores stay linear in memory.
+    """
+
+    __slots__ = ("priority", "score", "at", "piece", "parent", "jump", "depth")
+
+    def __init__(self, priority: float, score: float, at: int, piece: int, parent):
+        self.priority, self.score, self.at, self.piece, self.parent = priority, score, at, piece, parent
+        if parent is None:
+            self.depth, self.jump = 0, self
+        else:
+            j = parent.jump
+            self.depth = parent.depth + 1
+            self.jump = j.jump if parent.depth - j.depth == j.depth - j.jump.depth else parent
+
+    def up_to(self, depth: int):
+        x = self
+        while x.depth > depth:
+            x = x.jump if x.jump.depth >= depth else x.parent
+        return x
+
+    def __lt__(self, other) -> bool:
+        if self.priority != other.priority:
+            return self.priority > other.priority
+        depth = min(self.depth, other.depth)
+        a, b = self.up_to(depth), other.up_to(depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.parent is not b.parent:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.parent, b.parent)
+        return a.at < b.at  # from the same place, the longer piece
+
+
 def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``n`` best segmentations (score, edge ids) of a chunk, in order.
 
     Backward A*: the priority of a partial path from the end is its score plus the
     forward score of where it stands, which no completion can exceed and
-    one attains.
+    one attains. Paths that leave the best one for the first time at different edges
+    differ, so the (n - 1)-th smallest of their losses bounds what must be kept.
     """
     alpha, ends = forward(v, s)
-    heap: list = [(-alpha[-1], (), 0.0, len(s), ())]
-    out = []
+    losses, at, g = [], len(s), 0.0
+    while at:
+        d, _, w = max((e for e in ends[at] if alpha[at - e[0]] + e[2] == alpha[at]), key=lambda e: e[0])
+        losses += [alpha[at] - alpha[at - e[0]] - e[2] for e in ends[at] if e[0] != d]
+        at, g = at - d, g + w
+    floor = alpha[-1] - sorted(losses)[n - 2] if 2 <= n <= len(losses) + 1 else -np.inf if n > 1 else alpha[-1]
+    floor -= 1e-12 * abs(floor)
+    heap, out = [_Path(alpha[-1], 0.0, len(s), -1, None)], []
     while heap and len(out) < n:
-        _, lengths, g, at, path = heapq.heappop(heap)
-        if at == 0:
-            out.append((g, path[::-1]))
+        x = heapq.heappop(heap)
+        if x.at == 0:
+            path, node = [], x
+            while node.parent is not None:
+                path.append(node.piece)
+                node = node.parent
+            out.append((x.score, tuple(path)))
             continue
-        for d, p, w in ends[at]:
-            heapq.heappush(heap, (-(g + w + alpha[at - d]), lengths + (-d,), g + w, at - d, path + (p,)))
+        for d, p, w in ends[x.at]:
+            f = x.score + w + alpha[x.at - d]
+            if f >= floor:
+                heapq.heappush(heap, _Path(f, x.score + w, x.at - d, p, x))
     return out
 
 
