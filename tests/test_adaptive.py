@@ -77,7 +77,7 @@ def test_quality_report_penalties(spark):
 
 
 def test_adaptive_fixture_pipeline(spark):
-    res = run_adaptive(adaptive_input(spark, SF_SMALL))
+    res = run_adaptive(adaptive_input(spark, SF_SMALL), model="heuristic", clv="heuristic")
     assert res.mapping["name_based"]["account_length"] == "tenure"
     assert res.mapping["churn_from"] == "CustomerStatus (status mapping)"
     assert res.thresholds.get("tenure_conversion") == "years_to_months"
@@ -91,7 +91,7 @@ def test_adaptive_fixture_pipeline(spark):
 def test_events_file_value_inference_and_isolation(spark):
     from tidemark.sources.fixtures import events_input
     from conftest import SF_MID
-    res = run_adaptive(events_input(spark, SF_MID))
+    res = run_adaptive(events_input(spark, SF_MID), model="heuristic", clv="heuristic")
     assert res.mapping["name_based"]["days_as_customer"] == "tenure_days"
     assert res.mapping["tenure_inferred_from"] == "tenure_days"
     assert res.mapping["churn_from"] == "Active (inverted)"

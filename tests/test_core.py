@@ -34,7 +34,7 @@ def test_roles_and_traps():
 
 def _compare(spark, pdf_raw):
     raw = spark.createDataFrame(pdf_raw.astype(object).where(pdf_raw.notna(), None))
-    got = run_core(raw).processed().toPandas()
+    got = run_core(raw, model="heuristic").processed().toPandas()
     want = pandas_model.run(pdf_raw)
     id_col = got.columns[0]
     got = got.sort_values(id_col).reset_index(drop=True)
@@ -66,8 +66,8 @@ def test_unmapped_churn_falls_back_to_tenure_median(spark):
 
 def test_reparse_trap_strict_switch(spark):
     raw = spark.createDataFrame(EDGE.astype(object).where(EDGE.notna(), None))
-    t = {r[0]: r[1] for r in run_core(raw).processed().select("Customer ID", "tenure").collect()}
-    ts = {r[0]: r[1] for r in run_core(raw, strict=True).processed().select("Customer ID", "tenure").collect()}
+    t = {r[0]: r[1] for r in run_core(raw, model="heuristic").processed().select("Customer ID", "tenure").collect()}
+    ts = {r[0]: r[1] for r in run_core(raw, strict=True, model="heuristic").processed().select("Customer ID", "tenure").collect()}
     assert t["a9"] == 29125.0 and ts["a9"] == 29.125
 
 
@@ -86,21 +86,21 @@ def test_segment_at_exact_thresholds(spark):
 
 
 def test_synthetic_labels_share(spark):
-    res = run_core(churn_input(spark, SF_SMALL).drop("Churn"))
+    res = run_core(churn_input(spark, SF_SMALL).drop("Churn"), model="heuristic")
     share = res.df.agg(F.avg("Churn")).first()[0]
     assert res.synthetic and 0.3 <= share <= 0.4
 
 
 def test_v1_lineage_formulas(spark):
     pdf = churn_input(spark, SF_SMALL).toPandas()
-    res = run_core(spark.createDataFrame(pdf), lineage="v1")
+    res = run_core(spark.createDataFrame(pdf), lineage="v1", model="heuristic")
     got = res.processed().toPandas()
     t, m = got["tenure"], got["MonthlyCharges"]
     assert np.allclose(got["ValueScore"], (m * np.log1p(t)).clip(lower=0))
     assert np.allclose(got["LoyaltyScore"], (t / (m + 1)).clip(lower=0))
     # total is its own predictor in the OLS value model: the fit is exact
     assert np.allclose(got["Predicted_CLV"], got["TotalCharges"].clip(lower=0), rtol=1e-6)
-    nolabel = run_core(spark.createDataFrame(pdf.drop(columns=["Churn"])), lineage="v1")
+    nolabel = run_core(spark.createDataFrame(pdf.drop(columns=["Churn"])), lineage="v1", model="heuristic")
     assert nolabel.churn_source == "Synthetic (tenure below median)"
 
 
@@ -110,8 +110,8 @@ def test_v1_v3_total_defaults_to_tenure_times_monthly(spark):
                         "MonthlyCharges": [str(10 + i) for i in range(25)],
                         "Churn": ["Yes" if i % 2 else "No" for i in range(25)]})
     for lineage in ("v1", "v3"):
-        got = run_core(spark.createDataFrame(pdf), lineage=lineage).processed().toPandas()
+        got = run_core(spark.createDataFrame(pdf), lineage=lineage, model="heuristic").processed().toPandas()
         assert np.allclose(got["TotalCharges"], got["tenure"] * got["MonthlyCharges"])
-    main = run_core(spark.createDataFrame(pdf)).processed().toPandas()
+    main = run_core(spark.createDataFrame(pdf), model="heuristic").processed().toPandas()
     # the current release falls back to the third numeric column (none here): the 6000 default
     assert (main["TotalCharges"] == 6000.0).all()

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.rank import _quantiles_from_table, quantiles, rank_table, with_pct_ranks
+from tidemark.operators import rank as R
+from tidemark.operators.rank import quantiles, rank_table, with_pct_ranks
 
 from conftest import SF_MID
 
@@ -44,12 +45,31 @@ def test_quantiles_match_numpy(spark, q):
     assert got["l_extendedprice"][0] == float(pdf["l_extendedprice"].quantile(q))
 
 
-def test_quantile_fallback_path_agrees(spark):
-    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_extendedprice")
-    a = quantiles(li, {"l_extendedprice": [0.3, 0.5]}, max_bracket=2)  # forces the rank table
-    b = _quantiles_from_table(li, {"l_extendedprice": [0.3, 0.5]})
-    want = li.toPandas()["l_extendedprice"].quantile([0.3, 0.5]).tolist()
-    assert a["l_extendedprice"] == want == b["l_extendedprice"]
+def test_brackets_narrow_without_the_rank_table(spark, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("the rank table moves the whole column")
+
+    monkeypatch.setattr(R, "rank_table", never)
+    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_extendedprice", "l_quantity")
+    qs = [0.001, 0.3, 0.5, 0.999]
+    want = li.toPandas()
+    for bracket, accuracy in ((2, 10000), (50, 20), (0, 100)):
+        got = quantiles(li, {c: qs for c in want.columns}, accuracy=accuracy, max_bracket=bracket)
+        for c in want.columns:
+            assert got[c] == [want[c].quantile(q) for q in qs]
+
+
+def test_null_values_are_spread(spark):
+    df = spark.range(20000).selectExpr("id", "if(id % 10 < 9, null, cast(id as double)) as x")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_pct_ranks(df, ["x"], ["r"], salts=8)
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(sizes) < 0.5 * 20000 and out.filter("x is null and r is not null").count() == 0
 
 
 def test_skewed_value(spark):

@@ -13,7 +13,7 @@ from conftest import SF_SMALL
 
 
 def test_core_tables_and_audit(spark):
-    res = run_core(churn_input(spark, SF_SMALL))
+    res = run_core(churn_input(spark, SF_SMALL), model="heuristic")
     tables = report.core_tables(res)
     audit = {(r["section"], r["key"]): r["value"] for r in tables["data_quality"].collect()}
     assert audit[("COLUMN DETECTION", "Churn Column")] == "Churn"

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 
 def test_v2_on_adaptive_fixture(spark):
-    res = run_adaptive_v2(adaptive_input(spark, SF_SMALL))
+    res = run_adaptive_v2(adaptive_input(spark, SF_SMALL), model="heuristic", clv="heuristic")
     assert res.mapping == {"account_length": "tenure", "total_spend": "TotalCharges",
                            "customer_status": "Churn"}
     df = res.df
@@ -40,7 +40,7 @@ def test_binary_tokens_numbers_are_not_tokens(spark):
 
 def test_v2_report_tables(spark):
     from tidemark.plans.report import v2_tables
-    res = run_adaptive_v2(adaptive_input(spark, SF_SMALL))
+    res = run_adaptive_v2(adaptive_input(spark, SF_SMALL), model="heuristic", clv="heuristic")
     t = v2_tables(res)
     assert "ChargeRatio" not in t["data"].columns and "SpendingVariance" in t["data"].columns
     assert t["tenure_dist"].count() == 5

@@ -75,6 +75,9 @@ SEED = 42
 
 ADAPTIVE_MIN_ROWS = 3
 ADAPTIVE_MAX_ROWS_WARN = 100000
+# FIXED VALUES: cell texts that a table reader takes as missing.
+NA_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+            "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 ADAPTIVE_ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1", "utf-16", "ascii", "utf-8-sig"]
 ADAPTIVE_DELIMITERS = [",", ";", "\t", "|", ":"]
 DELIMITER_SAMPLE_BYTES = 16384
@@ -242,3 +245,12 @@ V2_DEFAULT_TOTAL = 600.0
 V2_EXPORT_DROP_COLUMNS = ["ExpectedTotal", "ChargeRatio"]
 V2_RF = {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 1}
 V2_GBT = {"maxIter": 80, "maxDepth": 4}
+
+
+# FIXED VALUES: quality rules as (limit, penalty) steps, highest limit first.
+QUALITY_MISSING_STEPS = ((50, 40), (20, 20), (5, 5))     # percent of cells
+QUALITY_DUPLICATE_STEPS = ((30, 15), (10, 5))            # percent of rows
+QUALITY_PENALTIES = {"no_numbers": 30, "other_domain": 15, "unknown_domain": 20, "empty_columns": 10, "no_value": 10}
+QUALITY_DOMAIN_HITS = 3       # names that settle the domain
+QUALITY_NUMERIC_SHARE = 0.3   # parsed share of a possibly numeric column
+QUALITY_VALID_SCORE = 30

@@ -26,6 +26,36 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_col(c).cast("string"), EDGE_WHITESPACE, "")
 
 
+# a number as float() reads it; Java's own literals (30d, 1.5f, 0x1p3) are none
+DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
+
+
+def to_double(c) -> Column:
+    """Cast of decimal text only; null for anything else. ``inf`` and ``nan`` read as such."""
+    s = py_strip(c)
+    low = F.lower(F.regexp_replace(s, r"^\+", ""))
+    special = (F.when(low.rlike("^-inf"), F.lit(float("-inf"))).when(low.rlike("^inf"), F.lit(float("inf")))
+               .otherwise(F.lit(float("nan"))))
+    return F.when(s.rlike(DECIMAL), s.try_cast("double")).when(s.rlike(SPECIAL), special)
+
+
+def plain_text(c: Column, dtype: str) -> Column:
+    """A typed column as text; doubles and floats as Python writes them (``12345678.0``, ``1e+16``)."""
+    if dtype not in ("double", "float"):
+        return c.cast("string")
+    s = c.cast("string")
+    a = F.abs(c)
+    # Java turns to exponents at 1e7 and below 1e-3, Python at 1e16 and below 1e-4
+    zeros = lambda x: F.regexp_replace(F.regexp_replace(x, r"0+$", ""), r"\.$", ".0")
+    big, small = zeros(s.try_cast("decimal(38,10)").cast("string")), zeros(s.try_cast("decimal(38,30)").cast("string"))
+    mantissa = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
+    exponent = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (F.when(~s.contains("E"), s).when((a >= 1e7) & (a < 1e16), big)
+            .when((a < 1e-3) & (a >= 1e-4), small).otherwise(exponent))
+
+
 def clean_num(c, locale_rule: str = "default") -> Column:
     """Currency, whitespace and locale repair, then a lenient cast.
 
@@ -42,7 +72,7 @@ def clean_num(c, locale_rule: str = "default") -> Column:
         eu = eu | s.rlike(r"(?U)\d,\d{3}[.,]")
     as_eu = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
     fixed = F.when(eu, as_eu).otherwise(F.regexp_replace(s, ",", ""))
-    return F.regexp_replace(fixed, NON_NUMERIC, "").try_cast("double")
+    return to_double(F.regexp_replace(fixed, NON_NUMERIC, ""))
 
 
 def reparse_float(c, strict: bool = False) -> Column:
@@ -78,7 +108,7 @@ def adaptive_num(c) -> Column:
     t = F.when(t.isin(C.ADAPTIVE_NULL_TOKENS), F.lit(None)).otherwise(t)
     t = F.regexp_replace(t, CURRENCY_ADAPTIVE, "")
     t = F.regexp_replace(t, r"%$", "")
-    return t.try_cast("double")
+    return to_double(t)
 
 
 def safe_float(c, default: float = 0.0) -> Column:

@@ -2,10 +2,11 @@
 
 MLlib has no isolation forest, so:
 
-1. a Bernoulli sample of about ``trees x 256`` rows is spread over tree ids
-   and every tree is grown from its own group with ``applyInPandas``
-   (each group holds at most ``max_samples`` rows -- the sampling is the
-   algorithm, not a cap on the data);
+1. every tree takes its own ``psi = min(256, n)`` rows, those of the smallest
+   hash of (seed, tree, feature values); rows below a hash bound that almost
+   surely leaves more than psi are ranked per tree, and each tree is grown from its
+   group with ``applyInPandas`` (the sampling is the algorithm). The choice
+   depends on the values alone, not on partitions or arrival order;
 2. the forest (``trees x <= 511`` nodes, fixed by the parameters) goes to the
    tasks, which score every row in Arrow batches with ``mapInPandas``;
 3. rows scoring above the exact (1 - contamination) quantile are flagged.
@@ -17,7 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +69,7 @@ def _tree_builder(cols: list[str], max_samples: int, seed: int):
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["__tree"].iloc[0])
-        x = pdf[cols].to_numpy(dtype=float)[:max_samples]
+        x = pdf.sort_values(["__h", *cols])[cols].to_numpy(dtype=float)
         rng = np.random.default_rng(seed + tree)
         nodes = _grow(x, rng, max_depth)
         return pd.DataFrame({
@@ -120,10 +121,16 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = 100, max_sam
     fcols = [f"__f{i}" for i in range(len(cols))]
     n = n if n is not None else filled.count()
     psi = min(max_samples, n)
-    frac = min(1.0, n_trees * psi * 1.3 / max(n, 1))
-    sample = (filled.select(*fcols).sample(False, frac, seed)
-              .withColumn("__tree", (F.rand(seed) * n_trees).cast("int")))
-    forest = (sample.select("__tree", *fcols)
+    # a tree's row count under the bound is binomial: eight deviations of room
+    share = min(1.0, (psi + 8 * math.sqrt(psi) + 8) / max(n, 1))
+    bound = F.lit(int(share * (1 << 62)))
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, *fcols), F.lit(1 << 62)).alias("h")))
+    drawn = filled.select(*fcols, F.explode(F.filter(hashed, lambda s: s["h"] <= bound)).alias("s"))
+    drawn = drawn.select(*fcols, F.col("s.tree").alias("__tree"), F.col("s.h").alias("__h"))
+    first = Window.partitionBy("__tree").orderBy("__h", *fcols)
+    sample = drawn.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= psi)
+    forest = (sample.select("__tree", "__h", *fcols)
               .groupBy("__tree").applyInPandas(_tree_builder(fcols, psi, seed), TREE_SCHEMA)
               .toPandas())  # trees x nodes, bounded by n_trees and max_samples
     out_schema = T.StructType(filled.schema.fields + [T.StructField("__iso_score", T.DoubleType())])

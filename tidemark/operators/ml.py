@@ -7,11 +7,15 @@ regressions are solved from one aggregate of sufficient statistics.
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +24,10 @@ from tidemark import config as C
 from tidemark.operators import features as FX
 
 LABEL = "Churn"
+log = logging.getLogger(__name__)
+# a model that cannot be trained on the data is passed over; anything else
+# (a lost executor, exhausted memory) is raised
+UNTRAINABLE = (IllegalArgumentException, AnalysisException)
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, dict]:
@@ -34,16 +42,46 @@ def class_weights(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, dict]:
 
 
 def hash_split(df: DataFrame, test_share: float, seed: int = C.SEED,
-               key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """M3: deterministic split by a row hash, per class (so it is stratified
-    whenever the classes are large). Recomputing a lost partition gives the
-    same rows, unlike ``randomSplit`` over an unordered input."""
-    cols = key_cols or df.columns
-    h = F.abs(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])) % 1_000_000
-    flagged = df.withColumn("__test", h < int(test_share * 1_000_000))
+               stratify: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """M3: the test rows are those of the smallest row hashes, ``test_share`` of
+    each class (of all rows without ``stratify``; by default, if there is a label).
+
+    The cut is an exact quantile of the hash, so class shares are exact to a
+    row and recomputing a lost partition gives the same rows, unlike
+    ``randomSplit`` over an unordered input.
+    """
+    from tidemark.operators.rank import quantiles
+
+    stratify = LABEL in df.columns if stratify is None else stratify
+    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 52)).cast("double")
+    hashed = df.withColumn("__h", h)
+    groups = {r[0]: r[1] for r in df.groupBy(LABEL).count().collect()} if stratify else {None: df.count()}
+    is_test = F.lit(False)
+    for label, n in groups.items():
+        k = round(n * test_share) if stratify else math.ceil(n * test_share)
+        if k == 0 or n < 2:
+            continue
+        mine = F.col(LABEL).eqNullSafe(F.lit(label)) if stratify else F.lit(True)
+        # half-way between the k-th and the next hash
+        cut = quantiles(hashed.where(mine).select("__h"), {"__h": [min(1.0, (k - 0.5) / (n - 1))]})["__h"][0]
+        is_test = is_test | (mine & (F.col("__h") <= F.lit(cut)))
+    flagged = hashed.withColumn("__test", is_test).drop("__h")
     return flagged.where(~F.col("__test")).drop("__test"), flagged.where(F.col("__test")).drop("__test")
 
 
+def robust_scaled(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """M8: (x - median) / (quartile range), exact and over all rows; a zero range scales by 1."""
+    from tidemark.operators.rank import quantiles
+
+    q = quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    out = [f"__s{i}" for i in range(len(cols))]
+    scaled = {}
+    for c, o in zip(cols, out):
+        low, mid, high = (0.0 if v is None else v for v in q[c])
+        scaled[o] = (F.col(f"`{c}`").cast("double") - F.lit(mid)) / F.lit((high - low) or 1.0)
+    return df.withColumns(scaled), out
+
+
 def _metrics(pred: DataFrame) -> tuple[float | None, float | None]:
     acc = pred.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
     classes = pred.select(LABEL).distinct().count()
@@ -67,11 +105,11 @@ def core_model(feats: DataFrame, model: str, synthetic: bool, n: int, lineage: s
     stats = feats.agg(F.count_distinct(LABEL).alias("k")).first()
     if n < C.MIN_ROWS_FOR_ML or stats["k"] < 2:
         return None
-    weighted, counts = class_weights(feats.withColumn(LABEL, F.col(LABEL).cast("double")))
+    data = feats.withColumn(LABEL, F.col(LABEL).cast("double"))
+    counts = {r[0]: r[1] for r in data.groupBy(LABEL).count().collect()}
     min_class = min(counts.values())
-    stratify = min_class >= max(2, int(n * 0.20 * 0.10))
-    key = None if stratify else [c for c in feats.columns if c != LABEL]
-    train, test = hash_split(weighted, 0.20, key_cols=key)
+    train, test = hash_split(data, 0.20, stratify=min_class >= max(2, int(n * 0.20 * 0.10)))
+    train, _ = class_weights(train)
     assembler = VectorAssembler(inputCols=C.CORE_FEATURES, outputCol="features", handleInvalid="keep")
     order = {"auto": ["rf", "gbt"], "rf": ["rf"], "gbt": ["gbt"]}[model]
     for name in order:
@@ -87,13 +125,13 @@ def core_model(feats: DataFrame, model: str, synthetic: bool, n: int, lineage: s
             acc = auc = None
             if not withhold:
                 acc, auc = _metrics(fitted.transform(test))
-            scored = (fitted.transform(weighted).withColumn("Churn_Prob", _prob())
-                      .drop("features", "rawPrediction", "probability", "prediction", "__w")
+            scored = (fitted.transform(data).withColumn("Churn_Prob", _prob())
+                      .drop("features", "rawPrediction", "probability", "prediction")
                       .withColumn(LABEL, F.col(LABEL).cast("int")))
             note = f"{label} (Synthetic Labels — metrics suppressed)" if synthetic else label
             return scored, note, acc, auc
-        except Exception:  # noqa: BLE001 - the reference falls through to the next model
-            continue
+        except UNTRAINABLE as exc:
+            log.warning("%s could not be trained: %s", name, exc)
     return None
 
 
@@ -105,33 +143,35 @@ def adaptive_model(df: DataFrame, feats: list[str], stats):
         return None
     test_share = min(0.25, max(0.1, 10 / n))
     data = df.withColumn(LABEL, F.col(LABEL).cast("double"))
-    weighted, _ = class_weights(data)
-    train, test = hash_split(weighted, test_share, key_cols=[c for c in df.columns if c != LABEL])
-    assembler = VectorAssembler(inputCols=feats, outputCol="raw", handleInvalid="keep")
-    scaler = RobustScaler(inputCol="raw", outputCol="features")
+    data, scaled = robust_scaled(data, feats)
+    train, test = hash_split(data, test_share)
+    train, counts = class_weights(train)
+    assembler = VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep")
     cands = [
         ("RF", RandomForestClassifier(labelCol=LABEL, weightCol="__w", seed=C.SEED,
                                       minInstancesPerNode=2, **C.ADAPTIVE_RF)),
         ("GB", GBTClassifier(labelCol=LABEL, seed=C.SEED, minInstancesPerNode=2, **C.ADAPTIVE_GBT)),
-        ("LR", LogisticRegression(labelCol=LABEL, weightCol="__w", maxIter=1000)),
+        # an L2 penalty of C = 1 on the summed loss is 1 / n on the mean loss
+        ("LR", LogisticRegression(labelCol=LABEL, weightCol="__w", maxIter=1000, standardization=False,
+                                  regParam=1.0 / max(1, sum(counts.values())))),
     ]
     best = None
     for name, clf in cands:
         try:
-            fitted = Pipeline(stages=[assembler, scaler, clf]).fit(train)
+            fitted = Pipeline(stages=[assembler, clf]).fit(train)
             acc, auc = _metrics(fitted.transform(test))
             auc = 0.5 if auc is None else auc
             score = (auc + acc) / 2
             if best is None or score > best[0]:
                 best = (score, name, fitted, acc, auc)
-        except Exception:  # noqa: BLE001
-            continue
+        except UNTRAINABLE as exc:
+            log.warning("%s could not be trained: %s", name, exc)
     if best is None:
         return None
     _, name, fitted, acc, auc = best
-    scored = (fitted.transform(weighted)
+    scored = (fitted.transform(data)
               .withColumn("Churn_Prob", FX.clip(_prob(), 0.01, 0.99))
-              .drop("raw", "features", "rawPrediction", "probability", "prediction", "__w")
+              .drop("features", "rawPrediction", "probability", "prediction", *scaled)
               .withColumn(LABEL, F.col(LABEL).cast("int")))
     note = f"ML model ({name}) - Accuracy: {acc:.1%}" + (f", AUC: {auc:.2f}" if auc else "")
     return scored, note, acc, auc
@@ -196,8 +236,7 @@ def v2_model(df: DataFrame, feats: list[str], stats):
     test_share = min(0.25, max(0.1, 10 / n))
     data = df.withColumn(LABEL, F.col(LABEL).cast("double"))
     strat = s >= 2 and (n - s) >= 2
-    train, test = hash_split(data, test_share,
-                             key_cols=None if strat else [c for c in df.columns if c != LABEL])
+    train, test = hash_split(data, test_share, stratify=strat)
     assembler = VectorAssembler(inputCols=feats, outputCol="raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     best = None
@@ -208,8 +247,8 @@ def v2_model(df: DataFrame, feats: list[str], stats):
             acc, _ = _metrics(fitted.transform(test))
             if best is None or acc > best[0]:
                 best = (acc, fitted)
-        except Exception:  # noqa: BLE001
-            continue
+        except UNTRAINABLE as exc:
+            log.warning("%s could not be trained: %s", name, exc)
     if best is None:
         return None
     acc, fitted = best

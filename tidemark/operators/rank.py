@@ -96,9 +96,9 @@ def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None
     ``1/salts`` of the rows (so at most ``salts`` such values per column; they
     are collected in one small job) is salted: its single rank row is
     replicated ``salts`` times with ``explode(sequence)`` and its data rows
-    pick a random replica, so one hot value is spread over ``salts`` join
-    tasks instead of one. Which replica a row picks cannot change the result,
-    only the load. Columns without hot values use the plain join; AQE still
+    pick a replica by a hash of the row, so one hot value is spread over ``salts`` join
+    tasks, and a task that runs again sends every row where it went before. Null
+    values meet no rank; they are spread by the same salt. AQE still
     turns a join into a broadcast when the table is small.
     """
     out = list(out or [f"{c}_pct" for c in cols])
@@ -113,27 +113,22 @@ def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None
     hot: dict[str, list[float]] = {}
     for r in table.where(hot_flag).select("k", "v").collect():
         hot.setdefault(r["k"], []).append(float(r["v"]))
+    row_cols = [c for c, t in df.dtypes if not t.startswith("map")]
     for c, o in zip(cols, out):
         key, salt = f"__rk_{o}", f"__salt_{o}"
         ranks = table.where(F.col("k") == c).select(F.col("v").alias(key), pct_rank_expr().alias(o))
         v = F.col(c).cast("double")
-        if not hot.get(c):
-            df = df.join(ranks, v == F.col(key), "left").drop(key)
-            continue
-        is_hot = F.col(key).isin(hot[c])
+        is_hot = F.col(key).isin(hot.get(c, []))
         right = (ranks.where(is_hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
                  .unionByName(ranks.where(~is_hot).withColumn(salt, F.lit(0)))
                  .withColumnRenamed(salt, f"{salt}_r"))
-        tagged = df.withColumn(salt, F.when(v.isin(hot[c]), (F.rand(C_SEED) * salts).cast("int"))
-                               .otherwise(F.lit(0)))
+        spread = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in row_cols]), F.lit(salts)).cast("int")
+        tagged = df.withColumn(salt, F.when(v.isNull() | F.isnan(v) | v.isin(hot.get(c, [])), spread).otherwise(F.lit(0)))
         df = (tagged.join(right, (v == F.col(key)) & (F.col(salt) == F.col(f"{salt}_r")), "left")
               .drop(key, salt, f"{salt}_r"))
     return df
 
 
-C_SEED = 42
-
-
 def _lerp(a: float, b: float, t: float) -> float:
     # numpy's linear interpolation, including its two-sided form
     diff = b - a
@@ -143,8 +138,9 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def _virtual_index(n: int, q: float) -> float:
-    # numpy's "linear" method places quantile q at (n - 1) * q
-    return (n - 1) * q
+    # numpy's "linear" method places quantile q at (n - 1) * q; pandas hands it a
+    # percentage, which can change the last bit of q
+    return (n - 1) * ((q * 100) / 100)
 
 
 def _valid(c: str) -> F.Column:
@@ -171,32 +167,6 @@ def _brackets(df: DataFrame, cols, spec, eps_of, accuracy: int = 10000,
     return {c: (r[f"n{i}"], r[f"mn{i}"], r[f"mx{i}"], r[f"p{i}"]) for i, c in enumerate(cols)}
 
 
-def _bracket_counts(df: DataFrame, pairs: list, with_below: bool) -> dict:
-    """One shuffle for all brackets: rows are tagged with the brackets they fall
-    in (and, optionally, a single ``below`` key per bracket, which map-side
-    partial aggregation collapses) and grouped by (bracket, value)."""
-    tags = []
-    for k, p in enumerate(pairs):
-        c, q, n, lo_idx, hi_idx, lo, hi, g = p
-        x = _valid(c)
-        tag = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                     F.struct(F.lit(k).alias("pair"), F.lit(False).alias("below"), x.alias("v")))
-        if with_below:
-            tag = tag.when(x < F.lit(lo), F.struct(F.lit(k).alias("pair"), F.lit(True).alias("below"),
-                                                    F.lit(None).cast("double").alias("v")))
-        tags.append(tag)
-    parts = (df.select(F.explode(F.filter(F.array(*tags), lambda e: e.isNotNull())).alias("e"))
-             .groupBy("e.pair", "e.below", "e.v").agg(F.count(F.lit(1)).alias("cnt")))
-    out: dict = {}
-    for row in parts.collect():
-        d = out.setdefault(row["pair"], {"below": 0, "values": []})
-        if row["below"]:
-            d["below"] += row["cnt"]
-        else:
-            d["values"].append((row["v"], row["cnt"]))
-    return out
-
-
 def _bracket_agg(df: DataFrame, pairs: list) -> dict:
     """One global aggregate (no shuffle) for brackets whose size is bounded:
     rows below, rows equal to each end (duplicates of the ends are counted,
@@ -239,146 +209,133 @@ def _pick(inside: list, below: int, lo_idx: int, hi_idx: int, g: float) -> float
     return a if a == b else _lerp(a, b, g)
 
 
-def quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
-              table: DataFrame | None = None, n_buckets: int | None = None,
-              accuracy: int = 10000, max_bracket: int = 200000,
-              extra: dict | None = None, extra_out: dict | None = None) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles (numpy/pandas ``quantile``).
+class _Wanted:
+    """One order-statistic request: ranks ``lo_idx``, ``hi_idx`` (from 0) of ``n`` and the
+    value bracket that is being narrowed; ``outer`` certainly holds both ranks."""
+
+    def __init__(self, c, q, n, mn, mx, bracket):
+        virt = _virtual_index(n, q)
+        self.c, self.q, self.n = c, q, n
+        self.lo_idx = math.floor(virt)
+        self.hi_idx = min(self.lo_idx + 1, n - 1)
+        self.g = virt - self.lo_idx
+        self.outer = (float(mn), float(mx))
+        self.lo, self.hi = bracket
+        self.missed = False
+
+    def as_pair(self) -> tuple:
+        return (self.c, self.q, self.n, self.lo_idx, self.hi_idx, self.lo, self.hi, self.g)
+
+    def counted(self, below: int, upto: int) -> str:
+        """Takes the rows below ``lo`` and up to ``hi``. "in": both ranks lie in the
+        bracket. "miss": they lie outside, the bracket is what is left. "low", "high": the
+        two ranks part at that end of the bracket."""
+        if below == self.hi_idx and below > self.lo_idx:
+            return "low"
+        if upto == self.hi_idx and upto > self.lo_idx:
+            return "high"
+        if below > self.lo_idx:
+            self.outer = (self.outer[0], self.lo)
+        elif upto <= self.hi_idx:
+            self.outer = (self.hi, self.outer[1])
+        else:
+            self.outer = (self.lo, self.hi)
+            return "in"
+        self.lo, self.hi = self.outer
+        self.missed = True
+        return "miss"
 
-    Small jobs, none of which moves a whole column to one place:
+    def parted(self, df: DataFrame, end: str) -> float:
+        """The value between the ranks when they part at an end of the bracket."""
+        x = _valid(self.c)
+        left = x < F.lit(self.lo) if end == "low" else x <= F.lit(self.hi)
+        r = df.agg(F.max(F.when(left, x)), F.min(F.when(~left, x))).first()
+        return r[0] if r[0] == r[1] else _lerp(r[0], r[1], self.g)
 
-    1. row count, min/max and an approximate sketch value just below and
-       just above each wanted quantile (``percentile_approx``, mergeable);
-    2. exact counts of values below the lower bracket end and up to the upper
-       one -- this *verifies* that the wanted positions lie inside -- plus an
-       estimate of the distinct values inside; a failed bracket is widened
-       once (now that the row count is known) and checked again;
-    3. ``groupBy(value).count()`` restricted to the brackets, collected (its
-       size is bounded by ``max_bracket``).
 
-    A bracket that still fails or is too wide is answered by the fully
-    distributed rank table instead. Returns ``{column: [value per q]}``.
+def quantiles(df: DataFrame, spec: dict[str, Sequence[float]], accuracy: int = 10000, max_bracket: int = 200000,
+              extra: dict | None = None, extra_out: dict | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles (numpy/pandas ``quantile``).
+
+    No job moves a column. The first one takes counts, extremes and sketch
+    values just below and above each wanted rank (``percentile_approx``,
+    mergeable). Then each pass counts, for every open request, the rows below its
+    bracket, up to its upper end and strictly inside; ranks that fell outside
+    move the bracket to the part known to hold them. As long as more
+    than ``max_bracket`` rows lie inside, a sketch of just these rows narrows the
+    bracket (about ``accuracy`` / 4 times a pass, whatever the size); then they are listed.
+    A value held by any number of rows becomes a bracket end, which is only counted.
+    Returns ``{column: [value per q]}``.
     """
     cols = list(spec)
     values: dict[tuple, float | None] = {}
-    base_eps = 2.0 / accuracy
-    stats = _brackets(df, cols, spec, lambda c: base_eps, accuracy, extra, extra_out)
-    todo = []  # (col, q, n, lo_idx, hi_idx, lo, hi, gamma)
+    eps = 2.0 / accuracy
+    stats = _brackets(df, cols, spec, lambda c: eps, accuracy, extra, extra_out)
+    open_: list[_Wanted] = []
     for c in cols:
         n, mn, mx, pv = stats[c]
         for j, q in enumerate(spec[c]):
             q = float(q)
             if n == 0:
                 values[(c, q)] = None
-                continue
-            if q <= 0.0 or n == 1:
+            elif q <= 0.0 or n == 1:
                 values[(c, q)] = float(mn)
-                continue
-            if q >= 1.0:
+            elif q >= 1.0:
                 values[(c, q)] = float(mx)
-                continue
-            virt = _virtual_index(n, q)
-            lo_idx = math.floor(virt)
-            hi_idx = min(lo_idx + 1, n - 1)
-            todo.append((c, q, n, lo_idx, hi_idx, pv[2 * j], pv[2 * j + 1], virt - lo_idx))
-    good, fallback = [], []
-    # percentile_approx (Greenwald-Khanna) has a deterministic rank error of
-    # at most eps * n: a bracket of +-2 eps holds at most ~6 eps n + 1 ranks.
-    small = [p for p in todo if 6 * base_eps * p[2] + 2 <= max_bracket]
-    if small:
-        got = _bracket_agg(df, small)
-        retry_small = []
-        for k, p in enumerate(small):
-            c, q, n, lo_idx, hi_idx, lo, hi, g = p
-            below = got.get(k, {}).get("below", 0)
-            inside = got.get(k, {}).get("values", [])
-            upto = below + sum(cnt for _, cnt in inside)
-            if below <= lo_idx and upto >= hi_idx + 1:
-                values[(c, q)] = _pick(inside, below, lo_idx, hi_idx, g)
-            else:
-                retry_small.append(p)
-        todo = [p for p in todo if p not in small] + retry_small
-    for attempt in range(2):
-        if not todo:
-            break
-        checks = []
-        for k, (c, q, n, lo_idx, hi_idx, lo, hi, g) in enumerate(todo):
-            x = _valid(c)
-            inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-            checks += [F.count_if(x < F.lit(lo)).alias(f"b{k}"), F.count_if(x <= F.lit(hi)).alias(f"u{k}"),
-                       F.approx_count_distinct(F.when(inside, x)).alias(f"d{k}")]
-        r2 = df.agg(*checks).first()
-        retry = []
-        for k, p in enumerate(todo):
-            c, q, n, lo_idx, hi_idx, lo, hi, g = p
-            ok = r2[f"b{k}"] <= lo_idx and r2[f"u{k}"] >= hi_idx + 1
-            if ok and r2[f"d{k}"] <= max_bracket // 2:
-                good.append((p, r2[f"b{k}"]))
-            elif ok or attempt == 1:
-                fallback.append(p)
-            else:
-                retry.append(p)
-        todo = []
-        if retry:
-            wide = {p[0]: max(base_eps, 4.0 / p[2]) for p in retry}
-            rspec: dict[str, list[float]] = {}
-            for p in retry:
-                rspec.setdefault(p[0], []).append(p[1])
-            st2 = _brackets(df, list(rspec), rspec, lambda c: wide[c], accuracy)
-            for p in retry:
-                c, q = p[0], p[1]
-                j = rspec[c].index(q)
-                pv = st2[c][3]
-                todo.append((c, q, p[2], p[3], p[4], pv[2 * j], pv[2 * j + 1], p[7]))
-    if good:
-        got = _bracket_counts(df, [p for p, _ in good], with_below=False)
-        for k, (p, below) in enumerate(good):
-            c, q, n, lo_idx, hi_idx, lo, hi, g = p
-            values[(c, q)] = _pick(got.get(k, {}).get("values", []), below, lo_idx, hi_idx, g)
-    if fallback:
-        fb_spec: dict[str, list[float]] = {}
-        for p in fallback:
-            fb_spec.setdefault(p[0], []).append(p[1])
-        res = _quantiles_from_table(df, fb_spec, table, n_buckets)
-        for c, qs in fb_spec.items():
-            for q, v in zip(qs, res[c]):
-                values[(c, q)] = v
-    return {c: [values.get((c, float(q))) for q in spec[c]] for c in cols}
-
-
-def _quantiles_from_table(df: DataFrame, spec: dict[str, Sequence[float]],
-                          table: DataFrame | None = None,
-                          n_buckets: int | None = None) -> dict[str, list[float | None]]:
-    """Order statistics read off the distributed rank table (no size limit)."""
-    cols = list(spec)
-    spark = df.sparkSession
-    table = table if table is not None else rank_table(df, cols, n_buckets)
-    reqs = spark.createDataFrame(
-        [(c, float(q)) for c in cols for q in spec[c]], "k string, q double")
-    pos = (F.col("n") - 1) * F.col("q")
-    t = (table.join(F.broadcast(reqs), "k")
-         .withColumn("lo", F.floor(pos))
-         .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)))
-    cover_lo = (F.col("cum_before") <= F.col("lo")) & (F.col("lo") < F.col("cum_before") + F.col("cnt"))
-    cover_hi = (F.col("cum_before") <= F.col("hi")) & (F.col("hi") < F.col("cum_before") + F.col("cnt"))
-    rows = (t.where(cover_lo | cover_hi)
-            .groupBy("k", "q")
-            .agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("n").alias("n"))
-            .collect())
-    got = {(r["k"], r["q"]): r for r in rows}
-    result: dict[str, list[float | None]] = {}
-    for c in cols:
-        vals = []
-        for q in spec[c]:
-            r = got.get((c, float(q)))
-            if r is None:
-                vals.append(None)
-                continue
-            virt = _virtual_index(r["n"], float(q))
-            gamma = virt - math.floor(virt)
-            vals.append(_lerp(r["a"], r["b"], gamma) if r["a"] != r["b"] else r["a"])
-        result[c] = vals
-    return result
+            elif (c, q) not in values:
+                values[(c, q)] = None
+                open_.append(_Wanted(c, q, n, mn, mx, (pv[2 * j], pv[2 * j + 1])))
+    # the first sketch's rank error bounds what lies inside: list it at once if that is enough
+    listed = [w for w in open_ if 6 * eps * w.n + 2 <= max_bracket]
+    while open_:
+        counted = [w for w in open_ if w not in listed]
+        got = _bracket_agg(df, [w.as_pair() for w in listed]) if listed else {}
+        for k, w in enumerate(listed):
+            below, inside = got[k]["below"], got[k]["values"]
+            where = w.counted(below, below + sum(cnt for _, cnt in inside))
+            if where != "miss":
+                values[(w.c, w.q)] = (_pick(inside, below, w.lo_idx, w.hi_idx, w.g) if where == "in"
+                                      else w.parted(df, where))
+                open_.remove(w)
+        listed, wide = [], []
+        if counted:
+            aggs = []
+            for k, w in enumerate(counted):
+                x = _valid(w.c)
+                aggs += [F.count_if(x < F.lit(w.lo)).alias(f"b{k}"), F.count_if(x <= F.lit(w.hi)).alias(f"u{k}"),
+                         F.count_if((x > F.lit(w.lo)) & (x < F.lit(w.hi))).alias(f"i{k}")]
+            r = df.agg(*aggs).first()
+            for k, w in enumerate(counted):
+                where = w.counted(r[f"b{k}"], r[f"u{k}"])
+                if where in ("low", "high"):
+                    values[(w.c, w.q)] = w.parted(df, where)
+                    open_.remove(w)
+                elif where == "in":
+                    if r[f"i{k}"] <= max_bracket:
+                        listed.append(w)
+                    else:
+                        wide.append((w, r[f"u{k}"] - r[f"b{k}"], r[f"b{k}"], r[f"i{k}"]))
+        if wide:
+            aggs = []
+            for k, (w, held, below, inside) in enumerate(wide):
+                x = _valid(w.c)
+                # ranks counted from the bracket's first row; its ends' copies are a part of ``held``
+                at = [(i - below) / held for i in (w.lo_idx, w.hi_idx)]
+                probs = [max(0.0, at[0] - eps), min(1.0, at[1] + eps)]
+                aggs.append(F.percentile_approx(F.when((x >= F.lit(w.lo)) & (x <= F.lit(w.hi)), x), probs, accuracy).alias(f"p{k}"))
+            r = df.agg(*aggs).first()
+            for k, (w, _, _, _) in enumerate(wide):
+                new = (r[f"p{k}"][0], r[f"p{k}"][1])
+                # after a miss, or if the sketch cannot part the ends, halve what lies inside
+                w.lo, w.hi = _halved(df, w, accuracy) if w.missed or new == (w.lo, w.hi) else new
+    return {c: [values[(c, float(q))] for q in spec[c]] for c in cols}
+
+
+def _halved(df: DataFrame, w: _Wanted, accuracy: int) -> tuple[float, float]:
+    """A bracket end moved strictly inside, at the middle of what lies inside."""
+    x = _valid(w.c)
+    mid = df.agg(F.percentile_approx(F.when((x > F.lit(w.lo)) & (x < F.lit(w.hi)), x), 0.5, accuracy)).first()[0]
+    return (w.lo, float(mid))
 
 
 def median(df: DataFrame, col: str) -> float | None:

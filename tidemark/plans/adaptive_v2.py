@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.functions.numeric import lower_token, py_strip
+from tidemark.functions.numeric import lower_token, py_strip, to_double
 from tidemark.operators import features as FX
 from tidemark.operators.rank import quantiles, with_pct_ranks
 from tidemark.plans.adaptive import numeric_columns
@@ -42,7 +42,7 @@ def v2_num(c) -> F.Column:
     t = py_strip(_q(c) if isinstance(c, str) else c)
     t = F.when(t.isin(C.V2_NULL_TOKENS), F.lit(None)).otherwise(t)
     t = F.regexp_replace(t, r"[$,%]", "")
-    return t.try_cast("double")
+    return to_double(t)
 
 
 def to_binary(c: str) -> F.Column:
@@ -50,7 +50,7 @@ def to_binary(c: str) -> F.Column:
     return F.when(lower_token(_q(c).cast("string")).isin(C.V2_BINARY_POSITIVE), 1).otherwise(0)
 
 
-def run_adaptive_v2(raw: DataFrame, model: str = "heuristic", clv: str = "heuristic",
+def run_adaptive_v2(raw: DataFrame, model: str = "auto", clv: str = "ridge",
                     pin: str = "checkpoint") -> V2Result:
     notes: list[str] = []
     names = [str(c).strip().replace("\n", " ").replace("\r", "") for c in raw.columns]
@@ -157,8 +157,8 @@ def _infer(df: DataFrame, target: str, numeric: list[str]) -> tuple[DataFrame, s
 def _clean(df: DataFrame) -> DataFrame:
     """P13 (2.0): median fill (1 / 50 when missing), abs, tenure 0 -> 1, dedup."""
     keys = ["tenure", "MonthlyCharges", "TotalCharges"]
-    df = df.withColumns({c: _q(c).cast("string").try_cast("double") for c in keys})
-    df = df.withColumn("Churn", (F.coalesce(_q("Churn").cast("string").try_cast("double"), F.lit(0.0))
+    df = df.withColumns({c: to_double(_q(c)) for c in keys})
+    df = df.withColumn("Churn", (F.coalesce(to_double(_q("Churn")), F.lit(0.0))
                                  .cast("int") > 0).cast("int"))
     meds = quantiles(df, {c: [0.5] for c in keys})
     for c in keys:

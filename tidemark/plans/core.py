@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.functions.numeric import clean_num, lower_token, reparse_float
+from tidemark.functions.numeric import clean_num, lower_token, plain_text, reparse_float, to_double
 from tidemark.operators import features as FX
 from tidemark.operators.detection import detect_roles
 from tidemark.operators.rank import quantiles, with_pct_ranks
@@ -59,20 +59,22 @@ def _q(name: str) -> F.Column:
 
 
 def basic_clean(raw: DataFrame) -> DataFrame:
-    """Trimmed names, no ``Unnamed`` columns, no all-null rows, no duplicates."""
+    """Trimmed names, no ``Unnamed`` columns, no all-null rows, no
+    duplicates; floating-point columns as the text that a reader gives them."""
     names = [str(c).strip() for c in raw.columns]
     df = raw.toDF(*names)
+    df = df.select(*[plain_text(_q(c), t).alias(c) if t in ("double", "float") else _q(c) for c, t in df.dtypes])
     keep = [c for c in names if not re.match(r"^Unnamed", c)]
     df = df.select(*[_q(c) for c in keep])
     return df.na.drop(how="all").dropDuplicates()
 
 
-def profile(df: DataFrame) -> dict:
+def profile(df: DataFrame, locale_rule: str = "default") -> dict:
     """One pass: row count, non-null and parse counts for every column."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
         aggs.append(F.count(_q(c)).alias(f"nn{i}"))
-        aggs.append(F.count(clean_num(_q(c))).alias(f"np{i}"))
+        aggs.append(F.count(clean_num(_q(c), locale_rule)).alias(f"np{i}"))
     r = df.agg(*aggs).first()
     return {
         "n": r["__n"],
@@ -108,19 +110,20 @@ def encode(c: str, codes: list[str] | None) -> F.Column:
     return m[F.coalesce(_q(c).cast("string"), F.lit("__missing__"))]
 
 
-def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
+def run_core(raw: DataFrame, model: str = "auto", lineage: str = "main",
              strict: bool = False, pin: str = "checkpoint") -> CoreResult:
     """Run E1 on a raw (text) customer table.
 
-    ``model``: ``heuristic`` (rank score, deterministic), ``auto`` (random
-    forest, then gradient boosting, first that trains, as the reference does),
-    ``rf`` or ``gbt``. ``strict=True`` turns off the re-parse trap of P10.
+    ``model``: ``auto`` (random forest, then gradient boosting, first that
+    trains; the rank score when none can), ``heuristic`` (rank score,
+    deterministic), ``rf`` or ``gbt``. ``strict=True`` turns off the re-parse trap of P10.
     """
     notes: list[str] = []
     # read by the profile, the label-encoding plan and the pick stage
     cleaned = materialize(basic_clean(raw), pin)
     df = cleaned
-    prof = profile(df)
+    locale_rule = "v1" if lineage == "v1" else "default"
+    prof = profile(df, locale_rule)
     n = prof["n"]
     if n == 0:
         raise ValueError("No usable rows found after cleaning blanks and duplicates.")
@@ -145,7 +148,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
     proj = []
     for c in cols:
         if c in numeric:
-            proj.append(clean_num(_q(c)).alias(c))
+            proj.append(clean_num(_q(c), locale_rule).alias(c))
         elif c in plan:
             proj.append(encode(c, plan[c]).alias(c))
         else:
@@ -209,7 +212,7 @@ def run_core(raw: DataFrame, model: str = "heuristic", lineage: str = "main",
         r = churn_counts if churn_counts else base.agg(churn_extra["c"].alias("c"),
                                                         churn_extra["s"].alias("s")).first()
         if r["c"] == 0:
-            num = _q(churn_col).cast("string").try_cast("double")
+            num = to_double(_q(churn_col))
             mapped = FX.clip(F.bround(num, 0), 0, 1)
             r = base.agg(F.count(mapped).alias("c"), F.sum(mapped).alias("s")).first()
         null_frac = 1 - r["c"] / n

@@ -59,7 +59,7 @@ _adaptive_cache: dict = {}
 def adaptive_result(spark: SparkSession, sf_dir: str):
     key = (_session_key(spark), sf_dir)
     if key not in _adaptive_cache:
-        _adaptive_cache[key] = run_adaptive(FXT.adaptive_input(spark, sf_dir))
+        _adaptive_cache[key] = run_adaptive(FXT.adaptive_input(spark, sf_dir), model="heuristic", clv="heuristic")
     return _adaptive_cache[key]
 
 
@@ -171,7 +171,7 @@ def v2_result(spark, sf):
     from tidemark.plans.adaptive_v2 import run_adaptive_v2
     key = (_session_key(spark), sf)
     if key not in _v2_cache:
-        _v2_cache[key] = run_adaptive_v2(FXT.adaptive_input(spark, sf))
+        _v2_cache[key] = run_adaptive_v2(FXT.adaptive_input(spark, sf), model="heuristic", clv="heuristic")
     return _v2_cache[key]
 
 
@@ -223,7 +223,7 @@ def q_events_adaptive(spark, sf):
     inverted ``Active`` churn (D9), isolation flag in the pipeline (M11)."""
     key = (_session_key(spark), sf)
     if key not in _events_cache:
-        _events_cache[key] = run_adaptive(FXT.events_input(spark, sf))
+        _events_cache[key] = run_adaptive(FXT.events_input(spark, sf), model="heuristic", clv="heuristic")
     return round_doubles(_events_cache[key].df.select(*EVENTS_COLUMNS))
 
 
@@ -241,13 +241,13 @@ def q_core_ml_scores(spark, sf):
 
 def q_adaptive_ml_scores(spark, sf):
     """M1-M10 (adaptive): best of RF/GBT/LR on robust-scaled features."""
-    r = run_adaptive(FXT.adaptive_input(spark, sf), model="auto")
+    r = run_adaptive(FXT.adaptive_input(spark, sf), model="auto", clv="heuristic")
     return round_doubles(r.df.select("customer_id", "Churn", "Churn_Prob", "Segment", "Priority"))
 
 
 def q_adaptive_ridge_clv(spark, sf):
     """exact ridge CLV (normal equations from one aggregate)."""
-    r = run_adaptive(FXT.adaptive_input(spark, sf), clv="ridge")
+    r = run_adaptive(FXT.adaptive_input(spark, sf), model="heuristic", clv="ridge")
     return round_doubles(r.df.select("customer_id", "Churn_Prob", "Predicted_CLV", "Future_CLV", "Segment"))
 
 

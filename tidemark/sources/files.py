@@ -1,104 +1,79 @@
 """Reading a customer file of unknown layout.
 
-Only a small head sample (at most 64 KB) is read on the driver to decide the
-encoding, delimiter, header and JSON shape; the file itself is always read by
-Spark's own readers, so it is split and parsed on the executors.
+Encoding, record shape and JSON shape are decided by distributed passes over the whole
+input (every line is validated, counted or parsed on the executors); the driver
+sees the header line and one-row summaries only. Paths may be files or folders of any
+store that Spark reads.
 """
 
 from __future__ import annotations
 
 import csv
-import io
 import os
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import config as C
+from tidemark.functions.numeric import plain_text
 
-SAMPLE_BYTES = 65536
-OVERFLOW = "__overflow__"
+RAW = "__raw_record__"
 SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin1": "ISO-8859-1",
                   "latin-1": "ISO-8859-1", "cp1252": "windows-1252", "iso-8859-1": "ISO-8859-1",
                   "utf-16": "UTF-16", "ascii": "US-ASCII"}
 
 
-def _local(path: str) -> str | None:
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return u.path if u.scheme else path
-    return None
-
-
 def file_size(spark: SparkSession, path: str) -> int:
-    loc = _local(path)
-    if loc is not None:
-        if not os.path.exists(loc):
-            raise FileNotFoundError(f"File not found: {path}")
-        return os.path.getsize(loc)
+    """Bytes of a file, or of all files below a folder."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(f"File not found: {path}")
-    return fs.getFileStatus(p).getLen()
-
-
-def head_bytes(spark: SparkSession, path: str, n: int = SAMPLE_BYTES) -> bytes:
-    """The first ``n`` bytes (a bounded probe)."""
-    loc = _local(path)
-    if loc is not None:
-        with open(loc, "rb") as fh:
-            return fh.read(n)
-    lines = spark.read.text(path).limit(200).collect()
-    return "\n".join(r[0] for r in lines).encode("utf-8")[:n]
-
-
-def pick_encoding(sample: bytes, order: list[str]) -> str:
-    """First encoding that decodes the sample (latin1 accepts anything)."""
-    for enc in order:
-        try:
-            codec = "utf-16" if enc == "utf-16" else enc
-            dec = io.TextIOWrapper(io.BytesIO(sample), encoding=codec, errors="strict")
-            dec.read()
-            return enc
-        except (UnicodeDecodeError, UnicodeError, LookupError):
-            # a multi-byte character may be cut at the end of the sample
-            try:
-                sample[:-4].decode(enc)
-                return enc
-            except Exception:  # noqa: BLE001
-                continue
-    return "latin1"
-
-
-def _decode(sample: bytes, enc: str) -> str:
-    return sample.decode(enc, errors="ignore")
-
-
-def _sample_rows(text: str, sep: str | None, limit: int = 50):
-    lines = text.splitlines()[:limit + 1]
-    if len(lines) > 1 and not text.endswith("\n"):
-        lines = lines[:-1]  # the last sampled line may be cut
-    if sep is None:
-        try:
-            dialect = csv.Sniffer().sniff("\n".join(lines[:20]))
-            sep = dialect.delimiter
-        except csv.Error:
-            return None, []
-    return sep, list(csv.reader(lines, delimiter=sep))
+    return fs.getContentSummary(p).getLength()
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the input with their bytes untouched (column ``value``)."""
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def pick_encoding(lines: DataFrame, order: list[str]) -> str:
+    """The first encoding that every line decodes in.
+
+    The single-byte encodings accept any bytes, so the choice is between the
+    UTF-8 names and the first single-byte one of the order.
+    """
+    good = lines.agg(F.min(F.is_valid_utf8("value"))).first()[0]
+    utf8 = {"utf-8", "utf-8-sig"}
+    return next((e for e in order if good is not False or e not in utf8), order[0])
+
+
+def _first_line(lines: DataFrame, encoding: str) -> str:
+    row = lines.filter(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("b")).first()
+    if row is None:
+        return ""
+    return bytes(row.b).decode(encoding, errors="replace").lstrip("\ufeff").rstrip("\r")
+
+
+def _sniffed(header: str) -> str | None:
+    try:
+        return csv.Sniffer().sniff(header).delimiter
+    except csv.Error:
+        return None
 
 
-def pick_delimiter_by_trial(text: str, order=C.CORE_SEPARATORS) -> str | None:
-    """S3: first separator giving a header of >= 2 columns and >= 1 data row."""
+def pick_delimiter_by_trial(header: str, n_lines: int = 2, order=C.CORE_SEPARATORS) -> str | None:
+    """S3: the first separator that splits the header into two names or more, given a
+    data row. The unnamed trial (None) is the comma first, then the sniffed one."""
+    if n_lines < 2:
+        return None
     for sep in order:
-        used, rows = _sample_rows(text, sep)
-        if used is None or len(rows) < 2:
-            continue
-        if len(rows[0]) >= 2:
-            return used
+        for one in ((",", _sniffed(header)) if sep is None else (sep,)):
+            if one and len(next(csv.reader([header], delimiter=one), [])) >= 2:
+                return one
     return None
 
 
@@ -113,7 +88,7 @@ def pick_delimiter_by_count(text: str, limit: int = C.DELIMITER_SAMPLE_BYTES) ->
 def header_names(text: str, sep: str, lineage: str = "core") -> list[str]:
     """Names from the first line; empty names become ``Unnamed: i`` (core)
     or ``nan`` for a leading empty name after the adaptive header repair."""
-    first = next(csv.reader(text.splitlines()[:1], delimiter=sep), [])
+    first = next(csv.reader([text.split("\n", 1)[0].rstrip("\r")], delimiter=sep), [])
     names = []
     for i, n in enumerate(first):
         n = n.lstrip("﻿")
@@ -134,81 +109,100 @@ def header_names(text: str, sep: str, lineage: str = "core") -> list[str]:
     return out
 
 
-def has_quoted_newlines(text: str, sep: str) -> bool:
-    """True when a quoted field in the sample spans lines (needs ``multiLine``)."""
-    lines = text.splitlines()
-    if len(lines) > 1 and not text.endswith("\n"):
-        lines = lines[:-1]
-    body = "\n".join(lines) + "\n"
-    try:
-        records = list(csv.reader(io.StringIO(body), delimiter=sep))
-    except csv.Error:
-        return False
-    return len(records) < len(lines)
+def _field_count(raw: Column, sep: str) -> Column:
+    """Fields of a raw record: separators outside quotes, plus one."""
+    bare = F.regexp_replace(raw, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+
+def _na_to_null(c: str) -> Column:
+    return F.when(F.col(f"`{c}`").isin(C.NA_TEXTS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
+
+
+def spans_lines(lines: DataFrame) -> bool:
+    """True when some line leaves a quote open, so that a quoted field goes on in the next."""
+    odd = lines.agg(F.max(F.regexp_count("value", F.lit('"')) % 2)).first()[0]
+    return odd == 1
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str,
                    names: list[str], skip_initial_space: bool = False,
                    multiline: bool = False) -> DataFrame:
     """Every cell as text; rows with too many fields are dropped, short
-    rows are padded with nulls (pandas ``on_bad_lines='skip'``).
+    rows are padded with nulls, the usual missing-value texts become null.
 
-    An explicit schema with one extra overflow column catches over-long rows,
-    which are then filtered out on the executors.
+    Records of another length than the header keep their raw text, and
+    their fields are counted there, so empty surplus fields count too.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField(OVERFLOW, T.StringType())])
+    cells = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells] + [T.StructField(RAW, T.StringType())])
     reader = (spark.read.schema(schema).option("header", "true").option("sep", sep)
+              .option("quote", '"').option("escape", '"')
               .option("encoding", SPARK_CHARSETS.get(encoding, encoding)).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", RAW).option("maxCharsPerColumn", "-1")
+              .option("columnPruning", "false").option("maxColumns", str(max(20480, 2 * len(names))))
               .option("ignoreLeadingWhiteSpace", str(skip_initial_space).lower())
               .option("ignoreTrailingWhiteSpace", "false"))
     if encoding == "utf-16" or multiline:
-        # quoted newlines: records are parsed whole (a file is then one split)
-        reader = reader.option("multiLine", "true").option("escape", '"')
+        # quoted line feeds: records are parsed whole (a file is then one split)
+        reader = reader.option("multiLine", "true")
     df = reader.csv(path)
-    df = df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
-    return df.toDF(*names)
+    # naming every cell keeps the parser from being asked for the raw text alone
+    long = (F.col(RAW).isNotNull() & (_field_count(F.col(RAW), sep) > len(names))
+            & (F.length(F.concat_ws("", *cells)) >= 0))
+    return df.where(~long).select(*[_na_to_null(c) for c in cells]).toDF(*names)
 
 
 def load_csv_core(spark: SparkSession, path: str) -> DataFrame:
     """Core loader: encodings x separators in order, first usable wins."""
-    sample = head_bytes(spark, path)
-    enc = pick_encoding(sample, C.CORE_ENCODINGS)
-    text = _decode(sample, "utf-8-sig" if enc == "utf-8-sig" else enc)
-    sep = pick_delimiter_by_trial(text)
+    lines = raw_lines(spark, path)
+    enc = pick_encoding(lines, C.CORE_ENCODINGS)
+    header = _first_line(lines, enc)
+    sep = pick_delimiter_by_trial(header, lines.filter(F.length(F.trim("value")) > 0).count())
     if sep is None:
-        raise RuntimeError("Could not parse this file after all known format attempts.")
-    names = header_names(text, sep, "core")
-    return read_delimited(spark, path, sep, enc, names, multiline=has_quoted_newlines(text, sep))
+        raise RuntimeError("No known separator splits this file into a header and rows.")
+    names = header_names(header, sep, "core")
+    return read_delimited(spark, path, sep, enc, names, multiline=spans_lines(lines))
 
 
 def load_csv_adaptive(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """Adaptive loader: encoding order, delimiter by count, header repair."""
-    sample = head_bytes(spark, path)
-    enc = pick_encoding(sample, C.ADAPTIVE_ENCODINGS)
-    text = _decode(sample, enc)
-    sep = delimiter or pick_delimiter_by_count(text)
-    names = header_names(text, sep, "adaptive")
-    return read_delimited(spark, path, sep, enc, names, skip_initial_space=True,
-                          multiline=has_quoted_newlines(text, sep))
-
-
-def _json_shape(text: str) -> str:
-    s = text.lstrip()
-    if s.startswith("["):
-        rest = s[1:].lstrip()
-        return "records" if rest.startswith("{") or rest.startswith("]") else "scalars"
-    if s.startswith("{"):
-        first_line = s.split("\n", 1)[0].strip()
-        if first_line.endswith("}") and "\n" in s.strip():
-            return "lines"
-        return "object"
-    return "lines"
+    lines = raw_lines(spark, path)
+    enc = pick_encoding(lines, C.ADAPTIVE_ENCODINGS)
+    header = _first_line(lines, enc)
+    sep = delimiter or pick_delimiter_by_count(_start(lines, enc))
+    names = header_names(header, sep, "adaptive")
+    return read_delimited(spark, path, sep, enc, names, skip_initial_space=True, multiline=spans_lines(lines))
+
+
+def _start(lines: DataFrame, encoding: str) -> str:
+    """The text that the delimiter count looks at: a fixed number of bytes of the first lines."""
+    n = C.DELIMITER_SAMPLE_BYTES
+    rows = lines.select(F.substring(F.col("value").cast("binary"), 1, n).alias("b")).take(200)
+    return b"\n".join(bytes(r.b) for r in rows if r.b is not None)[:n].decode(encoding, errors="ignore")
+
+
+def json_shape(lines: DataFrame) -> str:
+    """"lines", "records", "scalars" or "object", judged by every line.
+
+    A document that starts with "[" is a list; one that starts with "{" is JSON Lines when
+    there are several lines and each is an object of its own.
+    """
+    text = F.trim(F.regexp_replace(F.col("value"), "^\ufeff|[\r\t]", ""))
+    solid = lines.select(text.alias("v")).filter(F.length("v") > 0)
+    first = solid.select(F.substring("v", 1, 1).alias("c")).first()
+    if first is None or first.c == "[":
+        # the first element that is not white space after the bracket
+        head = solid.select(F.regexp_extract("v", r"^\[?\s*(\S)", 1).alias("c")).filter("c not in ('', '[')").first()
+        return "records" if head is None or head.c == "{" else "scalars"
+    whole = F.col("v").startswith("{") & F.get_json_object("v", "$").isNotNull()
+    r = solid.agg(F.count("*").alias("n"), F.min(whole).alias("all")).first()
+    return "lines" if r.n > 1 and r.all else "object"
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """Records array, JSON lines, dict of lists, single dict, scalar list."""
-    shape = _json_shape(_decode(head_bytes(spark, path), "utf-8"))
+    shape = json_shape(raw_lines(spark, path))
     if shape == "records":
         return spark.read.option("multiLine", "true").json(path)
     if shape == "lines":
@@ -227,9 +221,9 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; nulls stay NULL (not the text ``nan``)."""
+    """Every column as text, floats in plain notation; nulls stay NULL."""
     df = spark.read.parquet(path)
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    return df.select(*[plain_text(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes])
 
 
 def read_table(spark: SparkSession, path: str, lineage: str = "adaptive") -> DataFrame:

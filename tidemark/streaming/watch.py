@@ -27,7 +27,7 @@ def _process_file(spark: SparkSession, path: str, out_dir: str, lineage: str) ->
     target = os.path.join(out_dir, name)
     if lineage == "core":
         from tidemark.plans.core import run_core
-        res = run_core(raw, model="heuristic")
+        res = run_core(raw)
         report.write_tables(report.core_tables(res), target)
     else:
         from tidemark.plans.adaptive import run_adaptive
