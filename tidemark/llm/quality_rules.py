@@ -127,4 +127,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     model = ratio_model(docs, trusted_ids(labels), buckets)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("text"))
     d = _with_ratio(with_base_counts(packed), model, buckets)
-    return d.filter(~F.col("base_failed") & (F.col("llr") >= threshold)).select("row.*")
+    # a row number between the counts and the filter keeps the optimizer from
+    # copying their nested expressions into the predicate, once for each use
+    d = d.withColumn("nth", F.monotonically_increasing_id())
+    good = ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.col("nth") >= 0)
+    return d.filter(good).select("row.*")
