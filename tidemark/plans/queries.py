@@ -8,6 +8,7 @@ comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from tidemark.operators.rank import quantiles, with_pct_ranks
 from tidemark.plans import oracle as O
 from tidemark.plans.adaptive import run_adaptive
 from tidemark.plans.core import run_core
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import fixtures as FXT
+from tidemark.sources.files import read_table
 
 
 def round_doubles(df: DataFrame, digits: int = 6, money: tuple = ()) -> DataFrame:
@@ -528,6 +531,57 @@ def sql_events_adaptive() -> str:
             for c in EVENTS_COLUMNS) + " FROM final"
 
 
+def _written(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
+    """``df`` written in the shared folder in the given format; its path."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}.{kind}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+def q_src_csv_quotes(spark, sf):
+    """Quoted separators, doubled quotes and line feeds survive a CSV round trip."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    path = _written(spark, docs, "csv", header=True, quoteAll=True, escape='"')
+    return read_table(spark, path, lineage="core")
+
+
+def _with_header(batches):
+    """The lines of one file: a header, then the rows."""
+    import pyarrow as pa
+
+    yield pa.record_batch([pa.array(["key,customer,status"])], names=["value"])
+    yield from batches
+
+
+def q_src_csv_overlong(spark, sf):
+    """Rows with surplus fields go, also empty ones; short rows are padded; NA texts are null."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k = F.col("o_orderkey").cast("string")
+    line = F.concat_ws(",", k, F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 7 == 1, "NA").otherwise(F.col("o_orderstatus")))
+    line = (F.when(F.col("o_orderkey") % 5 == 0, F.concat(line, F.lit(",")))
+            .when(F.col("o_orderkey") % 5 == 1, F.concat(k, F.lit(","), F.col("o_custkey").cast("string"))).otherwise(line))
+    text = o.select(line.alias("value"))
+    whole = text.mapInArrow(_with_header, "value string")
+    return read_table(spark, _written(spark, whole, "text"), lineage="core")
+
+
+def q_src_json_lines(spark, sf):
+    """One object a line, of any length."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    return read_table(spark, _written(spark, docs, "json")).select("doc_id", "text", "lang")
+
+
+def q_src_parquet_text(spark, sf):
+    """Every column as text, doubles in plain notation."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 1000).alias("price"), "l_returnflag")
+    return read_table(spark, _written(spark, li, "parquet"))
+
+
+SQL_SRC_OVERLONG = """
+SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS customer,
+       CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 7 = 1 THEN NULL ELSE o_orderstatus END AS status
+FROM orders WHERE o_orderkey % 5 <> 0"""
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "churn_input": (q_churn_input, "WITH" + O.churn_input_cte() + "\nSELECT * FROM churn_input"),
     "core_processed": (q_core_processed, SQL_CORE_PROCESSED),
@@ -557,6 +611,11 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "v2_spend_dist": (q_v2_spend_dist, sql_v2_qcut("AvgMonthlySpend", "Spend Tier")),
     "v2_kpis": (q_v2_kpis, SQL_V2_KPIS),
     "events_adaptive": (q_events_adaptive, sql_events_adaptive()),
+    "src_csv_quotes": (q_src_csv_quotes, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents"),
+    "src_csv_overlong": (q_src_csv_overlong, SQL_SRC_OVERLONG),
+    "src_json_lines": (q_src_json_lines, "SELECT doc_id, text, lang FROM documents"),
+    "src_parquet_text": (q_src_parquet_text, "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, "
+                         "CAST(CAST(l_extendedprice AS DOUBLE) * 1000 AS VARCHAR) AS price, l_returnflag FROM lineitem"),
     "core_v1_processed": (q_core_v1_processed, None),
     "core_ml_scores": (q_core_ml_scores, None),
     "adaptive_ml_scores": (q_adaptive_ml_scores, None),

@@ -4,12 +4,15 @@ The reference analyses one file per run. Here a file stream lists new files
 (only their paths and sizes are read by the stream: ``binaryFile`` prunes the
 unselected ``content`` column) and ``foreachBatch`` runs the batch pipeline
 on each new file, writing its report tables under
-``<out_dir>/<file name>/<table>``. Progress lives in the checkpoint folder,
-so a restarted query resumes without re-processing finished files.
+``<out_dir>/<file name>/<table>``, where the name carries its extension and a
+digest of the folder, so equal stems do not overwrite one another. Progress lives
+under ``<out_dir>/_progress``, so a restarted query resumes without re-processing
+finished files.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from urllib.parse import urlparse
 
@@ -23,7 +26,8 @@ def _process_file(spark: SparkSession, path: str, out_dir: str, lineage: str) ->
     from tidemark.plans import report
     from tidemark.sources.files import read_table
     raw = read_table(spark, path, lineage="core" if lineage == "core" else "adaptive")
-    name = os.path.splitext(os.path.basename(urlparse(path).path))[0]
+    where, name = os.path.split(urlparse(path).path)
+    name = f"{name}-{hashlib.sha1(where.encode()).hexdigest()[:8]}"
     target = os.path.join(out_dir, name)
     if lineage == "core":
         from tidemark.plans.core import run_core
@@ -33,7 +37,6 @@ def _process_file(spark: SparkSession, path: str, out_dir: str, lineage: str) ->
         from tidemark.plans.adaptive import run_adaptive
         res = run_adaptive(raw)
         report.write_tables(report.adaptive_tables(res), target)
-    spark.catalog.clearCache()
 
 
 def watch_folder(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str | None = None,
@@ -44,7 +47,8 @@ def watch_folder(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     ``available_now=True`` processes what is there and stops (batch-like runs
     and tests); otherwise the query keeps watching the folder.
     """
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "watch-" + os.path.basename(out_dir.rstrip("/")))
+    ensure_checkpoint_dir(spark)
+    ckpt = checkpoint or os.path.join(out_dir, "_progress")
     schema = T.StructType([T.StructField("path", T.StringType()),
                            T.StructField("modificationTime", T.TimestampType()),
                            T.StructField("length", T.LongType()),
