@@ -22,7 +22,7 @@ a null id take no part; shorter vectors count as zero in the missing dimensions;
 several rows of one id are candidates of their own and are never matched with a
 query of the same id; a repeated query id is asked once (its smallest vector); fewer than k candidates are all returned; an
 empty table gives an empty result; other columns are ignored. Sums stay exact below
-2^53; components beyond 2^20 after quantising are computed in Python integers.
+2^53 in doubles and are computed in Python integers beyond; a score must fit a long.
 """
 
 from __future__ import annotations
