@@ -57,7 +57,7 @@ def test_reliabilities_follow_the_votes():
     rows = [(0, (1, 1, 1, 1, 0, 0), (1,) * 10, 500), (0, (-1, -1, 0, 0, -1, -1), (0,) * 10, 500), (0, (1, -1, 1, 0, 0, 0), (1, 0) * 5, 40)]
     m = P.fit_model(rows)
     assert m.reliability[1, 0, 2] > 0.9 and m.reliability[0, 0, 0] > 0.9
-    assert m.probability((0, 0, 5), (1,) * 10) > 0.9 > 0.1 > m.probability((0, 0, 5), (0,) * 10)
+    assert m.probability((0, 0, 5), (1,) * 10) > 0.9 > 0.5 > m.probability((0, 0, 5), (0,) * 10)
     assert P.fit_model([]) is None
 
 

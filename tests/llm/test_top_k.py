@@ -30,7 +30,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_edges(spark):
     rows = [(0, [1.0, -2.0]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (50, [0.5]), (None, [1.0, 1.0]),
-            (4, [float("inf"), 0.0]), (5, [-1.0, 0.25]), (100, [1e7, -1e7]), (6, [3e7, 1e7])]
+            (4, [float("inf"), 0.0]), (5, [-1.0, 0.25]), (100, [1e6, -1e6]), (6, [3e6, 1e6])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as q", "'y' as slot", "1 as score")
     assert set(map(tuple, K.top_k_of_table(df).collect())) == brute(rows)
     assert K.top_k_of_table(df.limit(0)).count() == 0
