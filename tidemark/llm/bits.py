@@ -1,7 +1,7 @@
 """A set of 64-bit hashes as a bit table of fixed size, built by Spark.
 
 Used to pass over rows that certainly have no partner. A hash sets four bits in one of
-``WORDS`` 64-bit words, so the table takes 4 MB however many hashes it
+``WORDS`` 64-bit words, so the table takes 8 MB however many hashes it
 holds; that is the bound of what is collected and broadcast. Membership has
 false positives, never false negatives: results stay exact, a fuller table
 only passes more rows on to the exact step.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-WORDS = 1 << 19
+WORDS = 1 << 20
 
 
 def word_and_mask(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
