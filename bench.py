@@ -30,6 +30,9 @@ HEADLINE = [
     "adaptive_processed",     # E3 end to end
     "adaptive_kpis",          # A5
     "adaptive_clv_dist",      # A9 quintiles
+    "v2_kpis",                # release 2.0
+    "events_adaptive",        # adaptive lineage on event counts
+    "isolation_outliers",     # M11
 ]
 
 
@@ -51,6 +54,7 @@ def main() -> None:
             Q._core_cache.clear()
             Q._adaptive_cache.clear()
             Q._v2_cache.clear()
+            Q._events_cache.clear()
             spark.catalog.clearCache()
             t0 = time.time()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
