@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 WORDS = 1 << 20
+SEGMENT = 1 << 13
 
 
 def word_and_mask(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +43,26 @@ def _set_bits(batches):
     yield pa.record_batch([pa.array(at), pa.array(table[at].view(np.int64))], names=["word", "mask"])
 
 
+def _pack_segments(batches):
+    """Words with their bits as dense segments, so few and small rows reach the driver."""
+    table, touched = np.zeros(WORDS, np.uint64), set()
+    for batch in batches:
+        word = batch.column("word").to_numpy()
+        np.bitwise_or.at(table, word, batch.column("mask").to_numpy().view(np.uint64))
+        touched.update(np.unique(word // SEGMENT).tolist())
+    at = sorted(touched)
+    yield pa.record_batch([pa.array(at, pa.int64()), pa.array([table[s * SEGMENT:(s + 1) * SEGMENT].tobytes() for s in at], pa.binary())],
+                          names=["segment", "bits"])
+
+
 def bit_table(hashes: DataFrame):
     """Broadcast bit table of a one-column frame of longs (no nulls)."""
-    rows = (hashes.mapInArrow(_set_bits, "word long, mask long")
-            .groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas())
+    words = hashes.mapInArrow(_set_bits, "word long, mask long")
+    rows = (words.repartition(F.floor(F.col("word") / SEGMENT))
+            .mapInArrow(_pack_segments, "segment long, bits binary").collect())
     table = np.zeros(WORDS, np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    for r in rows:
+        table[r.segment * SEGMENT:(r.segment + 1) * SEGMENT] = np.frombuffer(r.bits, np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
