@@ -71,3 +71,37 @@ def test_planted_signal_auc_and_same_seed_equality(spark):
     pa = {r[0]: r[1] for r in a.df.select("customerID", "Churn_Prob").collect()}
     pb = {r[0]: r[1] for r in b.df.select("customerID", "Churn_Prob").collect()}
     assert pa == pb
+
+
+def _samples(spark, monkeypatch, df, cols, n_trees):
+    from tidemark.operators import isolation as I
+    sizes = []
+    scorer = I._scorer
+
+    def seen(cols, forest, psi):
+        sizes.append(forest)
+        return scorer(cols, forest, psi)
+
+    monkeypatch.setattr(I, "_scorer", seen)
+    scored = I.isolation_scores(df, cols, n_trees=n_trees).toPandas()
+    return sizes[0], scored
+
+
+def test_isolation_samples_rows_where_one_vector_holds_a_third(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(9.0, 9.0)] * 1000 + [(float(a), float(b)) for a, b in rng.normal(size=(2000, 2))] + [(-9.0, -9.0)]
+    forest, scored = _samples(spark, monkeypatch, spark.createDataFrame(rows, "x double, y double"), ["x", "y"], 20)
+    roots = forest[forest.node == 0]
+    assert len(roots) == 20 and (roots["size"] == 256).all()
+    leaves = forest[forest.feat < 0].groupby("tree")["size"].max()
+    assert (leaves > 50).all() and (leaves < 130).all()  # the vector's share of each sample, about 85
+    score = scored.groupby("x")["__iso_score"].max()
+    assert score[9.0] < score[-9.0]  # as far out, but not alone
+
+
+def test_isolation_with_far_fewer_vectors_than_rows(spark, monkeypatch):
+    df = spark.range(20000).selectExpr("cast(id % 3 as double) as x", "cast(id % 2 as double) as y")
+    forest, scored = _samples(spark, monkeypatch, df, ["x", "y"], 10)
+    roots = forest[forest.node == 0]
+    assert len(roots) == 10 and (roots["size"] == 256).all() and len(scored) == 20000
+    assert np.isfinite(scored["__iso_score"]).all()

@@ -2,11 +2,12 @@
 
 MLlib has no isolation forest, so:
 
-1. every tree takes its own ``psi = min(256, n)`` rows, those of the smallest
-   hash of (seed, tree, feature values); rows below a hash bound that almost
-   surely leaves more than psi are ranked per tree, and each tree is grown from its
+1. equal feature vectors are counted, and every tree takes its own ``psi = min(256, n)``
+   rows without replacement: each vector draws how many of its copies have a hash below a
+   bound that almost surely leaves more than psi (binomial, from a generator seeded by the
+   vector, tree and seed), these are ranked per tree by their hashes, and each tree is grown from its
    group with ``applyInPandas`` (the sampling is the algorithm). The choice
-   depends on the values alone, not on partitions or arrival order;
+   depends on the values and their counts alone, not on partitions or arrival order;
 2. the forest (``trees x <= 511`` nodes, fixed by the parameters) goes to the
    tasks, which score every row in Arrow batches with ``mapInPandas``;
 3. rows scoring above the exact (1 - contamination) quantile are flagged.
@@ -64,6 +65,27 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
+def _draw(cols: list[str], n_trees: int, share: float, psi: int):
+    """Per distinct vector and tree the copies whose uniform hash is at most ``share``, ``psi`` at most."""
+    def draw(batches):
+        for pdf in batches:
+            at, tree, h = [], [], []
+            for i, (v, n) in enumerate(zip(pdf["__v"].to_numpy().astype(np.uint64), pdf["__n"])):
+                rng = np.random.default_rng(int(v))
+                k = rng.binomial(int(n), share, n_trees)
+                for t in np.flatnonzero(k):
+                    # the smallest psi of a tree's hashes are all that it can take of one vector
+                    u = np.sort(rng.random(k[t]) * share)[:psi]
+                    at.append(np.full(len(u), i))
+                    tree.append(np.full(len(u), t))
+                    h.append(u)
+            if at:
+                out = pdf[cols].iloc[np.concatenate(at)].reset_index(drop=True)
+                out["__tree"], out["__h"] = np.concatenate(tree).astype("int32"), np.concatenate(h)
+                yield out
+    return draw
+
+
 def _tree_builder(cols: list[str], max_samples: int, seed: int):
     max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
 
@@ -123,11 +145,9 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = 100, max_sam
     psi = min(max_samples, n)
     # a tree's row count under the bound is binomial: eight deviations of room
     share = min(1.0, (psi + 8 * math.sqrt(psi) + 8) / max(n, 1))
-    bound = F.lit(int(share * (1 << 62)))
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, *fcols), F.lit(1 << 62)).alias("h")))
-    drawn = filled.select(*fcols, F.explode(F.filter(hashed, lambda s: s["h"] <= bound)).alias("s"))
-    drawn = drawn.select(*fcols, F.col("s.tree").alias("__tree"), F.col("s.h").alias("__h"))
+    counted = filled.groupBy(*fcols).agg(F.count("*").alias("__n")).withColumn("__v", F.xxhash64(F.lit(seed), *fcols))
+    drawn = counted.mapInPandas(_draw(fcols, n_trees, share, psi), T.StructType(
+        [counted.schema[c] for c in fcols] + [T.StructField("__tree", T.IntegerType()), T.StructField("__h", T.DoubleType())]))
     first = Window.partitionBy("__tree").orderBy("__h", *fcols)
     sample = drawn.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= psi)
     forest = (sample.select("__tree", "__h", *fcols)
