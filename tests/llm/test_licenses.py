@@ -38,3 +38,27 @@ def test_given_lines_are_found(spark):
 def test_edges(edge, nothing):
     assert L.scan_documents(edge).count() == edge.count()
     assert L.scan_documents(nothing).count() == 0
+
+
+def test_header_blocks():
+    apache = """/*
+ * Copyright 2020 Some One. All rights reserved.
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ */
+int x;"""
+    bsd = """# Copyright (c) 2020, Some One
+# All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+"""
+    mpl = """// This Source Code Form is subject to the terms of the
+// Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+// with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+    scanner = L.Scanner({t: 300 for t in ("the", "of", "and", "in", "to", "is", "are", "this", "with")}, 1000)
+    for text, want in ((apache, "Apache-2.0"), (bsd, "BSD-3-Clause"), (mpl, "MPL-2.0"), ("// SPDX-License-Identifier: MIT\n", "MIT"),
+                       ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("Copyright 2020 X.\nAll rights\nreserved.", "Proprietary"),
+                       ("Permission is\nhereby granted, free of charge, to any person\nobtaining a copy of this software", "MIT")):
+        assert scanner.best(text)[0] == want, (want, scanner.best(text))

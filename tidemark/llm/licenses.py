@@ -1,9 +1,12 @@
 """Licence scan: TF-IDF cosine of lines to templates, inherited down directories.
 
-1. Every sentence of every text that holds a trigger is a header candidate. It and
-   each template are sparse TF-IDF vectors over the templates' words; document frequencies of
+1. A header block is a run of lines without an empty one, comment markers stripped. Its sentences
+   that hold a trigger, by line and with wrapped lines joined, and the whole block are header candidates.
+   They and each template are sparse TF-IDF vectors over the templates' words; document frequencies of
    those words are counted over all lines' documents. The best template of
-   cosine ``COSINE`` or more is the file's licence (``direct``).
+   cosine ``COSINE`` or more is the file's licence (``direct``); a copyright line's "All rights
+   reserved" counts only where no licence is named, and an SPDX tag of a template's name has cosine 1.
+   Templates are notices, not the full texts of licence files.
 2. A file named like a licence file (or any file that ``is_licence`` marks) gives
    its directory that licence.
 3. A file without one takes it from the nearest ancestor directory that has one:
@@ -36,7 +39,8 @@ SHORT = 40  # words of a document that stands for its directory's licence file (
 
 # notice sentences by licence (fixed values)
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0",),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0",
+                   "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -49,7 +53,10 @@ TEMPLATES = {
 TRIGGERS = ("licens", "licenc", "rights reserved", "redistribution and use", "permission is hereby", "creative commons", "cc by", "cc-by")
 LICENCE_NAME = r"(?i)^(licen[sc]e|copying|notice|unlicense)([-._].*)?$"
 _TERM = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])(?<!\sv\.)\s+")
+_MARKER = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--)?\s*|\s*(?:\*+/|-->)?\s*$")
+_SPDX = re.compile(r"spdx-license-identifier:\s*\(?([a-z0-9.+-]+)")
+RESERVED = "Proprietary"  # only where no licence is named
 
 
 def terms(text: str) -> list[str]:
@@ -59,18 +66,28 @@ def terms(text: str) -> list[str]:
 VOCABULARY = sorted({t for notices in TEMPLATES.values() for x in notices for t in terms(x)})
 
 
+BY_ID = {k.lower(): k for k in TEMPLATES if k != RESERVED}
+HINTS = tuple(sorted({t.split()[0] for t in TRIGGERS}))  # a wrapped trigger's first word is still whole
+
+
 def headers(text: str) -> list[str]:
-    """The sentences, lower-cased, that hold a trigger, anywhere in the text."""
-    low, lines = text.lower(), {}
-    for trigger in TRIGGERS:
-        at = low.find(trigger)
-        while at >= 0:
-            start, end = low.rfind("\n", 0, at) + 1, low.find("\n", at)
-            end = len(low) if end < 0 else end
-            lines[start] = end
-            at = low.find(trigger, end)
-    return [s for start, end in sorted(lines.items()) for s in _SENTENCE.split(low[start:end])
-            if any(t in s for t in TRIGGERS)]
+    """The header candidates, lower-cased: sentences by line and by block, and whole blocks."""
+    low, found = text.lower(), {}
+    if not any(t in low for t in HINTS):
+        return []
+    held: list[str] = []
+    for line in [*low.split("\n"), ""]:
+        line = _MARKER.sub("", line)
+        if line:
+            held.append(line)
+            continue
+        block = " ".join(held)
+        if any(t in block for t in TRIGGERS):
+            for part in (*held, block):
+                found.update((x, None) for x in _SENTENCE.split(part) if any(t in x for t in TRIGGERS))
+            found[block] = None
+        held = []
+    return list(found)
 
 
 class Scanner:
@@ -88,16 +105,24 @@ class Scanner:
 
     def best(self, text: str) -> tuple[str | None, float]:
         """(template, cosine) of the best header, (None, 0) below ``COSINE``."""
-        name, top = None, 0.0
+        name, top, reserved = None, 0.0, 0.0
         for h in headers(text):
+            for tag in _SPDX.findall(h):
+                tag = BY_ID.get(re.sub("-(only|or-later)$", "", tag.rstrip(".")))
+                if tag is not None and top < 1.0 - 1e-12:
+                    name, top = tag, 1.0
             counts = Counter(terms(h))
             v = {t: c * self.idf.get(t, self.other) for t, c in counts.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             for k, template in self.templates:
                 cosine = sum(x * v.get(t, 0.0) for t, x in template.items()) / norm if norm else 0.0
-                if cosine > top + 1e-12:
+                if k == RESERVED:
+                    reserved = max(reserved, cosine)
+                elif cosine > top + 1e-12:
                     name, top = k, cosine
-        return (name, top) if top >= COSINE else (None, 0.0)
+        if top >= COSINE:
+            return name, top
+        return (RESERVED, reserved) if reserved >= COSINE else (None, 0.0)
 
 
 def _term_counts(batches):
