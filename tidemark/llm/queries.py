@@ -14,6 +14,8 @@ from .mixing import taken_words
 from .near_dedup import near_classes
 from .pieces import encode_digest
 from .quality_rules import quality_rules
+from .sharding import ORACLE as SHARDING_SQL
+from .sharding import index as shard_index
 from .substring_dedup import dedup_digest
 from .suffix_tree_lm import score as lm_score
 from .top_k import ORACLE as TOP_K_SQL
@@ -64,6 +66,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_index(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op2_top_k": (op2_top_k, TOP_K_SQL),
@@ -75,4 +81,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_suffix_array_dedup": (op8_suffix_array_dedup, None),
+    "op11_sharding": (op11_sharding, SHARDING_SQL),
 }
