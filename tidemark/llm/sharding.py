@@ -177,13 +177,13 @@ shard_{tag} AS (SELECT key, arg_min(shard, {_sql_draw('shard', 'weight')})::INTE
 # checksum: the reflected polynomial of CRC-32, a table of 256 steps, folded over the bytes
 ORACLE = f"""
 WITH crc_table AS (
-    SELECT list(list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
     FROM range(256) AS t(i)),
 texts AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, encode(coalesce(text, '')) AS bytes FROM documents),
 sized AS (
     SELECT doc_id, key, octet_length(bytes) + {ROW_BYTES} AS size,
-        xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(bytes), '..'), x -> ('0x' || x)::BIGINT)),
-            (c, b) -> xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+        xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: ('0x' || x)::BIGINT)),
+            lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
     FROM texts, crc_table),
 keys AS (SELECT DISTINCT key FROM sized),{_sql_descent('now', plan(SHARDS))}{_sql_descent('grown', plan(SHARDS).grow())}
 many AS (SELECT greatest(1, ceil(count(*) / {SHARDS * PER_BUCKET}))::BIGINT AS buckets FROM sized),
