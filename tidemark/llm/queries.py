@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import pii
+from .collocations import ORACLE as COLLOCATIONS_SQL
+from .collocations import collocations
 from .knn_quality import score as knn_score
 from .licenses import scan_documents
 from .mixing import taken_words
@@ -20,6 +22,8 @@ from .substring_dedup import dedup_digest
 from .suffix_tree_lm import score as lm_score
 from .top_k import ORACLE as TOP_K_SQL
 from .top_k import top_k_of_table
+from .vector_codes import ORACLE as VECTOR_CODES_SQL
+from .vector_codes import code_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +74,14 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_index(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mixing": (op1_mixing, None),
     "op2_top_k": (op2_top_k, TOP_K_SQL),
@@ -82,4 +94,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_suffix_array_dedup": (op8_suffix_array_dedup, None),
     "op11_sharding": (op11_sharding, SHARDING_SQL),
+    "op12_vector_codes": (op12_vector_codes, VECTOR_CODES_SQL),
+    "op13_collocations": (op13_collocations, COLLOCATIONS_SQL),
 }
