@@ -51,3 +51,26 @@ def test_safe_float(spark):
     got = [r[0] for r in df.select(safe_float("v", 9.0)).collect()]
     assert got == [9.0, 9.0, 9.0, 2.5]
     assert not any(math.isnan(g) for g in got)
+
+
+DIRTY = ["30d", "1.5f", "0x1p3", "1e7", "inf", "-inf", "+nan", "+Infinity", " 12 ", "1e-05", "12.345", "-1.234,56", "٣", "5-3", ".5", "5.", "--1"]
+
+
+def test_numbers_as_python_reads_them(spark):
+    rows = spark.createDataFrame([(x,) for x in DIRTY], "s string").select("s", adaptive_num("s").alias("a"), clean_num("s").alias("c")).collect()
+    for r in rows:
+        try:
+            want = None if r.s == "٣" else float(r.s.strip().replace(",", ""))
+        except ValueError:
+            want = None
+        assert r.a == want or (want != want and r.a != r.a)
+    core = {r.s: r.c for r in rows}
+    assert core["30d"] == 30.0 and core["1.5f"] == 1.5 and core["1e7"] == 17.0 and core["12.345"] == 12345.0
+    assert core["-1.234,56"] == -1.23456 and core["5-3"] is None and core[".5"] == 0.5 and core["5."] == 5.0 and core["inf"] is None
+
+
+@pytest.mark.parametrize("parse", [clean_num, adaptive_num, reparse_float])
+def test_each_pattern_runs_once_a_cell(spark, parse):
+    df = spark.range(1).selectExpr("cast(id as string) as s").select(parse(F.col("s")).alias("o"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3 and plan.count("RLIKE") <= 2

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import rank as R
-from tidemark.operators.rank import quantiles, rank_table, with_pct_ranks
+from tidemark.operators.rank import quantiles, with_pct_ranks
 
 from conftest import SF_MID
 
@@ -18,14 +18,39 @@ def test_pct_rank_matches_pandas_on_ties(spark):
     assert np.allclose(got["r"].to_numpy(), want.to_numpy(), rtol=0, atol=1e-15)
 
 
-def test_rank_table_equals_window(spark):
+@pytest.mark.parametrize("buckets", [1, 2, 7, 300])
+def test_ranks_equal_a_window(spark, buckets):
     from pyspark.sql import Window
-    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_quantity")
-    t = rank_table(li, ["l_quantity"], n_buckets=7).select("v", "cum_before")
-    w = li.groupBy(F.col("l_quantity").alias("v")).count().withColumn(
-        "cb", F.coalesce(F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bad = t.join(w, "v").where(F.col("cum_before") != F.col("cb")).count()
-    assert bad == 0
+    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_quantity", "l_extendedprice")
+    got = with_pct_ranks(li, ["l_quantity", "l_extendedprice"], ["a", "b"], n_buckets=buckets)
+    n = li.count()
+    for c, r in (("l_quantity", "a"), ("l_extendedprice", "b")):
+        w, ties = Window.orderBy(c), Window.partitionBy(c)
+        bad = got.withColumn("want", (F.rank().over(w) + (F.count("*").over(ties) - 1) / 2) / n).where(F.col("want") != F.col(r))
+        assert bad.count() == 0
+
+
+def test_exchanges_do_not_grow_with_the_columns(spark):
+    df = spark.range(5000).selectExpr("id", *[f"cast(hash(id, {i}) as double) as x{i}" for i in range(6)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [with_pct_ranks(df, [f"x{i}" for i in range(n)])._jdf.queryExecution().executedPlan().toString() for n in (1, 3, 6)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # by cell, by row number, and the rows that meet their ranks
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [3, 3, 3]
+
+
+def test_hot_values_and_nulls_are_not_moved_by_cell(spark):
+    df = spark.range(9000).selectExpr("case when id % 3 = 0 then 5.0 when id % 3 = 1 then null else cast(id as double) end as x",
+                                      "cast(1 as double) as constant", "cast(null as double) as none", "double('nan') as nan",
+                                      "if(id % 2 = 0, double('inf'), double(id)) as inf")
+    got = with_pct_ranks(df, ["x", "constant", "none", "nan", "inf"]).toPandas()
+    for c in ("x", "constant", "inf"):
+        assert np.allclose(got[f"{c}_pct"], got[c].rank(pct=True), atol=1e-15, equal_nan=True)
+    assert got["none_pct"].isna().all() and got["nan_pct"].isna().all()
+    rows, cells = R._cut(df.select("x"), ["x"], 64)
+    assert 5.0 in cells[0].edges and rows.where("__c0 % 2 = 0").groupBy("__c0").count().agg(F.max("count")).first()[0] < 9000 / 40
 
 
 def test_nulls_stay_null(spark):
@@ -45,11 +70,7 @@ def test_quantiles_match_numpy(spark, q):
     assert got["l_extendedprice"][0] == float(pdf["l_extendedprice"].quantile(q))
 
 
-def test_brackets_narrow_without_the_rank_table(spark, monkeypatch):
-    def never(*a, **k):
-        raise AssertionError("the rank table moves the whole column")
-
-    monkeypatch.setattr(R, "rank_table", never)
+def test_brackets_narrow(spark):
     li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_extendedprice", "l_quantity")
     qs = [0.001, 0.3, 0.5, 0.999]
     want = li.toPandas()
@@ -64,7 +85,7 @@ def test_null_values_are_spread(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = with_pct_ranks(df, ["x"], ["r"], salts=8)
+        out = with_pct_ranks(df, ["x"], ["r"])
         sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -85,6 +106,6 @@ def test_skewed_value(spark):
 def test_salted_join_back_with_several_hot_values(spark):
     rows = [(1.0,)] * 400 + [(2.0,)] * 300 + [(float(i),) for i in range(10, 310)]
     df = spark.createDataFrame(rows, "x double")
-    got = with_pct_ranks(df, ["x"], ["r"], salts=4).toPandas()
+    got = with_pct_ranks(df, ["x"], ["r"], n_buckets=4).toPandas()
     assert len(got) == len(rows)
     assert np.allclose(got["r"], got["x"].rank(pct=True), atol=1e-15)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 
 # FIXED VALUES: patterns of the text-to-number rules.
-CURRENCY_CORE = "[₹$€£¥]"
-CURRENCY_ADAPTIVE = "[$€£¥₹,]"
+CURRENCY_OR_WHITESPACE = r"(?U)[₹$€£¥\s]+"
+CURRENCY_ADAPTIVE = "$€£¥₹,"
+US_GROUPED = r"(?U)\d,\d{3}[.,]"
 EU_NUMBER = r"^(?U)\d{1,3}(\.\d{3})+(,\d+)?$"
 NON_NUMERIC = r"(?U)[^\d.\-]"
-WHITESPACE = r"(?U)\s+"
 EDGE_WHITESPACE = r"(?U)^\s+|\s+$"
 THREE_DECIMALS = r"^\d{1,3}\.\d{3}$"
 
@@ -21,6 +21,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(x: Column, then) -> Column:
+    """``then(x)`` with ``x`` computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def py_strip(c) -> Column:
     """Strip leading/trailing whitespace like ``str.strip`` (tabs, newlines too)."""
     return F.regexp_replace(_col(c).cast("string"), EDGE_WHITESPACE, "")
@@ -33,13 +38,20 @@ SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
 def to_double(c) -> Column:
     """Cast of decimal text only; null for anything else. ``inf`` and ``nan`` read as such."""
-    s = py_strip(c)
-    low = F.lower(F.regexp_replace(s, r"^\+", ""))
-    special = (F.when(low.rlike("^-inf"), F.lit(float("-inf"))).when(low.rlike("^inf"), F.lit(float("inf")))
-               .otherwise(F.lit(float("nan"))))
+    return bound(py_strip(c), _decimal)
+
+
+def _decimal(s: Column) -> Column:
+    special = (F.when(F.lower(s).contains("nan"), F.lit(float("nan")))
+               .when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
     return F.when(s.rlike(DECIMAL), s.try_cast("double")).when(s.rlike(SPECIAL), special)
 
 
+def as_double(c: str, dtype: str) -> Column:
+    """A column as double: text is parsed, numbers are cast."""
+    return F.col(f"`{c}`").cast("double") if dtype != "string" else to_double(F.col(f"`{c}`"))
+
+
 def plain_text(c: Column, dtype: str) -> Column:
     """A typed column as text; doubles and floats as Python writes them (``12345678.0``, ``1e+16``)."""
     if dtype not in ("double", "float"):
@@ -65,14 +77,16 @@ def clean_num(c, locale_rule: str = "default") -> Column:
     ``locale_rule='v1'`` reproduces the first release, where a US number with
     comma thousands and a decimal point also took the European branch.
     """
-    s = F.regexp_replace(_col(c).cast("string"), CURRENCY_CORE, "")
-    s = F.regexp_replace(s, WHITESPACE, "")
-    eu = s.rlike(EU_NUMBER)
-    if locale_rule == "v1":
-        eu = eu | s.rlike(r"(?U)\d,\d{3}[.,]")
-    as_eu = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
-    fixed = F.when(eu, as_eu).otherwise(F.regexp_replace(s, ",", ""))
-    return to_double(F.regexp_replace(fixed, NON_NUMERIC, ""))
+    def separators(s: Column) -> Column:
+        eu = s.rlike(EU_NUMBER)
+        if locale_rule == "v1":
+            eu = eu | s.rlike(US_GROUPED)
+        # European: points go, the comma becomes the point
+        return F.when(eu, F.translate(s, ",.", ".")).otherwise(F.translate(s, ",", ""))
+
+    bare = F.regexp_replace(_col(c).cast("string"), CURRENCY_OR_WHITESPACE, "")
+    return bound(F.regexp_replace(bound(bare, separators), NON_NUMERIC, ""),
+                 lambda d: F.when(d.rlike(DECIMAL), d.try_cast("double")))
 
 
 def reparse_float(c, strict: bool = False) -> Column:
@@ -85,30 +99,24 @@ def reparse_float(c, strict: bool = False) -> Column:
     values from 1e16 up lose their exponent marker (``1e+16`` -> 116), and
     NaN/inf become null. ``strict=True`` keeps the parsed value instead.
     """
-    v = _col(c).cast("double")
-    if strict:
-        return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
-    s = v.cast("string")
-    a = F.abs(v)
-    mant = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    expo = F.regexp_extract(s, r"E([0-9]+)$", 1)
-    return (
-        F.when(v.isNull() | F.isnan(v) | (a == float("inf")), F.lit(None).cast("double"))
-        .when((a > 0) & (a < 1e-4), F.lit(None).cast("double"))
-        .when(a >= 1e16, F.concat(mant, expo).try_cast("double"))
-        .when((v >= 0.001) & (v < 1000) & s.rlike(THREE_DECIMALS),
-              F.regexp_replace(s, r"\.", "").try_cast("double"))
-        .otherwise(v)
-    )
+    def again(v: Column) -> Column:
+        a = F.abs(v)
+        odd = F.isnan(v) | (a == float("inf"))
+        if strict:
+            return F.when(~odd, v)
+        large = F.replace(F.replace(v.cast("string"), F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit(""))
+        thousand = (v >= 0.001) & (v < 1000) & v.cast("string").rlike(THREE_DECIMALS)
+        return (F.when(odd | ((a > 0) & (a < 1e-4)), F.lit(None).cast("double"))
+                .when(a >= 1e16, large.try_cast("double"))
+                .when(thousand, F.translate(v.cast("string"), ".", "").try_cast("double")).otherwise(v))
+
+    return bound(_col(c).cast("double"), again)
 
 
 def adaptive_num(c) -> Column:
     """Null tokens, currency/commas and a trailing percent, then cast."""
-    t = py_strip(c)
-    t = F.when(t.isin(C.ADAPTIVE_NULL_TOKENS), F.lit(None)).otherwise(t)
-    t = F.regexp_replace(t, CURRENCY_ADAPTIVE, "")
-    t = F.regexp_replace(t, r"%$", "")
-    return to_double(t)
+    known = bound(py_strip(c), lambda t: F.when(~t.isin(C.ADAPTIVE_NULL_TOKENS), t))
+    return to_double(F.regexp_replace(F.translate(known, CURRENCY_ADAPTIVE, ""), r"%$", ""))
 
 
 def safe_float(c, default: float = 0.0) -> Column:

@@ -1,21 +1,17 @@
 """Exact percentile ranks and quantiles without a global window.
 
 A global ``Window.orderBy`` or ``percentile`` funnels every value through one
-task. Here the work is split instead:
-
-1. ``groupBy(column, value).count()`` -- a hash shuffle with map-side
-   partial aggregation, so a value held by a third of all rows is one row.
-2. Approximate quantiles (one sketch pass) give range buckets; a value held
-   by many rows is still one row per bucket after step 1.
-3. Per-bucket totals (``columns x buckets`` rows, bounded by the bucket count)
-   give each bucket's offset through a tiny window per column.
-4. A window partitioned by ``(column, bucket)`` gives the running count
-   inside each bucket; offset + running count = rows strictly below a value.
-
-The result is a table with one row per distinct value:
-``k, v, cnt, cum_before, n``. Average-tie percentile rank is
-``(cum_before + (cnt + 1) / 2) / n``; order statistics are the values whose
-``[cum_before, cum_before + cnt)`` covers the wanted position.
+task. Ranks split the work instead, for all columns at once:
+
+1. one sketch pass gives every column's approximate quantiles. They cut its values into cells:
+   one for each sketch value (its copies) and one for the values strictly between two neighbours.
+   A value held by many rows is always a sketch value, so open cells hold no hot value;
+2. one counting pass gives the rows of each cell (columns x cells numbers, bounded by ``n_buckets``), hence
+   how many rows lie before it. Rows on a sketch value have their rank from that alone and are not moved;
+3. the other values move as narrow rows (row number, column, value), once by cell to be ranked there
+   and once by row number, all columns of a row together; then they meet their row again.
+
+Average-tie percentile rank is ``(rank_min + rank_max) / 2 / n``.
 """
 
 from __future__ import annotations
@@ -23,110 +19,101 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.session import boundary, default_buckets
 
-from tidemark.session import default_buckets
+ROW = "__row_no"
+MOST_BUCKETS = 4096
 
 
-def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    if len(cols) == 1:
-        c = cols[0]
-        out = df.select(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
-    else:
-        pairs = [F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols]
-        out = df.select(F.explode(F.array(*pairs)).alias("s")).select("s.k", "s.v")
-    return out.where(F.col("v").isNotNull() & ~F.isnan("v"))
+def _numbers(values: list, kind: str) -> Column:
+    """A literal array as one string, which keeps plans of thousands of bounds short."""
+    return F.from_json(F.lit("[" + ",".join(repr(v) for v in values) + "]"), T.ArrayType(T.DoubleType() if kind == "double" else T.LongType()))
 
 
-def rank_table(df: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
-    """Distinct values of each column with their exact cumulative counts.
+class _Cells:
+    """The cells of one column: sketch values ``edges``, and per cell the rows before it and in it.
 
-    Bucket bounds come from one sketch pass over the input (mergeable
-    ``percentile_approx`` partials; ``columns x buckets`` doubles reach the
-    driver) and are applied with ``Bucketizer`` (a JVM binary search), so the
-    value-count shuffle below is computed once and reused by both branches.
+    Cell 2i is what lies below ``edges[i]`` (and above the one before), cell 2i + 1 is ``edges[i]``.
     """
+
+    def __init__(self, edges: list[float]):
+        self.edges = edges
+        self.before = self.held = [0] * (2 * len(edges) + 1)
+        self.n = 0
+
+    def cell(self, bucket: Column, v: Column) -> Column:
+        i = bucket.cast("int")
+        on = (i > 0) & (F.get(_numbers(self.edges, "double"), i - 1) == v)
+        return F.when(on, 2 * i - 1).otherwise(2 * i)
+
+    def count(self, held: dict[int, int]) -> None:
+        self.held = [held.get(i, 0) for i in range(2 * len(self.edges) + 1)]
+        self.before = [0]
+        for x in self.held[:-1]:
+            self.before.append(self.before[-1] + x)
+        self.n = sum(self.held)
+
+
+def _cut(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[DataFrame, list[_Cells]]:
+    """``df`` with ``__v{i}`` (the value as double, null if missing) and ``__c{i}`` (its cell) of each column."""
     from pyspark.ml.feature import Bucketizer
 
-    buckets = n_buckets or default_buckets(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
-    sk = df.agg(*[F.percentile_approx(_valid(c), probs, 10000).alias(f"b{i}")
-                  for i, c in enumerate(cols)]).first()
-    from tidemark.session import materialize
-    # read by both branches below: one scan and one shuffle of the input
-    vc = materialize(_stack(df, cols).groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")), "checkpoint")
-    parts = None
-    for i, c in enumerate(cols):
-        edges = sorted({float(x) for x in (sk[f"b{i}"] or [])})
-        sub = vc.where(F.col("k") == c)
-        if edges:
-            splits = [float("-inf")] + edges + [float("inf")]
-            sub = Bucketizer(splits=splits, inputCol="v", outputCol="bucket").transform(sub)
+    sketch = df.agg(*[F.percentile_approx(_valid(c), probs, 10000).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    cells = [_Cells(sorted({float(x) + 0.0 for x in (sketch[f"b{i}"] or []) if abs(x) != float("inf")})) for i in range(len(cols))]
+    df = df.withColumns({f"__v{i}": _valid(c) for i, c in enumerate(cols)})
+    for i, c in enumerate(cells):
+        if c.edges:
+            df = Bucketizer(splits=[float("-inf"), *c.edges, float("inf")], inputCol=f"__v{i}", outputCol=f"__b{i}",
+                            handleInvalid="keep").transform(df)
         else:
-            sub = sub.withColumn("bucket", F.lit(0.0))
-        parts = sub if parts is None else parts.unionByName(sub)
-    vb = parts.withColumn("bucket", F.col("bucket").cast("int"))
-    totals = vb.groupBy("k", "bucket").agg(F.sum("cnt").alias("bcnt"))
-    # columns x buckets rows: a tiny window per column
-    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "k", "bucket",
-        F.coalesce(F.sum("bcnt").over(before), F.lit(0)).alias("off"),
-        F.sum("bcnt").over(Window.partitionBy("k")).alias("n"),
-    )
-    inside = Window.partitionBy("k", "bucket").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, -1)
-    running = vb.withColumn("within", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    return running.join(F.broadcast(offsets), ["k", "bucket"]).select(
-        "k", "v", "cnt", (F.col("off") + F.col("within")).alias("cum_before"), "n")
-
-
-def pct_rank_expr() -> F.Column:
-    """Average-tie percentile rank from a rank-table row."""
-    return (F.col("cum_before") + (F.col("cnt") + F.lit(1)) / F.lit(2)) / F.col("n")
+            df = df.withColumn(f"__b{i}", F.lit(0.0))
+        v = F.col(f"__v{i}")
+        df = df.withColumn(f"__c{i}", F.when(v.isNotNull(), c.cell(F.col(f"__b{i}"), v))).drop(f"__b{i}")
+    return df, cells
 
 
 def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None = None,
-                   table: DataFrame | None = None,
-                   n_buckets: int | None = None, salts: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Add ``pandas``-style ``rank(pct=True)`` columns (average ties, nulls stay null).
 
-    Each rank is joined back on the value. A value held by more than
-    ``1/salts`` of the rows (so at most ``salts`` such values per column; they
-    are collected in one small job) is salted: its single rank row is
-    replicated ``salts`` times with ``explode(sequence)`` and its data rows
-    pick a replica by a hash of the row, so one hot value is spread over ``salts`` join
-    tasks, and a task that runs again sends every row where it went before. Null
-    values meet no rank; they are spread by the same salt. AQE still
-    turns a join into a broadcast when the table is small.
+    The rows are written once (a stage boundary that numbers them); the exchanges after it carry
+    (row number, column, value) whatever the number of columns, and the final meeting of rows and
+    ranks is by row number, which no value can make hot. AQE broadcasts the ranks when they are few.
     """
     out = list(out or [f"{c}_pct" for c in cols])
-    spark = df.sparkSession
-    salts = salts or default_buckets(spark)
-    if table is None:
-        # every join below reads the table: compute its shuffles once
-        from tidemark.session import materialize
-        table = materialize(rank_table(df, cols, n_buckets), "checkpoint")
-    # hot values of every column in one small job: at most `salts` per column
-    hot_flag = F.col("cnt") * F.lit(salts) > F.col("n")
-    hot: dict[str, list[float]] = {}
-    for r in table.where(hot_flag).select("k", "v").collect():
-        hot.setdefault(r["k"], []).append(float(r["v"]))
-    row_cols = [c for c, t in df.dtypes if not t.startswith("map")]
-    for c, o in zip(cols, out):
-        key, salt = f"__rk_{o}", f"__salt_{o}"
-        ranks = table.where(F.col("k") == c).select(F.col("v").alias(key), pct_rank_expr().alias(o))
-        v = F.col(c).cast("double")
-        is_hot = F.col(key).isin(hot.get(c, []))
-        right = (ranks.where(is_hot).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-                 .unionByName(ranks.where(~is_hot).withColumn(salt, F.lit(0)))
-                 .withColumnRenamed(salt, f"{salt}_r"))
-        spread = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in row_cols]), F.lit(salts)).cast("int")
-        tagged = df.withColumn(salt, F.when(v.isNull() | F.isnan(v) | v.isin(hot.get(c, [])), spread).otherwise(F.lit(0)))
-        df = (tagged.join(right, (v == F.col(key)) & (F.col(salt) == F.col(f"{salt}_r")), "left")
-              .drop(key, salt, f"{salt}_r"))
-    return df
+    names = df.columns
+    buckets = min(n_buckets or default_buckets(df.sparkSession), MOST_BUCKETS)
+    rows, cells = _cut(boundary(df.withColumn(ROW, F.monotonically_increasing_id()), "ranked"), cols, buckets)
+    held: list[dict[int, int]] = [{} for _ in cols]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"__c{i}").alias("cell")) for i in range(len(cols))]))
+    for r in (rows.select(each.alias("s")).select("s.*").filter("cell is not null")
+              .groupBy("k", "cell").agg(F.count("*").alias("n")).collect()):  # columns x cells numbers
+        held[r.k][r.cell] = r.n
+    for c, h in zip(cells, held):
+        c.count(h)
+
+    def is_open(i: int) -> Column:
+        return F.col(f"__c{i}") % 2 == 0
+
+    parts = F.array(*[F.when(is_open(i), F.struct(F.lit(i).alias("k"), F.col(f"__c{i}").alias("cell"), F.col(f"__v{i}").alias("v")))
+                      for i in range(len(cols))])
+    narrow = rows.select(ROW, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("s")).select(ROW, "s.*")
+    inside = Window.partitionBy("k", "cell").orderBy("v")
+    upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    twice = narrow.withColumn("twice", F.rank().over(inside) + F.count("*").over(upto))
+    ranks = twice.groupBy(ROW).agg(*[F.max(F.when(F.col("k") == i, F.col("twice"))).alias(f"__t{i}") for i in range(len(cols))])
+    met = rows.join(ranks, ROW, "left")
+    ranked = {}
+    for i, (c, o) in enumerate(zip(cells, out)):
+        before, own = F.get(_numbers(c.before, "long"), F.col(f"__c{i}")), F.get(_numbers(c.held, "long"), F.col(f"__c{i}"))
+        double = F.when(is_open(i), F.col(f"__t{i}")).otherwise(own + 1)
+        ranked[o] = F.when(F.col(f"__c{i}").isNotNull(), (before + double / F.lit(2)) / F.lit(max(c.n, 1)))
+    return met.select(*[F.col(f"`{c}`") for c in names if c not in ranked], *[e.alias(o) for o, e in ranked.items()])
 
 
 def _lerp(a: float, b: float, t: float) -> float:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.functions.numeric import lower_token, py_strip, to_double
+from tidemark.functions.numeric import as_double, bound, lower_token, py_strip, to_double
 from tidemark.operators import features as FX
 from tidemark.operators.rank import quantiles, with_pct_ranks
 from tidemark.plans.adaptive import numeric_columns
@@ -39,10 +39,8 @@ class V2Result:
 
 def v2_num(c) -> F.Column:
     """v2.0 text-to-number: null tokens, then ``$ , %`` removed anywhere."""
-    t = py_strip(_q(c) if isinstance(c, str) else c)
-    t = F.when(t.isin(C.V2_NULL_TOKENS), F.lit(None)).otherwise(t)
-    t = F.regexp_replace(t, r"[$,%]", "")
-    return to_double(t)
+    known = bound(py_strip(_q(c) if isinstance(c, str) else c), lambda t: F.when(~t.isin(C.V2_NULL_TOKENS), t))
+    return to_double(F.translate(known, "$,%", ""))
 
 
 def to_binary(c: str) -> F.Column:
@@ -157,8 +155,9 @@ def _infer(df: DataFrame, target: str, numeric: list[str]) -> tuple[DataFrame, s
 def _clean(df: DataFrame) -> DataFrame:
     """P13 (2.0): median fill (1 / 50 when missing), abs, tenure 0 -> 1, dedup."""
     keys = ["tenure", "MonthlyCharges", "TotalCharges"]
-    df = df.withColumns({c: to_double(_q(c)) for c in keys})
-    df = df.withColumn("Churn", (F.coalesce(to_double(_q("Churn")), F.lit(0.0))
+    kinds = dict(df.dtypes)
+    df = df.withColumns({c: as_double(c, kinds[c]) for c in keys})
+    df = df.withColumn("Churn", (F.coalesce(as_double("Churn", kinds["Churn"]), F.lit(0.0))
                                  .cast("int") > 0).cast("int"))
     meds = quantiles(df, {c: [0.5] for c in keys})
     for c in keys:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,21 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def boundary(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    A stage boundary: the lineage is cut (executors that replace lost ones read the written
+    table), later stages read only the columns they use, and the folder is removed when the
+    application ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Range buckets for distributed ranks: one per shuffle partition."""
     try:

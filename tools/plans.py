@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemark.operators.rank import rank_table  # noqa: E402
+from tidemark.operators.rank import with_pct_ranks  # noqa: E402
 from tidemark.session import get_spark  # noqa: E402
 from tidemark.sources import fixtures as FXT  # noqa: E402
 
@@ -34,7 +34,7 @@ def main() -> None:
     show("churn_input: orders pre-aggregated per customer, then joined", FXT.churn_input(spark, sf))
     show("events_input: events aggregated per user", FXT.events_input(spark, sf))
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    show("rank table (W1) for lineitem.l_extendedprice", rank_table(li, ["l_extendedprice"]))
+    show("percentile ranks (W1) for lineitem.l_extendedprice", with_pct_ranks(li, ["l_extendedprice"]))
     spark.stop()
 
 
