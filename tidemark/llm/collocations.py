@@ -41,7 +41,7 @@ LONGEST = 5
 BEST = 2000
 SHARDS = 25
 SEGMENT = 1 << 18
-UNIT = 1 << 20  # words counted at a time
+UNIT = 1 << 19  # words counted at a time
 
 # FIXED VALUES: bytes that end a piece, and bytes that part words
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -170,6 +170,7 @@ def grams(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _units(batches):
     """(shard, language, words, new ones) in units of about ``UNIT`` words."""
     held: dict[tuple[int, str], list] = {}
+    total = 0
     for batch in batches:
         values, at = list_parts(batch.column("h"))
         values = values.view(np.uint64)
@@ -181,8 +182,11 @@ def _units(batches):
             unit[0] += len(w)
             unit[1].append(w.copy())
             unit[2].append(new)
-            if unit[0] >= UNIT:
-                yield *key, np.concatenate(unit[1]), np.concatenate(unit[2])
+            total += len(w)
+            if total >= UNIT:  # what is held, of all shards and languages of the task
+                key = max(held, key=lambda k: held[k][0])
+                total -= held[key][0]
+                yield *key, np.concatenate(held[key][1]), np.concatenate(held[key][2])
                 del held[key]
     for key, unit in held.items():
         yield *key, np.concatenate(unit[1]), np.concatenate(unit[2])
@@ -281,7 +285,7 @@ def _count_candidates(longest: int, table):
                         unit[2].append((unit[0], carried))
                     unit[1] += [part, b"\n"]
                     unit[0] += len(part) + 1
-                    if unit[0] >= 4 * UNIT:
+                    if unit[0] >= 2 * UNIT:
                         yield counted(code, unit)
                         unit = held[code] = [0, [], []]
         for code, unit in held.items():

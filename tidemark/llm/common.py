@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ensure_checkpoint_dir, ship_package
+from tidemark.session import boundary, ensure_checkpoint_dir, ship_package
 
 # a word: a run of characters other than space and the ASCII controls 9 to 13
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> None:
-    """Shared checkpoint folder set, package importable in the Python workers."""
+    """Shared checkpoint folder set, package importable in the Python workers, and
+    Arrow batches of at most ``BATCH_BYTES``, so a worker's memory does not follow the row size."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_of(column: str = "text") -> Column:
@@ -47,11 +56,9 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later stages and executors that replace lost ones read
-    the written table instead of recomputing it.
+    the written table instead of recomputing it. The folder goes when the application ends.
     """
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return boundary(df, tag)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
