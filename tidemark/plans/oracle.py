@@ -85,7 +85,7 @@ def pct_rank_sql(col: str) -> str:
             f"/ (2.0 * count({col}) OVER ()))")
 
 
-def core_ctes(labelled: bool = True) -> str:
+def core_ctes(labelled: bool = True, source: str = "SELECT DISTINCT * FROM churn_input") -> str:
     """E1 on the ``churn_input`` fixture: pick, fill, repair, label, features,
     heuristic score, CLV, segment, tier -> CTE ``final``."""
     w = C.HEURISTIC_WEIGHTS
@@ -119,7 +119,7 @@ labelled AS (
   SELECT customerID, tenure, MonthlyCharges, TotalCharges, CAST(risk >= t AS INTEGER) AS Churn
   FROM risk, thr)"""
     return f""",
-dedup AS (SELECT DISTINCT * FROM churn_input),
+dedup AS ({source}),
 picked AS (
   SELECT customerID, {'Churn' if labelled else 'NULL AS Churn'},
          {clip0(reparse_sql(clean_num_sql('tenure')))} AS t0,
@@ -166,6 +166,43 @@ def core_final(labelled: bool = True) -> str:
     return "WITH" + churn_input_cte(with_churn=labelled) + core_ctes(labelled)
 
 
+def core_edges(mapped: bool = True) -> str:
+    """E1 on the edge-case file; ``plan`` as its code among the sorted values (missing first)."""
+    k = "CAST(substr(customerID, 2) AS BIGINT)"
+    label = f"CASE WHEN {k} % 17 = 0 THEN 'maybe' ELSE Churn END" if mapped else f"CASE WHEN {k} % 4 <> 0 THEN 'pending' ELSE Churn END"
+    rows = f"""
+    SELECT customerID, CASE WHEN {k} % 11 <> 0 THEN tenure END AS tenure, MonthlyCharges,
+           CASE WHEN {k} % 13 = 0 THEN '1.00' ELSE TotalCharges END AS TotalCharges, {label} AS Churn,
+           CASE WHEN {k} % 7 = 0 THEN NULL WHEN {k} % 7 < 3 THEN 'basic' ELSE 'gold' END AS plan FROM churn_input"""
+    edges = f""",
+whole AS ({rows}),
+twice AS (SELECT * FROM whole UNION ALL SELECT * FROM whole WHERE {k} % 9 = 0
+          UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL FROM whole WHERE {k} % 10 = 0),
+codes AS (SELECT plan, CAST(row_number() OVER (ORDER BY coalesce(plan, '__missing__')) - 1 AS DOUBLE) AS code
+          FROM (SELECT DISTINCT plan FROM twice WHERE customerID IS NOT NULL))"""
+    source = "SELECT DISTINCT * FROM twice WHERE customerID IS NOT NULL OR tenure IS NOT NULL OR MonthlyCharges IS NOT NULL OR plan IS NOT NULL"
+    return "WITH" + churn_input_cte() + edges + core_ctes(True, source) + """
+, plans AS (SELECT w.customerID, c.code AS plan FROM whole w JOIN codes c ON w.plan IS NOT DISTINCT FROM c.plan)"""
+
+
+def adaptive_edges() -> str:
+    """E3 on the edge-case file."""
+    k = "CAST(substr(customer_id, 3) AS BIGINT)"
+    source = adaptive_input_cte() + f""",
+whole AS (
+  SELECT customer_id, CASE WHEN {k} % 19 = 0 THEN '-' || account_length WHEN {k} % 23 = 0 THEN '99999' WHEN {k} % 29 <> 0 THEN account_length END AS account_length,
+         CASE WHEN {k} % 31 <> 0 THEN mrr END AS mrr, CASE WHEN {k} % 37 = 0 THEN 'N/A' ELSE total_spend END AS total_spend,
+         CASE WHEN customer_status IN ('Cancelled', 'inactive', 'Lapsed') THEN 'Yes' ELSE 'no ' END AS gone, plan, balance
+  FROM adaptive_input),
+edges AS (SELECT * FROM whole UNION ALL SELECT * FROM whole WHERE {k} % 9 = 0)"""
+    typed = f"""
+  SELECT customer_id, {adaptive_num_sql('account_length')} AS tenure, {adaptive_num_sql('mrr')} AS MonthlyCharges,
+         {adaptive_num_sql('total_spend')} AS TotalCharges, gone, plan, {adaptive_num_sql('balance')} AS balance
+  FROM edges"""
+    churn = f"(CASE WHEN lower(trim(gone)) IN ({_list(C.BINARY_CHURN_POSITIVE)}) THEN 1 ELSE 0 END)"
+    return adaptive_final(source=source, typed=typed, churn=churn, passthrough=("gone", "plan", "balance"))
+
+
 R6 = "(round_even(({c}) * 1000000.0, 0) / 1000000.0) AS {a}"
 
 

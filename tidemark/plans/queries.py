@@ -23,7 +23,7 @@ from tidemark.operators.rank import quantiles, with_pct_ranks
 from tidemark.plans import oracle as O
 from tidemark.plans.adaptive import run_adaptive
 from tidemark.plans.core import run_core
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, removed_at_end
 from tidemark.sources import fixtures as FXT
 from tidemark.sources.files import read_table
 
@@ -531,10 +531,11 @@ def sql_events_adaptive() -> str:
             for c in EVENTS_COLUMNS) + " FROM final"
 
 
-def _written(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
+def _written(spark: SparkSession, df: DataFrame, kind: str, ending: str | None = None, **options) -> str:
     """``df`` written in the shared folder in the given format; its path."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}.{kind}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}.{ending or kind}"
     df.write.format(kind).options(**options).save(path)
+    removed_at_end(spark, path)
     return path
 
 
@@ -571,12 +572,69 @@ def q_src_json_lines(spark, sf):
     return read_table(spark, _written(spark, docs, "json")).select("doc_id", "text", "lang")
 
 
+def _as_list(batches):
+    """One file's objects as a JSON list, an element's text broken over two lines."""
+    import pyarrow as pa
+
+    lead = "["
+    for batch in batches:
+        rows = batch.column(0).to_pylist()
+        yield pa.record_batch([pa.array([f"{lead if i == 0 else ','}{r[:-1]}\n }}" for i, r in enumerate(rows)], pa.string())], names=["value"])
+        lead = "," if rows else lead
+    yield pa.record_batch([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+
+def q_src_json_records(spark, sf):
+    """A list of objects per file, cut at its elements in parallel."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    lists = docs.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_as_list, "value string")
+    return read_table(spark, _written(spark, lists, "text", "json")).select("doc_id", "text", "lang")
+
+
+def q_src_encoding_late(spark, sf):
+    """The only bytes that are no UTF-8 stand far down in a Latin-1 file."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    late = F.col("o_orderkey") % 9973 == 9972
+    d = o.select(F.col("o_orderkey").cast("string").alias("order key"), F.when(late, "déjà vu").otherwise(F.col("o_orderstatus")).alias("status"))
+    return read_table(spark, _written(spark, d, "csv", header=True, encoding="ISO-8859-1"), lineage="core")
+
+
 def q_src_parquet_text(spark, sf):
     """Every column as text, doubles in plain notation."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 1000).alias("price"), "l_returnflag")
     return read_table(spark, _written(spark, li, "parquet"))
 
 
+EDGE_COLUMNS = ["customerID", "tenure", "MonthlyCharges", "TotalCharges", "AvgMonthlySpend", "SpendVariance", "Churn",
+                "Churn_Prob", "Predicted_CLV", "Segment", "Risk_Tier"]
+
+
+def q_core_edges(spark, sf):
+    """Dirty file, a few unknown labels."""
+    r = run_core(FXT.churn_edges(spark, sf), model="heuristic")
+    return round_doubles(r.df.select(*EDGE_COLUMNS, "plan"))
+
+
+def q_core_unmapped(spark, sf):
+    """Most labels unknown, so short tenure is the label."""
+    r = run_core(FXT.churn_edges(spark, sf, mapped=False), model="heuristic")
+    return round_doubles(r.df.select(*EDGE_COLUMNS, "plan"))
+
+
+def _core_edges_sql(mapped: bool) -> str:
+    out = [c if c in ("customerID", "Churn", "Segment", "Risk_Tier") else O.r6(c) for c in EDGE_COLUMNS]
+    return O.core_edges(mapped) + "\nSELECT " + ", ".join(out) + ", plan FROM final JOIN plans USING (customerID)"
+
+
+def q_adaptive_edges(spark, sf):
+    """Dirty file, churn inferred from a yes/no column."""
+    r = run_adaptive(FXT.adaptive_edges(spark, sf), model="heuristic", clv="heuristic")
+    return round_doubles(r.df.select(*ADAPTIVE_COLUMNS))
+
+
+SQL_ADAPTIVE_EDGES = O.adaptive_edges() + "\nSELECT " + ", ".join(
+    c if c in ("customer_id", "Churn", "TenureGroup", "Segment", "Recommendation") else O.r6(c) for c in ADAPTIVE_COLUMNS) + " FROM final"
+
 SQL_SRC_OVERLONG = """
 SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS customer,
        CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 7 = 1 THEN NULL ELSE o_orderstatus END AS status
@@ -614,6 +672,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "src_csv_quotes": (q_src_csv_quotes, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents"),
     "src_csv_overlong": (q_src_csv_overlong, SQL_SRC_OVERLONG),
     "src_json_lines": (q_src_json_lines, "SELECT doc_id, text, lang FROM documents"),
+    "src_json_records": (q_src_json_records, "SELECT doc_id, text, lang FROM documents"),
+    "src_encoding_late": (q_src_encoding_late, "SELECT CAST(o_orderkey AS VARCHAR) AS \"order key\", "
+                          "CASE WHEN o_orderkey % 9973 = 9972 THEN 'déjà vu' ELSE o_orderstatus END AS status FROM orders"),
+    "core_edges": (q_core_edges, _core_edges_sql(True)),
+    "core_unmapped": (q_core_unmapped, _core_edges_sql(False)),
+    "adaptive_edges": (q_adaptive_edges, SQL_ADAPTIVE_EDGES),
     "src_parquet_text": (q_src_parquet_text, "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, "
                          "CAST(CAST(l_extendedprice AS DOUBLE) * 1000 AS VARCHAR) AS price, l_returnflag FROM lineitem"),
     "core_v1_processed": (q_core_v1_processed, None),

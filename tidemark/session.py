@@ -97,9 +97,14 @@ def boundary(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    removed_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Has the folder deleted when the application ends."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_buckets(spark: SparkSession) -> int:

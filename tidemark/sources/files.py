@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import os
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 
 from tidemark import config as C
 from tidemark.functions.numeric import plain_text
+from tidemark.session import ensure_checkpoint_dir, removed_at_end
+from tidemark.sources.records import QuotedLines, list_elements, records
 
 RAW = "__raw_record__"
 SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin1": "ISO-8859-1",
@@ -120,7 +123,7 @@ def _na_to_null(c: str) -> Column:
 
 
 def spans_lines(lines: DataFrame) -> bool:
-    """True when some line leaves a quote open, so that a quoted field goes on in the next."""
+    """True when some line has an odd number of quotes, so that a quoted field may go on in the next."""
     odd = lines.agg(F.max(F.regexp_count("value", F.lit('"')) % 2)).first()[0]
     return odd == 1
 
@@ -136,17 +139,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str,
     """
     cells = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cells] + [T.StructField(RAW, T.StringType())])
-    reader = (spark.read.schema(schema).option("header", "true").option("sep", sep)
-              .option("quote", '"').option("escape", '"')
-              .option("encoding", SPARK_CHARSETS.get(encoding, encoding)).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", RAW).option("maxCharsPerColumn", "-1")
-              .option("columnPruning", "false").option("maxColumns", str(max(20480, 2 * len(names))))
-              .option("ignoreLeadingWhiteSpace", str(skip_initial_space).lower())
-              .option("ignoreTrailingWhiteSpace", "false"))
-    if encoding == "utf-16" or multiline:
-        # quoted line feeds: records are parsed whole (a file is then one split)
-        reader = reader.option("multiLine", "true")
-    df = reader.csv(path)
+    charset = SPARK_CHARSETS.get(encoding, encoding)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW,
+               "maxCharsPerColumn": "-1", "columnPruning": "false", "maxColumns": str(max(20480, 2 * len(names))),
+               "ignoreLeadingWhiteSpace": str(skip_initial_space).lower(), "ignoreTrailingWhiteSpace": "false"}
+    if multiline:
+        # quoted line feeds: records are put together across lines and splits, then parsed one by one
+        whole = records(spark, path, QuotedLines(sep, skip_initial_space), charset).filter(~F.col("head"))
+        text = F.regexp_replace(F.regexp_replace("record", r"\r$", ""), "\r\n", "\n")
+        df = whole.select(F.from_csv(text, schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r")).select("r.*")
+    else:
+        df = spark.read.schema(schema).options(header="true", encoding=charset, **options).csv(path)
     # naming every cell keeps the parser from being asked for the raw text alone
     long = (F.col(RAW).isNotNull() & (_field_count(F.col(RAW), sep) > len(names))
             & (F.length(F.concat_ws("", *cells)) >= 0))
@@ -183,10 +186,10 @@ def _start(lines: DataFrame, encoding: str) -> str:
 
 
 def json_shape(lines: DataFrame) -> str:
-    """"lines", "records", "scalars" or "object", judged by every line.
+    """"lines", "records", "scalars" or "object".
 
-    A document that starts with "[" is a list; one that starts with "{" is JSON Lines when
-    there are several lines and each is an object of its own.
+    A document that starts with "[" is a list of what its first element is; one that starts with "{" is
+    JSON Lines when there are several lines and each is an object of its own.
     """
     text = F.trim(F.regexp_replace(F.col("value"), "^\ufeff|[\r\t]", ""))
     solid = lines.select(text.alias("v")).filter(F.length("v") > 0)
@@ -200,17 +203,27 @@ def json_shape(lines: DataFrame) -> str:
     return "lines" if r.n > 1 and r.all else "object"
 
 
+def text_lines(df: DataFrame) -> str:
+    """``value`` written as text in the shared folder (removed at the end); the path."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    df.write.text(path)
+    removed_at_end(spark, path)
+    return path
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """Records array, JSON lines, dict of lists, single dict, scalar list."""
     shape = json_shape(raw_lines(spark, path))
-    if shape == "records":
-        return spark.read.option("multiLine", "true").json(path)
     if shape == "lines":
         return spark.read.json(path)
-    if shape == "scalars":
-        raw = spark.read.text(path, wholetext=True)
-        arr = F.from_json("value", T.ArrayType(T.StringType()))
-        return raw.select(F.explode(arr).alias("value"))
+    if shape in ("records", "scalars"):
+        elements = list_elements(spark, path)
+        if shape == "records":
+            # one object a line from here on: line feeds inside an object stand outside its strings
+            return spark.read.json(text_lines(elements.select(F.regexp_replace("value", "[\r\n]", " ").alias("value"))))
+        element = F.concat(F.lit('{"v":'), F.col("value"), F.lit("}"))
+        return elements.select(F.from_json(element, "v string")["v"].alias("value"))
     obj = spark.read.option("multiLine", "true").json(path)
     fields = obj.schema.fields
     if fields and all(isinstance(f.dataType, T.ArrayType) for f in fields):

@@ -72,6 +72,40 @@ def churn_unlabelled(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Da
     return churn_input(spark, sf_dir, as_of).drop("Churn")
 
 
+def churn_edges(spark: SparkSession, sf_dir: str, mapped: bool = True) -> DataFrame:
+    """The core customer file as users have it: padded names, an ``Unnamed`` index, an empty column,
+    blank rows, rows twice, missing tenure, totals below a month's charge, a text column to encode and
+    labels that no rule knows (a few, or with ``mapped=False`` three in four)."""
+    base = churn_input(spark, sf_dir).withColumn("k", F.expr("cast(substring(customerID, 2) as long)"))
+    known = F.when(F.col("k") % 17 == 0, "maybe") if mapped else F.when(F.col("k") % 4 != 0, "pending")
+    rows = base.select(
+        "k", F.col("customerID").alias(" customerID"), F.when(F.col("k") % 11 != 0, F.col("tenure")).alias("tenure "),
+        "MonthlyCharges", F.when(F.col("k") % 13 == 0, "1.00").otherwise(F.col("TotalCharges")).alias("TotalCharges"),
+        known.otherwise(F.col("Churn")).alias("Churn"),
+        F.when(F.col("k") % 7 == 0, F.lit(None)).when(F.col("k") % 7 < 3, "basic").otherwise("gold").alias("plan"),
+        F.lit(None).cast("string").alias("empty"))
+    again = rows.filter("k % 9 = 0")
+    blank = rows.filter("k % 10 = 0").select("k", *[F.lit(None).cast("string").alias(c) for c in rows.columns[1:]])
+    parts = [d.withColumn("Unnamed: 0", F.concat(F.lit(tag), F.col("k").cast("string"))) for tag, d in (("a", rows), ("b", again), ("c", blank))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("k")
+
+
+def adaptive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adaptive file as users have it: blank rows, rows twice, an empty column, negative and impossible
+    tenure, missing amounts, and churn only as a yes/no column of an unknown name."""
+    base = adaptive_input(spark, sf_dir).withColumn("k", F.expr("cast(substring(customer_id, 3) as long)"))
+    tenure = (F.when(F.col("k") % 19 == 0, F.concat(F.lit("-"), F.col("account_length"))).when(F.col("k") % 23 == 0, "99999")
+              .when(F.col("k") % 29 != 0, F.col("account_length")))
+    rows = base.select(
+        "k", F.col("customer_id").alias(" customer_id "), tenure.alias("account_length\t"),
+        F.when(F.col("k") % 31 != 0, F.col("mrr")).alias("mrr"), F.when(F.col("k") % 37 == 0, "N/A").otherwise(F.col("total_spend")).alias("total_spend"),
+        F.when(F.col("customer_status").isin("Cancelled", "inactive", "Lapsed"), "Yes").otherwise("no ").alias("gone"),
+        "plan", "balance", F.lit(None).cast("string").alias("nothing"))
+    again = rows.filter("k % 9 = 0")
+    blank = rows.filter("k % 10 = 0").select("k", *[F.lit(None).cast("string").alias(c) for c in rows.columns[1:]])
+    return rows.unionByName(again).unionByName(blank).drop("k")
+
+
 def adaptive_input(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     """A customer file named the adaptive way (synonyms, status text, $ amounts).
 
