@@ -3,11 +3,13 @@
 MLlib has no isolation forest, so:
 
 1. equal feature vectors are counted, and every tree takes its own ``psi = min(256, n)``
-   rows without replacement: each vector draws how many of its copies have a hash below a
-   bound that almost surely leaves more than psi (binomial, from a generator seeded by the
-   vector, tree and seed), these are ranked per tree by their hashes, and each tree is grown from its
-   group with ``applyInPandas`` (the sampling is the algorithm). The choice
-   depends on the values and their counts alone, not on partitions or arrival order;
+   rows without replacement, in the JVM: every copy of a vector arrives in every tree at an exponential
+   time given by hashes of (seed, vector, tree, copy), and a tree takes the psi first. One hash a vector
+   gives its first arrival anywhere, which passes over nearly all vectors of a large table; the others'
+   arrivals before a time that almost surely suffices are drawn in order (the k-th of n copies after a gap of
+   rate n - k + 1, so a vector held by a third of all rows costs psi draws a tree). Each tree is grown from its
+   group with ``applyInPandas``. The choice depends on the values and their counts alone, not on partitions
+   or arrival order of rows;
 2. the forest (``trees x <= 511`` nodes, fixed by the parameters) goes to the
    tasks, which score every row in Arrow batches with ``mapInPandas``;
 3. rows scoring above the exact (1 - contamination) quantile are flagged.
@@ -19,7 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,25 +67,33 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
-def _draw(cols: list[str], n_trees: int, share: float, psi: int):
-    """Per distinct vector and tree the copies whose uniform hash is at most ``share``, ``psi`` at most."""
-    def draw(batches):
-        for pdf in batches:
-            at, tree, h = [], [], []
-            for i, (v, n) in enumerate(zip(pdf["__v"].to_numpy().astype(np.uint64), pdf["__n"])):
-                rng = np.random.default_rng(int(v))
-                k = rng.binomial(int(n), share, n_trees)
-                for t in np.flatnonzero(k):
-                    # the smallest psi of a tree's hashes are all that it can take of one vector
-                    u = np.sort(rng.random(k[t]) * share)[:psi]
-                    at.append(np.full(len(u), i))
-                    tree.append(np.full(len(u), t))
-                    h.append(u)
-            if at:
-                out = pdf[cols].iloc[np.concatenate(at)].reset_index(drop=True)
-                out["__tree"], out["__h"] = np.concatenate(tree).astype("int32"), np.concatenate(h)
-                yield out
-    return draw
+def _exponential(*keys) -> Column:
+    """A standard exponential number hashed from ``keys``."""
+    return -F.log((F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53))
+
+
+def sample_rows(counted: DataFrame, cols: list[str], n_trees: int, n: int, psi: int, seed: int) -> DataFrame:
+    """Each tree's rows (``__tree``, ``__h``, features) out of distinct vectors with counts ``__n``."""
+    # a tree's rows under the bound are binomial: eight deviations of room
+    share = (psi + 8 * math.sqrt(psi) + 8) / max(n, 1)
+    bound = -math.log1p(-share) if share < 1 else float("inf")
+    v = counted.withColumn("__v", F.xxhash64(F.lit(seed), *cols))
+    # the first of n_trees x n arrivals, in a tree that is drawn too; the rest start anew from there
+    v = v.withColumn("__h0", _exponential("__v", F.lit(-1)) / (F.lit(n_trees) * F.col("__n"))).where(F.col("__h0") < bound)
+    lead = F.pmod(F.xxhash64("__v", F.lit(-2)), F.lit(n_trees))
+    first = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.when(t == lead, F.col("__h0")).otherwise(
+        F.col("__h0") + _exponential("__v", t, F.lit(1)) / F.col("__n")))
+    each = v.select(*cols, "__n", "__v", F.posexplode(first).alias("__tree", "__h")).where(F.col("__h") < bound)
+    more = F.aggregate(
+        F.sequence(F.lit(2), F.least(F.col("__n"), F.lit(psi)).cast("int")), F.struct(F.col("__h").alias("at"), F.array("__h").alias("all")),
+        lambda s, j: F.struct((s["at"] + _exponential("__v", "__tree", j) / (F.col("__n") - j + 1)).alias("at"),
+                              F.concat(s["all"], F.array(s["at"] + _exponential("__v", "__tree", j) / (F.col("__n") - j + 1))).alias("all")),
+        lambda s: s["all"])
+    copies = F.when(F.col("__n") > 1, more).otherwise(F.array("__h"))
+    drawn = each.select(*cols, "__tree", F.explode(copies).alias("__h")).where(F.col("__h") < bound)
+    # a few hundred rows a tree are left
+    nth = Window.partitionBy("__tree").orderBy("__h", *cols)
+    return drawn.withColumn("__nth", F.row_number().over(nth)).where(F.col("__nth") <= psi).select("__tree", "__h", *cols)
 
 
 def _tree_builder(cols: list[str], max_samples: int, seed: int):
@@ -143,14 +153,8 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = 100, max_sam
     fcols = [f"__f{i}" for i in range(len(cols))]
     n = n if n is not None else filled.count()
     psi = min(max_samples, n)
-    # a tree's row count under the bound is binomial: eight deviations of room
-    share = min(1.0, (psi + 8 * math.sqrt(psi) + 8) / max(n, 1))
-    counted = filled.groupBy(*fcols).agg(F.count("*").alias("__n")).withColumn("__v", F.xxhash64(F.lit(seed), *fcols))
-    drawn = counted.mapInPandas(_draw(fcols, n_trees, share, psi), T.StructType(
-        [counted.schema[c] for c in fcols] + [T.StructField("__tree", T.IntegerType()), T.StructField("__h", T.DoubleType())]))
-    first = Window.partitionBy("__tree").orderBy("__h", *fcols)
-    sample = drawn.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= psi)
-    forest = (sample.select("__tree", "__h", *fcols)
+    counted = filled.groupBy(*fcols).agg(F.count("*").alias("__n"))
+    forest = (sample_rows(counted, fcols, n_trees, n, psi, seed)
               .groupBy("__tree").applyInPandas(_tree_builder(fcols, psi, seed), TREE_SCHEMA)
               .toPandas())  # trees x nodes, bounded by n_trees and max_samples
     out_schema = T.StructType(filled.schema.fields + [T.StructField("__iso_score", T.DoubleType())])

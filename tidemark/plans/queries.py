@@ -605,6 +605,18 @@ def q_src_parquet_text(spark, sf):
     return read_table(spark, _written(spark, li, "parquet"))
 
 
+def q_isolation_flags(spark, sf):
+    """Rows far from all others (one in a hundred) are the ones that are flagged."""
+    from tidemark.operators.isolation import flag_outliers
+    k = F.col("c_custkey")
+    far = k % 100 == 0
+    x = (k * 37 % 101 + F.when(far, 10000 + k * 7 % 5000).otherwise(0)).cast("double")
+    y = (k * 53 % 97 + F.when(far, 20000 + k * 11 % 7000).otherwise(0)).cast("double")
+    cust = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", x.alias("x"), y.alias("y"))
+    flagged, _ = flag_outliers(cust, key_cols=["c_custkey"], contamination=0.01)
+    return flagged.select("c_custkey", F.col("_is_outlier").alias("is_outlier"))
+
+
 EDGE_COLUMNS = ["customerID", "tenure", "MonthlyCharges", "TotalCharges", "AvgMonthlySpend", "SpendVariance", "Churn",
                 "Churn_Prob", "Predicted_CLV", "Segment", "Risk_Tier"]
 
@@ -675,6 +687,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "src_json_records": (q_src_json_records, "SELECT doc_id, text, lang FROM documents"),
     "src_encoding_late": (q_src_encoding_late, "SELECT CAST(o_orderkey AS VARCHAR) AS \"order key\", "
                           "CASE WHEN o_orderkey % 9973 = 9972 THEN 'déjà vu' ELSE o_orderstatus END AS status FROM orders"),
+    "isolation_flags": (q_isolation_flags, "SELECT c_custkey, CAST(c_custkey % 100 = 0 AS INTEGER) AS is_outlier FROM customer"),
     "core_edges": (q_core_edges, _core_edges_sql(True)),
     "core_unmapped": (q_core_unmapped, _core_edges_sql(False)),
     "adaptive_edges": (q_adaptive_edges, SQL_ADAPTIVE_EDGES),
