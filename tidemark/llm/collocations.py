@@ -39,7 +39,7 @@ from .common import list_parts, mix64, ready, spill, text_of
 SUPPORT = 100
 LONGEST = 5
 BEST = 2000
-SHARDS = 25
+SHARDS = 8
 SEGMENT = 1 << 18
 UNIT = 1 << 19  # words counted at a time
 
