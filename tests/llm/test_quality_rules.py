@@ -2,6 +2,7 @@ import math
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality_rules as Q
 
@@ -70,3 +71,11 @@ def test_edges(edge, nothing, labels):
     assert kept.columns == edge.columns and kept.count() == sum(r.kept for r in rows)
     assert Q.quality_rules(nothing, labels).count() == 0
     assert Q.quality_rules(edge, labels.limit(0)).filter("llr <> 0").count() == 0
+
+
+def test_marks_pass_over_no_trusted_id(spark):
+    ids = spark.range(0, 90_000, 7).withColumnRenamed("id", "t_id")
+    every = spark.range(90_000).withColumn("maybe", Q._marked(F.col("id"), Q._marks(ids)))
+    assert every.filter("id % 7 = 0 and not maybe").count() == 0
+    assert every.filter("id % 7 <> 0 and maybe").count() < 900
+    assert spark.range(10).filter(Q._marked(F.col("id"), Q._marks(ids.limit(0)))).count() == 0

@@ -27,7 +27,11 @@ SMOOTHING = 1.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # a run of letters, digits and non-ASCII characters, or a run of ASCII punctuation
-TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[!-/:-@\[-`{-~]+"
+TOKEN = r"[\p{Alnum}[^\p{ASCII}]]++|\p{Punct}++"
+SYMBOL = "[#*$%&|<>]"
+# the marks of trusted ids: this many bitmaps of 32,768 bits each (1 MB in all)
+BITMAPS = 256
+BITMAP_BITS = 32768
 
 
 def _token_hashes(text):
@@ -40,18 +44,42 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .agg(F.min("quality").alias("worst")).filter("worst = 1").select("doc_id"))
 
 
+def _place(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(BITMAPS * BITMAP_BITS))
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """One row: ``BITMAPS`` bitmaps with the place of every id set (fixed size, however many ids)."""
+    place = _place(F.col("t_id"))
+    own = ids.select((place / BITMAP_BITS).cast("int").alias("part"), (place % BITMAP_BITS).alias("bit")).groupBy("part").agg(
+        F.bitmap_construct_agg("bit").alias("bits"))
+    table = own.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("m"))
+    return table.select(F.transform(F.sequence(F.lit(0), F.lit(BITMAPS - 1)), lambda i: F.col("m")[i]).alias("marks"))
+
+
+def _marked(doc_id, marks: DataFrame):
+    """False if the id is certainly not among the marked ones."""
+    place = _place(doc_id)
+    bit = place % BITMAP_BITS
+    byte = F.substring(F.get(marks.scalar(), (place / BITMAP_BITS).cast("int")), (bit / 8).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.coalesce(doc_id.isNotNull() & (F.call_function("shiftright", value, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1), F.lit(False))
+
+
 def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: ``llr``, the log ratio of each n-gram bucket.
 
     The n-grams are exploded and counted with map-side partial aggregation, so
     each task sends at most ``buckets`` rows however frequent an n-gram is.
     """
-    # the ids grow with the corpus, so they are never broadcast
-    target = trusted.select(F.col("doc_id").alias("t_id")).distinct().hint("merge")
-    marked = docs.select("doc_id", text_of().alias("text")).join(
-        target, F.col("doc_id") == F.col("t_id"), "left")
-    h = marked.select(F.col("t_id").isNotNull().cast("long").alias("good"),
-                      _token_hashes(F.col("text")).alias("h"))
+    # the ids grow with the corpus, so they are never broadcast; texts whose id is certainly
+    # not among them (by the marks) are counted where they are, the others meet the ids
+    target = trusted.select(F.col("doc_id").alias("t_id")).distinct()
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("maybe", _marked(F.col("doc_id"), _marks(target)))
+    some = texts.filter("maybe").join(target.hint("merge"), F.col("doc_id") == F.col("t_id"), "left")
+    every = some.select(F.col("t_id").isNotNull().cast("long").alias("good"), "text").unionByName(
+        texts.filter("not maybe").select(F.lit(0).cast("long").alias("good"), "text"))
+    h = every.select("good", _token_hashes(F.col("text")).alias("h"))
     grams = h.select("good", F.explode(F.concat(
         F.transform("h", lambda x: F.pmod(x, F.lit(buckets))),
         F.zip_with(F.col("h"), F.expr("slice(h, 2, greatest(size(h) - 1, 0))"),
@@ -89,8 +117,8 @@ def with_base_counts(docs: DataFrame) -> DataFrame:
                cast(null as array<int>))), p -> p is not null and
             w[p[0]] = w[p[1]] and w[p[0] + 1] = w[p[1] + 1] and w[p[0] + 2] = w[p[1] + 2]))"""))
     d = d.withColumn("lines", F.expr(f"filter(split(text, '\\n', -1), x -> x rlike r'{WORD}')"))
-    return (d.withColumn("word_chars", F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long"))
-            .withColumn("n_symbols", (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long"))
+    return (d.withColumn("word_chars", F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
+            .withColumn("n_symbols", F.regexp_count("text", F.lit(SYMBOL)).cast("long"))
             .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
             .withColumn("n_repeat_words", F.expr(
                 "size(array_distinct(flatten(transform(twin, i -> array(i, i + 1, i + 2)))))").cast("long"))
