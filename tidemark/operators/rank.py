@@ -77,18 +77,24 @@ def _cut(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[DataFrame, l
     return df, cells
 
 
+def numbered_boundary(df: DataFrame) -> DataFrame:
+    """``df`` written once with a number for each row (column ``ROW``)."""
+    return boundary(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def with_pct_ranks(df: DataFrame, cols: Sequence[str], out: Sequence[str] | None = None,
                    n_buckets: int | None = None) -> DataFrame:
     """Add ``pandas``-style ``rank(pct=True)`` columns (average ties, nulls stay null).
 
-    The rows are written once (a stage boundary that numbers them); the exchanges after it carry
+    The rows are written once (a stage boundary that numbers them, unless ``df`` is one); the exchanges after it carry
     (row number, column, value) whatever the number of columns, and the final meeting of rows and
     ranks is by row number, which no value can make hot. AQE broadcasts the ranks when they are few.
     """
     out = list(out or [f"{c}_pct" for c in cols])
-    names = df.columns
+    names = [c for c in df.columns if c != ROW]
+    numbered = df if ROW in df.columns else numbered_boundary(df)
     buckets = min(n_buckets or default_buckets(df.sparkSession), MOST_BUCKETS)
-    rows, cells = _cut(boundary(df.withColumn(ROW, F.monotonically_increasing_id()), "ranked"), cols, buckets)
+    rows, cells = _cut(numbered, cols, buckets)
     held: list[dict[int, int]] = [{} for _ in cols]
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"__c{i}").alias("cell")) for i in range(len(cols))]))
     for r in (rows.select(each.alias("s")).select("s.*").filter("cell is not null")

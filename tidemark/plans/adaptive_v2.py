@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidemark import config as C
 from tidemark.functions.numeric import as_double, bound, lower_token, py_strip, to_double
 from tidemark.operators import features as FX
-from tidemark.operators.rank import quantiles, with_pct_ranks
+from tidemark.operators.rank import numbered_boundary, quantiles, with_pct_ranks
+from tidemark.operators.repeats import without_repeats
 from tidemark.plans.adaptive import numeric_columns
 from tidemark.session import materialize
 
@@ -72,9 +73,8 @@ def run_adaptive_v2(raw: DataFrame, model: str = "auto", clv: str = "ridge",
         df, src = _infer(df, target, numeric)
         if src:
             notes.append(f"Inferred '{target}' from '{src}'")
-    df = materialize(_clean(df), pin)
-    df = _features(df)
-    df = materialize(df, "checkpoint" if pin != "none" else pin)
+    df, fewer = without_repeats(materialize(_clean(df), pin))
+    df = _features(materialize(df, pin) if fewer else df)
     feats = [c for c in ["tenure", "MonthlyCharges", "TotalCharges", "AvgMonthlySpend", "ChargeRatio"]
              if c in df.columns]
     st = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Churn").alias("k"),
@@ -93,7 +93,7 @@ def run_adaptive_v2(raw: DataFrame, model: str = "auto", clv: str = "ridge",
         scored = ml.ridge_clv(scored, future=False, fill=False)
     else:
         scored = scored.withColumn("Predicted_CLV", F.col("MonthlyCharges") * C.FUTURE_MONTHS)
-    scored = materialize(scored, "checkpoint" if pin != "none" else pin)
+    scored = numbered_boundary(scored)
     th = quantiles(scored, {"Churn_Prob": [C.ADAPTIVE_RISK_QUANTILE], "Predicted_CLV": [0.5]})
     seg = scored.withColumn("Segment", FX.adaptive_segment(th["Churn_Prob"][0], th["Predicted_CLV"][0]))
     seg = seg.withColumn("__pv", F.col("Churn_Prob") * F.col("Predicted_CLV"))
@@ -153,7 +153,7 @@ def _infer(df: DataFrame, target: str, numeric: list[str]) -> tuple[DataFrame, s
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    """P13 (2.0): median fill (1 / 50 when missing), abs, tenure 0 -> 1, dedup."""
+    """P13 (2.0): median fill (1 / 50 when missing), abs, tenure 0 -> 1."""
     keys = ["tenure", "MonthlyCharges", "TotalCharges"]
     kinds = dict(df.dtypes)
     df = df.withColumns({c: as_double(c, kinds[c]) for c in keys})
@@ -166,7 +166,7 @@ def _clean(df: DataFrame) -> DataFrame:
             m = 1.0 if c == "tenure" else 50.0
         df = df.withColumn(c, F.abs(F.coalesce(_q(c), F.lit(float(m)))))
     df = df.withColumn("tenure", F.when(F.col("tenure") == 0, F.lit(1.0)).otherwise(F.col("tenure")))
-    return df.na.drop(how="all").dropDuplicates()
+    return df.na.drop(how="all")
 
 
 def _features(df: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from tidemark.functions.numeric import clean_num, lower_token, plain_text, repar
 from tidemark.operators import features as FX
 from tidemark.operators.detection import detect_roles
 from tidemark.operators.rank import quantiles, with_pct_ranks
+from tidemark.operators.repeats import without_repeats
 from tidemark.session import materialize
 
 
@@ -59,14 +60,14 @@ def _q(name: str) -> F.Column:
 
 
 def basic_clean(raw: DataFrame) -> DataFrame:
-    """Trimmed names, no ``Unnamed`` columns, no all-null rows, no
-    duplicates; floating-point columns as the text that a reader gives them."""
+    """Trimmed names, no ``Unnamed`` columns, no all-null rows; floating-point
+    columns as the text that a reader gives them."""
     names = [str(c).strip() for c in raw.columns]
     df = raw.toDF(*names)
     df = df.select(*[plain_text(_q(c), t).alias(c) if t in ("double", "float") else _q(c) for c, t in df.dtypes])
     keep = [c for c in names if not re.match(r"^Unnamed", c)]
     df = df.select(*[_q(c) for c in keep])
-    return df.na.drop(how="all").dropDuplicates()
+    return df.na.drop(how="all")
 
 
 def profile(df: DataFrame, locale_rule: str = "default") -> dict:
@@ -120,8 +121,8 @@ def run_core(raw: DataFrame, model: str = "auto", lineage: str = "main",
     """
     notes: list[str] = []
     # read by the profile, the label-encoding plan and the pick stage
-    cleaned = materialize(basic_clean(raw), pin)
-    df = cleaned
+    cleaned, fewer = without_repeats(materialize(basic_clean(raw), pin))  # P5
+    df = materialize(cleaned, pin) if fewer else cleaned
     locale_rule = "v1" if lineage == "v1" else "default"
     prof = profile(df, locale_rule)
     n = prof["n"]
@@ -237,20 +238,19 @@ def run_core(raw: DataFrame, model: str = "auto", lineage: str = "main",
         source = "Synthetic — percentile risk score (top 35% flagged)"
 
     feats = FX.core_features(base, lineage)
-    # the rank joins below build large plans: start them from a checkpointed
-    # leaf so planning stays cheap and the lineage is cut before scoring
-    feats = materialize(feats, "checkpoint" if pin != "none" else pin)
-    cleaned.unpersist()
 
-    # F8 heuristic, optional ML
-    scored = heuristic_score(feats)
+    # F8 heuristic (its ranks begin with a stage boundary), optional ML
+    scored = None
     model_name = "Heuristic (synthetic labels — metrics suppressed)" if synthetic else "Heuristic"
     accuracy = auc = None
     if model != "heuristic":
         from tidemark.operators import ml
+        feats = materialize(feats, pin)
         fit = ml.core_model(feats, model=model, synthetic=synthetic, n=n, lineage=lineage)
         if fit is not None:
             scored, model_name, accuracy, auc = fit
+    if scored is None:
+        scored = heuristic_score(feats)
     scored = scored.withColumn("Churn_Prob", FX.round_prob(F.col("Churn_Prob")))
     if lineage == "v1":
         from tidemark.operators import ml

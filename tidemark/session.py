@@ -9,6 +9,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job here relies on. AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is small) and splits skewed
@@ -73,15 +74,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     """Pin a frame that several later stages read.
 
-    ``checkpoint`` (what the pipelines use) writes it to the shared
-    checkpoint folder and cuts the lineage: a lost executor costs a re-read,
-    not a recomputation, and later plans start from a short leaf, which also
-    keeps driver-side planning cheap. ``persist`` keeps it in executor
-    memory/disk (lost blocks are recomputed from lineage); ``none`` is a no-op.
+    ``checkpoint`` (what the pipelines use) writes it as Parquet to the shared folder
+    (``boundary``). ``persist`` keeps it in executor memory/disk (lost blocks are recomputed
+    from lineage); ``none`` is a no-op.
     """
     if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        return boundary(df, "stage")
     if how == "none":
         return df
     return df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -96,9 +94,12 @@ def boundary(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # by position: names may differ in case only
+    kinds = [F.lit(None).cast("string") if t == "void" else F.col(f"c{i}") for i, (_, t) in enumerate(df.dtypes)]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[k.alias(f"c{i}") for i, k in enumerate(kinds)])
+    plain.write.parquet(path)
     removed_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def removed_at_end(spark: SparkSession, path: str) -> None:
