@@ -85,7 +85,7 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def boundary(df: DataFrame, tag: str) -> DataFrame:
+def boundary(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     A stage boundary: the lineage is cut (executors that replace lost ones read the written
@@ -97,7 +97,7 @@ def boundary(df: DataFrame, tag: str) -> DataFrame:
     # by position: names may differ in case only
     kinds = [F.lit(None).cast("string") if t == "void" else F.col(f"c{i}") for i, (_, t) in enumerate(df.dtypes)]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[k.alias(f"c{i}") for i, k in enumerate(kinds)])
-    plain.write.parquet(path)
+    plain.write.options(**options).parquet(path)
     removed_at_end(spark, path)
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
