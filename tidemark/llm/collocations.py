@@ -41,6 +41,8 @@ LONGEST = 5
 BEST = 2000
 SHARDS = 8
 SEGMENT = 1 << 18
+HASH_BITS = 40  # of a phrase, in the shards' counts
+DICTIONARY = 16 << 20  # bytes of the written words' dictionary: words repeat
 UNIT = 1 << 19  # words counted at a time
 
 # FIXED VALUES: bytes that end a piece, and bytes that part words
@@ -153,8 +155,13 @@ def salt(lang: str, shard: int = -1) -> np.uint64:
     return np.uint64(d)
 
 
+def short(g: np.ndarray) -> np.ndarray:
+    """The part of a phrase hash that the shards' counts go by; what it confuses is only counted once more."""
+    return g & np.uint64((1 << HASH_BITS) - 1)
+
+
 def keyed(g: np.ndarray, by: np.uint64) -> np.ndarray:
-    return mix64(g ^ by).view(np.int64)
+    return mix64(short(g) ^ by).view(np.int64)
 
 
 def grams(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +208,7 @@ def _count_level(k: int, table):
                 by = salt(lang, shard)
                 at = at[bits.contains(table.value, keyed(below[at], by))]
                 at = at[bits.contains(table.value, keyed(below[at + 1], by))]
-            got, n = np.unique(g[at], return_counts=True)
+            got, n = np.unique(short(g[at]), return_counts=True)
             yield pa.record_batch([pa.array(np.full(len(got), shard, np.int32)), pa.array([lang] * len(got), pa.string()),
                                    pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "lang", "g", "n"])
 
@@ -298,7 +305,8 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     """(lang, phrase, k, f) of all phrases of 1 to ``longest`` words with f >= support, and (lang, n) word totals."""
     ready(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text")).filter("text <> ''")
-    hashed = spill(texts.mapInArrow(_hashed, "shard int, lang string, skip int, n long, h array<long>"), "hashed")
+    hashed = spill(texts.mapInArrow(_hashed, "shard int, lang string, skip int, n long, h array<long>"), "hashed",
+                   **{"parquet.dictionary.page.size": str(DICTIONARY)})
     totals = spill(hashed.groupBy("shard", "lang").agg(F.sum("n").alias("n")), "totals")
     candidates = spill(_candidates(hashed, totals, support, longest), "candidates")
     table = _table(candidates, False)

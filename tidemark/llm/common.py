@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,18 +46,13 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def spill(df: DataFrame, tag: str) -> DataFrame:
+def spill(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later stages and executors that replace lost ones read
     the written table instead of recomputing it. The folder goes when the application ends.
     """
-    return boundary(df, tag)
+    return boundary(df, tag, **options)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
