@@ -79,7 +79,7 @@ def test_quality_report_penalties(spark):
 def test_adaptive_fixture_pipeline(spark):
     res = run_adaptive(adaptive_input(spark, SF_SMALL), model="heuristic", clv="heuristic")
     assert res.mapping["name_based"]["account_length"] == "tenure"
-    assert res.mapping["churn_from"] == "CustomerStatus (status mapping)"
+    assert res.mapping["churn_from"] == "status words of CustomerStatus"
     assert res.thresholds.get("tenure_conversion") == "years_to_months"
     df = res.df
     assert df.where((F.col("Churn_Prob") < 0.05) | (F.col("Churn_Prob") > 0.95)).count() == 0
@@ -94,6 +94,20 @@ def test_events_file_value_inference_and_isolation(spark):
     res = run_adaptive(events_input(spark, SF_MID), model="heuristic", clv="heuristic")
     assert res.mapping["name_based"]["days_as_customer"] == "tenure_days"
     assert res.mapping["tenure_inferred_from"] == "tenure_days"
-    assert res.mapping["churn_from"] == "Active (inverted)"
+    assert res.mapping["churn_from"] == "Active, active rows count as retained"
     assert 0 < res.thresholds.get("multivariate_outliers", 0) < 0.1 * res.df.count()
     assert "_is_outlier" not in res.export().columns
+
+
+def test_value_evidence(spark):
+    from tidemark.operators.mapping import numeric_profile, value_inference
+    df = spark.range(200).selectExpr("cast(1 + id % 60 as double) as span", "40 + id % 7 + 0.5 as paid_per_bill",
+                                     "5000 + id * 3 + 0.25 as overall", "cast(id as double) as code", "900 + id * 1.5 as yearly_cost")
+    prof = numeric_profile(df, df.columns)
+    found = value_inference(df.columns, df.columns, prof)
+    assert {k: v[0] for k, v in found.items()} == {"tenure": "span", "MonthlyCharges": "paid_per_bill", "TotalCharges": "overall"}
+    assert found["MonthlyCharges"][1] == 0.3 + 0.4 + 0.1 and found["TotalCharges"][1] == 0.4 + 0.2
+    # with a known monthly charge, a column of more than three charges is likelier a total
+    known = df.withColumnRenamed("paid_per_bill", "MonthlyCharges").drop("yearly_cost")
+    prof = numeric_profile(known, known.columns)
+    assert value_inference(known.columns, known.columns, prof)["TotalCharges"] == ("overall", 0.4 + 0.3 + 0.2)

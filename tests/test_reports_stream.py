@@ -17,9 +17,9 @@ def test_core_tables_and_audit(spark):
     res = run_core(churn_input(spark, SF_SMALL), model="heuristic")
     tables = report.core_tables(res)
     audit = {(r["section"], r["key"]): r["value"] for r in tables["data_quality"].collect()}
-    assert audit[("COLUMN DETECTION", "Churn Column")] == "Churn"
-    assert audit[("COLUMN DETECTION", "Customer ID Column")] == "customerID"
-    assert audit[("FILE INFORMATION", "Rows After Cleaning")] == f"{res.df.count():,}"
+    assert audit[("columns", "churn")] == "Churn"
+    assert audit[("columns", "id")] == "customerID"
+    assert audit[("source", "rows kept")] == f"{res.df.count():,}"
     assert tables["processed_data"].columns[0] == "customerID"
     assert tables["high_risk_customers"].where(F.col("Churn_Prob") < 0.6).count() == 0
     out = tempfile.mkdtemp(prefix="tidemark-rep-")

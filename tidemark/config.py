@@ -254,3 +254,35 @@ QUALITY_PENALTIES = {"no_numbers": 30, "other_domain": 15, "unknown_domain": 20,
 QUALITY_DOMAIN_HITS = 3       # names that settle the domain
 QUALITY_NUMERIC_SHARE = 0.3   # parsed share of a possibly numeric column
 QUALITY_VALID_SCORE = 30
+
+
+# FIXED VALUES: evidence from values (D4). A role's score adds the points of every rule that holds: words in the
+# name, the bounds of a column's values, share of whole numbers, spread. Of rules in one group the first counts.
+VALUE_EVIDENCE = {
+    "tenure": [
+        {"words": TENURE_HINTS, "points": 0.4},
+        {"min": (0, None), "max": (None, 600), "median": (1, 120), "points": 0.3},
+        {"whole": (0.9, None), "strict": True, "points": 0.2},
+        {"std": (1, None), "strict": True, "points": 0.1},
+    ],
+    "MonthlyCharges": [
+        {"words": MONTHLY_HINTS, "points": 0.3},
+        {"words": ANNUAL_HINTS, "points": -0.2},
+        {"median": (10, 500), "points": 0.4, "group": "level"},
+        {"median": (1, 1000), "points": 0.2, "group": "level"},
+        {"broken": (0.1, None), "strict": True, "points": 0.1},
+    ],
+    "TotalCharges": [
+        {"words": TOTAL_HINTS, "points": 0.4},
+        {"above_monthly": (0, None), "strict": True, "points": 0.3},
+        {"median": (100, 100000), "points": 0.2},
+    ],
+}
+VALUE_EVIDENCE_LIMIT = 0.5
+VALUE_EVIDENCE_MONTHS = 3   # a total is more than this many monthly charges
+VALUE_EVIDENCE_BARRED = ["tenure", "MonthlyCharges", "TotalCharges", "Churn", "AnnualCharges"]
+# defaults of required columns, and the bounds within which a column may stand in
+REQUIRED_DEFAULTS = {"tenure": 12.0, "MonthlyCharges": 50.0, "Churn": 0}
+STAND_IN_TENURE = (0, 1000)
+STAND_IN_MONTHLY = (10, 500)
+AMOUNT_CORRELATION_LIMIT = 0.3

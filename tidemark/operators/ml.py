@@ -1,7 +1,7 @@
 """MLlib models and exact linear value models.
 
 Training is MLlib's distributed training; splits are hash-based per row (no
-driver-side sampling); metrics come from distributed evaluators; the value
+driver-side sampling); metrics of all candidates come from one ranking and one aggregate; the value
 regressions are solved from one aggregate of sufficient statistics.
 """
 
@@ -11,9 +11,7 @@ import logging
 import math
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -82,15 +80,47 @@ def robust_scaled(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]
     return df.withColumns(scaled), out
 
 
-def _metrics(pred: DataFrame) -> tuple[float | None, float | None]:
-    acc = pred.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
-    classes = pred.select(LABEL).distinct().count()
-    auc = None
-    if classes > 1:
-        ev = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction",
-                                           metricName="areaUnderROC", numBins=0)
-        auc = ev.evaluate(pred)
-    return acc, auc
+def candidate_metrics(test: DataFrame, fitted: dict) -> dict[str, tuple[float, float | None]]:
+    """M9: (accuracy, area under the ROC curve) of each fitted model on the test rows.
+
+    All candidates score one table; their scores are ranked together (W1) and one aggregate gives every
+    accuracy and rank sum. The area is the Mann-Whitney statistic: with average ranks of tied scores, the rank sum
+    of the positives less its least possible value, over positives x negatives. None with one class.
+    """
+    from tidemark.operators.rank import with_pct_ranks
+
+    names = list(fitted)
+    for i, name in enumerate(names):
+        test = fitted[name].transform(test).withColumns({f"__hit{i}": (F.col("prediction") == F.col(LABEL)).cast("double"),
+                                                         f"__score{i}": vector_to_array("rawPrediction")[1]})
+        test = test.drop("rawPrediction", "probability", "prediction")
+    each = range(len(names))
+    ranked = with_pct_ranks(test.select(LABEL, *[f"__hit{i}" for i in each], *[f"__score{i}" for i in each]),
+                            [f"__score{i}" for i in each], [f"__rank{i}" for i in each])
+    one = F.col(LABEL) == 1
+    r = ranked.agg(F.count("*").alias("n"), F.count_if(one).alias("n1"), *[F.avg(f"__hit{i}").alias(f"acc{i}") for i in each],
+                   *[F.sum(F.when(one, F.col(f"__rank{i}"))).alias(f"sum{i}") for i in each]).first()
+    n, n1 = r["n"], r["n1"]
+    both = 0 < n1 < n
+    return {name: (r[f"acc{i}"], (r[f"sum{i}"] * n - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) if both else None) for i, name in enumerate(names)}
+
+
+def assembled(df: DataFrame, inputs: list[str]) -> DataFrame:
+    """M1: ``df`` with its feature vectors, written once for all that fit and score on it."""
+    from tidemark.session import boundary
+
+    return boundary(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(df), "features")
+
+
+def _fit_all(train: DataFrame, candidates: dict) -> dict:
+    """The candidates that can be trained, fitted on one table."""
+    fitted = {}
+    for name, clf in candidates.items():
+        try:
+            fitted[name] = clf.fit(train)
+        except UNTRAINABLE as exc:
+            log.warning("%s could not be trained: %s", name, exc)
+    return fitted
 
 
 def _prob() -> F.Column:
@@ -110,28 +140,22 @@ def core_model(feats: DataFrame, model: str, synthetic: bool, n: int, lineage: s
     min_class = min(counts.values())
     train, test = hash_split(data, 0.20, stratify=min_class >= max(2, int(n * 0.20 * 0.10)))
     train, _ = class_weights(train)
-    assembler = VectorAssembler(inputCols=C.CORE_FEATURES, outputCol="features", handleInvalid="keep")
-    order = {"auto": ["rf", "gbt"], "rf": ["rf"], "gbt": ["gbt"]}[model]
-    for name in order:
-        try:
-            if name == "rf":
-                clf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", weightCol="__w",
-                                             seed=C.SEED, **C.CORE_RF)
-                label = "Random Forest"
-            else:
-                clf = GBTClassifier(labelCol=LABEL, featuresCol="features", seed=C.SEED, **C.CORE_GBT)
-                label = "Gradient Boosting"
-            fitted = Pipeline(stages=[assembler, clf]).fit(train)
-            acc = auc = None
-            if not withhold:
-                acc, auc = _metrics(fitted.transform(test))
-            scored = (fitted.transform(data).withColumn("Churn_Prob", _prob())
+    train, test = assembled(train, C.CORE_FEATURES), assembled(test, C.CORE_FEATURES)
+    candidates = {
+        "rf": ("Random Forest", RandomForestClassifier(labelCol=LABEL, weightCol="__w", seed=C.SEED, **C.CORE_RF)),
+        "gbt": ("Gradient Boosting", GBTClassifier(labelCol=LABEL, seed=C.SEED, **C.CORE_GBT)),
+    }
+    for name in ("rf", "gbt") if model == "auto" else (model,):
+        label, clf = candidates[name]
+        fitted = _fit_all(train, {name: clf})
+        if fitted:
+            acc, auc = (None, None) if withhold else candidate_metrics(test, fitted)[name]
+            scored = (fitted[name].transform(VectorAssembler(inputCols=C.CORE_FEATURES, outputCol="features", handleInvalid="keep").transform(data))
+                      .withColumn("Churn_Prob", _prob())
                       .drop("features", "rawPrediction", "probability", "prediction")
                       .withColumn(LABEL, F.col(LABEL).cast("int")))
             note = f"{label} (Synthetic Labels — metrics suppressed)" if synthetic else label
             return scored, note, acc, auc
-        except UNTRAINABLE as exc:
-            log.warning("%s could not be trained: %s", name, exc)
     return None
 
 
@@ -146,29 +170,21 @@ def adaptive_model(df: DataFrame, feats: list[str], stats):
     data, scaled = robust_scaled(data, feats)
     train, test = hash_split(data, test_share)
     train, counts = class_weights(train)
-    assembler = VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep")
-    cands = [
-        ("RF", RandomForestClassifier(labelCol=LABEL, weightCol="__w", seed=C.SEED,
-                                      minInstancesPerNode=2, **C.ADAPTIVE_RF)),
-        ("GB", GBTClassifier(labelCol=LABEL, seed=C.SEED, minInstancesPerNode=2, **C.ADAPTIVE_GBT)),
+    train, test = assembled(train, scaled), assembled(test, scaled)
+    fitted = _fit_all(train, {
+        "RF": RandomForestClassifier(labelCol=LABEL, weightCol="__w", seed=C.SEED, minInstancesPerNode=2, **C.ADAPTIVE_RF),
+        "GB": GBTClassifier(labelCol=LABEL, seed=C.SEED, minInstancesPerNode=2, **C.ADAPTIVE_GBT),
         # an L2 penalty of C = 1 on the summed loss is 1 / n on the mean loss
-        ("LR", LogisticRegression(labelCol=LABEL, weightCol="__w", maxIter=1000, standardization=False,
-                                  regParam=1.0 / max(1, sum(counts.values())))),
-    ]
-    best = None
-    for name, clf in cands:
-        try:
-            fitted = Pipeline(stages=[assembler, clf]).fit(train)
-            acc, auc = _metrics(fitted.transform(test))
-            auc = 0.5 if auc is None else auc
-            score = (auc + acc) / 2
-            if best is None or score > best[0]:
-                best = (score, name, fitted, acc, auc)
-        except UNTRAINABLE as exc:
-            log.warning("%s could not be trained: %s", name, exc)
-    if best is None:
+        "LR": LogisticRegression(labelCol=LABEL, weightCol="__w", maxIter=1000, standardization=False,
+                                 regParam=1.0 / max(1, sum(counts.values()))),
+    })
+    if not fitted:
         return None
-    _, name, fitted, acc, auc = best
+    metrics = {name: (acc, 0.5 if auc is None else auc) for name, (acc, auc) in candidate_metrics(test, fitted).items()}
+    name = max(metrics, key=lambda k: sum(metrics[k]))
+    acc, auc = metrics[name]
+    fitted = fitted[name]
+    data = VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep").transform(data)
     scored = (fitted.transform(data)
               .withColumn("Churn_Prob", FX.clip(_prob(), 0.01, 0.99))
               .drop("features", "rawPrediction", "probability", "prediction", *scaled)
@@ -237,23 +253,20 @@ def v2_model(df: DataFrame, feats: list[str], stats):
     data = df.withColumn(LABEL, F.col(LABEL).cast("double"))
     strat = s >= 2 and (n - s) >= 2
     train, test = hash_split(data, test_share, stratify=strat)
-    assembler = VectorAssembler(inputCols=feats, outputCol="raw", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    best = None
-    for name, clf in (("RF", RandomForestClassifier(labelCol=LABEL, seed=C.SEED, **C.V2_RF)),
-                      ("GB", GBTClassifier(labelCol=LABEL, seed=C.SEED, **C.V2_GBT))):
-        try:
-            fitted = Pipeline(stages=[assembler, scaler, clf]).fit(train)
-            acc, _ = _metrics(fitted.transform(test))
-            if best is None or acc > best[0]:
-                best = (acc, fitted)
-        except UNTRAINABLE as exc:
-            log.warning("%s could not be trained: %s", name, exc)
-    if best is None:
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    train = assembled(train, feats)
+    scaling = scaler.fit(train)
+    train, test = (scaling.transform(x) for x in (train, assembled(test, feats)))
+    fitted = _fit_all(train, {"RF": RandomForestClassifier(labelCol=LABEL, featuresCol="scaled", seed=C.SEED, **C.V2_RF),
+                              "GB": GBTClassifier(labelCol=LABEL, featuresCol="scaled", seed=C.SEED, **C.V2_GBT)})
+    if not fitted:
         return None
-    acc, fitted = best
+    metrics = candidate_metrics(test, fitted)
+    name = max(metrics, key=lambda k: metrics[k][0])
+    acc, fitted = metrics[name][0], fitted[name]
+    data = scaling.transform(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(data))
     scored = (fitted.transform(data).withColumn("Churn_Prob", _prob())
-              .drop("raw", "features", "rawPrediction", "probability", "prediction")
+              .drop("scaled", "features", "rawPrediction", "probability", "prediction")
               .withColumn(LABEL, F.col(LABEL).cast("int")))
     return scored, f"ML model trained (accuracy: {acc:.1%})", acc
 

@@ -85,13 +85,19 @@ def pct_rank_sql(col: str) -> str:
             f"/ (2.0 * count({col}) OVER ()))")
 
 
-def core_ctes(labelled: bool = True, source: str = "SELECT DISTINCT * FROM churn_input") -> str:
+def core_ctes(labelled: bool = True, source: str = "SELECT DISTINCT * FROM churn_input", first_release: bool = False) -> str:
     """E1 on the ``churn_input`` fixture: pick, fill, repair, label, features,
     heuristic score, CLV, segment, tier -> CTE ``final``."""
     w = C.HEURISTIC_WEIGHTS
     sw = C.SYNTHETIC_WEIGHTS
     seg = C.SEGMENTS_CORE
     tiers = C.RISK_TIERS
+    total = "tc1" if first_release else "greatest(CASE WHEN tc1 < MonthlyCharges THEN tenure * MonthlyCharges ELSE tc1 END, 0)"
+    value = "MonthlyCharges * ln(1 + tenure)" if first_release else "ln(1 + TotalCharges)"
+    loyalty = "tenure / (MonthlyCharges + 1)" if first_release else "tenure * (TotalCharges / (MonthlyCharges + 1))"
+    spread = "MonthlyCharges - AvgMonthlySpend" if first_release else "(MonthlyCharges - AvgMonthlySpend) / (AvgMonthlySpend + 1)"
+    # total regressed on features with total itself among them is total
+    clv = "TotalCharges" if first_release else "greatest(TotalCharges, 0) * (1 - Churn_Prob)"
     if labelled:
         label = f"""
 mapped AS (
@@ -136,20 +142,20 @@ filled AS (
   FROM picked, meds),
 repaired AS (
   SELECT customerID, Churn, tenure, MonthlyCharges,
-         greatest(CASE WHEN tc1 < MonthlyCharges THEN tenure * MonthlyCharges ELSE tc1 END, 0) AS TotalCharges
+         {total} AS TotalCharges
   FROM filled),{label},
 feats AS (
   SELECT *, greatest(TotalCharges / (tenure + 1), 0) AS AvgMonthlySpend,
-         greatest(ln(1 + TotalCharges), 0) AS ValueScore,
-         greatest(tenure * (TotalCharges / (MonthlyCharges + 1)), 0) AS LoyaltyScore
+         greatest({value}, 0) AS ValueScore,
+         greatest({loyalty}, 0) AS LoyaltyScore
   FROM labelled),
 feats2 AS (
-  SELECT *, greatest(abs((MonthlyCharges - AvgMonthlySpend) / (AvgMonthlySpend + 1)), 0) AS SpendVariance
+  SELECT *, greatest(abs({spread}), 0) AS SpendVariance
   FROM feats),
 scored AS (
   SELECT *, {np_round_sql(f"least(greatest((1.0 - {pct_rank_sql('tenure')}) * {w['tenure']} + {pct_rank_sql('MonthlyCharges')} * {w['monthly']} + {pct_rank_sql('SpendVariance')} * {w['variance']}, 0), 1)", 4)} AS Churn_Prob
   FROM feats2),
-clv AS (SELECT *, greatest(greatest(TotalCharges, 0) * (1 - Churn_Prob), 0) AS Predicted_CLV FROM scored),
+clv AS (SELECT *, greatest({clv}, 0) AS Predicted_CLV FROM scored),
 clv_med AS (SELECT quantile_cont(Predicted_CLV, 0.5) AS mc FROM clv),
 final AS (
   SELECT customerID, tenure, MonthlyCharges, TotalCharges, AvgMonthlySpend, ValueScore, LoyaltyScore,

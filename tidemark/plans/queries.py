@@ -233,7 +233,24 @@ def q_events_adaptive(spark, sf):
 def q_core_v1_processed(spark, sf):
     """The first release's formulas (F1-F4 v1, no total repair, OLS value F14)."""
     r = run_core(FXT.churn_input(spark, sf), model="heuristic", lineage="v1")
-    return round_doubles(r.processed())
+    return round_doubles(r.processed(), money=("Predicted_CLV",))
+
+
+def q_core_ml_checks(spark, sf):
+    """M2, M3, M9: rows and positives, exact stratified split, area under the curve against the evaluator's."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from tidemark.operators import ml
+
+    data = core_result(spark, sf).df.select("customerID", *C.CORE_FEATURES, F.col("Churn").cast("double").alias("Churn"))
+    train, test = ml.hash_split(data, 0.2)
+    train, test = ml.assembled(train, C.CORE_FEATURES), ml.assembled(test, C.CORE_FEATURES)
+    fitted = LogisticRegression(labelCol="Churn", maxIter=20).fit(train)
+    _, area = ml.candidate_metrics(test, {"LR": fitted})["LR"]
+    want = BinaryClassificationEvaluator(labelCol="Churn", numBins=0).evaluate(fitted.transform(test))
+    sizes = test.agg(F.count("*").alias("n_test"), F.sum("Churn").cast("long").alias("n_test_churned"))
+    return data.agg(F.count("*").alias("n"), F.sum("Churn").cast("long").alias("n_churned")).crossJoin(F.broadcast(sizes)).withColumn(
+        "same_area", F.lit(abs(area - want) < 1e-9))
 
 
 def q_core_ml_scores(spark, sf):
@@ -280,6 +297,15 @@ def _r(cols):
 
 SQL_CORE_PROCESSED = _core_select(_r(["customerID"] + C.PROCESSED_COLUMNS))
 
+SQL_CORE_V1 = "WITH" + O.churn_input_cte() + O.core_ctes(first_release=True) + "\nSELECT " + ", ".join(
+    ["customerID"] + [f"{O.np_round_sql(c, 2)} AS {c}" if c == "Predicted_CLV" else c if c in ("Churn", "Segment", "Risk_Tier") else O.r6(c)
+                      for c in C.PROCESSED_COLUMNS]) + " FROM final"
+
+SQL_ML_CHECKS = O.core_final() + """
+, c AS (SELECT count(*) AS n, CAST(sum(Churn) AS BIGINT) AS n_churned FROM final)
+SELECT n, n_churned, CAST(round_even(n_churned * 0.2, 0) + round_even((n - n_churned) * 0.2, 0) AS BIGINT) AS n_test,
+       CAST(round_even(n_churned * 0.2, 0) AS BIGINT) AS n_test_churned, TRUE AS same_area FROM c"""
+
 SQL_SEGMENT_SUMMARY = O.core_final() + f"""
 , s AS (
   SELECT Segment, count(Churn) AS Customers, CAST(sum(Churn) AS BIGINT) AS Churned, avg(Churn) AS Churn_Rate,
@@ -693,7 +719,8 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "adaptive_edges": (q_adaptive_edges, SQL_ADAPTIVE_EDGES),
     "src_parquet_text": (q_src_parquet_text, "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, "
                          "CAST(CAST(l_extendedprice AS DOUBLE) * 1000 AS VARCHAR) AS price, l_returnflag FROM lineitem"),
-    "core_v1_processed": (q_core_v1_processed, None),
+    "core_v1_processed": (q_core_v1_processed, SQL_CORE_V1),
+    "core_ml_checks": (q_core_ml_checks, SQL_ML_CHECKS),
     "core_ml_scores": (q_core_ml_scores, None),
     "adaptive_ml_scores": (q_adaptive_ml_scores, None),
     "adaptive_ridge_clv": (q_adaptive_ridge_clv, None),

@@ -34,57 +34,67 @@ def audit_rows(spark, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def core_audit(res: CoreResult) -> DataFrame:
-    df = res.df
-    spark = df.sparkSession
+# how each figure of the core report comes about
+METHOD = {
+    "labels": "yes/no words of the churn column; without one, the riskiest share by ranks of tenure, charge, spread and total",
+    "risk score": "trained probability, or a weighted sum of percentile ranks where nothing can be trained",
+    "customer value": "total charges times the probability to stay",
+    "segments": "risk at or above the high limit, value at or above its median",
+    "revenue at risk": "twelve monthly charges of the customers at high risk",
+}
+
+
+def _shown(value, form: str = "{}", missing: str = "none") -> str:
+    return missing if value is None else form.format(value)
+
+
+def core_audit(res: CoreResult, source: str | None = None) -> DataFrame:
+    """K3: where the table came from, which columns were used, the model, the figures and the method.
+
+    ``source`` is the path that was read, if any; metrics of made-up labels are withheld and said to be.
+    """
+    df, r = res.df, res.roles
     k = A.core_kpis(df, res.lineage).first().asDict()
-    original_rows = res.raw.count() if res.raw is not None else None
-    original_cols = len(res.raw.columns) if res.raw is not None else None
-    total = k["total_customers"]
-    r = res.roles
-    rows = [
-        ("FILE INFORMATION", "Original Rows", _fmt_int(original_rows) if original_rows is not None else "N/A"),
-        ("FILE INFORMATION", "Original Columns", f"{original_cols}"),
-        ("FILE INFORMATION", "Rows After Cleaning", _fmt_int(total)),
-        ("FILE INFORMATION", "Rows Removed",
-         _fmt_int(original_rows - total) if original_rows is not None else "N/A"),
-        ("COLUMN DETECTION", "Churn Column", r["churn"] or "Not found — synthetic used"),
-        ("COLUMN DETECTION", "Churn Source", res.churn_source),
-        ("COLUMN DETECTION", "Churn Labels Valid",
-         "NO — synthetic formula" if res.synthetic else "YES — real column detected"),
-        ("COLUMN DETECTION", "Tenure Column", r["tenure"] or "Not found — numeric fallback"),
-        ("COLUMN DETECTION", "Monthly Charges Column", r["monthly"] or "Not found — numeric fallback"),
-        ("COLUMN DETECTION", "Total Charges Column", r["total"] or "Not found — computed"),
-        ("COLUMN DETECTION", "Customer ID Column", r["id"] or "Not found"),
-        ("MACHINE LEARNING MODEL", "Model Used", res.model_name),
-        ("MACHINE LEARNING MODEL", "Features Used", ", ".join(C.CORE_FEATURES)),
-        ("MACHINE LEARNING MODEL", "Accuracy",
-         "SUPPRESSED" if res.synthetic else (f"{round(res.accuracy * 100, 2)}%" if res.accuracy is not None else "N/A")),
-        ("MACHINE LEARNING MODEL", "AUC-ROC Score",
-         "SUPPRESSED" if res.synthetic else (f"{round(res.auc, 4)}" if res.auc is not None else "N/A")),
-        ("OUTPUT KPIs", "Total Customers", _fmt_int(total)),
-        ("OUTPUT KPIs", "Churn Rate", f"{k['churn_rate']}%"),
-        ("OUTPUT KPIs", "Retention Rate", f"{k['retention_rate']}%"),
-        ("OUTPUT KPIs", "High-Risk (≥60%)", f"{_fmt_int(k['high_risk_n'])}  ({k['high_risk_pct']}%)"),
-        ("OUTPUT KPIs", "Medium-Risk (30-60%)", _fmt_int(k["med_risk_n"])),
-        ("OUTPUT KPIs", "Low-Risk (<30%)", _fmt_int(k["low_risk_n"])),
-        ("OUTPUT KPIs", "Annualised Risk Revenue", f"Rs.{k['revenue_at_risk']:,.0f}"),
-        ("OUTPUT KPIs", "Historical TotalCharges at Risk", f"Rs.{k['tc_at_risk_hist']:,.0f}"),
-        ("OUTPUT KPIs", "Total CLV Portfolio", f"Rs.{k['total_clv']:,.0f}"),
-        ("OUTPUT KPIs", "Avg CLV per Customer", f"Rs.{k['avg_clv']:,.0f}"),
-        ("OUTPUT KPIs", "Avg Tenure", f"{k['avg_tenure']} months"),
-        ("OUTPUT KPIs", "Avg Monthly Charge", f"Rs.{k['avg_monthly']:,.0f}"),
-    ]
-    return audit_rows(spark, rows)
-
-
-def core_tables(res: CoreResult) -> dict[str, DataFrame]:
+    rows_in = res.raw.count() if res.raw is not None else None
+    withheld = res.synthetic and res.accuracy is None
+    metric = "withheld" if withheld else "not measured"
+    sections = {
+        "source": {
+            "file": os.path.basename(source.rstrip("/")) if source else "not from a file", "path": source or "not from a file",
+            "rows read": _shown(rows_in, "{:,}"), "columns read": _shown(len(res.raw.columns) if res.raw is not None else None),
+            "rows kept": _fmt_int(k["total_customers"]),
+            "rows left out": _shown(None if rows_in is None else rows_in - k["total_customers"], "{:,}"),
+        },
+        "columns": {
+            **{role: _shown(r[role], missing="not found, made up" if role == "churn" else "not found, stood in for")
+               for role in ("churn", "tenure", "monthly", "total")},
+            "id": _shown(r["id"], missing="not found"), "label source": res.churn_source,
+            "labels are real": "no" if res.synthetic else "yes",
+        },
+        "model": {
+            "scorer": res.model_name, "features": ", ".join(C.CORE_FEATURES),
+            "accuracy": _shown(res.accuracy, "{:.2%}", metric), "area under curve": _shown(res.auc, "{:.4f}", metric),
+            "metrics withheld": "yes, the labels are made up" if withheld else "no",
+        },
+        "figures": {
+            "customers": _fmt_int(k["total_customers"]), "churn rate": f"{k['churn_rate']}%", "retention rate": f"{k['retention_rate']}%",
+            "high risk": f"{k['high_risk_n']:,} ({k['high_risk_pct']}%)", "medium risk": _fmt_int(k["med_risk_n"]), "low risk": _fmt_int(k["low_risk_n"]),
+            **{name: f"{k[key]:,.0f}" for name, key in (("revenue at risk", "revenue_at_risk"), ("charges of those at risk", "tc_at_risk_hist"),
+                                                       ("value of all customers", "total_clv"), ("mean value", "avg_clv"), ("mean monthly charge", "avg_monthly"))},
+            "mean tenure": f"{k['avg_tenure']} months",
+        },
+        "method": METHOD,
+    }
+    return audit_rows(df.sparkSession, [(section, key, value) for section, entries in sections.items() for key, value in entries.items()])
+
+
+def core_tables(res: CoreResult, source: str | None = None) -> dict[str, DataFrame]:
     """All core report tables."""
     df = res.df
     return {
         "processed_data": res.processed(),
         "raw_data": res.raw,
-        "data_quality": core_audit(res),
+        "data_quality": core_audit(res, source),
         "segment_summary": A.segment_summary(df),
         "high_risk_customers": A.top_risk(df, res.id_col),
         "data_segments": A.value_counts(df, "Segment"),
@@ -98,13 +108,10 @@ def core_tables(res: CoreResult) -> dict[str, DataFrame]:
 
 def adaptive_audit(res: AdaptiveResult) -> DataFrame:
     q = res.quality
-    rows = [("QUALITY", "Quality Score", f"{q['quality_score']}/100"),
-            ("QUALITY", "Detected Domain", (q["domain"] or "Unknown").replace("_", " ").title())]
-    rows += [("ISSUES", f"{i + 1}", s) for i, s in enumerate(q["issues"])]
-    rows += [("RECOMMENDATIONS", f"{i + 1}", s) for i, s in enumerate(q["recommendations"])]
-    rows += [("MAPPING", k, str(v)) for k, v in res.mapping.items()]
-    rows += [("PROCESSING", f"{i + 1}", s) for i, s in enumerate(res.notes)]
-    rows += [("MODEL", "Model Type", res.model_note)]
+    rows = [("quality", "score", str(q["quality_score"])), ("quality", "domain", q["domain"] or "unknown")]
+    rows += [(section, str(i + 1), text) for section, texts in (("finding", q["issues"]), ("advice", q["recommendations"]), ("note", res.notes))
+             for i, text in enumerate(texts)]
+    rows += [("mapping", k, str(v)) for k, v in res.mapping.items()] + [("model", "scorer", res.model_note)]
     return audit_rows(res.df.sparkSession, rows)
 
 
