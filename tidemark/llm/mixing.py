@@ -8,7 +8,7 @@
    whole passes and a rest takes every block p times, and, in the last pass, blocks in a
    seeded permutation as long as they fit the rest; the first block that does not fit
    fills what is left with its documents in hash order.
-3. The drawn blocks are dealt to ``shards`` output shards of equal block counts: a
+3. The drawn blocks are dealt to output shards of equal block counts (64, more for a large corpus): a
    binary tree splits the sources' exact quotas, each node drawing its left
    half's composition from the multivariate hypergeometric distribution. A
    shard then gets its quota of each source's permuted blocks, disjoint from every
@@ -31,14 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready, text_of, word_count
+from .common import ready, spill, text_of, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MAX_PASSES = 2
 MAX_BLOCKS = 1 << 14
 MAX_SOURCES = 100_000
-SHARDS = 64
+SHARDS = 64          # at least
+SHARD_WORDS = 1 << 27
 SEED = 20240
 
 
@@ -103,8 +104,8 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
                     F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("h"))
 
 
-def _plan(sized: DataFrame, seed: int, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(sources, draws): source, source_size, target; and per source, block and
+def _plan(sized: DataFrame, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(sources, draws, shards): source, source_size, target; and per source, block and
     pass the shard, with ``room`` words for the block that crosses the target."""
     spark = sized.sparkSession
     per_source = (sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1)).collect()
@@ -114,6 +115,8 @@ def _plan(sized: DataFrame, seed: int, shards: int) -> tuple[DataFrame, DataFram
     goal = targets(sizes)
     sizes.sort(key=lambda x: (x[0] is None, x[0] or ""))
     unit = max(1, sum(n for _, n in sizes) // MAX_BLOCKS)
+    # a shard holds about SHARD_WORDS words however large the corpus is, and a block at least
+    shards = shards or min(MAX_BLOCKS, max(SHARDS, int(sum(goal.values())) // SHARD_WORDS))
     source_rows = [(i, s, n, float(goal[s]), max(1, n // unit)) for i, (s, n) in enumerate(sizes)]
     sources = spark.createDataFrame(source_rows, "source_no int, s_source string, source_size long, target double, n_blocks long")
     blocks = (_blocked(sized, sources).groupBy("source_no", "block").agg(F.sum("size").alias("words")).collect())
@@ -145,7 +148,7 @@ def _plan(sized: DataFrame, seed: int, shards: int) -> tuple[DataFrame, DataFram
     for no, units in enumerate(drawn):
         shard_of = np.repeat(np.arange(shards), quota[:, no])
         rows += [(no, b, t, room, int(s)) for (b, t, room), s in zip(units, shard_of)]
-    return sources, spark.createDataFrame(rows, "source_no int, block long, turn int, room long, shard int")
+    return sources, spark.createDataFrame(rows, "source_no int, block long, turn int, room long, shard int"), shards
 
 
 def _blocked(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -153,10 +156,9 @@ def _blocked(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.pmod("h", "n_blocks"))
 
 
-def _draws(docs: DataFrame, seed: int, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(all rows with block and target, one row per drawn copy)."""
-    sized = _sized(docs, seed)
-    sources, plan = _plan(sized, seed, shards)
+def _draws(sized: DataFrame, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(all rows with block and target, one row per drawn copy, the number of shards)."""
+    sources, plan, shards = _plan(sized, seed, shards)
     rows = _blocked(sized, sources)
     drawn = rows.filter("size > 0").join(F.broadcast(plan), ["source_no", "block"])
     whole = drawn.filter("room is null")
@@ -164,37 +166,33 @@ def _draws(docs: DataFrame, seed: int, shards: int) -> tuple[DataFrame, DataFram
     w = Window.partitionBy("source_no", "turn").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     part = (drawn.filter("room is not null").withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
             .filter("before + size / 2 <= room").drop("before"))
-    return rows, whole.unionByName(part)
+    return rows, whole.unionByName(part), shards
 
 
-def taken_words(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+def _dealt_sized(sized: DataFrame, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame]:
+    """(all rows with their target, the drawn copies dealt to their shards and shuffled inside each)."""
+    rows, drawn, shards = _draws(sized, seed, shards)
+    placed = drawn.withColumn("place", F.xxhash64(F.lit(seed + 1), "h", "turn"))
+    return rows, placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "place")
+
+
+def taken_words(docs: DataFrame, seed: int = SEED, shards: int | None = None) -> DataFrame:
     """Per input row: doc_id, size, source_size, target, taken (words, repeats counted).
 
-    Copies are counted per document by summing over its draws; rows of one
-    document id share its draws equally.
+    The mix itself is dealt to its shards, with row numbers for documents, and its copies are counted by row.
     """
     ready(docs.sparkSession)
-    sized = _sized(docs.select("doc_id", "source", "text"), seed)
-    sources, plan = _plan(sized, seed, shards)
-    rows = _blocked(sized, sources)
-    full = plan.filter("room is null").groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    rest = plan.filter("room is not null").groupBy("source_no", "block").agg(
-        F.sum(F.when(F.col("turn") == 0, F.col("room"))).alias("room0"), F.sum(F.when(F.col("turn") == 1, F.col("room"))).alias("room1"))
-    d = rows.join(F.broadcast(full), ["source_no", "block"], "left").join(F.broadcast(rest), ["source_no", "block"], "left")
-    d = d.withColumn("times", F.coalesce("times", F.lit(0)))
-    edge = F.col("room0").isNotNull() | F.col("room1").isNotNull()
-    w = Window.partitionBy("source_no", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = d.filter(edge & (F.col("size") > 0)).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    for r in ("room0", "room1"):
-        cut = cut.withColumn("times", F.col("times") + F.when(F.col("before") + F.col("size") / 2 <= F.col(r), 1).otherwise(0))
-    out = ("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
-    return d.filter(~edge | (F.col("size") == 0)).select(*out).unionByName(cut.select(*out))
-
-
-def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    numbered = _sized(docs.select("doc_id", "source", "text"), seed).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size", "h")
+    rows, copies = _dealt_sized(spill(numbered, "sizes"), seed, shards)
+    taken = copies.groupBy("row").agg(F.sum("size").alias("taken"))
+    return rows.join(taken.withColumnRenamed("row", "t_row"), F.col("row") == F.col("t_row"), "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = SEED, shards: int | None = None) -> DataFrame:
     """The mixed corpus: one row per drawn copy, all input columns, dealt to
     shards and shuffled inside each."""
     ready(docs.sparkSession)
-    _, drawn = _draws(docs, seed, shards)
-    dealt = drawn.select("row", "shard", F.xxhash64(F.lit(seed + 1), "h", "turn").alias("place"))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("row.*")
+    _, copies = _dealt_sized(_sized(docs, seed), seed, shards)
+    return copies.select("row.*")
