@@ -34,3 +34,31 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as q", "'y' as slot", "1 as score")
     assert set(map(tuple, K.top_k_of_table(df).collect())) == brute(rows)
     assert K.top_k_of_table(df.limit(0)).count() == 0
+
+
+def test_blocks_of_a_slot_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(K, "TOGETHER", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 4)]) for i in range(400)]
+    seen = spark.sparkContext.accumulator(0)
+    gather = K._gather
+
+    def counted(k):
+        run = gather(k)
+
+        def one(batches):
+            batches = list(batches)
+            seen.add(1 if sum(b.num_rows for b in batches) else 0)
+            yield from run(batches)
+
+        return one
+
+    monkeypatch.setattr(K, "_gather", counted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = set(map(tuple, K.top_k_of_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(12)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows) and seen.value > 2  # one slot, several tasks

@@ -5,17 +5,18 @@ Vectors are quantised to integers, floor(256 x). The dimensions are cut into
 score is the sum of its partials. Vectors are packed into blocks, queries into slots of
 about ``SLOT``, and every block meets every slot.
 
-1. Each (block, slot) pair gathers its local best k candidates a query, with
-   full scores. The k-th largest of all gathered scores is a cutoff that the true
-   k-th score cannot fall below.
+1. Each (block, slot) pair gathers the k best entries of each of its score lists; only these few
+   candidates get their other partials added. The k-th largest of all their scores is a cutoff that
+   the true k-th score cannot fall below.
 2. The cutoff goes out with the slots. A candidate that reaches it must have a
    partial of at least cutoff / ``GROUPS`` in some group (uniform threshold), so the pairs
    collect just those entries from the lists.
 3. Their remaining partials are added exactly; those at the cutoff or above are ranked,
    ties to the smaller id.
 
-Candidate and query blocks are bounded by ``BLOCK`` and ``SLOT``; each is sent to
-the pairs by an equi-join on the slot. Nothing is broadcast by hand.
+Candidate and query blocks are bounded by ``BLOCK`` and ``SLOT``; they meet by an equi-join on
+the slot and a salt of the block, so a slot's blocks are spread over tasks of about ``TOGETHER`` blocks.
+Nothing is broadcast by hand.
 
 Edge cases: null vectors, vectors with null or non-finite components, and rows with
 a null id take no part; shorter vectors count as zero in the missing dimensions;
@@ -40,6 +41,7 @@ SCALE = 256
 GROUPS = 4
 BLOCK = 4096
 SLOT = 1024
+TOGETHER = 16
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -93,7 +95,7 @@ def _rows(query, cand, score):
 
 
 def _gather(k: int):
-    """Phase 1: the k best candidates of each pair's queries, ties to the smaller id."""
+    """Phase 1: each list's k best entries of a pair's queries, scored by adding their other partials."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
@@ -101,11 +103,18 @@ def _gather(k: int):
                 order = np.argsort(ci, kind="stable")
                 ci, c = ci[order], c[order]
                 q, c = _aligned(q, c)
-                scores = q @ c.T
+                listed: list[list[np.ndarray]] = [[] for _ in qi]
+                for g in _groups(q.shape[1]):
+                    part = q[:, g] @ c[:, g].T  # one score list a query, dropped after its best entries
+                    for j, one in enumerate(qi):
+                        at = np.flatnonzero(ci != one)
+                        listed[j].append(at[np.argsort(-part[j][at], kind="stable")[:k]] if len(at) <= 4 * k or part.dtype == object
+                                         else _best(part[j], at, k))
                 for j, one in enumerate(qi):
-                    s, at = scores[j], np.flatnonzero(ci != one)
-                    best = at[np.argsort(-s[at], kind="stable")[:k]] if len(at) <= 4 * k or s.dtype == object else _best(s, at, k)
-                    yield _rows([one] * len(best), ci[best], s[best])
+                    at = np.unique(np.concatenate(listed[j]))
+                    score = c[at] @ q[j]
+                    best = np.argsort(-score, kind="stable")[:k]
+                    yield _rows([one] * len(best), ci[at[best]], score[best])
     return run
 
 
@@ -140,6 +149,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     queries = spill(queries.groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
     slots = max(1, -(-queries.count() // SLOT))
     blocks = spill(vectors.mapInArrow(_blocks, "ids binary, m binary, width int"), "blocks")
+    salts = max(1, -(-blocks.count() // TOGETHER))
 
     def pack(rows):
         m = _matrix(pa.array(rows["q"].tolist(), pa.list_(pa.float64())))
@@ -150,17 +160,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     def slotted(rows):
         return (rows.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
-                .groupBy("slot").applyInPandas(pack, "slot int, q_ids binary, q_m binary, q_width int, cutoff binary"))
+                .groupBy("slot").applyInPandas(pack, "slot int, q_ids binary, q_m binary, q_width int, cutoff binary")
+                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
 
-    pairs = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    pairs = (blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))))
     score = "query_id long, vec_id long, score long"
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    local = pairs.join(slotted(queries.withColumn("cutoff", F.lit(0).cast("long"))), "slot").mapInArrow(_gather(k), score)
+    local = pairs.join(slotted(queries.withColumn("cutoff", F.lit(0).cast("long"))), ["slot", "salt"]).mapInArrow(_gather(k), score)
     # rank k of what was gathered; with fewer than k candidates, the smallest
     cutoffs = (local.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= k)
                .groupBy("query_id").agg(F.min("score").alias("cutoff")))
     asked = queries.join(cutoffs, F.col("vec_id") == F.col("query_id")).select("vec_id", "q", "cutoff")
-    final = pairs.join(slotted(asked), "slot").mapInArrow(_resolve, score)
+    final = pairs.join(slotted(asked), ["slot", "salt"]).mapInArrow(_resolve, score)
     return (final.withColumn("rank", F.row_number().over(best_first).cast("int")).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
