@@ -74,7 +74,6 @@ SEED = 42
 # ---------------------------------------------------------------------------
 
 ADAPTIVE_MIN_ROWS = 3
-ADAPTIVE_MAX_ROWS_WARN = 100000
 # FIXED VALUES: cell texts that a table reader takes as missing.
 NA_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -82,12 +81,7 @@ ADAPTIVE_ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1", "utf-16", "asc
 ADAPTIVE_DELIMITERS = [",", ";", "\t", "|", ":"]
 DELIMITER_SAMPLE_BYTES = 16384
 
-VALID_RANGES = {
-    "tenure": {"min": 0, "max": 600, "unit": "months"},
-    "MonthlyCharges": {"min": 0, "max": 50000, "unit": "currency"},
-    "TotalCharges": {"min": 0, "max": 10000000, "unit": "currency"},
-    "Churn": {"min": 0, "max": 1, "unit": "binary"},
-}
+MOST_TENURE = 600   # months
 
 # Name synonyms (lower-case key -> canonical name), in their natural order.
 COLUMN_MAPPINGS = {

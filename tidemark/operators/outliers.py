@@ -21,7 +21,7 @@ def tenure_outliers(df: DataFrame, report: dict) -> DataFrame:
     if "tenure" not in df.columns:
         return df
     t = F.col("tenure")
-    hi = C.VALID_RANGES["tenure"]["max"]
+    hi = C.MOST_TENURE
     # one pass: negatives, and values above the limit once negatives are made positive
     r = df.agg(F.count_if(t < 0).alias("neg"), F.count_if(F.abs(t) > hi).alias("high")).first()
     count = r["neg"]

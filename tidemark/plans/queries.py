@@ -456,43 +456,40 @@ FROM final"""
 
 
 def sql_quality() -> str:
-    """Q3-Q8 on the adaptive fixture. Names are fixed by the fixture, so the
-    name-driven parts (domain, relevance) are evaluated here; every
-    value-driven part is computed by the SQL."""
-    from tidemark.operators.quality import domain_of
+    """Q3-Q8 on the adaptive fixture; names and values are judged by the SQL."""
     cols = ["customer_id", "account_length", "mrr", "total_spend", "customer_status", "plan", "balance"]
-    domain, hits = domain_of(cols)
-    dom_pen = 0 if hits >= 3 else (15 if hits >= 1 else 20)
-    dom_issue = 0 if hits >= 3 else 1
-    domain = domain if hits >= 1 else "unknown"
-    text = " ".join(cols)
-    rel_pen = 0 if any(k in text for k in C.RELEVANCE_VALUE) else 10
-    rel_issues = sum(not any(k in text for k in kws) for kws in
-                     (C.RELEVANCE_ID, C.RELEVANCE_VALUE, C.RELEVANCE_TIME, C.RELEVANCE_CHURN))
+    words = ", ".join(f"({i}, '{d}', '{w}')" for i, (d, ws) in enumerate(C.DOMAIN_PATTERNS.items()) for w in ws)
+    roles = ", ".join(f"({p}, '{w}')" for p, ws in enumerate((C.RELEVANCE_VALUE, C.RELEVANCE_ID, C.RELEVANCE_TIME, C.RELEVANCE_CHURN)) for w in ws)
     nulls = " + ".join(f"count(*) - count({c})" for c in cols)
     pot = " + ".join(
         f"CASE WHEN count(TRY_CAST(regexp_replace({c}, '[$,€£%]', '', 'g') AS DOUBLE)) > count(*) * 0.3 THEN 1 ELSE 0 END"
         for c in cols)
     empty = " + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in cols)
     return "WITH" + O.adaptive_input_cte() + f""",
+names AS (SELECT '{" ".join(cols)}' AS text),
+hits AS (SELECT no, domain, count(*) FILTER (WHERE contains(text, word)) AS n FROM (VALUES {words}) v(no, domain, word), names GROUP BY no, domain),
+dom AS (SELECT CASE WHEN n = 0 THEN 'unknown' ELSE domain END AS domain, CASE WHEN n >= 3 THEN 0 WHEN n >= 1 THEN 15 ELSE 20 END AS dom_pen,
+               CAST(n < 3 AS INTEGER) + CAST(n > 0 AND domain IN ('hr_payroll', 'sales') AS INTEGER) AS dom_issue FROM hits ORDER BY n DESC, no LIMIT 1),
+found AS (SELECT role, bool_or(contains(text, word)) AS yes FROM (VALUES {roles}) v(role, word), names GROUP BY role),
+rel AS (SELECT CAST(count(*) FILTER (WHERE NOT yes AND role = 0) * 10 AS INTEGER) AS rel_pen, count(*) FILTER (WHERE NOT yes) AS rel_issues FROM found),
 a AS (SELECT count(*) AS n, ({nulls}) AS nulls, ({pot}) AS pot, ({empty}) AS empty_cols FROM adaptive_input),
 d AS (SELECT count(*) AS nd FROM (SELECT DISTINCT * FROM adaptive_input)),
 m AS (SELECT n, pot, empty_cols, nulls / (n * {len(cols)}.0) * 100 AS missing_pct,
-             (n - nd) / n * 100.0 AS dup_pct FROM a, d),
+             (n - nd) / n * 100.0 AS dup_pct, domain, dom_pen, dom_issue, rel_pen, rel_issues FROM a, d, dom, rel),
 s AS (
   SELECT *,
-    (CASE WHEN pot = 0 THEN 30 ELSE 0 END) + {dom_pen}
+    (CASE WHEN pot = 0 THEN 30 ELSE 0 END) + dom_pen
     + (CASE WHEN missing_pct > 50 THEN 40 WHEN missing_pct > 20 THEN 20 WHEN missing_pct > 5 THEN 5 ELSE 0 END)
     + (CASE WHEN dup_pct > 30 THEN 15 WHEN dup_pct > 10 THEN 5 ELSE 0 END)
-    + (CASE WHEN empty_cols > 0 THEN 10 ELSE 0 END) + {rel_pen} AS pen,
-    (CASE WHEN pot = 0 THEN 1 ELSE 0 END) + {dom_issue} + (CASE WHEN missing_pct > 5 THEN 1 ELSE 0 END)
+    + (CASE WHEN empty_cols > 0 THEN 10 ELSE 0 END) + rel_pen AS pen,
+    (CASE WHEN pot = 0 THEN 1 ELSE 0 END) + dom_issue + (CASE WHEN missing_pct > 5 THEN 1 ELSE 0 END)
     + (CASE WHEN dup_pct > 10 THEN 1 ELSE 0 END) + (CASE WHEN empty_cols > 0 THEN 1 ELSE 0 END)
-    + {rel_issues} AS iss
+    + rel_issues AS iss
   FROM m)
 SELECT CAST(n AS BIGINT) AS n_rows, {len(cols)} AS n_cols,
        {O.np_round_sql("missing_pct", 6)} AS missing_pct, {O.np_round_sql("dup_pct", 6)} AS dup_pct,
        CAST(pot AS INTEGER) AS potentially_numeric,
-       CAST(greatest(0, least(100, 100 - pen)) AS INTEGER) AS quality_score, '{domain}' AS domain,
+       CAST(greatest(0, least(100, 100 - pen)) AS INTEGER) AS quality_score, domain,
        (greatest(0, least(100, 100 - pen)) >= 30 AND n >= {C.ADAPTIVE_MIN_ROWS}) AS is_valid,
        CAST(iss + CASE WHEN greatest(0, least(100, 100 - pen)) < 30 THEN 1 ELSE 0 END AS INTEGER) AS n_issues
 FROM s"""
