@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tidemark import config as C
+from tidemark.operators import aggregates as A
 from tidemark.plans import report
 from tidemark.plans.core import run_core
 from tidemark.sources.fixtures import churn_input
@@ -22,6 +24,12 @@ def test_core_tables_and_audit(spark):
     assert audit[("source", "rows kept")] == f"{res.df.count():,}"
     assert tables["processed_data"].columns[0] == "customerID"
     assert tables["high_risk_customers"].where(F.col("Churn_Prob") < 0.6).count() == 0
+    assert audit[("source", "path")] == "not from a file" and audit[("model", "metrics withheld")] == "no" and ("method", "labels") in audit
+    # all chart tables come from one count and equal those counted one by one
+    for name, column in report.CHART_CUTS.items():
+        assert tables[name].collect() == A.safe_cut(res.df, column).collect()
+    assert tables["data_segments"].collect() == A.value_counts(res.df, "Segment").collect()
+    assert tables["data_risk_tiers"].collect() == A.value_counts(res.df, "Risk_Tier", "Risk Tier", order=C.RISK_TIERS).collect()
     out = tempfile.mkdtemp(prefix="tidemark-rep-")
     written = report.write_tables(tables, out)
     assert len(written) == len(tables)

@@ -170,6 +170,47 @@ def safe_cut(df: DataFrame, col: str, bins: int = C.SAFE_CUT_BINS,
     return out.select(*cols)
 
 
+def distributions(df: DataFrame, categories: dict[str, tuple], cuts: dict[str, str], bins: int = C.SAFE_CUT_BINS) -> dict[str, DataFrame]:
+    """K4: all chart tables by one statistics pass and one counting pass.
+
+    ``categories``: table -> (column, shown name, category order or None); ``cuts``: table -> column of ``safe_cut``.
+    The counting pass stacks one (table, key) pair a table and groups once; a few dozen counts reach the driver.
+    """
+    spark = df.sparkSession
+    value = {t: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for t, c in cuts.items()}
+    aggs = []
+    for i, v in enumerate(value.values()):
+        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.approx_count_distinct(v, 0.01).alias(f"nu{i}")]
+    stats = df.agg(*aggs).first() if aggs else None
+    # the number of bins is min(bins, distinct): only small distinct counts need to be exact
+    few = [i for i in range(len(cuts)) if stats[f"nu{i}"] <= 64]
+    exact = df.agg(*[F.count_distinct(list(value.values())[i]).alias(f"nu{i}") for i in few]).first().asDict() if few else {}
+    edges, keys = {}, []
+    for i, (t, v) in enumerate(value.items()):
+        distinct = exact.get(f"nu{i}", stats[f"nu{i}"])
+        edges[t] = equal_width_edges(float(stats[f"mn{i}"]), float(stats[f"mx{i}"]), min(bins, distinct)) if distinct >= 2 else None
+        key = F.lit(0) if edges[t] is None else bin_index(v, edges[t])
+        present = F.col(cuts[t]).isNotNull() if edges[t] is None else v.isNotNull()
+        keys.append(F.when(present, F.struct(F.lit(t).alias("table"), key.cast("string").alias("key"))))
+    keys += [F.struct(F.lit(t).alias("table"), F.col(c).cast("string").alias("key")) for t, (c, _, _) in categories.items()]
+    counted: dict[str, dict] = {t: {} for t in (*cuts, *categories)}
+    for r in (df.select(F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")).select("k.*")
+              .groupBy("table", "key").agg(F.count("*").alias("n")).collect()):
+        counted[r.table][r.key] = r.n
+    out = {}
+    for t in cuts:
+        if edges[t] is None:
+            rows = [(C.ALL_VALUES_LABEL, counted[t].get("0", 0))]
+        else:
+            rows = [(label, counted[t][str(i)]) for i, label in enumerate(interval_labels(edges[t]), 1) if str(i) in counted[t]]
+        out[t] = spark.createDataFrame(rows, "Range string, Count long")
+    for t, (_, shown, order) in categories.items():
+        rank = {c: i for i, c in enumerate(order or ())}
+        rows = sorted(counted[t].items(), key=lambda x: (rank.get(x[0], -1), -x[1], x[0] or ""))
+        out[t] = spark.createDataFrame(rows, f"`{shown}` string, Count long")
+    return out
+
+
 def fixed_bins(df: DataFrame, col: str, edges: list[float], labels: list[str],
                name: str, include_lowest: bool = True) -> DataFrame:
     """Fixed right-closed bins, zero-count bins kept, in bin order."""

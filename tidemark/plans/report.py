@@ -88,6 +88,10 @@ def core_audit(res: CoreResult, source: str | None = None) -> DataFrame:
     return audit_rows(df.sparkSession, [(section, key, value) for section, entries in sections.items() for key, value in entries.items()])
 
 
+CHART_CATEGORIES = {"data_segments": ("Segment", "Segment", None), "data_risk_tiers": ("Risk_Tier", "Risk Tier", C.RISK_TIERS)}
+CHART_CUTS = {"data_churn_prob": "Churn_Prob", "data_clv": "Predicted_CLV", "data_tenure": "tenure", "data_monthly": "MonthlyCharges"}
+
+
 def core_tables(res: CoreResult, source: str | None = None) -> dict[str, DataFrame]:
     """All core report tables."""
     df = res.df
@@ -97,12 +101,7 @@ def core_tables(res: CoreResult, source: str | None = None) -> dict[str, DataFra
         "data_quality": core_audit(res, source),
         "segment_summary": A.segment_summary(df),
         "high_risk_customers": A.top_risk(df, res.id_col),
-        "data_segments": A.value_counts(df, "Segment"),
-        "data_risk_tiers": A.value_counts(df, "Risk_Tier", "Risk Tier", order=C.RISK_TIERS),
-        "data_churn_prob": A.safe_cut(df, "Churn_Prob"),
-        "data_clv": A.safe_cut(df, "Predicted_CLV"),
-        "data_tenure": A.safe_cut(df, "tenure"),
-        "data_monthly": A.safe_cut(df, "MonthlyCharges"),
+        **A.distributions(df, CHART_CATEGORIES, CHART_CUTS),
     }
 
 
