@@ -62,3 +62,43 @@ int x;"""
                        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("Copyright 2020 X.\nAll rights\nreserved.", "Proprietary"),
                        ("Permission is\nhereby granted, free of charge, to any person\nobtaining a copy of this software", "MIT")):
         assert scanner.best(text)[0] == want, (want, scanner.best(text))
+
+
+GNU = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {0} License as published by\n"
+       "the Free Software Foundation; either version {1} of the License, or\n(at your option) any later version.\n")
+BSD = ("Copyright 2021 Some One\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+       "following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+       "following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+       "disclaimer in the documentation and/or other materials provided with the distribution.\n")
+
+
+def test_versions_and_qualifiers_decide():
+    scanner = L.Scanner({t: 300 for t in ("the", "of", "and", "in", "to", "is", "are", "this", "with", "or")}, 1000)
+    for text, want in (("GNU General Public License, version 2", "GPL-2.0"), ("GNU General Public License, version 3", "GPL-3.0"),
+                       ("GNU Lesser General Public License, version 3", "LGPL-3.0"), ("GNU Affero General Public License version 3", "AGPL-3.0"),
+                       (GNU.format("General Public", 2), "GPL-2.0"), (GNU.format("Lesser General Public", "2.1"), "LGPL-2.1"),
+                       ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"), ("Licensed under CC BY 3.0", "CC-BY-3.0"),
+                       ("Licensed under CC BY 2.5", None), ("The Apache Software License, Version 1.1", "Apache-1.1"), (BSD, "BSD-2-Clause"),
+                       (BSD + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                        "derived from this software without specific prior written permission.\n", "BSD-3-Clause"),
+                       ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided "
+                        "that the above\ncopyright notice and this permission notice appear in all copies.", "ISC")):
+        assert scanner.best(text)[0] == want, (text, want, scanner.best(text))
+
+
+def test_cosine_against_a_plain_one():
+    import math
+    from collections import Counter
+    df, n = {"the": 40, "license": 7, "version": 5}, 100
+    scanner = L.Scanner(df, n)
+    text = "Licensed under the Apache License, Version 2.0 and nothing else"
+    known = {t for notices in L.TEMPLATES.values() for x in notices for t in L.terms(x)}
+    weight = lambda t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 if t in known else math.log(n + 1) + 1
+    a = {t: c * weight(t) for t, c in Counter(L.terms(text.lower())).items()}
+    want = 0.0
+    for x in L.TEMPLATES["Apache-2.0"]:
+        b = {t: c * weight(t) for t, c in Counter(L.terms(x)).items()}
+        dot = sum(a.get(t, 0) * y for t, y in b.items())
+        want = max(want, dot / math.sqrt(sum(y * y for y in a.values()) * sum(y * y for y in b.values())))
+    name, cosine = scanner.best(text)
+    assert name == "Apache-2.0" and abs(cosine - want) < 1e-12
