@@ -113,6 +113,44 @@ def test_pairs_inside_a_family_around_one_passage_are_found(spark):
     assert {r.doc_id: r.class_id for r in N.near_classes(docs).collect()} == want
 
 
+def test_no_pair_is_lost_by_the_bounds_of_the_search(spark, monkeypatch):
+    # a family of 200 around a passage, 100 pairs of 0.8 and more; the search in sample orders looks at one row only
+    monkeypatch.setattr(N, "TREES", 1)
+    monkeypatch.setattr(N, "NEXT", 1)
+    monkeypatch.setattr(N, "BEST", 1)
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(500)]
+    word = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    own = [word(12) for _ in range(100)]
+    texts = [" ".join(passage + own[i % 100] + word(9)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(docs)
+    assert len(set(want.values())) < 200
+    assert {r.doc_id: r.class_id for r in N.near_classes(docs).collect()} == want
+
+
+def test_prefixes_hold_every_similar_pair_and_few_others(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(60):  # texts with 1 to 12 words changed, around one base
+        words = [f"b{i}" for i in range(1500)]
+        for at in rng.integers(1500, size=rng.integers(1, 13)):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = docs.select("doc_id", word_hashes(text_of()).alias("h"))
+    idf = N.log_idf_table(hashed)
+    sets = {r.doc_id: N.shingles(np.array(r.h, np.int64)) for r in hashed.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and N.similarity(sets[a], sets[b], idf) >= 0.8}
+    entries = N._prefixes(hashed, spark.sparkContext.broadcast(idf), 0.8)
+    none = spark.createDataFrame([], "id long, class_id long")
+    got = {tuple(r) for r in N._prefix_pairs(entries, none, 0.8).collect()}
+    assert 50 < len(want) < 1500 and want <= got and len(got) < 60 * 59 / 2
+    one = spark.createDataFrame([(i, i % 2) for i in range(60)], "id long, class_id long")
+    split = {tuple(r) for r in N._prefix_pairs(entries, one, 0.8).collect()}
+    assert split == {(a, b) for a, b in got if (a - b) % 2}
+
+
 def test_loose_members_meet_in_sample_order():
     rng = np.random.default_rng(3)
     passage = rng.integers(-2**62, 2**62, 300)

@@ -7,11 +7,15 @@ consistent weighted sampling draws ``BANDS x ROWS`` samples per document; two
 documents agree on a sample with probability equal to their weighted Jaccard
 similarity. Samples are banded; documents that share a band key are compared with
 the smallest id under that key (the head), at two depths (one band, and two adjacent bands
-together). Members of one head that are still in different components afterwards are loose: their
+together). Members of one head that are still in different components afterwards are loose. First their
 sketches (64 further samples) are sorted in 8 sample orders, so that sets which agree on a run of
-samples stand close, and each is compared with the two likest of the 64 that follow in every order. Found pairs are
-verified; this is repeated with new orders until a turn links nothing new. Work a turn is in proportion to the loose
-members; nothing is paired by a shared shingle. Every candidate pair is verified by its
+samples stand close, and each is compared with the two likest of the 64 that follow in every order; this only
+joins the bulk of a family cheaply. Then an exact prefix join settles all others: with shingles in
+one order (rarest among the loose first), the first shingle that two sets of similarity t share
+must leave both a weight of t / (1 + t) of their sum, so it stands in a short prefix of each, and every pair of different
+components that meets this bound is a candidate. No pair of loose members is lost, however large their bucket; a shingle
+whose holders are one component is passed over, and members of its largest one meet the other members only.
+Every candidate pair is verified by its
 exact weighted Jaccard similarity (0.8 or more), and classes are the connected components
 of the verified links; n_links counts the links that were verified, not those inside a component.
 
@@ -43,9 +47,11 @@ BANDS = 9
 ROWS = 3
 IDF_BUCKETS = 1 << 18
 SKETCH = 64     # samples of a loose member's sketch, a byte each
-TREES = 8       # sample orders in which loose members are sorted, a turn
+TREES = 8       # sample orders in which loose members are sorted
 NEXT = 64       # members that follow in an order and are looked at
-BEST = 2        # of them, those that are verified if their samples agree enough
+BEST = 2        # of them, those that are verified if their samples agree enough (the prefix join has all others)
+ORDER_BUCKETS = 1 << 20  # hash buckets of the counts that order the prefixes: they decide the work, not the result
+SLACK = 1e-9    # relative, for sums of weights in another order
 PER_HEAD = 1000  # pairs that one copy of a head's text serves
 CHUNK = 8192  # shingles sampled at a time: bounds memory for very long texts
 
@@ -122,15 +128,19 @@ def _content_key(words: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64))
 
 
-def _count_buckets(batches):
-    total = np.zeros(IDF_BUCKETS, np.int64)
-    for batch in batches:
-        values, at = list_parts(batch.column(0))
-        for i in range(len(at) - 1):
-            h, _ = shingles(values[at[i]:at[i + 1]])
-            total[np.unique(bucket_of(h))] += 1
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+def _count_buckets(place, buckets: int):
+    """Task-wise numbers of the documents with a shingle in each bucket that ``place`` gives."""
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            values, at = list_parts(batch.column(0))
+            for i in range(len(at) - 1):
+                h, _ = shingles(values[at[i]:at[i + 1]])
+                total[np.unique(place(h))] += 1
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+
+    return run
 
 
 def log_idf_table(hashed: DataFrame) -> np.ndarray:
@@ -139,7 +149,7 @@ def log_idf_table(hashed: DataFrame) -> np.ndarray:
     ``IDF_BUCKETS`` numbers, however large the corpus: that is what reaches the
     driver and is broadcast.
     """
-    counts = hashed.select("h").mapInArrow(_count_buckets, "bucket long, n long")
+    counts = hashed.select("h").mapInArrow(_count_buckets(bucket_of, IDF_BUCKETS), "bucket long, n long")
     table = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(IDF_BUCKETS)
     df[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
@@ -214,20 +224,17 @@ def _sketches(log_idf):
     return run
 
 
-def _orders(turn: int):
-    """Each sketch in the ``TREES`` sample orders of this turn."""
-    def run(batches):
-        perms = [np.random.default_rng([turn, t]).permutation(SKETCH) for t in range(TREES)]
-        for batch in batches:
-            n = batch.num_rows
-            s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
-            keys = [r.tobytes() for p in perms for r in s[:, p]]
-            every = pa.array(np.tile(np.arange(n), TREES))
-            yield pa.record_batch([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n)), pa.array(keys, pa.binary()),
-                                   batch.column("doc_id").take(every), batch.column("class_id").take(every)],
-                                  names=["tree", "key", "doc_id", "class_id"])
-
-    return run
+def _orders(batches):
+    """Each sketch in the ``TREES`` sample orders."""
+    perms = [np.random.default_rng(t).permutation(SKETCH) for t in range(TREES)]
+    for batch in batches:
+        n = batch.num_rows
+        s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
+        keys = [r.tobytes() for p in perms for r in s[:, p]]
+        every = pa.array(np.tile(np.arange(n), TREES))
+        yield pa.record_batch([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n)), pa.array(keys, pa.binary()),
+                               batch.column("doc_id").take(every), batch.column("class_id").take(every)],
+                              names=["tree", "key", "doc_id", "class_id"])
 
 
 def neighbours(tree: np.ndarray, s: np.ndarray, doc: np.ndarray, cls: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,27 +269,85 @@ def _neighbour_pairs(least: int):
     return run
 
 
-def _loose_sketches(pairs: DataFrame, classes: DataFrame, texts: DataFrame, log_idf) -> DataFrame:
-    """Sketches of the members that share a head with members of other components."""
+def _loose_words(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Word hashes of the members that share a head with members of other components."""
     members = pairs.join(classes.select(F.col("id").alias("b"), "class_id"), "b", "left").select(
         "a", "b", F.coalesce("class_id", "b").alias("class_id"))
     mixed = members.groupBy("a").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("a")
     loose = members.join(mixed, "a").select(F.col("b").alias("doc_id")).distinct()
-    hashed = texts.hint("merge").join(loose, "doc_id").select("doc_id", word_hashes(F.col("text")).alias("h"))
-    return spill(hashed.mapInArrow(_sketches(log_idf), "doc_id long, sketch binary"), "sketches")
+    return spill(texts.hint("merge").join(loose, "doc_id").select("doc_id", word_hashes(F.col("text")).alias("h")), "loose-words")
 
 
-def _loose_pairs(sketches: DataFrame, classes: DataFrame, turn: int, threshold: float) -> DataFrame:
+def _in_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the class of their doc_id, itself where it has no link."""
+    return rows.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        *rows.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _sample_pairs(loose: DataFrame, classes: DataFrame, log_idf, threshold: float) -> DataFrame:
     """Pairs (a, b) of likely similar members of different components, a bounded number a member."""
-    # the agreeing share of similar enough sets is below this with a probability of 2 in 10,000
-    least = int(SKETCH * threshold - 3.5 * (SKETCH * threshold * (1 - threshold)) ** 0.5)
-    rows = sketches.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", "sketch", F.coalesce("class_id", "doc_id").alias("class_id"))
-    ordered = (rows.mapInArrow(_orders(turn), "tree int, key binary, doc_id long, class_id long")
+    # those that agree less often, though similar, are left to the prefix join
+    least = int(SKETCH * threshold - (SKETCH * threshold * (1 - threshold)) ** 0.5)
+    rows = _in_classes(loose.mapInArrow(_sketches(log_idf), "doc_id long, sketch binary"), classes)
+    ordered = (rows.mapInArrow(_orders, "tree int, key binary, doc_id long, class_id long")
                .repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id"))
     return ordered.mapInArrow(_neighbour_pairs(max(1, least)), "a long, b long").distinct()
 
 
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64) % ORDER_BUCKETS
+
+
+def _prefixes(loose: DataFrame, log_idf, threshold: float) -> DataFrame:
+    """(doc_id, h, before, total): the shingles that can be the first one shared with a set of similarity ``threshold``
+    or more, in the order of their holders' number; ``before`` is the weight of the set's shingles that precede."""
+    counts = loose.select("h").mapInArrow(_count_buckets(_place, ORDER_BUCKETS), "bucket long, n long")
+    table = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(ORDER_BUCKETS, np.int32)
+    held[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    held = loose.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        for batch in batches:
+            values, at = list_parts(batch.column("h"))
+            out, n = [], []
+            for i in range(len(at) - 1):
+                h, times = shingles(values[at[i]:at[i + 1]])
+                h, w = h.view(np.int64), np.exp(log_weights(h, times, log_idf.value))
+                order = np.lexsort((h, held.value[_place(h.view(np.uint64))]))
+                before = np.concatenate([[0.0], np.cumsum(w[order])])
+                before, total = before[:-1], before[-1]
+                short = int(np.searchsorted(before, ((1 - threshold) + SLACK) * total, side="right"))
+                out.append((h[order[:short]], before[:short], np.full(short, total)))
+                n.append(short)
+            if out:
+                owner = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.record_batch([batch.column("doc_id").take(owner), *[pa.array(np.concatenate(c)) for c in zip(*out)]],
+                                      names=["doc_id", "h", "before", "total"])
+
+    return spill(loose.mapInArrow(run, "doc_id long, h long, before double, total double"), "prefixes")
+
+
+def _prefix_pairs(prefixes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different components that share a prefix shingle from which on enough weight is left to both."""
+    rows = _in_classes(prefixes, classes)
+    kinds = (rows.groupBy("h", "class_id").agg(F.count("*").alias("n")).groupBy("h")
+             .agg(F.max(F.struct("n", "class_id")).alias("top"), F.count("*").alias("classes")).filter("classes > 1"))
+    met = spill(rows.join(kinds.select("h", F.col("top.class_id").alias("top_class")), "h")
+                .withColumn("minor", F.col("class_id") != F.col("top_class")).drop("top_class"), "met")
+    # the lighter set's prefix is the shorter one
+    x = met.filter(F.col("before") <= ((1 - threshold) / (1 + threshold) + SLACK) * F.col("total")).select(
+        "h", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "before", "total", "class_id", "minor")])
+    lighter = F.struct("total_x", "doc_id_x") < F.struct(F.col("total").alias("total_x"), F.col("doc_id").alias("doc_id_x"))
+    left = F.least(F.col("total_x") - F.col("before_x"), F.col("total") - F.col("before"))
+    enough = left >= threshold / (1 + threshold) * (1 - SLACK) * (F.col("total_x") + F.col("total"))
+    able = (F.col("class_id_x") != F.col("class_id")) & lighter & enough
+    # two of a shingle's largest component need not meet
+    parts = [x.filter("minor_x").hint("merge").join(met, "h"), x.filter("not minor_x").hint("merge").join(met.filter("minor"), "h")]
+    found = [p.filter(able).select(F.least("doc_id_x", "doc_id").alias("a"), F.greatest("doc_id_x", "doc_id").alias("b")) for p in parts]
+    return found[0].unionByName(found[1]).distinct()
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Both texts' word hashes beside each pair; a head's text goes out once for every ``PER_HEAD`` of its pairs."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HEAD).cast("int").alias("parts"))
@@ -329,15 +394,16 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     links = linked(pairs)
     classes = components(links)
-    # what failed against its head meets the head's other members in sample order, turn by turn until nothing is new
-    sketches, tested, turn = _loose_sketches(pairs, classes, texts, log_idf), pairs, 0
-    while True:
-        fresh = spill(_loose_pairs(sketches, classes, turn, threshold).join(tested.hint("merge"), ["a", "b"], "left_anti"), "loose-pairs")
-        more = linked(fresh)
-        if more.isEmpty():
-            break
-        links, tested, turn = links.unionByName(more), tested.unionByName(fresh), turn + 1
-        classes = joined(classes, more)
+    # what failed against its head: most by sample orders, then all that are left by prefixes
+    loose, tested = _loose_words(pairs, classes, texts), pairs
+    if not loose.isEmpty():
+        prefixes = _prefixes(loose, log_idf, threshold)
+        for step in (lambda: _sample_pairs(loose, classes, log_idf, threshold), lambda: _prefix_pairs(prefixes, classes, threshold)):
+            fresh = spill(step().join(tested.hint("merge"), ["a", "b"], "left_anti"), "loose-pairs")
+            more = linked(fresh)
+            if not more.isEmpty():
+                links, classes = links.unionByName(more), joined(classes, more)
+            tested = tested.unionByName(fresh)
     degree = (links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
     reps = (first.select("k1", "k2", "rep").join(classes, F.col("rep") == F.col("id"), "left").drop("id")
             .join(degree, F.col("rep") == F.col("id"), "left")
