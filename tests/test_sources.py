@@ -188,3 +188,31 @@ def test_json_list_across_splits(spark, tmp, small_splits, layout):
     assert sorted(r.value for r in S.read_table(spark, p).collect()) == sorted(map(str, values))
     for text, n in (("[ ]          ", 0), ('[{"a": 1}]     ', 1), ('  [ {"a": 1} , {"a": 2} ]  \n', 2)):
         assert S.list_elements(spark, _write(os.path.join(tmp, f"e{n}.json"), text)).count() == n
+
+
+def test_finished_records_leave_a_task_in_small_batches(spark):
+    import pyarrow as pa
+    from types import SimpleNamespace
+    from tidemark.sources import records as R
+
+    n, size = 3000, 20_000  # 60 MB in records of 20 kB, in one batch
+    pieces = [b"[{}"] + [b'{"v":"' + b"x" * size + b'"}'] * n
+    batch = pa.record_batch([pa.array(["f"] * len(pieces)), pa.array([0] * len(pieces)), pa.array(pieces, pa.binary())], names=["file", "at", "piece"])
+    starts = SimpleNamespace(value={("f", 0): R.Start(0, 0, 0, None)})
+    out = list(R._assembled(R.ListElements(), starts)(iter([batch])))
+    assert sum(b.num_rows for b in out) == n + 1 and max(b.nbytes for b in out) < 8 << 20
+
+
+def test_reading_records_bounds_the_batches_of_python_workers(spark, tmp_path):
+    from tidemark.session import BATCH_BYTES
+    from tidemark.sources.records import list_elements
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        (tmp_path / "list.json").write_text('[{"a": 1},\n{"a": "x, y"}]')
+        got = [r.value for r in list_elements(spark, str(tmp_path / "list.json")).collect()]
+        assert got == ['{"a": 1}', '{"a": "x, y"}'] and int(spark.conf.get(key)) <= BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)

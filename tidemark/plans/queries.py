@@ -23,7 +23,7 @@ from tidemark.operators.rank import quantiles, with_pct_ranks
 from tidemark.plans import oracle as O
 from tidemark.plans.adaptive import run_adaptive
 from tidemark.plans.core import run_core
-from tidemark.session import ensure_checkpoint_dir, removed_at_end
+from tidemark.session import bounded_batches, ensure_checkpoint_dir, removed_at_end
 from tidemark.sources import fixtures as FXT
 from tidemark.sources.files import read_table
 
@@ -609,6 +609,7 @@ def _as_list(batches):
 
 def q_src_json_records(spark, sf):
     """A list of objects per file, cut at its elements in parallel."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     lists = docs.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_as_list, "value string")
     return read_table(spark, _written(spark, lists, "text", "json")).select("doc_id", "text", "lang")

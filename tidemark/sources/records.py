@@ -10,7 +10,8 @@ depth. So the pieces are read twice:
 2. every split puts its pieces together to records. The beginning and end of a split that belong to a
    record across its border are joined by the split in which that record starts.
 
-Nothing reads a file whole: the driver holds a few numbers for each split.
+Nothing reads a file whole: the driver holds a few numbers for each split, a task a batch of at most
+``BATCH_BYTES``, the record that is open and as many finished ones as ``HELD_BYTES`` take.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import bounded_batches
+
+HELD_BYTES = 4 << 20
+
 
 class QuotedLines:
     """Pieces of delimited text: a record ends with a line that leaves no quote open."""
@@ -127,13 +132,16 @@ def _assembled(grammar, starts):
     def run(batches):
         now: dict[tuple[str, int], list] = {}
         rows: list[tuple] = []
+        held = 0
 
         def flushed():
+            nonlocal held
             out = pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
                                    pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_()),
                                    pa.array([r[4] for r in rows], pa.bool_()), pa.array([r[5] for r in rows], pa.binary())],
                                   names=["file", "owner", "no", "head", "tail", "record"])
             rows.clear()
+            held = 0
             return out
 
         for file, at, pieces in _runs(batches):
@@ -154,8 +162,9 @@ def _assembled(grammar, starts):
                     elif state[2] is not None:
                         rows.append((file, state[2], start.no, False, False, record))
                     state[2], state[3] = None, []
-            if len(rows) >= 4096:
-                yield flushed()
+                    held += len(record)
+                    if rows and (len(rows) >= 4096 or held >= HELD_BYTES):
+                        yield flushed()
         for (file, at), (inside, depth, owner, rest, head) in now.items():
             if rest:
                 no = starts.value[(file, at)].no
@@ -200,6 +209,7 @@ def records(spark: SparkSession, path: str, grammar, charset: str = "UTF-8") ->
     Blank records are left out. A record across splits is put together by an aggregate over its few
     parts (one a split it touches), the others stay where they are.
     """
+    bounded_batches(spark)
     pieces = _pieces(spark, path, grammar.joint)
     starts = spark.sparkContext.broadcast(split_starts(pieces, grammar))
     rows = pieces.mapInArrow(_assembled(grammar, starts),
