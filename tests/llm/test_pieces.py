@@ -79,3 +79,20 @@ def test_table_and_edges(small, edge, nothing):
     back = sorted(((r.doc_id or 0, r.text) for r in P.decode_ids(full).collect()))
     assert back == sorted((r.doc_id or 0, r.text or "") for r in edge.collect())
     assert P.encode(nothing).count() == 0
+
+def test_a_worker_holds_few_rows_and_a_bounded_cache(v, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([f"{i} " * 50 for i in range(1000)])], names=["text"])
+    monkeypatch.setattr(P, "STEP", 2000)
+    parts = list(P._small([batch]))
+    assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) <= 40
+    monkeypatch.setattr(P, "CACHE", 200)
+    coder = P.Encoder(v)
+    for _ in coder.encode_all(batch.column("text").to_pylist()):
+        assert len(coder.slot) <= 200
+    first = set(list(coder.slot)[:100])
+    assert {P.SPACE + str(i) for i in range(90)} <= first  # the older half stays
+    monkeypatch.setattr(P, "CACHE_CHARS", 5000)
+    list(coder.encode_all([chr(97 + i) * 4000 for i in range(5)]))
+    assert coder.chars <= 5000 + 4001

@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,10 @@ from .common import ready, text_of
 N_BEST = 4
 SPACE = "▁"
 WIDE = 24            # characters of a chunk in the many-at-once path
-CACHE = 500_000      # chunks a worker remembers (it forgets all when full)
-STEP = 1 << 20       # characters processed at a time
+CACHE = 500_000      # chunks a worker remembers (when full it keeps the older half, where the frequent ones are)
+STEP = 1 << 18       # characters processed at a time
+CACHE_CHARS = 8 << 20  # characters of these chunks
+ROWS = 8_000         # chunks whose forward scores are computed at once
 
 
 def default_model_path() -> str:
@@ -314,8 +317,15 @@ class Encoder:
         self.more: dict[str, list] = {}
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, keep: int = 0) -> None:
+        """Only the first ``keep`` chunks stay."""
+        if keep:
+            self.slot = dict(islice(self.slot.items(), keep))
+            self.chars = sum(map(len, self.slot))
+            self.used = int(self.start[keep - 1] + self.length[keep - 1])
+            return
         self.slot: dict[str, int] = {}
+        self.chars = 0
         self.used = 0  # of ``flat``
         self.best, self.loss = np.zeros(1024), np.zeros(1024)
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -351,11 +361,12 @@ class Encoder:
         self.flat[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
         self.slot.update(zip(chunks, range(lo, hi)))
+        self.chars += sum(map(len, chunks))
 
     def _learn(self, chunks) -> None:
         short = sorted((c for c in chunks if len(c) <= WIDE), key=len, reverse=True)
-        for at in range(0, len(short), 40_000):
-            some = short[at:at + 40_000]
+        for at in range(0, len(short), ROWS):
+            some = short[at:at + ROWS]
             self._store(some, *_best_many(self.v, some))
         for c in chunks:
             if len(c) > WIDE:
@@ -367,7 +378,7 @@ class Encoder:
         if got is None:
             found = n_best(self.v, chunk, self.n)
             got = [(found[0][0] - s, self._piece_ids(p)) for s, p in found]
-            if len(self.more) > CACHE // 16:
+            if len(self.more) > CACHE // 64:
                 self.more.clear()
             self.more[chunk] = got
         return got
@@ -384,9 +395,12 @@ class Encoder:
             every = set().union(*split)
             new = every.difference(self.slot)
             if new:
-                if len(self.slot) + len(new) > CACHE:
+                if self.chars > CACHE_CHARS:
                     self._forget()
                     new = every
+                elif len(self.slot) + len(new) > CACHE:
+                    self._forget(min(len(self.slot), CACHE // 2))
+                    new = every.difference(self.slot)
                 self._learn(new)
             for chunks in split:
                 yield self._one(chunks)
@@ -461,6 +475,14 @@ def decode(v: Vocabulary, ids: list[int], with_bytes: bool | None = None) -> str
     return text
 
 
+def _small(batches):
+    """The rows in batches of about ``STEP`` bytes of text, so that a worker holds few rows as Python objects."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * STEP // max(1, batch.column("text").nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _encoded(docs: DataFrame, model_path: str | None, n: int, full: bool) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
@@ -469,7 +491,7 @@ def _encoded(docs: DataFrame, model_path: str | None, n: int, full: bool) -> Dat
     def run(batches):
         v = held.value
         coder = Encoder(v, n)
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column("text").to_pylist()
             cols: dict[str, list] = {k: [] for k in ("n_pieces", "score", "best_scores", "same", "sha", "ids")}
             for text, (ids, score, found) in zip(texts, coder.encode_all(texts)):
