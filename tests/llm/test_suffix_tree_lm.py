@@ -73,3 +73,74 @@ def test_edges(edge, nothing):
     assert L.score(nothing).count() == 0
     unlearnt = L.score(edge.filter("doc_id is null")).collect()
     assert len(unlearnt) == 2 and all(r.base_score == 0 and r.train_tokens == 0 for r in unlearnt)
+
+
+def brute_force(texts):
+    """log10 of each text's probability and the greatest length of a context, by tuples."""
+    docs = [["<s>"] + [w or "</s>" for w in toks(t)] for t in texts]
+    words = Counter(w for d in docs for w in d[1:])
+    norm = sum(words.values()) + len(words) + 1
+    keep, tried, k = {(): None}, {()}, 0
+
+    def p(c, w):
+        if not c:
+            return (words[w] + 1) / norm
+        lam, own = keep.get(c, (1, {}))
+        return lam * p(c[1:], w) + own.get(w, 0)
+
+    while tried:
+        k += 1
+        grams = Counter((tuple(d[i - k:i]), d[i]) for d in docs for i in range(k, len(d)))
+        held, nexts = Counter(), {}
+        for (c, w), n in grams.items():
+            held[c] += n
+            if n >= 5 and c[1:] in tried and (c[1:] in keep or c[2:] in keep):
+                nexts.setdefault(c, {})[w] = n
+        found = {}
+        for c, of in nexts.items():
+            n, q, df = held[c], {w: p(c[1:], w) for w in of}, len(of)
+            g, rest = sum(m * math.log(m / n / q[w]) for w, m in of.items()), n - sum(of.values())
+            if rest:
+                g += rest * math.log(rest / n / max(1 - sum(q.values()), 1e-12))
+            if 2 * g > df + 4 * math.sqrt(2 * df) + 10:
+                found[c] = 1 - sum((m - 0.75) / n for m in of.values()), {w: (m - 0.75) / n for w, m in of.items()}
+        keep.update(found)
+        tried = set(nexts)
+    return [sum(math.log10(p(tuple(d[max(0, i - k):i]), d[i])) for i in range(1, len(d))) for d in docs], max(map(len, keep))
+
+
+def chained():
+    """Texts whose words mostly follow from the three before."""
+    import random
+
+    rng = random.Random(5)
+    follows = {(a, b, c): rng.choice("abcd") for a in "abcd" for b in "abcd" for c in "abcd"}
+    texts = []
+    for i in range(150):
+        w = [rng.choice("abcd") for _ in range(3)]
+        while len(w) < 40:
+            w.append(follows[tuple(w[-3:])] if rng.random() < 0.8 else rng.choice("abcd"))
+        texts.append(" ".join(w + [f"once{i}"]))
+    return texts
+
+
+def test_score_against_brute_force(spark):
+    texts = chained()
+    want, depth = brute_force(texts)
+    ids = [i for i in range(3000) if crc32(str(i).encode()) % 7 != 2][:len(texts)]
+    got = {r.doc_id: r.score for r in L.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    assert depth > 2
+    assert np.allclose([got[i] for i in ids], want, rtol=1e-9)
+
+
+def test_no_share_of_the_corpus_cuts_what_is_retained(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(chained())), "doc_id long, text string")
+    want = sorted((r.doc_id, round(r.score, 6)) for r in L.score(docs).collect())
+    for share in ("SYMBOL_SHARE", "PAIR_SHARE", "EDGE_SHARE", "WORD_SHARE"):
+        monkeypatch.setattr(L, share, 0.05)
+    assert sorted((r.doc_id, round(r.score, 6)) for r in L.score(docs).collect()) == want
+    # what a corpus retains stays retained when the corpus is doubled
+    train = docs.select(L.tokens(text_of()).alias("t"))
+    contexts = [{r.context for level in L.grow(t)[3] for r in level.filter("retained").select("context").collect()}
+                for t in (train, train.union(train))]
+    assert contexts[0] and contexts[0] <= contexts[1]

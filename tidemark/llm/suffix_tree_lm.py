@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_table, contains, words_for
 from .common import list_parts, mix64, ready, spill, text_of, words_of
 
 FOLDS, HELD = 7, 2
@@ -47,6 +48,8 @@ STEP = 400_000      # tokens handled at a time
 FLUSH = 3_000_000   # distinct n-grams a task holds before it sends them on
 WIDE = np.int64(1 << 17)
 RARE = 0
+START = np.int64(0x53A9F1D27C0B6E15)  # stands for the start of a text
+EDGE = np.int64(0x2545F4914F6CDD1D)   # tells a context's token from a longer context
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -251,59 +254,209 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
     return Tree(symbols, total, words, n_docs, (keys, c), triples, contexts), counts
 
 
+def _chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a sequence's hash and one more token."""
+    return mix64(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
+
+
+def _contexts(h: np.ndarray, first: np.ndarray, kept: list[np.ndarray], depth: int):
+    """For k = 1 to ``depth``: (places, hash of their k preceding tokens, hash of these and the token,
+    both hashes for k - 1, the earliest token, whether table k of ``kept`` may hold the context).
+
+    A place goes on to k + 1 if its context of k tokens or that of k - 1 may be retained.
+    """
+    within = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    at, context, gram = np.arange(len(h)), np.zeros(len(h), np.int64), h
+    was = np.ones(len(h), bool)
+    for k in range(1, depth + 1):
+        earliest = np.where(within[at] == k - 1, START, h[at - k])
+        suffix, suffix_gram = context, gram
+        context = _chain(context, earliest)
+        gram = _chain(context ^ EDGE, h[at])
+        now = contains(kept[k - 1], context) if k <= len(kept) else was
+        yield at, context, gram, suffix, suffix_gram, earliest, now
+        go = (now | was) & (within[at] >= k)  # the start of the text is the earliest token of all
+        at, context, gram, was = at[go], context[go], gram[go], now[go]
+
+
+def _level_grams(k: int, kept: list, listed, pairs):
+    """Task-wise counts of the contexts of ``k`` tokens (gram and context equal, parent the suffix)
+    and of their next tokens (parent the gram of the suffix)."""
+    def rows(h, first):
+        tables = [x.value for x in kept]
+        for at, context, gram, suffix, parent, earliest, _ in _contexts(h, first, tables, k):
+            if k > 1 and parent is h:
+                frequent = contains(pairs.value, gram)  # by the place of a pair's second token
+        # fewer than LEAST occurrences of a part are no more of the whole
+        able = frequent[at - k + 1] if k > 1 else contains(listed.value, earliest) | (earliest == START)
+        edge = able & contains(listed.value, parent)
+        some = context[able]
+        keys, place, n = np.unique(np.concatenate([some, gram[edge]]), return_index=True, return_counts=True)
+        return (keys, np.concatenate([some, context[edge]])[place],
+                np.concatenate([suffix[able], parent[edge]])[place], n)
+
+    def pack(held):
+        cols = [np.concatenate(x) for x in zip(*held)]
+        order = np.argsort(cols[0], kind="stable")
+        cols = [x[order] for x in cols]
+        new = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        return cols[0][new], cols[1][new], cols[2][new], np.add.reduceat(cols[3], new)
+
+    def batch(keys, context, parent, n):
+        return pa.record_batch([pa.array(x) for x in (keys, context, parent, n)], names=["gram", "context", "parent", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            values, at = list_parts(b.column(0))
+            for lo, hi in _slices(at):
+                got = rows(values[at[lo]:at[hi]], at[lo:hi] - at[lo])
+                if len(got[0]):
+                    held.append(got)
+                    size += len(got[0])
+            if size > FLUSH // 3:
+                held = [pack(held)]
+                size = len(held[0][0])
+                if size > FLUSH // 6:
+                    yield batch(*held[0])
+                    held, size = [], 0
+        if held:
+            yield batch(*pack(held))
+
+    return run
+
+
+def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame]]:
+    """The model as tables: word counts (hash, c), their sum and number, and for each context length
+    the listed next tokens of all its contexts.
+
+    A level's rows: gram (hash of context and token), context, c, q and p (the token's probability in
+    the suffix and here), held (occurrences of the context), lam (weight of the suffix), retained, suffix_retained. Every
+    context and token of ``LEAST`` occurrences is listed, at any size of the corpus. A context is tried if its
+    suffix is retained or its suffix's suffix is, so there are as many levels as the texts bear.
+    """
+    spark = train.sparkSession
+    counts = spill(train.mapInArrow(_count_grams(lambda h, first: h), "gram long, n long")
+                   .groupBy(F.col("gram").alias("hash")).agg(F.sum("n").alias("c")), "word-counts")
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total, words = int(sums.n), int(sums.v)
+    below = counts.filter(F.col("c") >= LEAST).select(F.col("hash").alias("gram"), ((F.col("c") + 1.0) / (total + words + 1)).alias("p"))
+    size = below.count()
+    levels, kept, pairs, before = [], [], None, 1
+    while size:
+        k = len(levels) + 1
+        listed = bit_table(below.select("gram"), words_for(size))
+        pairs = listed if k == 2 else pairs
+        rows = spill(train.mapInArrow(_level_grams(k, kept, listed, pairs), "gram long, context long, parent long, n long")
+                     .groupBy("gram").agg(F.first("context").alias("context"), F.first("parent").alias("parent"), F.sum("n").alias("n"))
+                     .filter(F.col("n") >= LEAST), "lm-grams")
+        held = rows.filter("gram = context").select("context", F.col("parent").alias("suffix"), F.col("n").alias("held"))
+        if k == 1:
+            held = held.select("context", "held", F.lit(True).alias("suffix_retained"))
+        else:  # the bit tables passed some more
+            tried = below.filter("retained or suffix_retained").select(F.col("context").alias("suffix"), F.col("retained").alias("suffix_retained"))
+            held = held.join(tried.distinct(), "suffix").drop("suffix")
+        edges = (rows.filter("gram <> context").select("gram", "context", "parent", F.col("n").alias("c"))
+                 .join(below.select(F.col("gram").alias("parent"), F.col("p").alias("q")), "parent")
+                 .join(held, "context").drop("parent"))
+        rest = F.col("held") - F.col("listed")
+        g = F.col("g") + F.when(rest > 0, rest * F.log(rest / F.col("held") / F.greatest(1 - F.col("under"), F.lit(1e-12)))).otherwise(0.0)
+        tests = edges.groupBy("context").agg(
+            F.first("held").alias("held"), F.sum("c").alias("listed"), F.sum("q").alias("under"), F.count("*").alias("df"),
+            F.sum(F.col("c") * F.log(F.col("c") / F.col("held") / F.col("q"))).alias("g")).select(
+            "context", (2 * g > F.col("df") + 4 * F.sqrt(2.0 * F.col("df")) + 10).alias("retained"),
+            (1 - (F.col("listed") - DISCOUNT * F.col("df")) / F.col("held")).alias("lam"))
+        here = F.col("lam") * F.col("q") + (F.col("c") - DISCOUNT) / F.col("held")
+        level = spill(edges.join(tests, "context").withColumn("p", F.when(F.col("retained"), here).otherwise(F.col("q"))), "lm-level")
+        found = level.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("retained"), F.col("context"))).alias("r")).first()
+        size, below = int(found.n), level
+        levels.append(level)
+        kept.append(bit_table(level.filter("retained").select("context").distinct(), words_for(int(found.r))))
+        if not found.r and not before:
+            break
+        before = found.r
+    return counts, total, words, levels
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ready(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    tree, counts = fit(rows.filter(~held_out()).select(tokens(F.col("text")).alias("t")))
-    model = spark.sparkContext.broadcast(tree)
+    numbered = spill(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+                                 tokens(text_of()).alias("t")), "lm-tokens")
+    counts, total, words, levels = grow(numbered.filter(~held_out()).select("t"))
+    # what a token gains: words over the root, contexts and edges over their suffix
+    values = counts.select("hash", F.lit(0).alias("level"), F.col("c").alias("n"), F.log10(F.col("c") + 1.0).alias("value"))
+    kept, edges = [], []
+    for k, level in enumerate(levels, 1):
+        mine = level.filter("retained")
+        contexts = mine.groupBy(F.col("context").alias("hash")).agg(F.first("held").alias("n"), F.first("lam").alias("lam"))
+        for tables, keys, value in ((kept, contexts, F.log10("lam")), (edges, mine.withColumns({"hash": F.col("gram"), "n": F.col("c")}),
+                                                                      F.log10(F.col("p") / F.col("lam") / F.col("q")))):
+            tables.append(bit_table(keys.select("hash"), words_for(keys.count())))
+            values = values.union(keys.select("hash", F.lit(k), "n", value))
+    if levels:
+        values = spill(values, "lm-values")
+    # the frequent ones of each level are broadcast, ever fewer a level; all others are met by a join
+    share = F.when(F.col("level") == 0, WORD_SHARE).otherwise(4 * WORD_SHARE * F.col("level") * F.col("level"))
+    top = values.filter(F.col("n") >= F.greatest(F.lit(1.0), total * share)).select("hash", "value").toArrow()
+    hashes, gains = top.column("hash").to_numpy().astype(np.int64), top.column("value").to_numpy().astype(float)
+    order = np.argsort(hashes)
+    hot = spark.sparkContext.broadcast((hashes[order], gains[order]))
 
     def run(batches):
-        m = model.value
+        keys, gain = hot.value
+        kept_tables, edge_tables = [x.value for x in kept], [x.value for x in edges]
         for batch in batches:
             values, at = list_parts(batch.column("t"))
             rid = batch.column("rid").to_numpy()
             for lo, hi in _slices(at):
                 h, first, n = values[at[lo]:at[hi]], at[lo:hi] - at[lo], np.diff(at[lo:hi + 1])
-                s, c = m.symbols.look_up(h)
-                known = np.add.reduceat((c > 0).astype(np.int64), first)
-                gain = np.log10(np.maximum(c, 0) + 1.0)  # of the words that the table holds
-                rare = s == RARE
-                base = np.add.reduceat(gain, first)
-                tree_score = np.add.reduceat(m.log10(s, first) + np.where(rare, gain - math.log10(m.rare_base), 0), first)
-                # the others, summed by text and word, look their counts up by a join
-                out = np.flatnonzero(c < 0)
-                owner = np.repeat(np.arange(hi - lo), n)[out]
-                order = np.lexsort((h[out], owner))
-                w, o = h[out][order], owner[order]
-                new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])])) if len(w) else out
+                owner = np.repeat(np.arange(hi - lo), n)
+                away: list[tuple[np.ndarray, np.ndarray]] = []
+
+                def gained(places, wanted):
+                    found = _find(keys, wanted)
+                    away.append((owner[places[found < 0]], wanted[found < 0]))
+                    places, found = places[found >= 0], found[found >= 0]
+                    return np.bincount(owner[places], gain[found], hi - lo), np.bincount(owner[places], minlength=hi - lo)
+
+                base, known = gained(np.arange(len(h)), h)
+                tree = np.zeros(hi - lo)
+                for k, (places, context, gram, _, _, _, now) in enumerate(_contexts(h, first, kept_tables, len(kept_tables))):
+                    edge = now & contains(edge_tables[k], gram)
+                    tree += gained(places[now], context[now])[0] + gained(places[edge], gram[edge])[0]
+                # the others, summed by text and hash, look their values up by a join
+                o, w = (np.concatenate(x) for x in zip(*away))
+                order = np.lexsort((w, o))
+                w, o = w[order], o[order]
+                new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])])) if len(w) else np.zeros(0, np.int64)
                 times = np.diff(np.append(new, len(w)))
                 w, o = w[new], o[new]
                 ids = rid[lo:hi]
-                heads = pa.StructArray.from_arrays([pa.array(n), pa.array(known), pa.array(base), pa.array(tree_score)],
-                                                   names=["n_tokens", "n_known", "base", "score"])
+                heads = pa.StructArray.from_arrays([pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree)],
+                                                   names=["n_tokens", "n_known", "base", "tree"])
                 yield pa.record_batch([
                     pa.array(np.concatenate([ids, ids[o]])),
-                    # a head's key is spread and meets no word
+                    # a head's key is spread and meets nothing
                     pa.array(np.concatenate([mix64(ids.view(np.uint64)).view(np.int64), w])),
                     pa.array(np.concatenate([np.zeros(len(ids), np.int64), times])),
                     pa.concat_arrays([heads, pa.nulls(len(o), heads.type)])], names=["rid", "hash", "times", "head"])
 
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    parts = numbered.select("rid", tokens(F.col("text")).alias("t")).mapInArrow(
-        run, "rid long, hash long, times long, head struct<n_tokens:bigint,n_known:bigint,base:double,score:double>")
-    met = parts.join(counts.hint("merge"), "hash", "left")
-    some = F.col("head").isNull() & F.col("c").isNotNull()
+    parts = numbered.select("rid", "t").mapInArrow(
+        run, "rid long, hash long, times long, head struct<n_tokens:bigint,n_known:bigint,base:double,tree:double>")
+    met = parts.join(values.select("hash", "level", "value").hint("merge"), "hash", "left")
+
+    def more(amount, which):
+        return F.sum(F.when(F.col("head").isNull() & which, amount).otherwise(F.lit(0).cast("double")))
+
+    amount = F.col("times") * F.col("value")
     summed = met.groupBy("rid").agg(
-        F.max("head").alias("head"),
-        F.sum(F.when(some, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(some, F.col("times") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("gain"))
-    ids = numbered.select("rid", "doc_id")
-    out = ids.hint("merge").join(summed, "rid")
-    norm = math.log10(tree.total + tree.n_words + 1)
+        F.max("head").alias("head"), more(F.col("times"), F.col("level") == 0).cast("long").alias("more_known"),
+        more(amount, F.col("level") == 0).alias("base"), more(amount, F.col("level") > 0).alias("tree"))
+    out = numbered.select("rid", "doc_id").hint("merge").join(summed, "rid")
+    base = F.col("head.base") + F.col("base") - F.col("head.n_tokens") * math.log10(total + words + 1)
     return out.select("doc_id", held_out().alias("held_out"), F.col("head.n_tokens").alias("n_tokens"),
                       (F.col("head.n_known") + F.col("more_known")).alias("n_known"),
-                      F.lit(tree.total).cast("long").alias("train_tokens"),
-                      (F.col("head.base") + F.col("gain") - F.col("head.n_tokens") * norm).alias("base_score"),
-                      (F.col("head.score") + F.col("gain")).alias("score"))
+                      F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
+                      (base + F.col("head.tree") + F.col("tree")).alias("score"))
