@@ -1,23 +1,25 @@
-"""Word language model: a probabilistic suffix tree over frequent words.
-
-Tokens are words (A-Z lower-cased) and one end mark a text. Symbols are the words
-that hold at least 1/2^16 of the training tokens (so at most 2^16 of them), the end
-mark, and one class for all rarer words, whose members share the class's
-probability by their smoothed counts. The tree's contexts are the start of the
-text or one or two preceding symbols:
-
-* a context must hold a minimal share of the training tokens (``SYMBOL_SHARE``,
-  ``PAIR_SHARE``), and its next symbols a share of ``EDGE_SHARE``;
-* it is retained if its next-symbol distribution diverges from its suffix's
-  by more than a chi-square test allows;
-* next-symbol probabilities are counts with absolute discounting, the rest of the mass given to the
-  suffix's distribution; the root adds one.
-
-A token is scored in the longest retained suffix of its history. Shares of the corpus bound
-the model at every size (a share of 1/n has at most n holders), so the tree
-and the counts of words above ``WORD_SHARE`` are broadcast; the counts of all other
-words meet the texts by a join, with each text's rare words summed first. All counts cover
-every training document.
+"""Word language model: a probabilistic suffix tree over words, as Spark tables.
+
+Tokens are words (A-Z lower-cased) and one end mark a text. The contexts are the runs of
+preceding tokens of any length, the start of the text included:
+
+* the root adds one to every word's count (the base score);
+* a context's next tokens of at least ``LEAST`` occurrences are listed, at any size of the corpus;
+* it is retained if they diverge from what its suffix gives by more than a chi-square test allows;
+* a retained context gives its listed tokens their counts with absolute discounting and
+  the rest of the mass to its suffix; others give what their suffix gives;
+* a context is tried if its suffix, or the suffix of that, is retained (a branch ends after two
+  lengths in a row without divergence), so the texts bound the length, no setting.
+
+``grow`` counts level by level: tasks count the grams whose parts are frequent (bit tables
+pass some more, the counts decide), a groupBy adds them up, joins with the level below give the test. ``score``
+adds up, for every token, the gains log10(lam) of its retained contexts and log10(p / (lam q)) of their
+listed edges over the base score: each is one looked-up value, so texts meet them by one join;
+the frequent ones (``WORD_SHARE``, at most 2^20 words and half as many others) are broadcast. All
+counts cover every training document.
+
+``fit`` makes a small ``Tree`` for one process, of frequent symbols and two of them as
+context, bounded by shares of the corpus; ``score`` does not use it.
 
 Edge cases: null and empty texts are one end mark; without training tokens all counts
 are 0 and every token has probability 1 / (V + 1) = 1; rows with a null id are
@@ -221,7 +223,7 @@ class Tree:
 
 
 def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
-    """``train``: token arrays ``t``. The tree and the (hash, c) table of all words."""
+    """``train``: token arrays ``t``. The bounded tree and the (hash, c) table of all words; see ``grow``."""
     counts = spill(train.select(F.explode("t").alias("hash")).groupBy("hash").agg(F.count("*").alias("c")), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, words, n_docs = int(sums.n), int(sums.v), train.count()
@@ -419,7 +421,7 @@ def score(docs: DataFrame) -> DataFrame:
                     found = _find(keys, wanted)
                     away.append((owner[places[found < 0]], wanted[found < 0]))
                     places, found = places[found >= 0], found[found >= 0]
-                    return np.bincount(owner[places], gain[found], hi - lo), np.bincount(owner[places], minlength=hi - lo)
+                    return np.bincount(owner[places], gain[found], hi - lo).astype(float), np.bincount(owner[places], minlength=hi - lo)
 
                 base, known = gained(np.arange(len(h)), h)
                 tree = np.zeros(hi - lo)
