@@ -51,7 +51,10 @@ FLUSH = 3_000_000   # distinct n-grams a task holds before it sends them on
 WIDE = np.int64(1 << 17)
 RARE = 0
 START = np.int64(0x53A9F1D27C0B6E15)  # stands for the start of a text
-EDGE = np.int64(0x2545F4914F6CDD1D)   # tells a context's token from a longer context
+EDGE = np.int64(0x2545F4914F6CDD1D)   # tells a context from the same tokens as context and next token
+BASE = np.uint64(0x9E3779B97F4A7C15)
+SPREAD, MASK = np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
+HOT = 1 << 20       # looked-up values that are broadcast, at most
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -256,128 +259,379 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
     return Tree(symbols, total, words, n_docs, (keys, c), triples, contexts), counts
 
 
-def _chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of a sequence's hash and one more token."""
-    return mix64(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
+_POWERS: list[np.ndarray] = []
 
 
-def _contexts(h: np.ndarray, first: np.ndarray, kept: list[np.ndarray], depth: int):
-    """For k = 1 to ``depth``: (places, hash of their k preceding tokens, hash of these and the token,
-    both hashes for k - 1, the earliest token, whether table k of ``kept`` may hold the context).
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, or more, of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << n.bit_length()
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64))])
+                      for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
+    return _POWERS
+
+
+class Runs:
+    """Hashes of the runs of tokens of some texts, each text begun by ``START``."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray):
+        size = np.diff(at) + 1
+        self.x = np.insert(values, at[:-1], START)
+        first = np.cumsum(size) - size
+        self.owner = np.repeat(np.arange(len(size)), size)
+        self.within = np.arange(len(self.x)) - first[self.owner]
+        up, self.down = _powers(len(self.x))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.x.view(np.uint64) * up[:len(self.x)], dtype=np.uint64)])
+
+    def of(self, end: np.ndarray, k: int) -> np.ndarray:
+        """Of the ``k`` tokens before each place; one token is its own hash."""
+        if k == 1:
+            return self.x[end - 1]
+        whole = (self.sums[end] - self.sums[end - k]) * self.down[end - k]
+        return mix64(whole + np.uint64(k * int(SPREAD) & MASK)).view(np.int64)
+
+    def context(self, at: np.ndarray, k: int) -> np.ndarray:
+        return self.of(at, k) ^ EDGE
+
+    def gram(self, at: np.ndarray, k: int) -> np.ndarray:
+        return self.of(at + 1, k + 1)
+
+    def places(self, kept: list[np.ndarray], k: int) -> np.ndarray:
+        """Tokens whose context of ``k`` tokens may be tried: that of k - 1 or of k - 2 may be retained."""
+        at = np.flatnonzero(self.within > 0)
+        was = np.ones(len(at), bool)
+        for j in range(1, k):
+            now = contains(kept[j - 1], self.context(at, j))
+            go = (now | was) & (self.within[at] > j)
+            at, was = at[go], now[go]
+        return at
+
+
+def _runs(batches):
+    for batch in batches:
+        values, at = list_parts(batch.column(0))
+        for lo, hi in _slices(at):
+            yield Runs(values[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
+
+
+def _able(runs: Runs, kept: list, listed: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose context of ``k`` tokens may be frequent and tried, and whether the token may be listed there."""
+    at = runs.places(kept, k)
+    # fewer than LEAST occurrences of a part are no more of the whole; up to three tokens all are listed
+    part = min(k, 3)
+    begin = contains(listed[part - 1], runs.of(at - k + part, part))
+    at = at[begin | (runs.within[at] == 1) if k == 1 else begin]
+    return at, contains(listed[k - 1], runs.gram(at, k - 1))
+
+
+def _slot(gram: np.ndarray, parts: int) -> np.ndarray:
+    """32 bits of a gram and its part."""
+    g = gram.view(np.uint64)
+    return g >> np.uint64(32) << np.uint64(32) | (g & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+
+
+def _count_slots(k: int, kept: list, listed: list, parts: int):
+    """Task-wise counts of the slots of a level's grams, packed by part."""
+    def pack(held):
+        slots, counts = np.unique(np.concatenate(held), return_counts=True)
+        part = (slots & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        high, counts = (slots[order] >> np.uint64(32)).astype(np.uint32), np.minimum(counts[order], 255).astype(np.uint8)
+        ends = np.cumsum(np.bincount(part, minlength=parts))
+        some = np.flatnonzero(np.diff(ends, prepend=0))
+        cut = [(ends[p - 1] if p else 0, ends[p]) for p in some]
+        return pa.record_batch([pa.array(some, pa.int64()), pa.array([high[a:b].tobytes() for a, b in cut], pa.binary()),
+                                pa.array([counts[a:b].tobytes() for a, b in cut], pa.binary())], names=["part", "slots", "counts"])
+
+    def run(batches):
+        held, size = [], 0
+        tables = [x.value for x in kept], [x.value for x in listed]
+        for runs in _runs(batches):
+            at, edge = _able(runs, *tables, k)
+            held.append(_slot(runs.gram(at[edge], k), parts))
+            size += len(held[-1])
+            if size > FLUSH:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return run
+
+
+def _frequent_slots(batches):
+    """Slots of a part with ``LEAST`` occurrences or more."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for part, slots, counts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            held.setdefault(part, []).append((np.frombuffer(slots, np.uint32), np.frombuffer(counts, np.uint8)))
+    for part, some in held.items():
+        slots, n = (np.concatenate(x) for x in zip(*some))
+        order = np.argsort(slots, kind="stable")
+        slots, n = slots[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        found = slots[new][np.add.reduceat(n, new) >= LEAST].astype(np.uint64)
+        yield pa.record_batch([pa.array((found << np.uint64(32) | np.uint64(part)).view(np.int64))], names=["slot"])
 
-    A place goes on to k + 1 if its context of k tokens or that of k - 1 may be retained.
-    """
-    within = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    at, context, gram = np.arange(len(h)), np.zeros(len(h), np.int64), h
-    was = np.ones(len(h), bool)
-    for k in range(1, depth + 1):
-        earliest = np.where(within[at] == k - 1, START, h[at - k])
-        suffix, suffix_gram = context, gram
-        context = _chain(context, earliest)
-        gram = _chain(context ^ EDGE, h[at])
-        now = contains(kept[k - 1], context) if k <= len(kept) else was
-        yield at, context, gram, suffix, suffix_gram, earliest, now
-        go = (now | was) & (within[at] >= k)  # the start of the text is the earliest token of all
-        at, context, gram, was = at[go], context[go], gram[go], now[go]
-
-
-def _level_grams(k: int, kept: list, listed, pairs):
-    """Task-wise counts of the contexts of ``k`` tokens (gram and context equal, parent the suffix)
-    and of their next tokens (parent the gram of the suffix)."""
-    def rows(h, first):
-        tables = [x.value for x in kept]
-        for at, context, gram, suffix, parent, earliest, _ in _contexts(h, first, tables, k):
-            if k > 1 and parent is h:
-                frequent = contains(pairs.value, gram)  # by the place of a pair's second token
-        # fewer than LEAST occurrences of a part are no more of the whole
-        able = frequent[at - k + 1] if k > 1 else contains(listed.value, earliest) | (earliest == START)
-        edge = able & contains(listed.value, parent)
-        some = context[able]
-        keys, place, n = np.unique(np.concatenate([some, gram[edge]]), return_index=True, return_counts=True)
-        return (keys, np.concatenate([some, context[edge]])[place],
-                np.concatenate([suffix[able], parent[edge]])[place], n)
 
+def _packed(rows_of, names: list[str]):
+    """Task-wise sums of ``rows_of(runs)``: tuples of columns, first the key, last the count; empty ones pass."""
     def pack(held):
         cols = [np.concatenate(x) for x in zip(*held)]
         order = np.argsort(cols[0], kind="stable")
-        cols = [x[order] for x in cols]
-        new = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-        return cols[0][new], cols[1][new], cols[2][new], np.add.reduceat(cols[3], new)
+        keys = cols[0][order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return [keys[new], *(c[order[new]] for c in cols[1:-1]), np.add.reduceat(cols[-1][order], new)]
 
-    def batch(keys, context, parent, n):
-        return pa.record_batch([pa.array(x) for x in (keys, context, parent, n)], names=["gram", "context", "parent", "n"])
+    def batch(cols):
+        return pa.record_batch([pa.array(x) for x in cols], names=names)
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
-            values, at = list_parts(b.column(0))
-            for lo, hi in _slices(at):
-                got = rows(values[at[lo]:at[hi]], at[lo:hi] - at[lo])
+        for runs in _runs(batches):
+            for got in rows_of(runs):
                 if len(got[0]):
                     held.append(got)
                     size += len(got[0])
-            if size > FLUSH // 3:
-                held = [pack(held)]
-                size = len(held[0][0])
-                if size > FLUSH // 6:
-                    yield batch(*held[0])
-                    held, size = [], 0
+                if size > FLUSH // 3:
+                    held = [pack(held)]
+                    size = len(held[0][0])
+                    if size > FLUSH // 6:
+                        yield batch(held[0])
+                        held, size = [], 0
         if held:
-            yield batch(*pack(held))
+            yield batch(pack(held))
 
     return run
 
 
-def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame]]:
-    """The model as tables: word counts (hash, c), their sum and number, and for each context length
-    the listed next tokens of all its contexts.
+def _counted(key: np.ndarray, *others: np.ndarray) -> tuple:
+    keys, place, n = np.unique(key, return_index=True, return_counts=True)
+    return (keys, *(x[place] for x in others), n)
+
+
+def _level_grams(k: int, kept: list, listed: list, slots, parts: int):
+    """Counts of a level's listed grams (parent: the gram of the suffix); beyond three tokens also of
+    its contexts (gram and context equal, parent the suffix)."""
+    def rows(runs):
+        at, edge = _able(runs, [x.value for x in kept], [x.value for x in listed], k)
+        if slots is None:
+            context = runs.context(at, k)
+            yield _counted(context, context, runs.context(at, k - 1))
+        at = at[edge]
+        gram = runs.gram(at, k)
+        if slots is not None:
+            some = contains(slots.value, _slot(gram, parts).view(np.int64))
+            at, gram = at[some], gram[some]
+        yield _counted(gram, runs.context(at, k), runs.gram(at, k - 1))
+
+    return _packed(rows, ["gram", "context", "parent", "n"])
+
+
+def _deep_grams(k: int, more: int, active, triples):
+    """Counts of the contexts and grams of the ``more`` levels above ``k``, of the places whose context of
+    ``k`` tokens (the root) may be active."""
+    def rows(runs):
+        at = np.flatnonzero(runs.within >= k)
+        root = runs.context(at, k)
+        some = contains(active.value, root)
+        at, root = at[some], root[some]
+        for j in range(k + 1, k + more + 1):
+            go = runs.within[at] >= j
+            at, root = at[go], root[go]
+            go = contains(triples.value, runs.of(at - j + 3, 3))
+            at, root = at[go], root[go]
+            if not len(at):
+                return
+            context, level = runs.context(at, j), np.full(len(at), j)
+            yield _counted(context, context, runs.context(at, j - 1), root, level)
+            yield _counted(runs.gram(at, j), context, runs.gram(at, j - 1), root, level)
+
+    return _packed(rows, ["gram", "context", "parent", "root", "level", "n"])
+
+
+def _with_active(k: int, active):
+    """Texts with a place whose context of ``k`` tokens may be active."""
+    def run(batches):
+        for batch in batches:
+            values, at = list_parts(batch.column(0))
+            some = [np.zeros(0, np.int64)]
+            for lo, hi in _slices(at):
+                runs = Runs(values[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
+                places = np.flatnonzero(runs.within >= k)
+                places = places[contains(active.value, runs.context(places, k))]
+                some.append(lo + np.unique(runs.owner[places]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(some)))], names=["t"])
 
-    A level's rows: gram (hash of context and token), context, c, q and p (the token's probability in
-    the suffix and here), held (occurrences of the context), lam (weight of the suffix), retained, suffix_retained. Every
-    context and token of ``LEAST`` occurrences is listed, at any size of the corpus. A context is tried if its
+    return run
+
+
+LEVEL = ("level long, gram long, context long, parent long, c long, q double, p double, held long, lam double, "
+         "retained boolean, suffix_retained boolean")
+
+
+def _settle(k: int, more: int):
+    """Tests the ``more`` levels above ``k``, one after the other, for the roots of a partition. Rows of level ``k`` have p."""
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        all_rows = pa.Table.from_batches(held)
+        gram, context, parent, level, n = (all_rows.column(c).to_numpy() for c in ("gram", "context", "parent", "level", "n"))
+        order = np.argsort(level, kind="stable")
+        ends = np.searchsorted(level[order], np.arange(k, k + more + 2))
+        own = order[ends[0]:ends[1]]
+        p, kept = all_rows.column("p").to_numpy()[own], all_rows.column("retained").to_numpy(zero_copy_only=False)[own].astype(bool)
+        active, place = np.unique(context[own], return_index=True)
+        kept = kept[place]
+        by = np.argsort(gram[own])
+        below, below_p = gram[own][by], p[by]
+        for j in range(1, more + 1):
+            own = order[ends[j]:ends[j + 1]]
+            heads = own[gram[own] == context[own]]
+            suffix = _find(active, parent[heads])
+            heads, suffix = heads[suffix >= 0], suffix[suffix >= 0]
+            by = np.argsort(context[heads])
+            heads, suffix_kept = heads[by], kept[suffix[by]] if len(heads) else np.zeros(0, bool)
+            tails = own[gram[own] != context[own]]
+            of, under = _find(context[heads], context[tails]), _find(below, parent[tails])
+            some = (of >= 0) & (under >= 0)
+            tails, of, q = tails[some], of[some], below_p[under[some]] if some.any() else np.zeros(0)
+            if not len(tails):
+                return
+            c, total, size = n[tails].astype(float), n[heads].astype(float), len(heads)
+            listed, df = np.bincount(of, c, size), np.bincount(of, minlength=size).astype(float)
+            rest = np.maximum(total - listed, 0)
+            g = np.bincount(of, c * np.log(c / total[of] / q), size) + rest * np.log(
+                np.where(rest > 0, rest / total, 1) / np.where(rest > 0, np.maximum(1 - np.bincount(of, q, size), 1e-12), 1))
+            keep = (df > 0) & (2 * g > df + 4 * np.sqrt(2 * df) + 10)
+            lam = 1 - (listed - DISCOUNT * df) / total
+            p = np.where(keep[of], lam[of] * q + (c - DISCOUNT) / total[of], q)
+            yield pa.record_batch([pa.array(x) for x in (
+                np.full(len(tails), k + j), gram[tails], context[tails], parent[tails], n[tails], q, p, n[heads][of], lam[of],
+                keep[of], suffix_kept[of])], names=[x.split()[0] for x in LEVEL.split(", ")])
+            go = (df > 0) & (keep | suffix_kept)
+            active, kept = context[heads][go], keep[go]
+            tails, p = tails[go[of]], p[go[of]]
+            by = np.argsort(gram[tails])
+            below, below_p = gram[tails][by], p[by]
+
+    return run
+
+
+def _next_level(train: DataFrame, k: int, below: DataFrame, held: DataFrame | None, kept: list, listed: list, total: int) -> DataFrame:
+    """The level's rows; ``held``: its contexts where they are known (up to three tokens), else they are counted."""
+    slots, parts = None, max(12, total >> 21)
+    if held is not None:  # most grams are rare: what is frequent by 32 bits and its part is counted by its whole hash
+        found = spill(train.mapInArrow(_count_slots(k, kept, listed, parts), "part long, slots binary, counts binary")
+                      .repartition(parts, "part").mapInArrow(_frequent_slots, "slot long"), "lm-slots")
+        slots = bit_table(found, words_for(found.count()))
+    rows = (train.mapInArrow(_level_grams(k, kept, listed, slots, parts), "gram long, context long, parent long, n long")
+            .groupBy("gram").agg(F.first("context").alias("context"), F.first("parent").alias("parent"), F.sum("n").alias("n"))
+            .filter(F.col("n") >= LEAST))
+    if held is None:
+        rows = spill(rows, "lm-grams")
+        held = rows.filter("gram = context").select("context", F.col("parent").alias("suffix"), F.col("n").alias("held"))
+    if k == 1:
+        held = held.select("context", "held", F.lit(True).alias("suffix_retained"))
+    else:  # the bit tables passed some more
+        tried = below.filter("retained or suffix_retained").select(F.col("context").alias("suffix"), F.col("retained").alias("suffix_retained"))
+        held = held.join(tried.distinct(), "suffix").drop("suffix")
+    edges = spill(rows.filter("gram <> context").select("gram", "context", "parent", F.col("n").alias("c"))
+                  .join(below.select(F.col("gram").alias("parent"), F.col("p").alias("q")), "parent").join(held, "context"), "lm-edges")
+    rest = F.col("held") - F.col("listed")
+    g = F.col("g") + F.when(rest > 0, rest * F.log(rest / F.col("held") / F.greatest(1 - F.col("under"), F.lit(1e-12)))).otherwise(0.0)
+    tests = edges.groupBy("context").agg(
+        F.first("held").alias("held"), F.sum("c").alias("listed"), F.sum("q").alias("under"), F.count("*").alias("df"),
+        F.sum(F.col("c") * F.log(F.col("c") / F.col("held") / F.col("q"))).alias("g")).select(
+        "context", (2 * g > F.col("df") + 4 * F.sqrt(2.0 * F.col("df")) + 10).alias("retained"),
+        (1 - (F.col("listed") - DISCOUNT * F.col("df")) / F.col("held")).alias("lam"))
+    here = F.col("lam") * F.col("q") + (F.col("c") - DISCOUNT) / F.col("held")
+    return (edges.join(tests, "context").withColumn("p", F.when(F.col("retained"), here).otherwise(F.col("q")))
+            .withColumn("level", F.lit(k).cast("long")).select(*(x.split()[0] for x in LEVEL.split(", "))))
+
+
+def _next_levels(train: DataFrame, k: int, more: int, below: DataFrame, active, triples) -> DataFrame:
+    """The rows of the ``more`` levels above ``k``; what grows from one context of ``k`` tokens is settled in one task."""
+    rows = (train.mapInArrow(_deep_grams(k, more, active, triples), "gram long, context long, parent long, root long, level long, n long")
+            .groupBy("gram").agg(*(F.first(x).alias(x) for x in ("context", "parent", "root", "level")), F.sum("n").alias("n"))
+            .filter(F.col("n") >= LEAST).select("gram", "context", "parent", "root", "level", "n",
+                                                F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("retained")))
+    last = below.filter("retained or suffix_retained").select(
+        "gram", "context", "parent", F.col("context").alias("root"), "level", F.col("c").alias("n"), "p", "retained")
+    return rows.union(last).repartition("root").mapInArrow(_settle(k, more), LEVEL)
+
+
+def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame], list[int], list, list]:
+    """The model as tables: word counts (hash, c), their sum and number, and the listed next tokens of all
+    contexts, in tables of one context length or several; then the greatest length of each table and
+    bit tables of its retained contexts and of its grams.
+
+    Rows: level (the context's length), gram (hash of context and token), context, parent (gram of the suffix), c, q and p (the
+    token's probability in the suffix and here), held (occurrences of the context), lam (weight of the suffix), retained,
+    suffix_retained. Every context and token of ``LEAST`` occurrences is listed, at any size of the corpus. A context is tried if its
     suffix is retained or its suffix's suffix is, so there are as many levels as the texts bear.
     """
     spark = train.sparkSession
     counts = spill(train.mapInArrow(_count_grams(lambda h, first: h), "gram long, n long")
                    .groupBy(F.col("gram").alias("hash")).agg(F.sum("n").alias("c")), "word-counts")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
+                      F.coalesce(F.max(F.when(F.col("hash") == F.xxhash64(F.lit("")), F.col("c"))), F.lit(0)).alias("texts")).first()
     total, words = int(sums.n), int(sums.v)
-    below = counts.filter(F.col("c") >= LEAST).select(F.col("hash").alias("gram"), ((F.col("c") + 1.0) / (total + words + 1)).alias("p"))
+    frequent = counts.filter(F.col("c") >= LEAST)
+    below = frequent.select(F.col("hash").alias("gram"), ((F.col("c") + 1.0) / (total + words + 1)).alias("p"))
     size = below.count()
-    levels, kept, pairs, before = [], [], None, 1
-    while size:
-        k = len(levels) + 1
-        listed = bit_table(below.select("gram"), words_for(size))
-        pairs = listed if k == 2 else pairs
-        rows = spill(train.mapInArrow(_level_grams(k, kept, listed, pairs), "gram long, context long, parent long, n long")
-                     .groupBy("gram").agg(F.first("context").alias("context"), F.first("parent").alias("parent"), F.sum("n").alias("n"))
-                     .filter(F.col("n") >= LEAST), "lm-grams")
-        held = rows.filter("gram = context").select("context", F.col("parent").alias("suffix"), F.col("n").alias("held"))
-        if k == 1:
-            held = held.select("context", "held", F.lit(True).alias("suffix_retained"))
-        else:  # the bit tables passed some more
-            tried = below.filter("retained or suffix_retained").select(F.col("context").alias("suffix"), F.col("retained").alias("suffix_retained"))
-            held = held.join(tried.distinct(), "suffix").drop("suffix")
-        edges = (rows.filter("gram <> context").select("gram", "context", "parent", F.col("n").alias("c"))
-                 .join(below.select(F.col("gram").alias("parent"), F.col("p").alias("q")), "parent")
-                 .join(held, "context").drop("parent"))
-        rest = F.col("held") - F.col("listed")
-        g = F.col("g") + F.when(rest > 0, rest * F.log(rest / F.col("held") / F.greatest(1 - F.col("under"), F.lit(1e-12)))).otherwise(0.0)
-        tests = edges.groupBy("context").agg(
-            F.first("held").alias("held"), F.sum("c").alias("listed"), F.sum("q").alias("under"), F.count("*").alias("df"),
-            F.sum(F.col("c") * F.log(F.col("c") / F.col("held") / F.col("q"))).alias("g")).select(
-            "context", (2 * g > F.col("df") + 4 * F.sqrt(2.0 * F.col("df")) + 10).alias("retained"),
-            (1 - (F.col("listed") - DISCOUNT * F.col("df")) / F.col("held")).alias("lam"))
-        here = F.col("lam") * F.col("q") + (F.col("c") - DISCOUNT) / F.col("held")
-        level = spill(edges.join(tests, "context").withColumn("p", F.when(F.col("retained"), here).otherwise(F.col("q"))), "lm-level")
-        found = level.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("retained"), F.col("context"))).alias("r")).first()
-        size, below = int(found.n), level
+    levels, tops, kept, listed = [], [], [], [bit_table(below.select("gram"), words_for(size))]
+    as_context = F.col("hash").bitwiseXOR(F.lit(int(EDGE)))
+    held = frequent.select(as_context.alias("context"), F.col("c").alias("held")).union(
+        spark.range(1).select(F.lit(int(START ^ EDGE)).alias("context"), F.lit(int(sums.texts)).alias("held")))
+    k, more, places = 0, 1, total if size else 0
+    while places:
+        if k < 4 or (places > total // 16 and k < 8):
+            level, more = _next_level(train, k + 1, below, held, kept, listed, total), 1
+        else:
+            roots = below.filter("retained or suffix_retained").select("context").distinct()
+            active = bit_table(roots, words_for(roots.count()))
+            if more > 1:
+                train = spill(train.mapInArrow(_with_active(k, active), "t array<long>"), "lm-active")
+            more *= 4
+            level = _next_levels(train, k, more, below, active, listed[2])
+        level = spill(level, "lm-level")
+        k += more
+        ended = F.col("level") == k
+        found = level.groupBy("level", "context").agg(
+            F.first("held").alias("held"), F.first("retained").alias("r"), F.first("suffix_retained").alias("s"), F.count("*").alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("r"), 1)).alias("r"),
+            F.coalesce(F.sum(F.when(ended & (F.col("r") | F.col("s")), F.col("held"))), F.lit(0)).alias("places")).first()
+        places = int(found.places)
         levels.append(level)
+        tops.append(k)
         kept.append(bit_table(level.filter("retained").select("context").distinct(), words_for(int(found.r))))
-        if not found.r and not before:
+        listed.append(bit_table(level.select("gram"), words_for(int(found.n))))
+        below = level.filter(ended)
+        held = None
+        if k < 3:  # every run of k + 1 tokens that is frequent is listed
+            held = level.select(F.col("gram").bitwiseXOR(F.lit(int(EDGE))).alias("context"),
+                                F.col("parent").bitwiseXOR(F.lit(int(EDGE))).alias("suffix"), F.col("c").alias("held"))
+    return counts, total, words, levels, tops, kept, listed[1:]
+
+
+def _hot(values: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent rows of ``values`` (hash, n, value), at most ``HOT``, by hash."""
+    size = F.floor(8 * F.log2(F.col("n"))).cast("long")
+    some = values.filter(F.col("n") >= F.greatest(F.lit(1.0), F.lit(total * WORD_SHARE / 8)))
+    left, least = HOT, None
+    for r in sorted(some.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        left -= r["count"]
+        if left < 0:
             break
-        before = found.r
-    return counts, total, words, levels
+        least = r["size"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    top = some.filter(size >= least).select("hash", "value").toArrow()
+    hashes, gains = top.column("hash").to_numpy().astype(np.int64), top.column("value").to_numpy().astype(float)
+    order = np.argsort(hashes)
+    return hashes[order], gains[order]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -386,48 +640,49 @@ def score(docs: DataFrame) -> DataFrame:
     ready(spark)
     numbered = spill(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                                  tokens(text_of()).alias("t")), "lm-tokens")
-    counts, total, words, levels = grow(numbered.filter(~held_out()).select("t"))
+    counts, total, words, levels, tops, kept, listed = grow(numbered.filter(~held_out()).select("t"))
     # what a token gains: words over the root, contexts and edges over their suffix
-    values = counts.select("hash", F.lit(0).alias("level"), F.col("c").alias("n"), F.log10(F.col("c") + 1.0).alias("value"))
-    kept, edges = [], []
-    for k, level in enumerate(levels, 1):
+    values = counts.select("hash", F.lit(0).cast("long").alias("level"), F.col("c").alias("n"), F.log10(F.col("c") + 1.0).alias("value"))
+    for level in levels:
         mine = level.filter("retained")
-        contexts = mine.groupBy(F.col("context").alias("hash")).agg(F.first("held").alias("n"), F.first("lam").alias("lam"))
-        for tables, keys, value in ((kept, contexts, F.log10("lam")), (edges, mine.withColumns({"hash": F.col("gram"), "n": F.col("c")}),
-                                                                      F.log10(F.col("p") / F.col("lam") / F.col("q")))):
-            tables.append(bit_table(keys.select("hash"), words_for(keys.count())))
-            values = values.union(keys.select("hash", F.lit(k), "n", value))
+        values = values.union(mine.groupBy(F.col("context").alias("hash")).agg(
+            F.first("level").alias("level"), F.first("held").alias("n"), F.log10(F.first("lam")).alias("value"))).union(
+            mine.select(F.col("gram").alias("hash"), "level", F.col("c").alias("n"), F.log10(F.col("p") / F.col("lam") / F.col("q")).alias("value")))
     if levels:
         values = spill(values, "lm-values")
-    # the frequent ones of each level are broadcast, ever fewer a level; all others are met by a join
-    share = F.when(F.col("level") == 0, WORD_SHARE).otherwise(4 * WORD_SHARE * F.col("level") * F.col("level"))
-    top = values.filter(F.col("n") >= F.greatest(F.lit(1.0), total * share)).select("hash", "value").toArrow()
-    hashes, gains = top.column("hash").to_numpy().astype(np.int64), top.column("value").to_numpy().astype(float)
-    order = np.argsort(hashes)
-    hot = spark.sparkContext.broadcast((hashes[order], gains[order]))
+    # the frequent ones are broadcast; all others are met by a join
+    hot = spark.sparkContext.broadcast(_hot(values, total))
 
     def run(batches):
         keys, gain = hot.value
-        kept_tables, edge_tables = [x.value for x in kept], [x.value for x in edges]
+        contexts, grams = [x.value for x in kept], [x.value for x in listed]
         for batch in batches:
             values, at = list_parts(batch.column("t"))
             rid = batch.column("rid").to_numpy()
             for lo, hi in _slices(at):
-                h, first, n = values[at[lo]:at[hi]], at[lo:hi] - at[lo], np.diff(at[lo:hi + 1])
-                owner = np.repeat(np.arange(hi - lo), n)
+                runs, n = Runs(values[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]), np.diff(at[lo:hi + 1])
                 away: list[tuple[np.ndarray, np.ndarray]] = []
 
                 def gained(places, wanted):
                     found = _find(keys, wanted)
-                    away.append((owner[places[found < 0]], wanted[found < 0]))
-                    places, found = places[found >= 0], found[found >= 0]
-                    return np.bincount(owner[places], gain[found], hi - lo).astype(float), np.bincount(owner[places], minlength=hi - lo)
-
-                base, known = gained(np.arange(len(h)), h)
-                tree = np.zeros(hi - lo)
-                for k, (places, context, gram, _, _, _, now) in enumerate(_contexts(h, first, kept_tables, len(kept_tables))):
-                    edge = now & contains(edge_tables[k], gram)
-                    tree += gained(places[now], context[now])[0] + gained(places[edge], gram[edge])[0]
+                    owner = runs.owner[places]
+                    away.append((owner[found < 0], wanted[found < 0]))
+                    owner, found = owner[found >= 0], found[found >= 0]
+                    return np.bincount(owner, gain[found], hi - lo).astype(float), np.bincount(owner, minlength=hi - lo)
+
+                places = np.flatnonzero(runs.within > 0)
+                base, known = gained(places, runs.x[places])
+                tree, was, k = np.zeros(hi - lo), np.ones(len(places), bool), 1
+                for top, context_table, gram_table in zip(tops, contexts, grams):
+                    while k <= top and len(places):
+                        context = runs.context(places, k)
+                        now = contains(context_table, context)
+                        gram = runs.gram(places[now], k)
+                        edge = contains(gram_table, gram)
+                        tree += gained(places[now], context[now])[0] + gained(places[now][edge], gram[edge])[0]
+                        go = (now | was) & (runs.within[places] > k)  # the start of the text is the earliest token of all
+                        places, was = places[go], now[go]
+                        k += 1
                 # the others, summed by text and hash, look their values up by a join
                 o, w = (np.concatenate(x) for x in zip(*away))
                 order = np.lexsort((w, o))
