@@ -144,3 +144,21 @@ def test_no_share_of_the_corpus_cuts_what_is_retained(spark, monkeypatch):
     contexts = [{r.context for level in L.grow(t)[3] for r in level.filter("retained").select("context").collect()}
                 for t in (train, train.union(train))]
     assert contexts[0] and contexts[0] <= contexts[1]
+
+
+def runs_and_rests():
+    """Runs of one word whose length tells the word after them: each longer context rules one out."""
+    return [" ".join(["w"] * n + [f"after{n}"]) for n in range(1, 35) for _ in range(50)]
+
+
+def test_long_contexts_grow_in_few_rounds(spark, monkeypatch):
+    texts = runs_and_rests()
+    want, depth = brute_force(texts)
+    assert depth > 30
+    ids = [i for i in range(3000) if crc32(str(i).encode()) % 7 != 2][:len(texts)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    grown, grow = [], L.grow
+    monkeypatch.setattr(L, "grow", lambda train: grown.append(grow(train)) or grown[0])
+    got = {r.doc_id: r.score for r in L.score(docs).collect()}
+    assert len(grown[0][3]) <= 12  # a round of jobs for each length before
+    assert np.allclose([got[i] for i in ids], want, rtol=1e-9)

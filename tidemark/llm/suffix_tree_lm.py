@@ -634,6 +634,32 @@ def _hot(values: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], gains[order]
 
 
+class _Places:
+    """Places of hashes in a sorted table, met by the leading bits of the hash."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, min(24, len(keys).bit_length()))
+        self.shift = np.int64(64 - bits)
+        self.half = np.int64(1 << (bits - 1))
+        self.start = np.searchsorted(keys >> self.shift, np.arange(-self.half, self.half + 1))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each, -1 where absent."""
+        found = np.full(len(wanted), -1, np.int64)
+        bucket = (wanted >> self.shift) + self.half
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], wanted[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            found[left[hit]] = at[hit]
+            at = at + 1
+            go = ~hit & (at < end)
+            left, at, end, wanted = left[go], at[go], end[go], wanted[go]
+        return found
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -654,7 +680,7 @@ def score(docs: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast(_hot(values, total))
 
     def run(batches):
-        keys, gain = hot.value
+        keys, gain = _Places(hot.value[0]), hot.value[1]
         contexts, grams = [x.value for x in kept], [x.value for x in listed]
         for batch in batches:
             values, at = list_parts(batch.column("t"))
@@ -664,7 +690,7 @@ def score(docs: DataFrame) -> DataFrame:
                 away: list[tuple[np.ndarray, np.ndarray]] = []
 
                 def gained(places, wanted):
-                    found = _find(keys, wanted)
+                    found = keys.find(wanted)
                     owner = runs.owner[places]
                     away.append((owner[found < 0], wanted[found < 0]))
                     owner, found = owner[found >= 0], found[found >= 0]
@@ -691,8 +717,8 @@ def score(docs: DataFrame) -> DataFrame:
                 times = np.diff(np.append(new, len(w)))
                 w, o = w[new], o[new]
                 ids = rid[lo:hi]
-                heads = pa.StructArray.from_arrays([pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree)],
-                                                   names=["n_tokens", "n_known", "base", "tree"])
+                heads = pa.StructArray.from_arrays([pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree), batch.column("doc_id").slice(lo, hi - lo)],
+                                                   names=["n_tokens", "n_known", "base", "tree", "doc_id"])
                 yield pa.record_batch([
                     pa.array(np.concatenate([ids, ids[o]])),
                     # a head's key is spread and meets nothing
@@ -700,20 +726,18 @@ def score(docs: DataFrame) -> DataFrame:
                     pa.array(np.concatenate([np.zeros(len(ids), np.int64), times])),
                     pa.concat_arrays([heads, pa.nulls(len(o), heads.type)])], names=["rid", "hash", "times", "head"])
 
-    parts = numbered.select("rid", "t").mapInArrow(
-        run, "rid long, hash long, times long, head struct<n_tokens:bigint,n_known:bigint,base:double,tree:double>")
+    parts = numbered.mapInArrow(
+        run, "rid long, hash long, times long, head struct<n_tokens:bigint,n_known:bigint,base:double,tree:double,doc_id:bigint>")
     met = parts.join(values.select("hash", "level", "value").hint("merge"), "hash", "left")
 
-    def more(amount, which):
-        return F.sum(F.when(F.col("head").isNull() & which, amount).otherwise(F.lit(0).cast("double")))
+    def more(amount, which, head):
+        return F.sum(F.when(F.col("head").isNotNull(), F.col(head)).when(which, amount).otherwise(F.lit(0).cast("double")))
 
     amount = F.col("times") * F.col("value")
-    summed = met.groupBy("rid").agg(
-        F.max("head").alias("head"), more(F.col("times"), F.col("level") == 0).cast("long").alias("more_known"),
-        more(amount, F.col("level") == 0).alias("base"), more(amount, F.col("level") > 0).alias("tree"))
-    out = numbered.select("rid", "doc_id").hint("merge").join(summed, "rid")
-    base = F.col("head.base") + F.col("base") - F.col("head.n_tokens") * math.log10(total + words + 1)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("head.n_tokens").alias("n_tokens"),
-                      (F.col("head.n_known") + F.col("more_known")).alias("n_known"),
-                      F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
-                      (base + F.col("head.tree") + F.col("tree")).alias("score"))
+    out = met.groupBy("rid").agg(
+        F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"),
+        more(F.col("times"), F.col("level") == 0, "head.n_known").cast("long").alias("n_known"),
+        more(amount, F.col("level") == 0, "head.base").alias("base"), more(amount, F.col("level") > 0, "head.tree").alias("tree"))
+    base = F.col("base") - F.col("n_tokens") * math.log10(total + words + 1)
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                      base.alias("base_score"), (base + F.col("tree")).alias("score"))
