@@ -12,10 +12,14 @@ preceding tokens of any length, the start of the text included:
   lengths in a row without divergence), so the texts bound the length, no setting.
 
 ``grow`` counts level by level: tasks count the grams whose parts are frequent (bit tables
-pass some more, the counts decide), a groupBy adds them up, joins with the level below give the test. ``score``
+pass some more, the counts decide), a groupBy adds them up, joins with the level below give the test. In the first
+three levels most grams are rare: 32 bits of each and its part are counted first, and whole hashes only of what is
+frequent by them. Beyond four levels few places are left (eight, where more than 1/16 are): rounds of 4, 16, 64 ...
+levels count at once all that continues an active context, and what grows from one such context is tested in one
+task, one length after the other. ``score``
 adds up, for every token, the gains log10(lam) of its retained contexts and log10(p / (lam q)) of their
 listed edges over the base score: each is one looked-up value, so texts meet them by one join;
-the frequent ones (``WORD_SHARE``, at most 2^20 words and half as many others) are broadcast. All
+the most frequent ones (``HOT``, of those above a part of ``WORD_SHARE``) are broadcast. All
 counts cover every training document.
 
 ``fit`` makes a small ``Tree`` for one process, of frequent symbols and two of them as
@@ -46,7 +50,7 @@ PAIR_SHARE = 2.0 ** -15
 EDGE_SHARE = 2.0 ** -18
 LEAST = 5           # occurrences of an edge or pair context in small corpora
 DISCOUNT = 0.75
-STEP = 400_000      # tokens handled at a time
+STEP = 200_000      # tokens handled at a time
 FLUSH = 3_000_000   # distinct n-grams a task holds before it sends them on
 WIDE = np.int64(1 << 17)
 RARE = 0
@@ -54,6 +58,7 @@ START = np.int64(0x53A9F1D27C0B6E15)  # stands for the start of a text
 EDGE = np.int64(0x2545F4914F6CDD1D)   # tells a context from the same tokens as context and next token
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD, MASK = np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
+SENT = 1 << 16      # rows of an Arrow batch that a task sends on
 HOT = 1 << 20       # looked-up values that are broadcast, at most
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -350,7 +355,7 @@ def _count_slots(k: int, kept: list, listed: list, parts: int):
             at, edge = _able(runs, *tables, k)
             held.append(_slot(runs.gram(at[edge], k), parts))
             size += len(held[-1])
-            if size > FLUSH:
+            if size > FLUSH // 2:
                 yield pack(held)
                 held, size = [], 0
         if size:
@@ -383,8 +388,9 @@ def _packed(rows_of, names: list[str]):
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return [keys[new], *(c[order[new]] for c in cols[1:-1]), np.add.reduceat(cols[-1][order], new)]
 
-    def batch(cols):
-        return pa.record_batch([pa.array(x) for x in cols], names=names)
+    def sent(cols):
+        for lo in range(0, len(cols[0]), SENT):
+            yield pa.record_batch([pa.array(x[lo:lo + SENT]) for x in cols], names=names)
 
     def run(batches):
         held, size = [], 0
@@ -393,14 +399,14 @@ def _packed(rows_of, names: list[str]):
                 if len(got[0]):
                     held.append(got)
                     size += len(got[0])
-                if size > FLUSH // 3:
+                if size > FLUSH // 8:
                     held = [pack(held)]
                     size = len(held[0][0])
-                    if size > FLUSH // 6:
-                        yield batch(held[0])
+                    if size > FLUSH // 16:
+                        yield from sent(held[0])
                         held, size = [], 0
         if held:
-            yield batch(pack(held))
+            yield from sent(pack(held))
 
     return run
 
@@ -539,6 +545,8 @@ def _next_level(train: DataFrame, k: int, below: DataFrame, held: DataFrame | No
         held = held.join(tried.distinct(), "suffix").drop("suffix")
     edges = spill(rows.filter("gram <> context").select("gram", "context", "parent", F.col("n").alias("c"))
                   .join(below.select(F.col("gram").alias("parent"), F.col("p").alias("q")), "parent").join(held, "context"), "lm-edges")
+    if slots is not None:
+        slots.unpersist()
     rest = F.col("held") - F.col("listed")
     g = F.col("g") + F.when(rest > 0, rest * F.log(rest / F.col("held") / F.greatest(1 - F.col("under"), F.lit(1e-12)))).otherwise(0.0)
     tests = edges.groupBy("context").agg(
