@@ -59,3 +59,10 @@ def test_edges(edge, nothing):
     sizes = Counter((r.doc_id, r.size) for r in rows if r.size)
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect()) == sum(r.taken for r in rows) and sizes
     assert M.taken_words(nothing).count() == 0 and M.mix(nothing).count() == 0
+
+
+def test_tables_of_the_driver_need_no_python_workers(small):
+    sources, plan, _ = M._plan(M._sized(small, M.SEED), M.SEED, None)
+    for table in (sources, plan):
+        assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert dict(plan.dtypes) == {"source_no": "int", "block": "bigint", "turn": "int", "room": "bigint", "shard": "int"}

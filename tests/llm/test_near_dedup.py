@@ -183,3 +183,13 @@ def test_a_hot_head_sends_its_text_to_several_tasks(spark, monkeypatch):
     pairs = spark.range(1, 100).selectExpr("if(id < 80, 0L, 90L) as a", "id as b").filter("a < b")
     got = N._with_texts(pairs, texts).select("a", "b").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, pairs.collect()))
+
+
+def test_sketches_and_their_orders_are_not_steps_of_one_task(spark):
+    rng = np.random.default_rng(5)
+    words = [[int(x) for x in rng.integers(0, 50, 30)] for _ in range(20)]
+    loose = spark.createDataFrame(list(enumerate(words)), "doc_id long, h array<long>")
+    classes = spark.createDataFrame([(1, 0)], "id long, class_id long")
+    log_idf = spark.sparkContext.broadcast(np.ones(N.IDF_BUCKETS))
+    plan = N._sample_pairs(loose, classes, log_idf, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # orders and neighbours, with an exchange between them

@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+import pyarrow as pa
+
 from tidemark.llm import pii as P
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -74,3 +76,11 @@ def test_edges_and_redaction(edge, nothing):
 
 def test_redaction_of_overlaps():
     assert P.redact_text("abcdefgh", [(1, 0, 4), (2, 1, 6), (7, 3, 8)]) == "a<EMAIL>g<PHONE>"
+
+
+def test_redaction_hands_on_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["mail a.b@example.com " + "x" * 100_000] * 40})
+    out = list(P._redacted(None)([batch]))
+    assert max(b.column("text").nbytes for b in out) <= 2 * P.STEP and len(out) > 4
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(40))
+    assert all(t.startswith("mail <EMAIL> x") for b in out for t in b.column("text").to_pylist())

@@ -27,6 +27,7 @@ carried by ``mix`` and ignored by ``taken_words``.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +105,12 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
                     F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("h"))
 
 
+def _small_table(spark, rows: list[tuple], **kinds) -> DataFrame:
+    """A bounded table from the driver, as Arrow: tuples would go through Python workers that stay on the executors."""
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(kinds.items(), columns)}))
+
+
 def _plan(sized: DataFrame, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame, int]:
     """(sources, draws, shards): source, source_size, target; and per source, block and
     pass the shard, with ``room`` words for the block that crosses the target."""
@@ -118,7 +125,8 @@ def _plan(sized: DataFrame, seed: int, shards: int | None) -> tuple[DataFrame, D
     # a shard holds about SHARD_WORDS words however large the corpus is, and a block at least
     shards = shards or min(MAX_BLOCKS, max(SHARDS, int(sum(goal.values())) // SHARD_WORDS))
     source_rows = [(i, s, n, float(goal[s]), max(1, n // unit)) for i, (s, n) in enumerate(sizes)]
-    sources = spark.createDataFrame(source_rows, "source_no int, s_source string, source_size long, target double, n_blocks long")
+    sources = _small_table(spark, source_rows, source_no=pa.int32(), s_source=pa.string(), source_size=pa.int64(), target=pa.float64(),
+                           n_blocks=pa.int64())
     blocks = (_blocked(sized, sources).groupBy("source_no", "block").agg(F.sum("size").alias("words")).collect())
     by_source: dict[int, list[tuple[int, int]]] = {}
     for r in blocks:
@@ -148,7 +156,8 @@ def _plan(sized: DataFrame, seed: int, shards: int | None) -> tuple[DataFrame, D
     for no, units in enumerate(drawn):
         shard_of = np.repeat(np.arange(shards), quota[:, no])
         rows += [(no, b, t, room, int(s)) for (b, t, room), s in zip(units, shard_of)]
-    return sources, spark.createDataFrame(rows, "source_no int, block long, turn int, room long, shard int"), shards
+    plan = _small_table(spark, rows, source_no=pa.int32(), block=pa.int64(), turn=pa.int32(), room=pa.int64(), shard=pa.int32())
+    return sources, plan, shards
 
 
 def _blocked(sized: DataFrame, sources: DataFrame) -> DataFrame:

@@ -288,7 +288,8 @@ def _sample_pairs(loose: DataFrame, classes: DataFrame, log_idf, threshold: floa
     """Pairs (a, b) of likely similar members of different components, a bounded number a member."""
     # those that agree less often, though similar, are left to the prefix join
     least = int(SKETCH * threshold - (SKETCH * threshold * (1 - threshold)) ** 0.5)
-    rows = _in_classes(loose.mapInArrow(_sketches(log_idf), "doc_id long, sketch binary"), classes)
+    # written: the next step reads them twice, and in a worker of its own for each task if in the same stage
+    rows = spill(_in_classes(loose.mapInArrow(_sketches(log_idf), "doc_id long, sketch binary"), classes), "sketches")
     ordered = (rows.mapInArrow(_orders, "tree int, key binary, doc_id long, class_id long")
                .repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id"))
     return ordered.mapInArrow(_neighbour_pairs(max(1, least)), "a long, b long").distinct()

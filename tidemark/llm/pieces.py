@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, text_of
+from .common import ready, small_batches, text_of
 
 N_BEST = 4
 SPACE = "▁"
@@ -476,11 +476,7 @@ def decode(v: Vocabulary, ids: list[int], with_bytes: bool | None = None) -> str
 
 
 def _small(batches):
-    """The rows in batches of about ``STEP`` bytes of text, so that a worker holds few rows as Python objects."""
-    for batch in batches:
-        rows = max(1, batch.num_rows * STEP // max(1, batch.column("text").nbytes))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    return small_batches(batches, STEP)
 
 
 def _encoded(docs: DataFrame, model_path: str | None, n: int, full: bool) -> DataFrame:

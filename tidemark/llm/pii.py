@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, text_of
+from .common import ready, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 CONTEXT = 40
+STEP = 1 << 19  # bytes of text that a worker holds as Python objects
 TAGS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -223,8 +224,8 @@ def fit_model(rows: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], rou
 
 def _signature_counts(batches):
     seen: dict = {}
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
+    for batch in small_batches(batches, STEP):
+        for text in batch.column("text").to_pylist():
             base = base_spans(text)
             for span in base + extra_candidates(text, base):
                 v, f = votes_and_features(text, span)
@@ -265,7 +266,7 @@ def find(docs: DataFrame, model: SpanModel | None = None, accept_model: bool = T
         model = train(docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, STEP):
             counts, digests, spans = [], [], []
             for text in batch.column("text").to_pylist():
                 base, every = all_spans(text, model)
@@ -291,15 +292,9 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:] if out else text
 
 
-def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """The input rows with every span in ``text`` replaced by its kind's tag;
-    ``n_chars``, where present, follows the new text. Null stays null."""
-    spark = docs.sparkSession
-    ready(spark)
-    model = model or train(docs)
-
+def _redacted(model: SpanModel | None):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, STEP):
             texts = batch.column("text").to_pylist()
             new = [t if t is None else redact_text(t, all_spans(t, model)[1]) for t in texts]
             names, columns = batch.schema.names, list(batch.columns)
@@ -311,4 +306,13 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
                                        columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
+    """The input rows with every span in ``text`` replaced by its kind's tag;
+    ``n_chars``, where present, follows the new text. Null stays null."""
+    spark = docs.sparkSession
+    ready(spark)
+    model = model or train(docs)
+    return docs.mapInArrow(_redacted(model), docs.schema)
