@@ -162,3 +162,51 @@ def test_long_contexts_grow_in_few_rounds(spark, monkeypatch):
     got = {r.doc_id: r.score for r in L.score(docs).collect()}
     assert len(grown[0][3]) <= 12  # a round of jobs for each length before
     assert np.allclose([got[i] for i in ids], want, rtol=1e-9)
+
+
+def test_counts_travel_packed_and_are_whole(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [[int(x) for x in rng.integers(-2**63, 2**63 - 1, 40) // 2**55 * 2**55] for _ in range(300)]
+    train = spark.createDataFrame([(d,) for d in docs], "t array<long>").repartition(5)
+    want = Counter(x for d in docs for x in d)
+    frame = L._summed(train, lambda words: [words], ["hash", "c"], 3, 2, 50, L._words)  # tasks send often
+    assert {r.hash: r.c for r in frame.collect()} == {k: n for k, n in want.items() if n >= 2}
+    monkeypatch.setattr(L, "SENT", 7)
+    assert {r.hash: r.c for r in frame.collect()} == {k: n for k, n in want.items() if n >= 2}
+    # no row for each key and task is built and shuffled
+    assert len(train.mapInArrow(L._packed(lambda words: [words], ["hash", "c"], 4, 10**6, L._words), "part long, hash binary, c binary").collect()) <= 20
+
+
+def test_shuffles_of_written_tables_go_at_once(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(key), []
+    real = L.spill
+    L.spill = lambda df, tag, **o: seen.append(spark.conf.get(key)) or real(df, tag, **o)
+    try:
+        assert L._written(spark.range(10).repartition(3, "id"), "some").count() == 10
+    finally:
+        L.spill = real
+    assert seen == ["true"] and spark.conf.get(key) == before
+
+
+def test_tokens_of_plain_and_other_texts(spark):
+    texts = ["AbC dEf\tG", "ÀÉ İ AbC", "", "Z\x00Z ſK \x1fQ"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [[r.h for r in spark.createDataFrame([(i, w or "") for i, w in enumerate(toks(t))], "i int, w string")
+             .selectExpr("i", "xxhash64(w) h").orderBy("i").collect()] for t in texts]
+    assert [r.t for r in d.select(L.tokens(text_of()).alias("t")).collect()] == want
+
+
+def test_tables_that_nothing_reads_any_more_go(spark):
+    import os
+    from urllib.parse import urlparse
+
+    folder = urlparse(spark.sparkContext.getCheckpointDir() or L.ready(spark) or spark.sparkContext.getCheckpointDir()).path
+    before = set(os.listdir(folder))
+    texts = chained()
+    ids = [i for i in range(3000) if crc32(str(i).encode()) % 7 != 2][:len(texts)]
+    rows = L.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if x.startswith(("lm-", "word-counts")))
+    assert left == ["lm-tokens", "lm-values"]
+    got = {r.doc_id: r.score for r in rows.collect()}
+    assert np.allclose([got[i] for i in ids], brute_force(texts)[0], rtol=1e-9)

@@ -12,7 +12,7 @@ preceding tokens of any length, the start of the text included:
   lengths in a row without divergence), so the texts bound the length, no setting.
 
 ``grow`` counts level by level: tasks count the grams whose parts are frequent (bit tables
-pass some more, the counts decide), a groupBy adds them up, joins with the level below give the test. In the first
+pass some more, the counts decide) and send them by ranges of their hash, packed, to tasks that add them up; joins with the level below give the test. In the first
 three levels most grams are rare: 32 bits of each and its part are counted first, and whole hashes only of what is
 frequent by them. Beyond four levels few places are left (eight, where more than 1/16 are): rounds of 4, 16, 64 ...
 levels count at once all that continues an active context, and what grows from one such context is tested in one
@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import default_buckets, release
+
 from .bits import bit_table, contains, words_for
 from .common import list_parts, mix64, ready, spill, text_of, words_of
 
@@ -60,16 +62,34 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD, MASK = np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
 SENT = 1 << 16      # rows of an Arrow batch that a task sends on
 HOT = 1 << 20       # looked-up values that are broadcast, at most
+TOKENS = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 22)}  # of the tables of hashes: a task's words fit the dictionary
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(text: Column) -> Column:
     """Hashes of the lower-cased words and, last, of the end mark."""
-    words = words_of(F.translate(text, _UPPER, _LOWER))
+    # all ASCII: lower() is the same, and faster
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    words = words_of(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)))
     return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
+def _written(df: DataFrame, tag: str, **options) -> DataFrame:
+    """``spill`` whose shuffle files go once the table is written, not when the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return spill(df, tag, **options)
+    finally:
+        conf.set(key, was)
+
+
+def _parts(total: int) -> int:
+    return max(16, total >> 21)
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS == HELD
 
@@ -379,63 +399,99 @@ def _frequent_slots(batches):
         yield pa.record_batch([pa.array((found << np.uint64(32) | np.uint64(part)).view(np.int64))], names=["slot"])
 
 
-def _packed(rows_of, names: list[str]):
-    """Task-wise sums of ``rows_of(runs)``: tuples of columns, first the key, last the count; empty ones pass."""
-    def pack(held):
-        cols = [np.concatenate(x) for x in zip(*held)]
-        order = np.argsort(cols[0], kind="stable")
-        keys = cols[0][order]
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return [keys[new], *(c[order[new]] for c in cols[1:-1]), np.add.reduceat(cols[-1][order], new)]
+def _sums(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns, first the key, last the count, summed by key and in the unsigned order of the keys."""
+    order = np.argsort(cols[0].view(np.uint64))
+    keys = cols[0][order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [keys[new], *(c[order[new]] for c in cols[1:-1]), np.add.reduceat(cols[-1][order], new)]
 
+
+def _packed(rows_of, names: list[str], parts: int, most: int, read):
+    """Task-wise sums of the rows that ``rows_of`` gives of what ``read`` makes of the batches: tuples of columns, first
+    the key, last the count. Each part of the keys (a range of their upper bits) goes out as one row of packed columns."""
     def sent(cols):
-        for lo in range(0, len(cols[0]), SENT):
-            yield pa.record_batch([pa.array(x[lo:lo + SENT]) for x in cols], names=names)
+        part = ((cols[0].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        ends = np.searchsorted(part, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(ends))
+        step = max(1, len(some) * SENT // len(part))
+        for at in (some[lo:lo + step] for lo in range(0, len(some), step)):
+            yield pa.record_batch([pa.array(at, pa.int64()), *(pa.array([c[ends[p]:ends[p + 1]].tobytes() for p in at], pa.binary()) for c in cols)],
+                                  names=["part", *names])
 
     def run(batches):
         held, size = [], 0
-        for runs in _runs(batches):
-            for got in rows_of(runs):
+        for some in read(batches):
+            for got in rows_of(some):
                 if len(got[0]):
                     held.append(got)
                     size += len(got[0])
-                if size > FLUSH // 8:
-                    held = [pack(held)]
+                if size > most:
+                    held = [_sums([np.concatenate(x) for x in zip(*held)])]
                     size = len(held[0][0])
-                    if size > FLUSH // 16:
+                    if size > most // 2:
                         yield from sent(held[0])
                         held, size = [], 0
         if held:
-            yield from sent(pack(held))
+            yield from sent(_sums([np.concatenate(x) for x in zip(*held)]))
 
     return run
 
 
-def _counted(key: np.ndarray, *others: np.ndarray) -> tuple:
-    keys, place, n = np.unique(key, return_index=True, return_counts=True)
-    return (keys, *(x[place] for x in others), n)
+def _gathered(names: list[str], least: int):
+    """The sums of ``least`` or more of each part."""
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, []).append([np.frombuffer(x, np.int64) for x in packed])
+        while held:
+            cols = _sums([np.concatenate(x) for x in zip(*held.popitem()[1])])
+            some = cols[-1] >= least
+            cols = [c[some] for c in cols]
+            for lo in range(0, len(cols[0]), SENT):
+                yield pa.record_batch([pa.array(c[lo:lo + SENT]) for c in cols], names=names)
+
+    return run
+
+
+def _summed(train: DataFrame, rows_of, names: list[str], parts: int, least: int, most: int = FLUSH // 8, read=_runs) -> DataFrame:
+    """Sums by key over all texts. Tasks send packed columns, so the rows that are shuffled are few and not built one by one."""
+    return (train.mapInArrow(_packed(rows_of, names, 4 * parts, most, read), ", ".join(["part long", *(f"{x} binary" for x in names)]))
+            .repartition(parts, "part").mapInArrow(_gathered(names, least), ", ".join(f"{x} long" for x in names)))
+
+
+def _words(batches):
+    for batch in batches:
+        values, at = list_parts(batch.column(0))
+        for lo, hi in _slices(at):
+            yield np.unique(values[at[lo]:at[hi]], return_counts=True)
+
+
+def _once(key: np.ndarray, *others: np.ndarray) -> tuple:
+    return (key, *others, np.ones(len(key), np.int64))
 
 
 def _level_grams(k: int, kept: list, listed: list, slots, parts: int):
-    """Counts of a level's listed grams (parent: the gram of the suffix); beyond three tokens also of
+    """Places of a level's listed grams (parent: the gram of the suffix); beyond three tokens also of
     its contexts (gram and context equal, parent the suffix)."""
     def rows(runs):
         at, edge = _able(runs, [x.value for x in kept], [x.value for x in listed], k)
         if slots is None:
             context = runs.context(at, k)
-            yield _counted(context, context, runs.context(at, k - 1))
+            yield _once(context, context, runs.context(at, k - 1))
         at = at[edge]
         gram = runs.gram(at, k)
         if slots is not None:
             some = contains(slots.value, _slot(gram, parts).view(np.int64))
             at, gram = at[some], gram[some]
-        yield _counted(gram, runs.context(at, k), runs.gram(at, k - 1))
+        yield _once(gram, runs.context(at, k), runs.gram(at, k - 1))
 
-    return _packed(rows, ["gram", "context", "parent", "n"])
+    return rows
 
 
 def _deep_grams(k: int, more: int, active, triples):
-    """Counts of the contexts and grams of the ``more`` levels above ``k``, of the places whose context of
+    """Places of the contexts and grams of the ``more`` levels above ``k``, of the places whose context of
     ``k`` tokens (the root) may be active."""
     def rows(runs):
         at = np.flatnonzero(runs.within >= k)
@@ -450,10 +506,10 @@ def _deep_grams(k: int, more: int, active, triples):
             if not len(at):
                 return
             context, level = runs.context(at, j), np.full(len(at), j)
-            yield _counted(context, context, runs.context(at, j - 1), root, level)
-            yield _counted(runs.gram(at, j), context, runs.gram(at, j - 1), root, level)
+            yield _once(context, context, runs.context(at, j - 1), root, level)
+            yield _once(runs.gram(at, j), context, runs.gram(at, j - 1), root, level)
 
-    return _packed(rows, ["gram", "context", "parent", "root", "level", "n"])
+    return rows
 
 
 def _with_active(k: int, active):
@@ -529,22 +585,22 @@ def _next_level(train: DataFrame, k: int, below: DataFrame, held: DataFrame | No
     """The level's rows; ``held``: its contexts where they are known (up to three tokens), else they are counted."""
     slots, parts = None, max(12, total >> 21)
     if held is not None:  # most grams are rare: what is frequent by 32 bits and its part is counted by its whole hash
-        found = spill(train.mapInArrow(_count_slots(k, kept, listed, parts), "part long, slots binary, counts binary")
+        found = _written(train.mapInArrow(_count_slots(k, kept, listed, parts), "part long, slots binary, counts binary")
                       .repartition(parts, "part").mapInArrow(_frequent_slots, "slot long"), "lm-slots")
         slots = bit_table(found, words_for(found.count()))
-    rows = (train.mapInArrow(_level_grams(k, kept, listed, slots, parts), "gram long, context long, parent long, n long")
-            .groupBy("gram").agg(F.first("context").alias("context"), F.first("parent").alias("parent"), F.sum("n").alias("n"))
-            .filter(F.col("n") >= LEAST))
+        release(found)
+    rows = _summed(train, _level_grams(k, kept, listed, slots, parts), ["gram", "context", "parent", "n"], _parts(total), LEAST)
     if held is None:
-        rows = spill(rows, "lm-grams")
+        rows = _written(rows, "lm-grams")
         held = rows.filter("gram = context").select("context", F.col("parent").alias("suffix"), F.col("n").alias("held"))
     if k == 1:
         held = held.select("context", "held", F.lit(True).alias("suffix_retained"))
     else:  # the bit tables passed some more
         tried = below.filter("retained or suffix_retained").select(F.col("context").alias("suffix"), F.col("retained").alias("suffix_retained"))
         held = held.join(tried.distinct(), "suffix").drop("suffix")
-    edges = spill(rows.filter("gram <> context").select("gram", "context", "parent", F.col("n").alias("c"))
+    edges = _written(rows.filter("gram <> context").select("gram", "context", "parent", F.col("n").alias("c"))
                   .join(below.select(F.col("gram").alias("parent"), F.col("p").alias("q")), "parent").join(held, "context"), "lm-edges")
+    release(rows)
     if slots is not None:
         slots.unpersist()
     rest = F.col("held") - F.col("listed")
@@ -555,19 +611,19 @@ def _next_level(train: DataFrame, k: int, below: DataFrame, held: DataFrame | No
         "context", (2 * g > F.col("df") + 4 * F.sqrt(2.0 * F.col("df")) + 10).alias("retained"),
         (1 - (F.col("listed") - DISCOUNT * F.col("df")) / F.col("held")).alias("lam"))
     here = F.col("lam") * F.col("q") + (F.col("c") - DISCOUNT) / F.col("held")
-    return (edges.join(tests, "context").withColumn("p", F.when(F.col("retained"), here).otherwise(F.col("q")))
-            .withColumn("level", F.lit(k).cast("long")).select(*(x.split()[0] for x in LEVEL.split(", "))))
+    level = _written(edges.join(tests, "context").withColumn("p", F.when(F.col("retained"), here).otherwise(F.col("q")))
+                     .withColumn("level", F.lit(k).cast("long")).select(*(x.split()[0] for x in LEVEL.split(", "))), "lm-level")
+    release(edges)
+    return level
 
 
-def _next_levels(train: DataFrame, k: int, more: int, below: DataFrame, active, triples) -> DataFrame:
+def _next_levels(train: DataFrame, k: int, more: int, below: DataFrame, active, triples, total: int) -> DataFrame:
     """The rows of the ``more`` levels above ``k``; what grows from one context of ``k`` tokens is settled in one task."""
-    rows = (train.mapInArrow(_deep_grams(k, more, active, triples), "gram long, context long, parent long, root long, level long, n long")
-            .groupBy("gram").agg(*(F.first(x).alias(x) for x in ("context", "parent", "root", "level")), F.sum("n").alias("n"))
-            .filter(F.col("n") >= LEAST).select("gram", "context", "parent", "root", "level", "n",
-                                                F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("retained")))
+    rows = _summed(train, _deep_grams(k, more, active, triples), ["gram", "context", "parent", "root", "level", "n"], _parts(total), LEAST).select(
+        "*", F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("retained"))
     last = below.filter("retained or suffix_retained").select(
         "gram", "context", "parent", F.col("context").alias("root"), "level", F.col("c").alias("n"), "p", "retained")
-    return rows.union(last).repartition("root").mapInArrow(_settle(k, more), LEVEL)
+    return _written(rows.union(last).repartition("root").mapInArrow(_settle(k, more), LEVEL), "lm-level")
 
 
 def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame], list[int], list, list]:
@@ -580,9 +636,8 @@ def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame], list[i
     suffix_retained. Every context and token of ``LEAST`` occurrences is listed, at any size of the corpus. A context is tried if its
     suffix is retained or its suffix's suffix is, so there are as many levels as the texts bear.
     """
-    spark = train.sparkSession
-    counts = spill(train.mapInArrow(_count_grams(lambda h, first: h), "gram long, n long")
-                   .groupBy(F.col("gram").alias("hash")).agg(F.sum("n").alias("c")), "word-counts")
+    spark, texts = train.sparkSession, train
+    counts = _written(_summed(train, lambda words: [words], ["hash", "c"], default_buckets(spark), 1, FLUSH // 2, _words), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
                       F.coalesce(F.max(F.when(F.col("hash") == F.xxhash64(F.lit("")), F.col("c"))), F.lit(0)).alias("texts")).first()
     total, words = int(sums.n), int(sums.v)
@@ -601,10 +656,12 @@ def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame], list[i
             roots = below.filter("retained or suffix_retained").select("context").distinct()
             active = bit_table(roots, words_for(roots.count()))
             if more > 1:
-                train = spill(train.mapInArrow(_with_active(k, active), "t array<long>"), "lm-active")
+                some = _written(train.mapInArrow(_with_active(k, active), "t array<long>"), "lm-active", **TOKENS)
+                if train is not texts:
+                    release(train)
+                train = some
             more *= 4
-            level = _next_levels(train, k, more, below, active, listed[2])
-        level = spill(level, "lm-level")
+            level = _next_levels(train, k, more, below, active, listed[2], total)
         k += more
         ended = F.col("level") == k
         found = level.groupBy("level", "context").agg(
@@ -621,6 +678,8 @@ def grow(train: DataFrame) -> tuple[DataFrame, int, int, list[DataFrame], list[i
         if k < 3:  # every run of k + 1 tokens that is frequent is listed
             held = level.select(F.col("gram").bitwiseXOR(F.lit(int(EDGE))).alias("context"),
                                 F.col("parent").bitwiseXOR(F.lit(int(EDGE))).alias("suffix"), F.col("c").alias("held"))
+    if train is not texts:
+        release(train)
     return counts, total, words, levels, tops, kept, listed[1:]
 
 
@@ -672,8 +731,8 @@ def score(docs: DataFrame) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ready(spark)
-    numbered = spill(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                                 tokens(text_of()).alias("t")), "lm-tokens")
+    numbered = _written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+                                 tokens(text_of()).alias("t")), "lm-tokens", **TOKENS)
     counts, total, words, levels, tops, kept, listed = grow(numbered.filter(~held_out()).select("t"))
     # what a token gains: words over the root, contexts and edges over their suffix
     values = counts.select("hash", F.lit(0).cast("long").alias("level"), F.col("c").alias("n"), F.log10(F.col("c") + 1.0).alias("value"))
@@ -683,7 +742,8 @@ def score(docs: DataFrame) -> DataFrame:
             F.first("level").alias("level"), F.first("held").alias("n"), F.log10(F.first("lam")).alias("value"))).union(
             mine.select(F.col("gram").alias("hash"), "level", F.col("c").alias("n"), F.log10(F.col("p") / F.col("lam") / F.col("q")).alias("value")))
     if levels:
-        values = spill(values, "lm-values")
+        values = _written(values, "lm-values")
+        release(counts, *levels)
     # the frequent ones are broadcast; all others are met by a join
     hot = spark.sparkContext.broadcast(_hot(values, total))
 
