@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tidemark.session import default_buckets, release
 
 from .bits import bit_table, contains, words_for
-from .common import list_parts, mix64, ready, spill, text_of, words_of
+from .common import list_parts, mix64, ready, shuffles_go, spill, text_of, words_of
 
 FOLDS, HELD = 7, 2
 SYMBOL_SHARE = 2.0 ** -16
@@ -77,13 +77,8 @@ def tokens(text: Column) -> Column:
 
 def _written(df: DataFrame, tag: str, **options) -> DataFrame:
     """``spill`` whose shuffle files go once the table is written, not when the driver happens to collect its garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
+    with shuffles_go(df.sparkSession):
         return spill(df, tag, **options)
-    finally:
-        conf.set(key, was)
 
 
 def _parts(total: int) -> int:
