@@ -210,3 +210,21 @@ def test_tables_that_nothing_reads_any_more_go(spark):
     assert left == ["lm-tokens", "lm-values"]
     got = {r.doc_id: r.score for r in rows.collect()}
     assert np.allclose([got[i] for i in ids], brute_force(texts)[0], rtol=1e-9)
+
+
+def test_values_that_are_not_broadcast_meet_their_texts_packed(spark, monkeypatch):
+    texts = chained()
+    want, _ = brute_force(texts)
+    ids = [i for i in range(3000) if crc32(str(i).encode()) % 7 != 2][:len(texts)]
+    rows = [*zip(ids, texts), (None, texts[0]), (None, None)]
+    monkeypatch.setattr(L, "HOT", 0)  # every value is asked for
+    monkeypatch.setattr(L, "STEP", 700)
+    monkeypatch.setattr(L, "SENT", 50)
+    frame = L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = frame.collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+    scores = {r.doc_id: r.score for r in got}
+    assert np.allclose([scores[i] for i in ids], want, rtol=1e-9)
+    check_base(got, rows)
+    # no row for each text and value is built, sorted and joined
+    assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -18,8 +18,8 @@ frequent by them. Beyond four levels few places are left (eight, where more than
 levels count at once all that continues an active context, and what grows from one such context is tested in one
 task, one length after the other. ``score``
 adds up, for every token, the gains log10(lam) of its retained contexts and log10(p / (lam q)) of their
-listed edges over the base score: each is one looked-up value, so texts meet them by one join;
-the most frequent ones (``HOT``, of those above a part of ``WORD_SHARE``) are broadcast. All
+listed edges over the base score: each is one looked-up value. The most frequent ones (``HOT``, of those above a part of
+``WORD_SHARE``) are broadcast; the others are asked for in blocks of texts, packed by ranges of the hash, and the sums go back to the texts. All
 counts cover every training document.
 
 ``fit`` makes a small ``Tree`` for one process, of frequent symbols and two of them as
@@ -722,6 +722,109 @@ class _Places:
         return found
 
 
+def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unsigned order of the keys, the parts (ranges of their upper bits) that hold some, and where each part ends in it."""
+    order = np.argsort(keys.view(np.uint64))
+    part = ((keys[order].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    ends = np.searchsorted(part, np.arange(parts + 1))
+    return order, np.flatnonzero(np.diff(ends)), ends
+
+
+ASKED = "part long, kind int, block long, docs int, ids binary, keys binary, owners binary, known binary, base binary, tree binary"
+VALUES, WANTED, HEADS = 0, 1, 2
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+    return pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
+
+
+def _rows_by_part(kind: int, block: int, docs: int, keys: np.ndarray, owners: np.ndarray, values, parts: int):
+    """Packed rows, one for each part that holds some of the keys; ``SENT`` keys or one row a batch."""
+    order, some, ends = _by_part(keys, parts)
+    keys, owners = keys[order], owners[order]
+    values = None if values is None else values[order]
+    step = max(1, len(some) * SENT // max(1, len(keys)))
+    for at in (some[lo:lo + step] for lo in range(0, len(some), step)):
+        cut = [(int(p), int(ends[p]), int(ends[p + 1])) for p in at]
+        yield _asked([(p, kind, block, docs, None, keys[a:b].tobytes(), owners[a:b].tobytes(), None, None,
+                       None if values is None else values[a:b].tobytes()) for p, a, b in cut])
+
+
+def _packed_values(parts: int):
+    """The values of a task by parts: keys, whether each is a word, amounts."""
+    def run(batches):
+        held, size = [], 0
+
+        def packed():
+            keys, level, value = (np.concatenate(x) for x in zip(*held))
+            return _rows_by_part(VALUES, 0, 0, keys, (level == 0).astype(np.uint8), value, parts)
+
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("hash", "level", "value")])
+            size += batch.num_rows
+            if size > FLUSH // 8:
+                yield from packed()
+                held, size = [], 0
+        if size:
+            yield from packed()
+
+    return run
+
+
+def _answered(batches):
+    """Rows come by part, its values first: what the values add to the texts of each block; heads are passed on."""
+    part, held, keys = None, [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != part:
+                part, held, keys = row[0], [], None
+            if row[1] == VALUES:
+                held.append([np.frombuffer(x, kind) for x, kind in zip((row[5], row[6], row[9]), (np.int64, np.uint8, np.float64))])
+                continue
+            if row[1] == HEADS:
+                yield _asked([row])
+                continue
+            if keys is None:
+                keys, word, value = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, t) for t in (np.int64, np.uint8, float))
+                order = np.argsort(keys)
+                keys, word, value = keys[order], word[order].astype(bool), value[order]
+            wanted, owner, docs = np.frombuffer(row[5], np.int64), np.frombuffer(row[6], np.uint32), row[3]
+            found = _find(keys, wanted)
+            owner, found = owner[found >= 0], found[found >= 0]
+            some = np.unique(owner)
+            at, known = np.searchsorted(some, owner), word[found]
+            amount = value[found]
+            sums = [np.bincount(at[which], w[which], len(some)).astype(kind).tobytes() if which.any() else b""
+                    for which, w, kind in ((known, np.ones(len(found)), np.int64), (known, amount, np.float64), (~known, amount, np.float64))]
+            if len(some):
+                yield _asked([(row[0], WANTED, row[2], docs, None, None, some.astype(np.uint32).tobytes(), *sums)])
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base double, tree double"
+
+
+def _added(batches):
+    """Rows of whole blocks: heads and what is added to them, by text."""
+    heads, sums = {}, {}
+    for batch in batches:
+        for _, kind, block, docs, ids, n, owners, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            total = sums.setdefault(block, [np.zeros(docs, np.int64), np.zeros(docs), np.zeros(docs)])
+            at = slice(None)
+            if kind == HEADS:
+                heads[block] = ids, n, owners
+            else:
+                at = np.frombuffer(owners, np.uint32)
+            for t, x in zip(total, packed):
+                if x:
+                    t[at] += np.frombuffer(x, t.dtype)
+    for block, (ids, n, missing) in heads.items():
+        out = [pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(missing, np.uint8).astype(bool)), np.frombuffer(n, np.int64), *sums.pop(block)]
+        for lo in range(0, len(out[0]), SENT):
+            yield pa.record_batch([pa.array(x[lo:lo + SENT]) if isinstance(x, np.ndarray) else x[lo:lo + SENT] for x in out],
+                                  names=[x.split()[0] for x in SCORED.split(", ")])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -742,21 +845,38 @@ def score(docs: DataFrame) -> DataFrame:
     # the frequent ones are broadcast; all others are met by a join
     hot = spark.sparkContext.broadcast(_hot(values, total))
 
+    parts = 4 * _parts(total)
+
     def run(batches):
         keys, gain = _Places(hot.value[0]), hot.value[1]
         contexts, grams = [x.value for x in kept], [x.value for x in listed]
+        away: list[tuple[np.ndarray, np.ndarray]] = []
+        heads: list[tuple] = []
+        n_docs = n_away = block = 0
+
+        def sent():
+            ids, missing, *numbers = (np.concatenate(x) for x in zip(*heads))
+            yield _asked([(block % parts, HEADS, block, n_docs, ids.tobytes(), numbers[0].tobytes(), missing.tobytes(), *(x.tobytes() for x in numbers[1:]))])
+            owner, wanted = (np.concatenate(x) for x in zip(*away))
+            if len(wanted):
+                yield from _rows_by_part(WANTED, block, n_docs, wanted, owner, None, parts)
+
         for batch in batches:
             values, at = list_parts(batch.column("t"))
-            rid = batch.column("rid").to_numpy()
+            rid, doc_id = batch.column("rid").to_numpy(), batch.column("doc_id")
+            ids, missing = doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             for lo, hi in _slices(at):
                 runs, n = Runs(values[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]), np.diff(at[lo:hi + 1])
-                away: list[tuple[np.ndarray, np.ndarray]] = []
+                if not n_docs:
+                    block = int(rid[lo])
 
                 def gained(places, wanted):
+                    nonlocal n_away
                     found = keys.find(wanted)
-                    owner = runs.owner[places]
-                    away.append((owner[found < 0], wanted[found < 0]))
-                    owner, found = owner[found >= 0], found[found >= 0]
+                    owner, left = runs.owner[places], found < 0
+                    away.append(((owner[left] + n_docs).astype(np.uint32), wanted[left]))
+                    n_away += len(away[-1][0])
+                    owner, found = owner[~left], found[~left]
                     return np.bincount(owner, gain[found], hi - lo).astype(float), np.bincount(owner, minlength=hi - lo)
 
                 places = np.flatnonzero(runs.within > 0)
@@ -772,35 +892,18 @@ def score(docs: DataFrame) -> DataFrame:
                         go = (now | was) & (runs.within[places] > k)  # the start of the text is the earliest token of all
                         places, was = places[go], now[go]
                         k += 1
-                # the others, summed by text and hash, look their values up by a join
-                o, w = (np.concatenate(x) for x in zip(*away))
-                order = np.lexsort((w, o))
-                w, o = w[order], o[order]
-                new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])])) if len(w) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(w)))
-                w, o = w[new], o[new]
-                ids = rid[lo:hi]
-                heads = pa.StructArray.from_arrays([pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree), batch.column("doc_id").slice(lo, hi - lo)],
-                                                   names=["n_tokens", "n_known", "base", "tree", "doc_id"])
-                yield pa.record_batch([
-                    pa.array(np.concatenate([ids, ids[o]])),
-                    # a head's key is spread and meets nothing
-                    pa.array(np.concatenate([mix64(ids.view(np.uint64)).view(np.int64), w])),
-                    pa.array(np.concatenate([np.zeros(len(ids), np.int64), times])),
-                    pa.concat_arrays([heads, pa.nulls(len(o), heads.type)])], names=["rid", "hash", "times", "head"])
-
-    parts = numbered.mapInArrow(
-        run, "rid long, hash long, times long, head struct<n_tokens:bigint,n_known:bigint,base:double,tree:double,doc_id:bigint>")
-    met = parts.join(values.select("hash", "level", "value").hint("merge"), "hash", "left")
-
-    def more(amount, which, head):
-        return F.sum(F.when(F.col("head").isNotNull(), F.col(head)).when(which, amount).otherwise(F.lit(0).cast("double")))
-
-    amount = F.col("times") * F.col("value")
-    out = met.groupBy("rid").agg(
-        F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"),
-        more(F.col("times"), F.col("level") == 0, "head.n_known").cast("long").alias("n_known"),
-        more(amount, F.col("level") == 0, "head.base").alias("base"), more(amount, F.col("level") > 0, "head.tree").alias("tree"))
+                heads.append((ids[lo:hi], missing[lo:hi], n.astype(np.int64), known.astype(np.int64), base, tree))
+                n_docs += hi - lo
+                if n_away + n_docs > FLUSH // 4:
+                    yield from sent()
+                    away, heads, n_docs, n_away = [], [], 0, 0
+        if n_docs:
+            yield from sent()
+
+    # the others look their values up in the task of their part, packed; a block of texts is one row a part
+    asked = numbered.mapInArrow(run, ASKED).unionByName(values.select("hash", "level", "value").mapInArrow(_packed_values(parts), ASKED))
+    out = (asked.repartition(max(1, parts // 4), "part").sortWithinPartitions("part", "kind").mapInArrow(_answered, ASKED)
+           .repartition("block").mapInArrow(_added, SCORED))
     base = F.col("base") - F.col("n_tokens") * math.log10(total + words + 1)
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       base.alias("base_score"), (base + F.col("tree")).alias("score"))
